@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.quality_rules import quality_rules
+from marlstone.llm.setsketch import near_duplicates
 from marlstone.llm.toxicity import fit_toxicity, score_toxicity
 from marlstone.sources.tables import table
 
@@ -32,6 +33,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~held_out())
@@ -42,6 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op9_setsketch_dedup": op9_setsketch_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
