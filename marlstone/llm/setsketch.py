@@ -212,21 +212,23 @@ def _labelled(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
 
 
 def _link(candidates: DataFrame, sets: DataFrame, edges: DataFrame | None, label: DataFrame | None, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verify candidates (x, y, likely) until each is done or lies within a component; edges and labels so far are added to."""
-    rest = candidates
-    while True:
-        rest = materialise(_labelled(rest.select("x", "y", "likely"), label).where("cx <> cy"), "open-pairs")
-        # The likeliest pair of each x now; by then most of the others lie within a component.
-        first = rest.groupBy("x").agg(F.max(F.struct("likely", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
-        found = materialise(_verified(first, sets, percent), "links-found")
-        if rest.isEmpty():
-            return edges, label
-        new = found.select(F.col("x").alias("u"), F.col("y").alias("v"))
-        if not new.isEmpty():
-            edges = new if edges is None else edges.unionByName(new)
-            label = materialise(components(edges), "labels")
-            edges = label.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        rest = rest.join(first, ["x", "y"], "left_anti")
+    """Verify candidates (x, y, likely) but those that lie within a component; edges and labels so far are added to."""
+    rest = materialise(_labelled(candidates.select("x", "y", "likely"), label).where("cx <> cy"), "open-pairs")
+    # The likeliest pair of each x first; by then most of the others lie within a component.
+    first = rest.groupBy("x").agg(F.max(F.struct("likely", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    first = materialise(first, "first-pairs")
+    edges, label = _add_links(_verified(first, sets, percent), edges, label)
+    rest = _labelled(rest.select("x", "y"), label).where("cx <> cy").join(first, ["x", "y"], "left_anti")
+    return _add_links(_verified(rest, sets, percent), edges, label)
+
+
+def _add_links(found: DataFrame, edges: DataFrame | None, label: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """edges, which hold one link of each labelled node, and labels with the links found."""
+    found = materialise(found.select(F.col("x").alias("u"), F.col("y").alias("v")), "links-found")
+    if found.isEmpty():
+        return edges, label
+    label = materialise(components(found if edges is None else edges.unionByName(found)), "labels")
+    return label.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")), label
 
 
 def _rest_pairs(members: DataFrame, reps: DataFrame, label: DataFrame | None, least: float) -> DataFrame:
