@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.packing import pack_documents
+from marlstone.llm.pii import KINDS, find_pii
 from marlstone.llm.quality_rules import quality_rules
 from marlstone.llm.setsketch import near_duplicates
 from marlstone.llm.toxicity import fit_toxicity, score_toxicity
@@ -18,6 +19,14 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -45,6 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
     "op9_setsketch_dedup": op9_setsketch_dedup,
