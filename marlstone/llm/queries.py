@@ -15,6 +15,7 @@ from marlstone.llm.pii import KINDS, find_pii
 from marlstone.llm.quality_rules import quality_rules
 from marlstone.llm.setsketch import near_duplicates
 from marlstone.llm.toxicity import fit_toxicity, score_toxicity
+from marlstone.llm.training_order import write_training_order
 from marlstone.sources.tables import table
 
 
@@ -36,6 +37,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_training_order(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -72,6 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_training_order": op2_training_order,
     "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_decontamination": op5_decontamination,
