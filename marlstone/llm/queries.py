@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.cotrain import fit_quality, score_quality
 from marlstone.llm.decontaminate import find_contamination
 from marlstone.llm.html_extract import extract_text
+from marlstone.llm.licenses import scan_licenses
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.pii import KINDS, find_pii
 from marlstone.llm.quality_rules import quality_rules
@@ -64,6 +65,10 @@ def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_cotraining_quality": op7_cotraining_quality,
+    "op8_license_scan": op8_license_scan,
     "op9_setsketch_dedup": op9_setsketch_dedup,
     "op10_toxicity": op10_toxicity,
 }
