@@ -299,3 +299,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     found = found.select("doc_id", "n_shingles", component.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """One document of each group, the one of the smallest doc_id, with all its columns; rows that repeat a doc_id go too."""
+    kept = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    found = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return found.unionByName(docs.where("doc_id is null")).select(docs.columns)
