@@ -11,6 +11,7 @@ from marlstone.llm.cotrain import fit_quality, score_quality
 from marlstone.llm.decontaminate import find_contamination
 from marlstone.llm.html_extract import extract_text
 from marlstone.llm.licenses import scan_licenses
+from marlstone.llm.oracles import NEAR_DUPLICATES, QUALITY_RULES
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.pii import KINDS, find_pii
 from marlstone.llm.quality_rules import quality_rules
@@ -94,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_quality_rules": QUALITY_RULES, "op9_setsketch_dedup": NEAR_DUPLICATES}
