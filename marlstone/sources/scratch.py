@@ -11,16 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is ``spark.checkpoint.dir`` of the session. Where that is unset, a local
-    master gets a temporary folder; a cluster without it is an error, as the
-    executors could not see each other's files.
+    It is ``spark.checkpoint.dir`` of the session, or the checkpoint folder that was
+    set on its context. Where neither is, a local master gets a temporary folder; a
+    cluster without it is an error, as the executors could not see each other's files.
     """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
+    context = spark.sparkContext
+    if found := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.conf.set("spark.checkpoint.dir", found := tempfile.mkdtemp(prefix="spark-"))
-    return found
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
