@@ -8,8 +8,9 @@ of member and bucket names, a pair's similarity is estimated from its registers
 maximum likelihood, and pairs that can reach the threshold are verified on the full
 sets, the likeliest of each document first; pairs within one component need no
 verification. Buckets of three and more that still hold several components then have
-the members outside their largest component compared with all others, in blocks, so
-no link between bucket-mates is lost, and neither all pairs of a group nor a
+the members outside their largest component compared with all others, in blocks: with a
+large component as a whole, likeliest members first, until one is linked; else pair by
+pair. So no link between bucket-mates is lost, and neither all pairs of a group nor a
 whole group is ever in one place.
 
 With 40 bands of 5 registers, a pair at the threshold 0.75 shares no bucket with
@@ -33,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import materialise
-from marlstone.llm.components import components
+from marlstone.operators.components import components
 
 BANDS, BAND_ROWS = 40, 5
 REGISTERS = BANDS * BAND_ROWS
 BASE, RATE, LAST = 1.001, 20.0, 65_534
 MARGIN = 0.15
-BLOCK = 1_000
+#: Documents of a block; members from which on a component is compared as a whole.
+BLOCK, LARGE = 1_000, 64
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -155,7 +157,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """(x, y, likely) of the pairs (x, y) that can reach the threshold."""
     kind = reps.schema["rep"].dataType.simpleString()
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}")).hint("merge")
     both = pairs.join(side("x"), "x").where("x is not null").join(side("y"), "y").where("least(nx, ny) >= " + repr(least) + " * greatest(nx, ny)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +180,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = [shingles(t, width)[0].tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return texts.mapInArrow(run, f"rep {kind}, shingles binary")
 
 
+def _more_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """sets with those of wanted (rep) that it lacks."""
+    missing = materialise(wanted.distinct().join(sets.select("rep"), "rep", "left_anti"), "missing")
+    return sets if missing.isEmpty() else sets.unionByName(materialise(_sets(docs, missing, width), "sets"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) whose full sets reach the threshold."""
     kind = sets.schema["rep"].dataType.simpleString()
-    both = pairs.select("x", "y").join(sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("rep").alias("y"), F.col("shingles").alias("sy")), "y")
+    side = lambda c: sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")).hint("merge")
+    both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -231,22 +240,64 @@ def _add_links(found: DataFrame, edges: DataFrame | None, label: DataFrame | Non
     return label.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")), label
 
 
-def _rest_pairs(members: DataFrame, reps: DataFrame, label: DataFrame | None, least: float) -> DataFrame:
+def _mixed_buckets(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(key, rep, component, main, size): the rows of buckets that hold several components; main is the largest there, of so many documents in all."""
+    named = members if label is None else members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = named.withColumn("component", F.coalesce("component", "rep") if label is not None else F.col("rep"))
+    by_component = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    buckets = by_component.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("largest")).where("parts > 1")
+    rows = named.join(buckets.select("key", F.col("largest.component").alias("main")), "key")
+    if label is None:
+        return rows.withColumn("size", F.lit(1).cast("long"))
+    sizes = label.groupBy(F.col("component").alias("main")).agg(F.count("*").alias("size"))
+    return rows.join(sizes, "main", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+
+
+def _large_links(strays: DataFrame, label: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y): for each stray (main, rep, size) a member of its large main component that it is linked with, if any, in each block.
+
+    A component's members are dealt into blocks of about BLOCK; strays go to each block.
+    """
+    kind, least = reps.schema["rep"].dataType.simpleString(), percent / 100
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mains = strays.select("main", "size").distinct()
+    own = label.select(F.col("component").alias("main"), F.col("node").alias("rep")).join(mains, "main").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    sent = strays.select("main", "rep", "size").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = own.select("main", "block", "rep", F.lit(False).alias("stray")).unionByName(sent.select("main", "block", "rep", F.lit(True).alias("stray")))
+    rows = rows.join(reps.hint("merge"), "rep").join(sets.hint("merge"), "rep")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        r = np.frombuffer(b"".join(group["registers"]), dtype="<u2").reshape(-1, REGISTERS)
+        n, stray, rep = group["n"].to_numpy().astype(float), group["stray"].to_numpy(), group["rep"].to_numpy()
+        found = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
+        pairs = []
+        for i in np.flatnonzero(stray):
+            at = np.flatnonzero(~stray & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i])))
+            likely = estimate(np.broadcast_to(r[i], (len(at), REGISTERS)), r[at], np.full(len(at), n[i]), n[at])
+            # The likeliest first; one link joins the components.
+            for j in at[np.argsort(-likely, kind="stable")][: int((likely >= least - MARGIN).sum())]:
+                shared = len(np.intersect1d(found[i], found[j], assume_unique=True))
+                if 100 * shared >= percent * (n[i] + n[j] - shared):
+                    pairs.append((rep[i], rep[j]))
+                    break
+        return pd.DataFrame(pairs, columns=["x", "y"])
+
+    return rows.select("main", "block", "rep", "stray", "n", "registers", "shingles").groupBy("main", "block").applyInPandas(run, f"x {kind}, y {kind}")
+
+
+def _rest_pairs(rows: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """(x, y, likely): pairs of bucket-mates in different components that can reach the threshold.
 
-    members: (key, rep), the buckets of three and more. The largest component's
-    members are dealt into blocks, the others go to each block.
+    rows: of ``_mixed_buckets``, but for the members of large main components. The main
+    component's members are dealt into blocks, the others go to each block.
     """
     kind = reps.schema["rep"].dataType.simpleString()
-    named = members if label is None else members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = named.withColumn("component", F.coalesce("component", "rep") if label is not None else F.col("rep"))
-    by_component = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = by_component.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("largest")).where("parts > 1")
-    rows = named.join(buckets.select("key", F.col("largest.component").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("rows"), F.count_distinct("component").alias("parts")).where("parts > 1")
+    rows = rows.join(sizes.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "key")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("stray", F.col("component") != F.col("main"))
     rows = rows.withColumn("block", F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    rows = rows.join(reps.select("rep", "n", "registers"), "rep")
+    rows = rows.join(reps.hint("merge"), "rep")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         r = np.frombuffer(b"".join(group["registers"]), dtype="<u2").reshape(-1, REGISTERS)
@@ -285,10 +336,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     sets = materialise(_sets(docs, ends(candidates), width), "sets")
     edges, label = _link(candidates, sets, None, None, percent)
 
-    rest = materialise(_rest_pairs(members.where("size > 2").select("key", "rep"), reps, label, least), "rest-pairs")
-    rest = materialise(rest.join(candidates.select("x", "y"), ["x", "y"], "left_anti").join(candidates.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti"), "rest-candidates")
+    open_members = members.where("size > 2").select("key", "rep")
+    if label is not None:
+        mixed = materialise(_mixed_buckets(open_members, label).where(f"size >= {LARGE} and component <> main"), "strays")
+        strays = mixed.select("main", "rep", "size").distinct()
+        if not strays.isEmpty():
+            wanted = strays.select("rep").unionByName(label.join(strays.select(F.col("main").alias("component")).distinct(), "component", "left_semi").select(F.col("node").alias("rep")))
+            sets = _more_sets(docs, sets, wanted, width)
+            edges, label = _add_links(_large_links(strays, label, reps, sets, percent), edges, label)
+    rows = _mixed_buckets(open_members, label).where(f"size < {LARGE} or component <> main")
+    rest = materialise(_rest_pairs(rows, reps, least), "rest-pairs")
+    tested = candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "likely").join(tested, ["x", "y"], "left_anti")
+    rest = materialise(rest, "rest-candidates")
     if not rest.isEmpty():
-        sets = materialise(_sets(docs, ends(rest), width), "sets")
+        sets = _more_sets(docs, sets, ends(rest), width)
         edges, label = _link(rest, sets, edges, label, percent)
 
     if label is not None:
