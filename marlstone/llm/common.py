@@ -6,37 +6,11 @@ of the input can't clash with their own. A null text counts as empty.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    It is ``spark.checkpoint.dir`` of the session. Where that is unset, a local
-    master gets a temporary folder; a cluster without it is an error, as the
-    executors could not see each other's files.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.conf.set("spark.checkpoint.dir", found := tempfile.mkdtemp(prefix="spark-"))
-    return found
 
+from marlstone.sources.scratch import materialise, scratch_dir
 
-def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it again: work is done once and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["logistic_fit", "materialise", "scratch_dir", "sigmoid"]
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, weight: np.ndarray | None = None, prior: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:

@@ -1,0 +1,273 @@
+"""Operators against brute force, round trips and held-out labels."""
+
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from conftest import document, prose
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from marlstone.llm import decontaminate, html_extract, licenses, packing, pii, setsketch, toxicity
+from marlstone.llm.tokens import encoder
+from marlstone.llm.training_order import feistel, write_training_order
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def brute_spans(text):
+    kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    out = []
+    for k, p in enumerate(kinds):
+        for m in re.finditer(p, text):
+            d = re.sub(r"[^0-9]", "", m[0])
+            if (k == 0) or (k == 1 and all(int(x) <= 255 for x in m[0].split("."))) or (k == 2 and 14 <= len(d) <= 19 and pii.luhn(d)) or (k == 3 and 10 <= len(d) <= 15):
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a1 .+@-()9é", max_size=60))
+def test_base_spans_are_those_of_the_patterns(text):
+    assert pii.base_spans(text) == brute_spans(text)
+
+
+def test_field_labels_counterparts(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(300):
+        phone = f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+        rows.append((k, f"{prose(k, 20)} call {phone} or {prose(k + 1, 5)} user.{k}@mail{k}.example.com {prose(k, 9)}"))
+    rows.append((900, f"{prose(9, 9)} +1 (333) 555-1234 {prose(8, 9)} (333) 555-1234 then {prose(7, 9)} 12345 clean"))
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spans = [(s.kind, rows[-1][1][s.start : s.end]) for s in got[900].spans]
+    assert spans == [("phone", "+1 (333) 555-1234"), ("phone", "(333) 555-1234")]
+    assert "<PHONE>" in got[900].redacted and "12345" in got[900].redacted
+    assert all(len(got[k].spans) == 2 for k in range(300))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
+def test_feistel_is_a_permutation(n):
+    slots = feistel(np.arange(n), n, 42)
+    assert sorted(slots.tolist()) == list(range(n))
+    assert n < 1000 or (slots != feistel(np.arange(n), n, 43)).any()
+
+
+def test_shards_round_trip(spark, tmp_path):
+    docs = spark.createDataFrame([(k, prose(k, 40 + k)) for k in range(50)], "doc_id long, text string").repartition(3)
+    rows = write_training_order(docs, TOKENIZER, per_shard=16, row_ids=64, path=str(tmp_path)).collect()
+    plain = Tokenizer.from_file(TOKENIZER)
+    assert len(list(tmp_path.glob("shard-*.bin"))) == 4 and not list(tmp_path.glob("writing-*"))
+    for r in rows:
+        shard = np.fromfile(tmp_path / f"shard-{r.shard:08d}.bin", dtype="<u2")
+        ids = shard[r.first_id : r.first_id + r.n_ids]
+        assert len(shard) % 64 == 0 and ids.tolist() == [*plain.encode(prose(r.doc_id, 40 + r.doc_id), add_special_tokens=False).ids, 0]
+        assert zlib.crc32(ids.astype("<u4").tobytes()) == r.ids_crc32
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abCΣσİé'sre1 \n\t\x1c\x01.,!<|end́", max_size=40), max_size=4))
+def test_ids_are_those_of_the_tokenizer(texts):
+    plain = Tokenizer.from_file(TOKENIZER)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in [*texts, "x<|endoftext|>y"]]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder(TOKENIZER).encode([*texts, "x<|endoftext|>y"])] == want
+
+
+def optimum(sizes, capacity):
+    """The fewest bins, by trying all ways."""
+    best = len(sizes)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(sizes):
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= capacity:
+                place(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+        place(i + 1, [*bins, sizes[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_bound_and_best_fit_enclose_the_optimum(sizes):
+    x = np.array(sizes)
+    bins, offsets, fills = packing.best_fit(x, 20)
+    assert packing.lower_bound(x, np.ones(len(x), dtype=np.int64), 20) <= optimum(sorted(sizes, reverse=True), 20) <= len(fills)
+    for b in range(len(fills)):
+        own = sorted((o, s) for o, s, k in zip(offsets, sizes, bins, strict=True) if k == b)
+        assert [o for o, _ in own] == [0, *itertools.accumulate(s for _, s in own)][:-1] and fills[b] == sum(s for _, s in own) <= 20
+
+
+def test_packing_exchanges_gaps(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randint(1, 2048)) for k in range(3000)]
+    pieces = spark.createDataFrame(rows, "uid long, length long").repartition(4)
+    pieces = packing.materialise(pieces, "test-pieces")
+    placed = packing.pack_pieces(pieces, per_bucket=200).join(pieces, "uid").collect()
+    fill = Counter()
+    for r in placed:
+        fill[r.sequence_id] += r.length
+    assert len(placed) == 3000 and max(fill.values()) <= 2048
+    whole = packing.best_fit(np.array([s for _, s in rows]), 2048)[2]
+    assert packing.packing_bound(pieces) <= len(fill) <= 1.01 * len(whole) + 1
+
+
+def edit_distance_within(item, text):
+    """The least distance of item to any stretch of text."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=8), st.lists(st.integers(0, 3), max_size=12), st.integers(0, 8))
+def test_bit_vector_distance(item, text, most):
+    want = edit_distance_within(item, text)
+    got = decontaminate.distance_within(item, text, most)
+    assert (got[0] if got else None) == (want if want <= most else None)
+
+
+def test_decontamination_recall_and_precision():
+    items = [(k, prose(1000 + k, 15 + k % 40)) for k in range(60)]
+    index = decontaminate.ItemIndex(items, 0.2)
+    rng = random.Random(1)
+    found = 0
+    for k, text in items:
+        w = text.split()
+        for _ in range(max(1, len(w) // 10)):
+            w[rng.randrange(len(w))] = "zzz"
+        doc = prose(k, 50).split()
+        got = index.matches([" ".join(doc[:20] + w + doc[20:])])[0]
+        found += k in got
+        if k in got:
+            assert got[k][0] <= len(text.split()) * 0.2
+    assert found >= 57
+    assert not any(index.matches([prose(5000 + k, 200) for k in range(50)]))
+
+
+def test_binomial_tail(spark):
+    from pyspark.sql import functions as F
+
+    from marlstone.llm.quality_rules import binomial_tail_within
+
+    rows = [(n, k, d) for n in (0, 10, 500, 3000) for k in (0, 1, 3, 20) for d in (0.05, 0.002)]
+    got = spark.createDataFrame(rows, "n long, k long, d double").withColumn("ok", binomial_tail_within(F.col("n"), F.col("k"), 0.01, F.col("d"))).collect()
+    for r in got:
+        tail = sum(math.comb(r.n, i) * 0.01**i * 0.99 ** (r.n - i) for i in range(min(r.k, r.n) + 1))
+        assert r.ok == (r.n > 0 and r.k < r.n * 0.01 and tail <= r.d), r
+
+
+def test_sketch_estimates_and_merges():
+    own = setsketch.seeds()
+    rng = np.random.default_rng(1)
+    x = rng.integers(1, 2**63, 2000, dtype=np.uint64)
+    a, b = x[:1500], x[500:]
+    ra, rb = setsketch.registers(a, own), setsketch.registers(b, own)
+    assert (np.maximum(ra, rb) == setsketch.registers(x, own)).all()
+    got = setsketch.estimate(ra[None], rb[None], np.array([1500.0]), np.array([1500.0]))[0]
+    assert abs(got - 0.5) < 0.15
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rng = random.Random(2)
+    texts = {}
+    for k in range(240):
+        words = prose(k % 40 if k % 3 else k, 60).split()
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(99)}"
+        texts[k] = " ".join(words) if k % 7 else prose(77, 60)
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts.items()}
+    parent = {k: k for k in texts}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in itertools.combinations(texts, 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    old = setsketch.LARGE
+    for large in (64, 2):  # with and without the comparison of whole components
+        setsketch.LARGE = large
+        got = {r.doc_id: r for r in setsketch.near_duplicates(docs).collect()}
+        assert all(got[k].component_id == root(k) and got[k].n_shingles == len(sets[k]) for k in texts)
+    setsketch.LARGE = old
+
+
+def test_minimum_cut_is_least():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n = int(rng.integers(1, 9))
+        gain = rng.normal(size=n)
+        edges = [(i, j, float(rng.random())) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5]
+        cost = lambda y: sum(max(0, -g) if v else max(0, g) for g, v in zip(gain, y, strict=True)) + sum(c for i, j, c in edges if y[i] != y[j])  # noqa: B023, E731
+        assert math.isclose(cost(html_extract.minimum_cut(gain, edges)), min(map(cost, itertools.product((0, 1), repeat=n))), abs_tol=1e-6)
+
+
+def test_page_text():
+    page = """<html><body><header><a href=/>Home</a></header><nav><ul><li><a>x</a></ul></nav><article><h1>A &amp; B</h1><p>First
+      text.<p>Second text.<br>More.<div class="ad">Buy</div><script>var x='<p>'</script></article>
+      <section class="comments"><p>Nice one, thanks for sharing it. Really.</p></section><footer>(c)</footer></body></html>"""
+    assert html_extract.extract(page, html_extract.PRIOR)[0] == "A & B\n\nFirst text.\n\nSecond text. More."
+
+
+def test_license_windows():
+    index = licenses.Templates(licenses.LICENSES, 75)
+    for name, text in licenses.LICENSES:
+        got = index.scan(f"{prose(1, 300)}\n{text}\n{prose(2, 300)}")
+        assert got[name][0] == 1.0
+    assert index.scan(prose(3, 2000)) == {}
+
+
+def test_toxicity_folds_and_excepts(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for k in range(600):
+        toxic = k % 5 == 0
+        words = prose(k, 40).split()
+        if toxic:
+            words[rng.randrange(40)] = "wretchling"
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, marks, exceptions=("wretchling pie",))
+    tests = [(1, f"{prose(9001, 30)} WRETCHLING {prose(9002, 9)}"), (2, f"{prose(9003, 30)} wr3tchl1ng {prose(9004, 9)}"), (3, f"{prose(9005, 30)} wrеtchling {prose(9006, 9)}"), (4, f"{prose(9007, 30)} wretchling pie {prose(9008, 9)}"), (5, prose(9009, 40))]
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
+
+
+def test_quality_classifier_held_out(spark):
+    from marlstone.llm.cotrain import fit_quality, score_quality
+
+    rows, labels = [], []
+    for k in range(800):
+        bad = k % 5 == 0
+        words = prose(k, 60).split()
+        text = " ".join(f"{w}###" for w in words) if bad and k % 2 else " ".join([words[0]] * 60) if bad else " ".join(words)
+        rows.append(document(k, text)[:5])
+        labels.append((k, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in score_quality(docs, fit_quality(docs, marks.where("doc_id < 600"), pool=300)).collect()}
+    held = [(got[k], k % 5 != 0) for k in range(600, 800)]
+    assert sum(a == b for a, b in held) >= 196
