@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from marlstone.operators.hedonic import premiums
 from marlstone.operators.trend import backtest, forecast
 from marlstone.plans.observations import OBS_SQL, observations
 from marlstone.plans.registry import query
+from marlstone.sources.scratch import scratch_dir
 from marlstone.sources.tables import table
+from marlstone.streaming.events import event_stream, run_available, tumbling
 
 INDEX_SQL = f"""{OBS_SQL}, c AS (SELECT entity, yr, count(*) AS n FROM obs WHERE yr BETWEEN 1995 AND 2000 GROUP BY ALL), s AS (SELECT entity, yr, round(100.0E0 * n / max(n) OVER (PARTITION BY entity), 4) AS v FROM c),
 p AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY yr DESC) AS r, count(*) OVER (PARTITION BY entity) AS points FROM s), h AS (SELECT *, least(6, greatest(1, points // 3)) AS held FROM p WHERE points >= 4),
@@ -89,3 +93,11 @@ def weighted_event_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each user by weight."""
     weight = F.create_map(*[F.lit(x) for kv in (("click", 1), ("view", 1), ("purchase", 3), ("signup", 3), ("logout", 2)) for x in kv])
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.coalesce(F.try_element_at(weight, F.col("event_type")), F.lit(1))).cast("long").alias("score"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily counts again, by a stream over the event files that ends when all are read."""
+    folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run_available(tumbling(event_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/checkpoint", "complete")
+    return spark.read.parquet(f"{folder}/out").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
