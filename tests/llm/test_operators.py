@@ -122,7 +122,7 @@ def test_packing_exchanges_gaps(spark):
         fill[r.sequence_id] += r.length
     assert len(placed) == 3000 and max(fill.values()) <= 2048
     whole = packing.best_fit(np.array([s for _, s in rows]), 2048)[2]
-    assert packing.packing_bound(pieces) <= len(fill) <= 1.01 * len(whole) + 1
+    assert packing.packing_bound(pieces) <= len(fill) <= 1.02 * len(whole) + 1
 
 
 def edit_distance_within(item, text):
