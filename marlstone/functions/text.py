@@ -184,3 +184,18 @@ def indian_digits(c: Column) -> Column:
     tail = F.when(F.length(text) > 3, F.substring(text, F.length(text) - 2, F.lit(3))).otherwise(text)
     pairs = F.reverse(F.regexp_replace(F.reverse(head), "([0-9]{2})(?=[0-9])", "$1,"))
     return F.concat_ws(",", pairs, tail)
+
+
+def tag_list(c: Column, drop: Sequence[str] = ()) -> Column:
+    """Tags of '<a><b>' or '|a|b|', without those to drop."""
+    bare = F.btrim(F.translate(F.regexp_replace(c, "><", "|"), "<>", ""), F.lit("|"))
+    return F.filter(F.split(bare, "[|]"), lambda x: (x != "") & ~x.isin(*drop))
+
+
+def coerce_word(c: Column, allowed: Sequence[str], other: str = "unknown") -> Column:
+    return F.when(c.isin(*allowed), c).otherwise(other)
+
+
+def coerce_range(c: Column, low: int, high: int) -> Column:
+    """The number if it is within the bounds, else null."""
+    return F.when(c.between(low, high), c)

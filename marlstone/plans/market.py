@@ -562,3 +562,49 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = ends.select("c_nationkey", "s_nationkey").where("c_nationkey <> s_nationkey").distinct()
     side = lambda c: table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(c), F.col("n_name").alias(f"name_{c}"))
     return edges.join(side("c_nationkey"), "c_nationkey").join(side("s_nationkey"), "s_nationkey").select(F.col("name_c_nationkey").alias("from_market"), F.col("name_s_nationkey").alias("to_market"))
+
+
+@query(f"""WITH {YEARLY_SQL}, l AS (SELECT entity, market, max(yr) AS last FROM y GROUP BY ALL), n AS (SELECT y.entity, y.market, round(avg(pay), 6) AS fresh FROM y WHERE yr >= 1999 GROUP BY ALL)
+SELECT y.entity, y.market, y.yr, round(CASE WHEN y.yr = l.last THEN n.fresh ELSE y.pay * n.fresh / p.pay END, 4) AS pay FROM y JOIN l USING (entity, market) JOIN n USING (entity, market) JOIN y p ON p.entity = y.entity AND p.market = y.market AND p.yr = l.last""")
+def series_reanchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series scaled so that their last point is a newer value."""
+    w = Window.partitionBy("entity", "market")
+    y = _yearly(spark, sf_dir).withColumn("last", F.max("yr").over(w)).withColumn("fresh", F.round(F.avg(F.when(F.col("yr") >= 1999, F.col("pay"))).over(w), 6))
+    y = y.withColumn("end", F.max(F.when(F.col("yr") == F.col("last"), F.col("pay"))).over(w)).where("fresh is not null")
+    return y.select("entity", "market", "yr", F.round(F.when(F.col("yr") == F.col("last"), F.col("fresh")).otherwise(F.col("pay") * F.col("fresh") / F.col("end")), 4).alias("pay"))
+
+
+@query(f"""WITH {OBS_SQL}, s AS (SELECT entity, market, count(*) AS n FROM obs WHERE yr = {LAST} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY n DESC, entity) AS rank, count(*) OVER (PARTITION BY market) AS k FROM s)
+SELECT entity, market, rank, CAST(greatest(1, floor(rank * 100.0E0 / k + 0.5)) AS bigint) AS pctile FROM r""")
+def seed_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank and percentile, halves up."""
+    from marlstone.functions.score import half_up
+
+    s = observations(spark, sf_dir).where(F.col("yr") == LAST).groupBy("entity", "market").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("market")
+    s = s.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "entity")).cast("long")).withColumn("k", F.count("*").over(w))
+    return s.select("entity", "market", "rank", F.greatest(F.lit(1), half_up(F.col("rank") * 100.0 / F.col("k"))).cast("long").alias("pctile"))
+
+
+@query("""WITH s AS (SELECT p_brand AS a, p_type AS b, greatest(0.3E0, 1 - (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) * 0.05E0) AS sim FROM part) SELECT a, b, round(max(sim), 4) AS similarity FROM s GROUP BY ALL""")
+def max_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest similarity of each pair, by rank in its list."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    sim = F.greatest(F.lit(0.3), 1 - (F.row_number().over(w) - 1) * 0.05)
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("a"), F.col("p_type").alias("b"), sim.alias("sim")).groupBy("a", "b").agg(F.round(F.max("sim"), 4).alias("similarity"))
+
+
+@query("""SELECT p_brand AS entity, p_type AS skill, round(coalesce(avg(CASE WHEN p_size <= 5 THEN p_size * 20.0E0 END), avg(CASE WHEN p_size <= 7 THEN p_size / 7.0E0 * 100 END), max(CASE WHEN p_size > 40 THEN 100 WHEN p_size > 20 THEN 88 ELSE 62 END) * 1.0E0), 4) AS importance FROM part GROUP BY ALL""")
+def scaled_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of ratings on two scales, or the highest flag."""
+    s = F.col("p_size")
+    flag = F.max(F.when(s > 40, 100.0).when(s > 20, 88.0).otherwise(62.0))
+    mean = F.coalesce(F.avg(F.when(s <= 5, s * 20.0)), F.avg(F.when(s <= 7, s / 7.0 * 100)), flag)
+    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("entity"), F.col("p_type").alias("skill")).agg(F.round(mean, 4).alias("importance"))
+
+
+@query(f"""WITH {OBS_SQL}, c AS (SELECT entity, market, floor(median(unit_price) * 100) / 100 AS pay, CAST(floor(avg(p_size) / 10) AS int) AS level, count(*) AS n FROM obs GROUP BY ALL) SELECT level, count(*) AS n, round(avg(CASE WHEN pay BETWEEN 1500 AND 3500 THEN 1.0E0 ELSE 0 END), 4) AS consistent FROM c GROUP BY 1""")
+def consistency_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of cells within the band that their level allows."""
+    cells = observations(spark, sf_dir).groupBy("entity", "market").agg((F.floor(F.median("unit_price") * 100) / 100).alias("pay"), F.floor(F.avg("p_size") / 10).cast("int").alias("level"))
+    return cells.groupBy("level").agg(F.count("*").alias("n"), F.round(F.avg(F.col("pay").between(1500, 3500).cast("double")), 4).alias("consistent"))

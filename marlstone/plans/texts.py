@@ -213,3 +213,44 @@ def similarity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of vectors that are linked by a high cosine."""
     groups = similarity_groups(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return groups.withColumn("size", F.count("*").over(Window.partitionBy("group")))
+
+
+@query("""SELECT p_partkey AS part, CASE WHEN regexp_matches(lower(p_name), '(^| )red( |$)') THEN 'FR' WHEN regexp_matches(lower(p_name), '(^| )(blue|azure)( |$)') THEN 'US' WHEN regexp_matches(p_brand, '1$') THEN 'IN' ELSE NULL END AS market FROM part""")
+def market_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A market by the first of several hints: words, then the end of the code."""
+    name = F.lower("p_name")
+    rules = [(name.rlike("(^| )red( |$)"), "FR"), (name.rlike("(^| )(blue|azure)( |$)"), "US"), (F.col("p_brand").rlike("1$"), "IN")]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), t.ordered_rules(rules).alias("market"))
+
+
+@query("""WITH d AS (SELECT doc_id, list_filter(string_split(trim(replace(replace(replace('<' || source || '><' || lang || '><meta>', '><', '|'), '<', ''), '>', ''), '|'), '|'), lambda x: x <> 'meta') AS tags FROM documents), e AS (SELECT unnest(tags) AS tag FROM d)
+SELECT tag, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 50""")
+def tag_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by tag, from tag lists in angle brackets, without meta tags and rare ones."""
+    raw = F.concat(F.lit("<"), "source", F.lit("><"), "lang", F.lit("><meta>"))
+    return table(spark, sf_dir, "documents").select(F.explode(t.tag_list(raw, drop=("meta",))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).where("n >= 50")
+
+
+@query("""WITH m AS (SELECT conv_id, turn, lower(text) AS t FROM conversations), h AS (SELECT conv_id, turn, list_sort(list_filter(['the','with','des','der','para'], lambda w: regexp_matches(t, '(^|[^a-z])' || w || '([^a-z]|$)'))) AS skills FROM m)
+SELECT conv_id, turn, array_to_string(skills, ',') AS skills, CAST(least(greatest(30 + 16 * len(skills), 20), 98) AS bigint) AS axis FROM h""")
+def resume_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills that a text names, and an axis that grows with their number within bounds."""
+    aliases = {w: f"(^|[^a-z]){w}([^a-z]|$)" for w in ("the", "with", "des", "der", "para")}
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.lexicon(F.lower("text"), aliases).alias("s"))
+    return rows.select("conv_id", "turn", F.array_join("s", ",").alias("skills"), F.least(F.greatest(30 + 16 * F.size("s"), F.lit(20)), F.lit(98)).cast("long").alias("axis"))
+
+
+@query("""WITH r AS (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS int) AS k, event_type FROM events) SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type ELSE 'unknown' END AS kind, CASE WHEN k BETWEEN 0 AND 60 THEN k END AS years FROM r""")
+def coerced_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted records held to a schema: unknown words and numbers out of range don't pass."""
+    fields = F.from_json("props", "k int")
+    return table(spark, sf_dir, "events").select("event_id", t.coerce_word(F.col("event_type"), ("click", "view", "purchase")).alias("kind"), t.coerce_range(fields["k"], 0, 60).alias("years"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT name, CASE WHEN name > 't' THEN 0.9 WHEN name > 'm' THEN 0.6 ELSE 0.3 END AS score FROM n) SELECT name, CASE WHEN score >= 0.82 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS band FROM q""")
+def resolution_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence bands of scores."""
+    name = F.col("name")
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    score = F.when(name > "t", 0.9).when(name > "m", 0.6).otherwise(0.3)
+    return names.select("name", F.when(score >= 0.82, "high").when(score >= 0.55, "medium").otherwise("low").alias("band"))
