@@ -3,8 +3,10 @@
 Folding maps compatibility forms and homoglyphs of other scripts to Latin
 letters, digits that stand for letters to these letters, and whatever is no
 letter to a space. Lexicon entries are word prefixes (or short whole words),
-learned from labelled rows; their weights are smoothed log-odds. Hits that lie
-within an exception phrase don't count. A logistic fit turns the length-
+learned from labelled rows: those that toxic documents hold in significantly many
+different contexts, so copies of a toxic document don't bring in its harmless words.
+Weights are smoothed log-odds. Hits that lie within an exception phrase don't count,
+and further hits of one entry count ever less. A logistic fit turns the length-
 normalised sums into a probability.
 
 Cases: a null or empty text scores as one without hits; repeated rows score
@@ -90,14 +92,13 @@ def features(text: str, automaton) -> tuple[float, float, float]:
     if not hits:
         return 0.0, 0.0, 0.0
     covered = [(end - size + 1, end) for end, (kind, size, _, _) in hits if kind]
-    total, entries = 0.0, set()
+    counts: Counter = Counter()
     for end, (kind, size, w, entry) in hits:
-        if kind or any(a <= end - size + 1 and end <= b for a, b in covered):
-            continue
-        total += w
-        entries.add(entry)
+        if not kind and not any(a <= end - size + 1 and end <= b for a, b in covered):
+            counts[w, entry] += 1
+    total = sum(w * (1 + math.log(n)) for (w, _), n in counts.items())
     words = folded.count(" ")
-    return math.log1p(total), 10.0 * total / math.sqrt(100.0 + words), math.log1p(len(entries))
+    return math.log1p(total), 10.0 * total / math.sqrt(100.0 + words), math.log1p(len(counts))
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,35 +123,61 @@ def _counted(counts) -> pa.RecordBatch:
     )
 
 
-def _pick(rows: list, toxic: int, other: int, size: int) -> dict[str, float]:
-    """Entries, most significant first, without those that an entry already covers."""
+def _g2(t: int, n: int, toxic: int, other: int) -> float:
+    """The log-likelihood ratio of t toxic and n other documents against the shares among all; 0 if fewer are toxic than by chance."""
+    share = toxic / (toxic + other)
+    if not t or t <= (t + n) * share:
+        return 0.0
+    part = lambda c, p: c * math.log(c / ((t + n) * p)) if c else 0.0
+    return 2 * (part(t, share) + part(n, 1 - share))
+
+
+def _pick(rows: list, toxic: int, other: int, size: int, least: float) -> dict[str, float]:
+    """Entries, most significant first, without those that an entry already covers; of equal ones the longest.
+
+    rows: (term, toxic_docs, other_docs, contexts in toxic documents).
+    """
     scored = []
-    for r in rows:
-        t, n = r["toxic_docs"], r["other_docs"]
+    for term, t, n, contexts in rows:
         weight = math.log((t + 0.5) / (toxic - t + 0.5)) - math.log((n + 0.5) / (other - n + 0.5))
-        scored.append((-r["g2"], -len(r["term"]), r["term"], weight))
+        scored.append((-_g2(min(t, contexts), n, toxic, other), -len(term), term, weight))
     picked: dict[str, float] = {}
-    for _, _, term, weight in sorted(scored):
-        if len(picked) >= size:
+    for g2, _, term, weight in sorted(scored):
+        if -g2 < least or len(picked) >= size:
             break
-        shorter = any(term[:n] in picked for n in range(2, len(term)))
-        longer = any(p.startswith(term) for p in picked)
-        if not shorter and not longer:
+        if not any(term[:n] in picked for n in range(2, len(term))) and not any(p.startswith(term) for p in picked):
             picked[term] = weight
     return picked
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, lexicon_size: int = 2_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> ToxicityModel:
+def _contexts(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
+    """(term, before): the words before each candidate term in toxic documents."""
+    wanted = set(terms)
+    for batch in batches:
+        found = set()
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            before = ""
+            for w in fold(text).split() if toxic else ():
+                for term in [f" {w[:n]}" for n in PREFIXES if len(w) >= n] or [f" {w} "]:
+                    if term in wanted:
+                        found.add((term, before))
+                before = w
+        rows = sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["term", "before"])
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, lexicon_size: int = 2_000, exceptions: tuple[str, ...] = EXCEPTIONS, least_weight: float = 3.0) -> ToxicityModel:
     """Learn entries and weights from labelled rows.
 
     ``labels`` (doc_id, toxic) are the rows to learn from; at most ``max_labelled``
-    of them, by a hash of doc_id, are used. At most ``lexicon_size`` entries are kept,
-    each significant after correction for the number of terms tried.
+    of them, by a hash of doc_id, are used, each text once. At most ``lexicon_size`` entries
+    are kept, each of log-odds ``least_weight`` at least and significant after correction for
+    the number of terms tried.
     """
     chosen = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = chosen.where("toxic in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # At most max_labelled rows of two numbers are broadcast.
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     sample = materialise(sample, "toxicity-sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
@@ -163,9 +190,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     part = lambda c, p: F.when(c > 0, c * F.log(c / ((t + o) * p))).otherwise(0.0)
     terms = materialise(terms.withColumn("g2", 2 * (part(t, share) + part(o, 1 - share))).where(t > (t + o) * share), "toxicity-terms")
     tried = max(terms.count(), 1)
-    # The best of lexicon_size entries are among the best 10 * lexicon_size, with prefixes of one another; a bounded collect.
-    rows = terms.where(F.col("g2") >= 2 * math.log(tried) + 3).orderBy(F.desc("g2"), "term").limit(10 * lexicon_size).collect()
-    model = ToxicityModel(_pick(rows, toxic, other, lexicon_size), exceptions)
+    least = 2 * math.log(tried) + 3
+    odds = F.log((t + 0.5) / (toxic - t + 0.5)) - F.log((o + 0.5) / (other - o + 0.5))
+    # A bounded collect; the best entries are among ten times as many, with prefixes of one another.
+    rows = terms.where((F.col("g2") >= least) & (odds >= least_weight)).orderBy(F.desc("g2"), "term").limit(10 * lexicon_size).collect()
+    names = [r["term"] for r in rows]
+    contexts = sample.mapInArrow(lambda batches: _contexts(batches, names), "term string, before string").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    of = {r["term"]: r["n"] for r in contexts.collect()} if names else {}
+    model = ToxicityModel(_pick([(r["term"], r["toxic_docs"], r["other_docs"], of[r["term"]]) for r in rows], toxic, other, lexicon_size, least), exceptions)
     got = np.array([tuple(r) for r in _with_features(sample, model).select("x0", "x1", "x2", "toxic").collect()])
     model.beta = logistic_fit(got[:, :3], got[:, 3], l2=0.5).tolist()
     return model
