@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,29 +54,33 @@ def feistel(number: np.ndarray, n: int, key: int) -> np.ndarray:
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs (doc_id, text) with number, dense from 0, and the count of rows.
 
-    docs is read from Parquet files, or else written to them first. Only one count for
-    each file reaches the driver.
+    docs is read from whole Parquet files, or else written to some first. Only counts
+    for each file reach the driver.
     """
     docs = docs.select("doc_id", "text")
-    if not docs.inputFiles() or "_metadata" in docs.columns:
-        docs = materialise(docs, "sequences")
-    try:
-        placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    except Exception as e:  # a frame that is no plain scan has no file metadata
-        if "_metadata" not in str(e):
-            raise
-        docs = materialise(docs, "sequences")
-        placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    files = sorted((r["file"], r["n"]) for r in placed.groupBy("file").agg((F.max("row") + 1).alias("n")).collect())
+    placed, files = _places(docs) if docs.inputFiles() else (None, [])
+    if placed is None or any(r["rows"] != r["n"] for r in files):  # no plain scan, or one of a part of the rows
+        placed, files = _places(docs := materialise(docs, "sequences"))
     first, total = [], 0
-    for name, n in files:
-        first.append((name, total))
-        total += n
+    for r in sorted(files, key=lambda r: r["file"]):
+        first.append((r["file"], total))
+        total += r["n"]
     starts = docs.sparkSession.createDataFrame(first, "file string, first long")
-    # A row for each file: the size is known, and Spark chooses the join.
+    # A row for each file: the size is known, and Spark chooses the join beyond it.
     return placed.join(F.broadcast(starts) if len(first) <= 100_000 else starts, "file").select("doc_id", "text", (F.col("first") + F.col("row")).alias("number")), total
 
 
+def _places(docs: DataFrame) -> tuple[DataFrame | None, list]:
+    """docs with file and row, and by file the rows and the last row's number; None if docs is no scan of files."""
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return placed, placed.groupBy("file").agg((F.max("row") + 1).alias("n"), F.count("*").alias("rows")).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "UNRESOLVED_COLUMN.WITH_SUGGESTION":
+            raise
+        return None, []
+
+
 def slots(docs: DataFrame, key: int) -> tuple[DataFrame, int]:
     """docs (doc_id, text) with slot, and the count of rows."""
     found, n = numbered(docs)
@@ -117,7 +122,10 @@ def write_training_order(docs: DataFrame, tokenizer: str, key: int = 20_240_229,
             pad = -place % row_ids
             out.write(np.full(pad, end_id, dtype=dtype).tobytes())
             out.close()
-            store.move(held, f"{base}/shard-{open_shard:08d}.bin")
+            done = f"{base}/shard-{open_shard:08d}.bin"
+            if store.get_file_info(done).type != fs.FileType.NotFound:  # of an earlier try, with the same bytes
+                store.delete_file(done)
+            store.move(held, done)
 
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

@@ -60,6 +60,14 @@ def test_feistel_is_a_permutation(n):
     assert n < 1000 or (slots != feistel(np.arange(n), n, 43)).any()
 
 
+def test_slots_of_a_part_of_files_are_dense(spark, tmp_path):
+    spark.range(100).selectExpr("id as doc_id", "'x' as text").repartition(3).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    for some in (docs, docs.where("doc_id % 3 = 0"), docs.union(docs), docs.groupBy("doc_id").agg({"text": "max"}).toDF("doc_id", "text")):
+        rows = write_training_order(some, TOKENIZER).collect()
+        assert sorted(r.slot for r in rows) == list(range(some.count()))
+
+
 def test_shards_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(k, prose(k, 40 + k)) for k in range(50)], "doc_id long, text string").repartition(3)
     rows = write_training_order(docs, TOKENIZER, per_shard=16, row_ids=64, path=str(tmp_path)).collect()
