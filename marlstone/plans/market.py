@@ -238,13 +238,13 @@ def latest_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(rows, ["entity", "market"], "yr", ["realized", "n"]).join(rows.groupBy("entity", "market").agg(F.max("yr").alias("yr")), ["entity", "market"])
 
 
-@query(f"""WITH {OBS_SQL}, g AS (SELECT market, yr, round(avg(unit_price), 4) AS v FROM obs WHERE p_size > 48 GROUP BY ALL HAVING count(*) >= 2), k AS (SELECT DISTINCT market, yr FROM obs), j AS (SELECT k.market, k.yr, v FROM k LEFT JOIN g USING (market, yr))
+@query(f"""WITH {OBS_SQL}, g AS (SELECT market, yr, sum(CAST(round(unit_price * 100) AS bigint)) / count(*) / 100 AS v FROM obs WHERE p_size > 48 GROUP BY ALL HAVING count(*) >= 2), k AS (SELECT DISTINCT market, yr FROM obs), j AS (SELECT k.market, k.yr, v FROM k LEFT JOIN g USING (market, yr))
 SELECT market, yr, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY market ORDER BY yr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(v IGNORE NULLS) OVER (PARTITION BY market ORDER BY yr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS ppp FROM j""")
 def ppp_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A yearly factor carried into years without one."""
     obs = observations(spark, sf_dir)
-    seen = F.col("p_size") > 48
-    factors = obs.groupBy("market", "yr").agg(F.when(F.count(F.when(seen, 1)) >= 2, F.round(F.avg(F.when(seen, F.col("unit_price"))), 4)).alias("ppp"))
+    seen, cents = F.col("p_size") > 48, F.round(F.col("unit_price") * 100).cast("long")
+    factors = obs.groupBy("market", "yr").agg(F.when(F.count(F.when(seen, 1)) >= 2, F.sum(F.when(seen, cents)) / F.count(F.when(seen, 1)) / 100).alias("ppp"))
     return carry(factors, ["market"], "yr", "ppp")
 
 
