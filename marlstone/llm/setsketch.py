@@ -336,15 +336,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     sets = materialise(_sets(docs, ends(candidates), width), "sets")
     edges, label = _link(candidates, sets, None, None, percent)
 
-    open_members = members.where("size > 2").select("key", "rep")
+    # Without the members of large main components, which all strays of their buckets are compared with here. Later
+    # labels don't drop more: links make components large or main whose members no stray was compared with.
+    rows = _mixed_buckets(members.where("size > 2").select("key", "rep"), label).where(f"size < {LARGE} or component <> main")
     if label is not None:
-        mixed = materialise(_mixed_buckets(open_members, label).where(f"size >= {LARGE} and component <> main"), "strays")
-        strays = mixed.select("main", "rep", "size").distinct()
+        rows = materialise(rows, "open-rows")
+        strays = rows.where(f"size >= {LARGE}").select("main", "rep", "size").distinct()
         if not strays.isEmpty():
             wanted = strays.select("rep").unionByName(label.join(strays.select(F.col("main").alias("component")).distinct(), "component", "left_semi").select(F.col("node").alias("rep")))
             sets = _more_sets(docs, sets, wanted, width)
             edges, label = _add_links(_large_links(strays, label, reps, sets, percent), edges, label)
-    rows = _mixed_buckets(open_members, label).where(f"size < {LARGE} or component <> main")
+        rows = _mixed_buckets(rows.select("key", "rep"), label)
     rest = materialise(_rest_pairs(rows, reps, least), "rest-pairs")
     tested = candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "likely").join(tested, ["x", "y"], "left_anti")

@@ -222,6 +222,31 @@ def test_near_duplicates_match_brute_force(spark):
     setsketch.LARGE = old
 
 
+def in_buckets(spark, monkeypatch, buckets):
+    """near_duplicates gets these buckets of documents; the first of each is its leader."""
+    from pyspark.sql import functions as F
+
+    rows = []
+    for b, members in enumerate(buckets):
+        hashes = spark.range(1000 * b, 1000 * (b + 1)).select(F.col("id").alias("key"), F.explode(F.array(*(F.lit(m).cast("long") for m in members))).alias("rep"))
+        first = hashes.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("first")).where(F.col("first.rep") == members[0]).first()
+        rows += [(first.key, m) for m in members]
+    monkeypatch.setattr(setsketch, "_bands", lambda reps: spark.createDataFrame(rows, "key long, rep long"))
+
+
+def test_strays_meet_components_that_grow_between_passes(spark, monkeypatch):
+    own = lambda *spans: " ".join(f"w{k}" for a, b in spans for k in range(a, b))
+    texts = {
+        1: own((0, 100)), 2: own((0, 90), (200, 210)), 3: own((10, 110)), 4: own((20, 120)),
+        5: own((0, 70), (200, 210), (300, 310), (400, 410)), 6: own((0, 70), (200, 210), (300, 310), (500, 510)), 7: own((0, 70), (200, 210), (300, 310), (600, 610)), 8: own((0, 80), (200, 210), (300, 310)),
+    }
+    # 4 is like 3 only, and 2 like 1 and 8: in the first pass 2 joins the large component of 5, and so does its own.
+    in_buckets(spark, monkeypatch, [(1, 2, 3, 4), (5, 6, 7, 8, 2)])
+    monkeypatch.setattr(setsketch, "LARGE", 4)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs, width=1).collect()} == dict.fromkeys(texts, 1)
+
+
 def test_minimum_cut_is_least():
     rng = np.random.default_rng(0)
     for _ in range(60):
