@@ -11,7 +11,7 @@ verification. Buckets of three and more that still hold several components then
 the members outside their largest component compared with all others, in blocks: with a
 large component as a whole, likeliest members first, until one is linked; else pair by
 pair. So no link between bucket-mates is lost, and neither all pairs of a group nor a
-whole group is ever in one place.
+whole group is ever in one place: a task's group holds at most two blocks.
 
 With 40 bands of 5 registers, a pair at the threshold 0.75 shares no bucket with
 probability 2e-5, and its estimate is low by 0.15 with less than 1e-6.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import materialise
@@ -253,18 +253,23 @@ def _mixed_buckets(members: DataFrame, label: DataFrame | None) -> DataFrame:
     return rows.join(sizes, "main", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
 
 
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+
+
 def _large_links(strays: DataFrame, label: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, y): for each stray (main, rep, size) a member of its large main component that it is linked with, if any, in each block.
+    """(x, y): for each stray (main, rep, size) a member of its large main component that it is linked with, if any, in each of its blocks.
 
-    A component's members are dealt into blocks of about BLOCK; strays go to each block.
+    A component's members and its strays are dealt into blocks of about BLOCK each; a group holds one of either.
     """
     kind, least = reps.schema["rep"].dataType.simpleString(), percent / 100
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mains = strays.select("main", "size").distinct()
-    own = label.select(F.col("component").alias("main"), F.col("node").alias("rep")).join(mains, "main").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    sent = strays.select("main", "rep", "size").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = own.select("main", "block", "rep", F.lit(False).alias("stray")).unionByName(sent.select("main", "block", "rep", F.lit(True).alias("stray")))
-    rows = rows.join(reps.hint("merge"), "rep").join(sets.hint("merge"), "rep")
+    strays = strays.select("main", "rep", "size").distinct()
+    mains = strays.groupBy("main").agg(F.first("size").alias("size"), F.count("*").alias("strays"))
+    mains = mains.select("main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("dealt"))
+    to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = label.select(F.col("component").alias("main"), F.col("node").alias("rep")).join(mains, "main").select("main", _block("blocks").alias("block"), to("dealt").alias("other"), "rep", F.lit(False).alias("stray"))
+    sent = strays.join(mains, "main").select("main", to("blocks").alias("block"), _block("dealt").alias("other"), "rep", F.lit(True).alias("stray"))
+    rows = own.unionByName(sent).join(reps.hint("merge"), "rep").join(sets.hint("merge"), "rep")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         r = np.frombuffer(b"".join(group["registers"]), dtype="<u2").reshape(-1, REGISTERS)
@@ -282,39 +287,40 @@ def _large_links(strays: DataFrame, label: DataFrame, reps: DataFrame, sets: Dat
                     break
         return pd.DataFrame(pairs, columns=["x", "y"])
 
-    return rows.select("main", "block", "rep", "stray", "n", "registers", "shingles").groupBy("main", "block").applyInPandas(run, f"x {kind}, y {kind}")
+    return rows.select("main", "block", "other", "rep", "stray", "n", "registers", "shingles").groupBy("main", "block", "other").applyInPandas(run, f"x {kind}, y {kind}")
 
 
 def _rest_pairs(rows: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """(x, y, likely): pairs of bucket-mates in different components that can reach the threshold.
 
-    rows: of ``_mixed_buckets``, but for the members of large main components. The main
-    component's members are dealt into blocks, the others go to each block.
+    rows: of ``_mixed_buckets``, but for the members of large main components. A bucket's rows
+    are dealt into blocks of about BLOCK; a group holds one block or two.
     """
     kind = reps.schema["rep"].dataType.simpleString()
     sizes = rows.groupBy("key").agg(F.count("*").alias("rows"), F.count_distinct("component").alias("parts")).where("parts > 1")
     rows = rows.join(sizes.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "key")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("stray", F.col("component") != F.col("main"))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    rows = rows.join(reps.hint("merge"), "rep")
+    rows = rows.withColumn("own", _block("blocks")).withColumn("stray", F.col("component") != F.col("main"))
+    rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("own", "mate")).withColumn("high", F.greatest("own", "mate"))
+    rows = rows.join(reps.hint("merge"), "rep").select("key", "low", "high", "own", "rep", "component", "stray", "n", "registers")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         r = np.frombuffer(b"".join(group["registers"]), dtype="<u2").reshape(-1, REGISTERS)
         n, part = group["n"].to_numpy().astype(float), group["component"].to_numpy()
-        stray, rep = group["stray"].to_numpy(), group["rep"].to_numpy()
-        mine = group["own"].to_numpy() == group["block"].to_numpy()
+        stray, rep, own = group["stray"].to_numpy(), group["rep"].to_numpy(), group["own"].to_numpy()
+        low, high = group["low"].iloc[0], group["high"].iloc[0]
         found = []
-        for i in np.flatnonzero(stray):
-            # All of this block's main members; strays from the block that owns i, once for each two.
-            other = (part != part[i]) & (~stray | (mine[i] & (rep > rep[i]))) & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i]))
+        for i in np.flatnonzero(own == low):
+            # Each two of a block once, or one of either block; two members of the main component need no test.
+            mates = rep > rep[i] if low == high else own == high
+            other = mates & (part != part[i]) & (stray | stray[i]) & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i]))
             at = np.flatnonzero(other)
             if len(at):
                 got = estimate(np.broadcast_to(r[i], (len(at), REGISTERS)), r[at], np.full(len(at), n[i]), n[at])
                 found.append(pd.DataFrame({"x": rep[i], "y": rep[at], "likely": got})[got >= least - MARGIN])
         return pd.concat(found) if found else pd.DataFrame({"x": rep[:0], "y": rep[:0], "likely": n[:0]})
 
-    pairs = rows.groupBy("key", "block").applyInPandas(run, f"x {kind}, y {kind}, likely double")
+    pairs = rows.groupBy("key", "low", "high").applyInPandas(run, f"x {kind}, y {kind}, likely double")
     return pairs.groupBy("x", "y").agg(F.max("likely").alias("likely"))
 
 

@@ -247,6 +247,32 @@ def test_strays_meet_components_that_grow_between_passes(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs, width=1).collect()} == dict.fromkeys(texts, 1)
 
 
+def test_groups_of_strays_hold_two_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from pyspark.sql.group import GroupedData
+
+    rng, texts = random.Random(3), {}
+    for k in range(4):
+        texts[k] = {*range(300, 395), *range(400 + 5 * k, 405 + 5 * k)}
+    for k in range(4, 44):  # a template with fillings; each fourth is like the one before
+        texts[k] = {*range(60), *rng.sample(range(1000, 9000), 40)} if k % 4 else {*sorted(texts[k - 1])[:95], *range(500 + 5 * k, 505 + 5 * k)}
+    like = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = {k: min(j for j in texts if like(texts[j], texts[k])) for k in texts}
+    in_buckets(spark, monkeypatch, [tuple(texts)])
+    monkeypatch.setattr(setsketch, "LARGE", 4)
+    monkeypatch.setattr(setsketch, "BLOCK", 8)
+    sizes, old = [], GroupedData.applyInPandas
+
+    def seen(self, *args):
+        sizes.append(self.count().agg(F.max("count")).first()[0])
+        return old(self, *args)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", seen)
+    docs = spark.createDataFrame([(k, " ".join(f"w{x}" for x in sorted(t))) for k, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs, width=1).collect()} == want
+    assert len(sizes) == 2 and max(sizes) <= 30, sizes
+
+
 def test_minimum_cut_is_least():
     rng = np.random.default_rng(0)
     for _ in range(60):
