@@ -6,11 +6,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.components import components
+from marlstone.sources.scratch import materialise
 
 BLOCK = 2048
 
@@ -51,32 +53,36 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def similarity_groups(vectors: DataFrame, key: str, vector: str, least: float = 0.68, bands: int = 48, bits: int = 6, seed: int = 11) -> DataFrame:
-    """(key, group): components of rows whose cosine reaches ``least``, as found by sign bits of random projections.
+def similarity_groups(vectors: DataFrame, key: str, vector: str, least: float = 0.68) -> DataFrame:
+    """(key, group): components of rows whose cosine reaches ``least``, from all pairs.
 
-    Each bucket's rows are verified against its first row, and against the one before
-    them along another projection, so work grows with rows and bands, not with pairs.
+    Equal vectors are one row; rows are dealt into blocks of about BLOCK, and a Spark group
+    compares two blocks and sends at most one link for each of its rows. Exact, so work grows
+    with the square of the distinct vectors. A null or zero vector is linked with none.
     """
-
-    def sign_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _unit(batch.column(vector))
-            if not len(x):
-                continue
-            planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * (bits + 1)))
-            y = x @ planes
-            signs = (y[:, : bands * bits] > 0).reshape(len(x), bands, bits)
-            bucket = (signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(bands) << bits)
-            rows = np.repeat(np.arange(len(x)), bands)
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), pa.array(bucket.ravel()), pa.array(y[:, bands * bits :].ravel())], [key, "bucket", "along"])
-
-    placed = vectors.select(key, vector).mapInArrow(sign_bits, f"{key} long, bucket long, along double")
-    w = Window.partitionBy("bucket").orderBy("along", key)
-    mates = placed.select(F.col(key).alias("u"), F.lag(key).over(w).alias("before"), F.lag(key, 3).over(w).alias("third"), F.first(key).over(w).alias("first"))
-    pairs = mates.select("u", F.explode(F.array("before", "third", "first")).alias("v")).where("v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    side = lambda c: vectors.select(F.col(key).alias(c), F.col(vector).cast("array<double>").alias(f"x{c}"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    edges = both.where(dot("xu", "xv") >= least * F.sqrt(dot("xu", "xu") * dot("xv", "xv"))).select("u", "v")
-    label = components(edges).withColumnRenamed("node", key)
-    return vectors.select(key).join(label, key, "left").select(key, F.coalesce("component", key).alias("group"))
+    distinct = vectors.where(F.col(vector).isNotNull()).groupBy(vector).agg(F.min(key).alias("rep"))
+    distinct = materialise(distinct, "vectors")
+    blocks = max(1, math.ceil(distinct.count() / BLOCK))
+    dealt = distinct.withColumn("own", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("rep", F.col(vector).alias("x"), "own", F.least("own", "mate").alias("low"), F.greatest("own", "mate").alias("high"))
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(group["x"].tolist(), dtype=np.float64)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        own, rep, label = group["own"].to_numpy(), group["rep"].to_numpy(), np.arange(len(group))
+        a, b = np.flatnonzero(own == group["low"].iloc[0]), np.flatnonzero(own == group["high"].iloc[0])
+        near = x[a] @ x[b].T >= least - 1e-12
+        a, b, near = a[near.any(axis=1)], b[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
+        before = None
+        while len(a) and not np.array_equal(before, label):
+            before = label.copy()
+            label[b] = np.minimum(label[b], np.where(near, label[a][:, None], len(label)).min(axis=0))
+            label[a] = np.minimum(label[a], np.where(near, label[b][None, :], len(label)).min(axis=1))
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return pd.DataFrame({"u": rep[linked], "v": rep[label[linked]]})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    edges = dealt.groupBy("low", "high").applyInPandas(links, f"u {kind}, v {kind}")
+    label = components(edges).withColumnRenamed("node", "rep")
+    named = distinct.join(label, "rep", "left").select(vector, F.coalesce("component", "rep").alias("group"))
+    return vectors.select(key, vector).join(named, vector, "left").select(key, F.coalesce("group", key).alias("group"))

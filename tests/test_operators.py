@@ -111,3 +111,19 @@ def test_nearest_and_groups(spark):
         assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
     group = dict(map(tuple, knn.similarity_groups(df, "id", "v", least=0.99).collect()))
     assert {group[k] for k in range(100, 120)} == {group[5]} and len(group) == 300
+
+
+def test_similarity_groups_hold_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1500:] = 0.75 * x[:1500] + np.sqrt(1 - 0.75**2) * x[1500:]  # planted pairs, cosine about 0.75
+    x[2900:] = x[7]
+    want = np.arange(3000)
+    near = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.68
+    while not np.array_equal(now := np.where(near, want[None, :], 3000).min(axis=1), want):
+        want = now
+    monkeypatch.setattr(knn, "BLOCK", 700)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(3000, None), (3001, [0.0] * 64)], "id long, v array<double>")
+    got = dict(map(tuple, knn.similarity_groups(df, "id", "v").collect()))
+    assert got == {**dict(enumerate(want.tolist())), 3000: 3000, 3001: 3001}
