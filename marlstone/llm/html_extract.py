@@ -38,7 +38,7 @@ BLOCK_TAGS = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("canvas datalist iframe math noembed noframes noscript object script style svg template textarea title".split())
+RAW_TAGS = frozenset("canvas datalist iframe noembed noframes script style svg template textarea title".split())
 #: An opening tag ends an open element of these, looked for up to one of the last three sets' containers.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 BOILERPLATE_TAGS = frozenset("nav footer aside form button select menu dialog label fieldset".split())
@@ -121,8 +121,13 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Block]], list[int]]:
                     break
             continue
         if name in RAW_TAGS:
-            stop = _RAW_END[name].search(page, pos)
-            pos = stop.end() if stop else (pos if attributes.rstrip().endswith("/") else len(page))
+            # An svg that ends itself is empty, and one that is never closed takes no text with it.
+            ended = attributes.rstrip().endswith("/")
+            if name != "svg" or not ended:
+                stop = _RAW_END[name].search(page, pos)
+                pos = stop.end() if stop else (pos if ended or name == "svg" else len(page))
+            continue
+        if name == "math" and attributes.rstrip().endswith("/"):
             continue
         if name == "br":
             text(" ")

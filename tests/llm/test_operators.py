@@ -290,6 +290,16 @@ def test_page_text():
     assert html_extract.extract(page, html_extract.PRIOR)[0] == "A & B\n\nFirst text.\n\nSecond text. More."
 
 
+def test_foreign_elements_drop_no_text():
+    for page, want in (
+        ("<svg class=icon /><article><p>One two.</p></article><svg><text>x</text></svg><p>Three.</p>", ["One two.", "Three."]),
+        ("<p>a <math/>b</p><p>c <math><mi>x</mi></math> d</p>", ["a b", "c x d"]),
+        ("<article><noscript>Shown.</noscript><object data=x>Instead.</object></article>", ["Shown.Instead."]),
+        ("<p>a</p><svg><p>b</p>", ["a", "b"]), ("<p>a</p><math><mi>x</mi><p>b</p>", ["a", "x", "b"]), ("<p>a</p><object><p>b</p>", ["a", "b"]),
+    ):
+        assert [t for t, _ in html_extract.blocks_of(page)[0]] == want, page
+
+
 def test_license_windows():
     index = licenses.Templates(licenses.LICENSES, 75)
     for name, text in licenses.LICENSES:
