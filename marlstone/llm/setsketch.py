@@ -3,15 +3,15 @@
 A document's set holds its distinct word shingles. Register i is the floor of
 1 - log_b of the least of one exponential value for each shingle, cut to [0, q + 1]:
 the registers of a union are the maxima, and similar sets share registers. Bands of
-registers make buckets. Every bucket's members are paired with a leader that a hash
-of member and bucket names, a pair's similarity is estimated from its registers by
-maximum likelihood, and pairs that can reach the threshold are verified on the full
-sets, the likeliest of each document first; pairs within one component need no
-verification. Buckets of three and more that still hold several components then have
-the members outside their largest component compared with all others, in blocks: with a
-large component as a whole, likeliest members first, until one is linked; else pair by
-pair. So no link between bucket-mates is lost, and neither all pairs of a group nor a
-whole group is ever in one place: a task's group holds at most two blocks.
+registers make buckets. Each member of a bucket is paired with its leader, the member
+of the smallest doc_id; a pair's similarity is estimated from its registers by maximum
+likelihood, and pairs that can reach the threshold are verified on the full sets.
+Buckets of three and more that then still hold several components have the members
+outside their largest component compared with all others, in blocks: with a large
+component as a whole, likeliest members first, until one is linked; else pair by
+pair. So no link between bucket-mates is lost. Both sides of a comparison are dealt
+into blocks, and a group of a task holds one block or two. Joins by bucket or
+component are of written tables, so that a hot one is split as a skewed key.
 
 With 40 bands of 5 registers, a pair at the threshold 0.75 shares no bucket with
 probability 2e-5, and its estimate is low by 0.15 with less than 1e-6.
@@ -19,8 +19,10 @@ probability 2e-5, and its estimate is low by 0.15 with less than 1e-6.
 Cases: a null or empty text, or one without words, has no shingles and is linked with
 nothing. A text of fewer words than a shingle is one shingle. Texts with equal words
 are one class and stand for each other. Rows that repeat a doc_id are one document;
-if their texts differ, one of them stands for it. A null doc_id is linked with
-nothing, kept, and has a null component. An empty table gives an empty result.
+if their texts differ, the text of the smallest print stands for it. A null doc_id is
+linked with nothing, kept, and has a null component. A very long text is a set like any
+other; blocks are dealt by the number of shingles. Further columns aren't read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import materialise
@@ -40,8 +42,8 @@ BANDS, BAND_ROWS = 40, 5
 REGISTERS = BANDS * BAND_ROWS
 BASE, RATE, LAST = 1.001, 20.0, 65_534
 MARGIN = 0.15
-#: Documents of a block; members from which on a component is compared as a whole.
-BLOCK, LARGE = 1_000, 64
+#: Documents and shingles of a block; members from which on a component is compared as a whole.
+BLOCK, BLOCK_SHINGLES, LARGE = 1_000, 400_000, 64
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -59,7 +61,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """A stable 64-bit hash of each word, kept by word in the worker."""
     from xxhash import xxh3_64_intdigest
 
-    if len(_WORDS) > 400_000:
+    if len(_WORDS) > 120_000:
         _WORDS.clear()
     try:
         found = list(map(_WORDS.__getitem__, words))
@@ -154,40 +156,59 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.take_along_axis(j, likelihood.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """(x, y, likely) of the pairs (x, y) that can reach the threshold."""
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows whose sets can reach the similarity ``least``, and their estimates.
+
+    A register is shared with the probability of the similarity, so that a pair at 0.75 shares
+    fewer than 90 of 200 with less than 1e-15: such pairs need no estimate.
+    """
+    at = np.flatnonzero((np.minimum(na, nb) >= least * np.maximum(na, nb)) & ((a == b).sum(axis=1) >= (least - 2 * MARGIN) * a.shape[1]))
+    found = [estimate(a[at[k : k + 2000]], b[at[k : k + 2000]], na[at[k : k + 2000]], nb[at[k : k + 2000]]) for k in range(0, len(at), 2000)]
+    got = np.concatenate(found) if found else np.empty(0)
+    return at[got >= least - MARGIN], got[got >= least - MARGIN]
+
+
+def _likely_pairs(members: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """(x, y): members (rep, leader) of buckets with those of their leaders that they can be linked with."""
     kind = reps.schema["rep"].dataType.simpleString()
+    pairs = members.where("rep <> leader").groupBy(F.col("rep").alias("x")).agg(F.collect_set("leader").alias("leaders"))  # BANDS leaders at most
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}")).hint("merge")
-    both = pairs.join(side("x"), "x").where("x is not null").join(side("y"), "y").where("least(nx, ny) >= " + repr(least) + " * greatest(nx, ny)")
+    both = pairs.join(side("x"), "x").select("x", "nx", "rx", F.explode("leaders").alias("y")).join(side("y"), "y").where(f"least(nx, ny) >= {least!r} * greatest(nx, ny)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
                 size = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
-                got = estimate(_matrix(batch.column("rx")), _matrix(batch.column("ry")), size("nx"), size("ny"))
-                keep = pa.array(np.flatnonzero(got >= least - MARGIN))
-                yield pa.RecordBatch.from_arrays([batch.column("x").take(keep), batch.column("y").take(keep), pa.array(got).take(keep)], ["x", "y", "likely"])
+                keep = pa.array(likely(_matrix(batch.column("rx")), _matrix(batch.column("ry")), size("nx"), size("ny"), least)[0])
+                yield pa.RecordBatch.from_arrays([batch.column("x").take(keep), batch.column("y").take(keep)], ["x", "y"])
 
-    return both.select("x", "y", "nx", "ny", "rx", "ry").mapInArrow(run, f"x {kind}, y {kind}, likely double")
+    return both.select("x", "y", "nx", "ny", "rx", "ry").mapInArrow(run, f"x {kind}, y {kind}")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles) for the documents in wanted (rep)."""
+def _sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(rep, shingles) for the documents in wanted (rep), of the text that stands for each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, width)[0].tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["rep", "shingles"])
-
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return texts.mapInArrow(run, f"rep {kind}, shingles binary")
-
+        from xxhash import xxh3_128_digest
 
-def _more_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """sets with those of wanted (rep) that it lacks."""
-    missing = materialise(wanted.distinct().join(sets.select("rep"), "rep", "left_anti"), "missing")
-    return sets if missing.isEmpty() else sets.unionByName(materialise(_sets(docs, missing, width), "sets"))
+        last = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch, keep, sets = whole.slice(at, 500), [], []
+                for k, (rep, text, own) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("print").to_pylist(), strict=True)):
+                    if rep != last:  # rows that repeat a doc_id come one after the other, or in parts of a split key: then they are links found twice
+                        s, words = shingles(text, width)
+                        if words and xxh3_128_digest(b" ".join(words)) == own:
+                            keep.append(k)
+                            sets.append(s.tobytes())
+                            last = rep
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], ["rep", "shingles"])
+
+    named = wanted.distinct().join(reps.select("rep", "print"), "rep")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(named.hint("merge"), "rep")
+    return texts.select("rep", "text", "print").mapInArrow(run, f"rep {kind}, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,8 +219,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch, keep = whole.slice(at, 1000), []
+            for at in range(0, whole.num_rows, 500):
+                batch, keep = whole.slice(at, 500), []
                 for k, (a, b) in enumerate(zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True)):
                     n = (len(a) + len(b)) // 8
                     shared = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
@@ -211,76 +232,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("x", "y", "sx", "sy").mapInArrow(run, f"x {kind}, y {kind}")
 
 
-def _labelled(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
-    """pairs with the components cx, cy of x and y; a node without a label is its own."""
-    if label is None:
-        return pairs.withColumn("cx", F.col("x")).withColumn("cy", F.col("y"))
-    side = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    found = pairs.join(side("x"), "x", "left").join(side("y"), "y", "left")
-    return found.withColumn("cx", F.coalesce("cx", "x")).withColumn("cy", F.coalesce("cy", "y"))
-
-
-def _link(candidates: DataFrame, sets: DataFrame, edges: DataFrame | None, label: DataFrame | None, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verify candidates (x, y, likely) but those that lie within a component; edges and labels so far are added to."""
-    rest = materialise(_labelled(candidates.select("x", "y", "likely"), label).where("cx <> cy"), "open-pairs")
-    # The likeliest pair of each x first; by then most of the others lie within a component.
-    first = rest.groupBy("x").agg(F.max(F.struct("likely", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
-    first = materialise(first, "first-pairs")
-    edges, label = _add_links(_verified(first, sets, percent), edges, label)
-    rest = _labelled(rest.select("x", "y"), label).where("cx <> cy").join(first, ["x", "y"], "left_anti")
-    return _add_links(_verified(rest, sets, percent), edges, label)
-
-
-def _add_links(found: DataFrame, edges: DataFrame | None, label: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """edges, which hold one link of each labelled node, and labels with the links found."""
-    found = materialise(found.select(F.col("x").alias("u"), F.col("y").alias("v")), "links-found")
-    if found.isEmpty():
-        return edges, label
-    label = materialise(components(found if edges is None else edges.unionByName(found)), "labels")
-    return label.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")), label
-
-
-def _mixed_buckets(members: DataFrame, label: DataFrame | None) -> DataFrame:
-    """(key, rep, component, main, size): the rows of buckets that hold several components; main is the largest there, of so many documents in all."""
-    named = members if label is None else members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = named.withColumn("component", F.coalesce("component", "rep") if label is not None else F.col("rep"))
+def _mixed_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, rep, component, main): the rows of buckets (key, rep) that hold several components; main is the largest there."""
+    named = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = materialise(named, "named-members")
     by_component = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     buckets = by_component.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("largest")).where("parts > 1")
-    rows = named.join(buckets.select("key", F.col("largest.component").alias("main")), "key")
-    if label is None:
-        return rows.withColumn("size", F.lit(1).cast("long"))
-    sizes = label.groupBy(F.col("component").alias("main")).agg(F.count("*").alias("size"))
-    return rows.join(sizes, "main", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+    buckets = materialise(buckets.select("key", F.col("largest.component").alias("main")), "mixed-buckets")
+    return materialise(named.join(buckets, "key"), "mixed-rows")
 
 
 def _block(blocks: str) -> Column:
     return F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
 
 
-def _large_links(strays: DataFrame, label: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, y): for each stray (main, rep, size) a member of its large main component that it is linked with, if any, in each of its blocks.
+def _blocks(rows: str, shingles: str) -> Column:
+    return F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
-    A component's members and its strays are dealt into blocks of about BLOCK each; a group holds one of either.
+
+def _large_links(strays: DataFrame, nodes: DataFrame, large: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y): for each stray (main, rep) a member of its large main component that it is linked with, if any, in each of its blocks.
+
+    nodes: (rep, component, n, registers); large: (component, members, shingles). A component's
+    members and its strays are dealt into blocks of about BLOCK each; a group holds one of either.
     """
     kind, least = reps.schema["rep"].dataType.simpleString(), percent / 100
-    strays = strays.select("main", "rep", "size").distinct()
-    mains = strays.groupBy("main").agg(F.first("size").alias("size"), F.count("*").alias("strays"))
-    mains = mains.select("main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("dealt"))
+    strays = materialise(strays.distinct().join(reps.hint("merge"), "rep").select("main", "rep", "n", "registers"), "strays")
+    mains = strays.groupBy("main").agg(F.count("*").alias("strays"), F.sum("n").alias("stray_shingles")).join(large.withColumnRenamed("component", "main"), "main")
+    mains = materialise(mains.select("main", _blocks("members", "shingles").alias("blocks"), _blocks("strays", "stray_shingles").alias("dealt")), "mains")
     to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    own = label.select(F.col("component").alias("main"), F.col("node").alias("rep")).join(mains, "main").select("main", _block("blocks").alias("block"), to("dealt").alias("other"), "rep", F.lit(False).alias("stray"))
-    sent = strays.join(mains, "main").select("main", to("blocks").alias("block"), _block("dealt").alias("other"), "rep", F.lit(True).alias("stray"))
-    rows = own.unionByName(sent).join(reps.hint("merge"), "rep").join(sets.hint("merge"), "rep")
+    own = nodes.withColumnRenamed("component", "main").join(mains, "main").select("main", _block("blocks").alias("block"), to("dealt").alias("other"), "rep", "n", "registers", F.lit(False).alias("stray"))
+    sent = strays.join(mains, "main").select("main", to("blocks").alias("block"), _block("dealt").alias("other"), "rep", "n", "registers", F.lit(True).alias("stray"))
+    rows = own.unionByName(sent).join(sets.hint("merge"), "rep")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         r = np.frombuffer(b"".join(group["registers"]), dtype="<u2").reshape(-1, REGISTERS)
         n, stray, rep = group["n"].to_numpy().astype(float), group["stray"].to_numpy(), group["rep"].to_numpy()
         found = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
-        pairs = []
+        mates, pairs = np.flatnonzero(~stray), []
         for i in np.flatnonzero(stray):
-            at = np.flatnonzero(~stray & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i])))
-            likely = estimate(np.broadcast_to(r[i], (len(at), REGISTERS)), r[at], np.full(len(at), n[i]), n[at])
+            at, got = likely(np.broadcast_to(r[i], (len(mates), REGISTERS)), r[mates], np.full(len(mates), n[i]), n[mates], least)
             # The likeliest first; one link joins the components.
-            for j in at[np.argsort(-likely, kind="stable")][: int((likely >= least - MARGIN).sum())]:
+            for j in mates[at[np.argsort(-got, kind="stable")]]:
                 shared = len(np.intersect1d(found[i], found[j], assume_unique=True))
                 if 100 * shared >= percent * (n[i] + n[j] - shared):
                     pairs.append((rep[i], rep[j]))
@@ -291,15 +284,15 @@ def _large_links(strays: DataFrame, label: DataFrame, reps: DataFrame, sets: Dat
 
 
 def _rest_pairs(rows: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """(x, y, likely): pairs of bucket-mates in different components that can reach the threshold.
+    """(x, y): pairs of bucket-mates in different components that can reach the threshold.
 
     rows: of ``_mixed_buckets``, but for the members of large main components. A bucket's rows
     are dealt into blocks of about BLOCK; a group holds one block or two.
     """
     kind = reps.schema["rep"].dataType.simpleString()
-    sizes = rows.groupBy("key").agg(F.count("*").alias("rows"), F.count_distinct("component").alias("parts")).where("parts > 1")
-    rows = rows.join(sizes.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "key")
-    rows = rows.withColumn("own", _block("blocks")).withColumn("stray", F.col("component") != F.col("main"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    sizes = materialise(sizes.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "bucket-sizes")
+    rows = rows.join(sizes, "key").withColumn("own", _block("blocks")).withColumn("stray", F.col("component") != F.col("main"))
     rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("own", "mate")).withColumn("high", F.greatest("own", "mate"))
     rows = rows.join(reps.hint("merge"), "rep").select("key", "low", "high", "own", "rep", "component", "stray", "n", "registers")
@@ -313,58 +306,60 @@ def _rest_pairs(rows: DataFrame, reps: DataFrame, least: float) -> DataFrame:
         for i in np.flatnonzero(own == low):
             # Each two of a block once, or one of either block; two members of the main component need no test.
             mates = rep > rep[i] if low == high else own == high
-            other = mates & (part != part[i]) & (stray | stray[i]) & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i]))
-            at = np.flatnonzero(other)
+            at = np.flatnonzero(mates & (part != part[i]) & (stray | stray[i]))
             if len(at):
-                got = estimate(np.broadcast_to(r[i], (len(at), REGISTERS)), r[at], np.full(len(at), n[i]), n[at])
-                found.append(pd.DataFrame({"x": rep[i], "y": rep[at], "likely": got})[got >= least - MARGIN])
-        return pd.concat(found) if found else pd.DataFrame({"x": rep[:0], "y": rep[:0], "likely": n[:0]})
+                at = at[likely(np.broadcast_to(r[i], (len(at), REGISTERS)), r[at], np.full(len(at), n[i]), n[at], least)[0]]
+                found.append(pd.DataFrame({"x": np.minimum(rep[at], rep[i]), "y": np.maximum(rep[at], rep[i])}))
+        return pd.concat(found) if found else pd.DataFrame({"x": rep[:0], "y": rep[:0]})
+
+    return rows.groupBy("key", "low", "high").applyInPandas(run, f"x {kind}, y {kind}").distinct()
 
-    pairs = rows.groupBy("key", "low", "high").applyInPandas(run, f"x {kind}, y {kind}, likely double")
-    return pairs.groupBy("x", "y").agg(F.max("likely").alias("likely"))
+
+def _own_texts(sketched: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """sketched without the texts that don't stand for their doc_id, and (doc_id, stands): the print of each doc_id with several."""
+    named = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.min("print").alias("stands"), F.max("print").alias("last"), F.count("*").alias("rows"), F.count("print").alias("texts"))
+    several = materialise(named.where("stands <> last or (texts > 0 and texts < rows)").select("doc_id", "stands"), "several-texts")
+    if several.isEmpty():
+        return sketched, None
+    return sketched.join(several, "doc_id", "left").where("stands is null or stands = print").drop("stands"), several
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
     least = percent / 100
     sketched = materialise(sketch(docs, width), "sketches")
-    classes = sketched.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
-    classes = materialise(classes, "classes")
-    reps = classes.join(sketched.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "print", "registers"), ["rep", "print"]).dropDuplicates(["rep"])
-    reps = materialise(reps.select("rep", "n", "registers"), "representatives")
+    own, several = _own_texts(sketched)
+    reps = own.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "registers")).alias("first"))
+    reps = materialise(reps.select("print", "first.*"), "representatives")
 
     bands = _bands(reps)
-    leaders = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    members = materialise(bands.join(leaders.select("key", F.col("first.rep").alias("leader"), "size"), "key"), "buckets")
-    pairs = members.where("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct()
-    candidates = materialise(_estimated(pairs, reps, least), "candidates")
-    ends = lambda p: p.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
-    sets = materialise(_sets(docs, ends(candidates), width), "sets")
-    edges, label = _link(candidates, sets, None, None, percent)
-
-    # Without the members of large main components, which all strays of their buckets are compared with here. Later
-    # labels don't drop more: links make components large or main whose members no stray was compared with.
-    rows = _mixed_buckets(members.where("size > 2").select("key", "rep"), label).where(f"size < {LARGE} or component <> main")
-    if label is not None:
-        rows = materialise(rows, "open-rows")
-        strays = rows.where(f"size >= {LARGE}").select("main", "rep", "size").distinct()
-        if not strays.isEmpty():
-            wanted = strays.select("rep").unionByName(label.join(strays.select(F.col("main").alias("component")).distinct(), "component", "left_semi").select(F.col("node").alias("rep")))
-            sets = _more_sets(docs, sets, wanted, width)
-            edges, label = _add_links(_large_links(strays, label, reps, sets, percent), edges, label)
-        rows = _mixed_buckets(rows.select("key", "rep"), label)
-    rest = materialise(_rest_pairs(rows, reps, least), "rest-pairs")
-    tested = candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "likely").join(tested, ["x", "y"], "left_anti")
-    rest = materialise(rest, "rest-candidates")
-    if not rest.isEmpty():
-        sets = _more_sets(docs, sets, ends(rest), width)
-        edges, label = _link(rest, sets, edges, label, percent)
-
-    if label is not None:
-        classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    else:
-        classes = classes.select("print", F.col("rep").alias("component"))
+    leaders = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    members = materialise(bands.join(materialise(leaders, "leaders"), "key"), "buckets")
+    candidates = materialise(_likely_pairs(members, reps, least), "candidates")
+    crowded = members.where("size > 2").select("key", "rep")
+    wanted = candidates.select(F.explode(F.array("x", "y")).alias("rep")).unionByName(crowded.select("rep"))
+    sets = materialise(_sets(docs, wanted, reps, width), "sets")
+    ends = lambda p: p.select(F.col("x").alias("u"), F.col("y").alias("v"))
+    label = materialise(components(ends(_verified(candidates, sets, percent))), "labels")
+
+    rows = _mixed_buckets(crowded, label)
+    nodes = materialise(label.withColumnRenamed("node", "rep").join(reps.hint("merge"), "rep").select("rep", "component", "n", "registers"), "labelled")
+    large = materialise(nodes.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where(f"members >= {LARGE}"), "large-components")
+    # All strays of a bucket are compared with a large main component as a whole, so its members leave the bucket.
+    rows = materialise(rows.join(large.select(F.col("component").alias("main"), F.lit(True).alias("whole")), "main", "left"), "open-rows")
+    strays = rows.where("whole and component <> main").select("main", "rep")
+    rest = _rest_pairs(rows.where("whole is null or component <> main").drop("whole"), reps, least)
+    more = _verified(materialise(rest, "rest-pairs"), sets, percent)
+    more = materialise(ends(more).unionByName(ends(_large_links(strays, nodes, large, reps, sets, percent))), "links-of-strays")
+    # Links between components, by their names; components() also names nodes without a label.
+    name = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    joined = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    joined = materialise(components(joined).select(F.col("node").alias("component"), F.col("component").alias("last")), "joined-components")
+
+    classes = reps.select("print", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    classes = classes.join(joined, "component", "left").select("print", F.coalesce("last", "component").alias("component"))
+    if several is not None:
+        sketched = sketched.join(several, "doc_id", "left").withColumn("print", F.coalesce("stands", "print"))
     found = sketched.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     found = found.select("doc_id", "n_shingles", component.alias("component_id"))
@@ -372,7 +367,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """One document of each group, the one of the smallest doc_id, with all its columns; rows that repeat a doc_id go too."""
-    kept = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    found = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return found.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document of each group, the one of the smallest doc_id, with all its columns.
+
+    Of rows that repeat a doc_id one stays, the one whose text has the smallest hash; rows without a doc_id all stay.
+    """
+    kept = near_duplicates(docs, width, percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"))
+    kept = materialise(kept.withColumnRenamed("doc_id", "kept_id"), "kept")
+    found = docs.join(kept, docs["doc_id"] == kept["kept_id"])
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", *(F.xxhash64(c) for c in docs.columns))
+    again = found.where("times > 1").withColumn("times", F.row_number().over(first)).where("times = 1")
+    return found.where("times = 1").unionByName(again).select(docs.columns).unionByName(docs.where("doc_id is null"))
