@@ -10,7 +10,9 @@ pieces, or a single exchange partition is left. Bins are kept, never split by a
 limit: every piece is in exactly one.
 
 Cases: a null or empty text is a document of its end id alone; repeated rows are
-documents each; a null doc_id is carried along; an empty table gives no pieces.
+documents each; a null doc_id is carried along; a very long text is cut into pieces;
+pieces of equal length are taken in the order of their numbers; further columns aren't
+read; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -36,28 +38,30 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
     schema = f"uid long, doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, uid = encoder(tokenizer).encode, TaskContext.get().partitionId() << 36
-        end = np.array([end_id], dtype="<u4").tobytes()
+        encode, uid = encoder(tokenizer), TaskContext.get().partitionId() << 36
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                rows: list[list] = [[], [], [], [], [], []]
-                for k, ids in enumerate(encode([t or "" for t in batch.column("text").to_pylist()])):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids), 4 * size)):
-                        part = ids[start : start + 4 * size]
-                        for column, value in zip(rows, (k, piece, start // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
-                            column.append(value)
-                n = len(rows[0])
+                ids, counts = encode.flat([t or "" for t in batch.column("text").to_pylist()], end_id)
+                pieces = -(-counts // size)
+                doc = np.repeat(np.arange(len(counts)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * size
+                length = np.minimum(size, counts[doc] - start)
+                first = 4 * ((np.cumsum(counts) - counts)[doc] + start)
+                raw = memoryview(ids.tobytes())
+                parts = [raw[a:b] for a, b in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
                 columns = [
-                    pa.array(range(uid, uid + n), pa.int64()),
-                    batch.column("doc_id").take(pa.array(rows[0], pa.int64())),
-                    pa.array(rows[1], pa.int32()),
-                    *(pa.array(x, pa.int64()) for x in rows[2:5]),
+                    pa.array(np.arange(uid, uid + len(doc))),
+                    batch.column("doc_id").take(pa.array(doc)),
+                    pa.array(piece.astype(np.int32)),
+                    pa.array(start),
+                    pa.array(length),
+                    pa.array(list(map(zlib.crc32, parts)), pa.int64()),
                 ]
                 if with_ids:
-                    columns.append(pa.array(rows[5], pa.binary()))
-                uid += n
+                    columns.append(pa.array(list(map(bytes, parts)), pa.binary()))
+                uid += len(doc)
                 yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -1,17 +1,20 @@
 """Training order: a keyed permutation of all sequences, written as fixed-stride shards.
 
-Every document is a sequence of token ids with an end id. Sequences have dense
-numbers, from the files' row counts and each row's place in its file, so nothing is
-shuffled for them. A keyed Feistel network permutes the numbers: it permutes the least
-range of 4**k numbers that holds all, and walks its cycle until it is back within
-range, so each sequence has a slot of its own in 0..n-1 and no table of the order
-exists. Consecutive slots make a shard. A shard's ids, in slot order, fill rows of a
-fixed number of ids; the last row is padded. Row r of shard s is at byte r * stride of
-file s, so a reader resumes anywhere by arithmetic.
-
-Cases: a null or empty text is its end id alone; repeated rows are sequences each; a
-null doc_id is carried along; an empty table gives no slots and no shards. A retried
-or repeated task writes the same bytes to the same shard.
+Documents, each with an end id, follow one another within a task's input, and every
+``row_ids`` ids make a sequence; a document may go on in the next one, and only the last
+sequence of a task is padded. Sequences are a written table and get dense numbers from
+its files' row counts and each row's place in its file. A keyed Feistel network permutes
+the numbers: it permutes the least range of 4**k numbers that holds all, and walks its
+cycle until it is back within range, so each sequence has a slot of its own in 0..n-1
+and no table of the order exists. Consecutive slots make a shard: partitions are ranges
+of slots, each writes whole shards in slot order. Slot k is in shard k // per_shard at
+byte k % per_shard * stride, so a reader starts or resumes anywhere by arithmetic. The
+folder ``manifest`` beside the shards has the key and these numbers.
+
+Cases: a null or empty text is its end id alone; repeated rows are documents each; a
+null doc_id is carried along; a very long text fills many sequences; further columns
+aren't read; an empty table gives no slots and no shards. No two slots are equal, so
+there are no ties. A retried or speculative task finds the shard in place and leaves it.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from marlstone.llm.common import materialise, scratch_dir
 from marlstone.llm.tokens import encoder
 
 ROUNDS = 6
+#: Partitions that write shards, at most; beyond it a partition writes several shards, one after the other.
+MOST_PARTITIONS = 20_000
 
 
 def feistel(number: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -51,100 +55,148 @@ def feistel(number: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs (doc_id, text) with number, dense from 0, and the count of rows.
+def id_type(tokenizer: str) -> str:
+    """Unsigned 16-bit ids if the vocabulary allows it, else 32-bit ones; little-endian."""
+    from tokenizers import Tokenizer
 
-    docs is read from whole Parquet files, or else written to some first. Only counts
-    for each file reach the driver.
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 65_536 else "<u4"
+
+
+def sequences(docs: DataFrame, tokenizer: str, row_ids: int = 2048, end_id: int = 0) -> DataFrame:
+    """(ids, doc_ids, starts, lengths) for each sequence of docs (doc_id, text).
+
+    ids is binary, row_ids numbers of ``id_type``; the arrays tell the stretches of documents in
+    it, one after the other: the ids of the document before the stretch, and its length.
     """
-    docs = docs.select("doc_id", "text")
-    placed, files = _places(docs) if docs.inputFiles() else (None, [])
-    if placed is None or any(r["rows"] != r["n"] for r in files):  # no plain scan, or one of a part of the rows
-        placed, files = _places(docs := materialise(docs, "sequences"))
+    kind, dtype = docs.schema["doc_id"].dataType.simpleString(), id_type(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        held_ids, held = np.empty(0, dtype=dtype), None  # the open sequence's ids and stretches
+
+        def made(ids: np.ndarray, doc: pa.Array, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+            """Whole sequences from stretches that fill them."""
+            rows = len(ids) // row_ids
+            first = np.searchsorted(np.cumsum(length) - length, np.arange(rows) * row_ids)
+            offsets = pa.array(np.append(first, len(length)).astype(np.int32))
+            raw = pa.Array.from_buffers(pa.binary(row_ids * ids.itemsize), rows, [None, pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (doc, pa.array(start), pa.array(length))]
+            return pa.RecordBatch.from_arrays([raw, *lists], ["ids", "doc_ids", "starts", "lengths"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                ids, counts = encode.flat([t or "" for t in batch.column("text").to_pylist()], end_id)
+                ids, doc = np.concatenate([held_ids, ids.astype(dtype)]), batch.column("doc_id")
+                start = np.zeros(len(counts), dtype=np.int64)
+                if held is not None:
+                    doc, start, counts = pa.concat_arrays([held[0], doc]), np.concatenate([held[1], start]), np.concatenate([held[2], counts])
+                # Cut the stretches where a sequence ends.
+                last = np.cumsum(counts)
+                cuts = np.union1d(last, np.arange(row_ids, last[-1] + 1, row_ids))
+                owner = np.searchsorted(last, cuts)
+                length = np.diff(cuts, prepend=0)
+                start = start[owner] + cuts - length - (last - counts)[owner]
+                doc, full = doc.take(pa.array(owner)), int(last[-1]) // row_ids * row_ids
+                k = int(np.searchsorted(cuts, full, side="right")) if full else 0
+                if full:
+                    yield made(ids[:full], doc[:k], start[:k], length[:k])
+                held_ids, held = ids[full:], (doc[k:], start[k:], length[k:])
+        if len(held_ids):
+            padded = np.concatenate([held_ids, np.full(row_ids - len(held_ids), end_id, dtype=dtype)])
+            yield made(padded, *held)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"ids binary, doc_ids array<{kind}>, starts array<long>, lengths array<long>")
+
+
+def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows, a written table, with number, dense from 0, and the count of rows. Only counts for each file reach the driver."""
+    placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     first, total = [], 0
-    for r in sorted(files, key=lambda r: r["file"]):
+    for r in sorted(placed.groupBy("file").agg(F.count("*").alias("n")).collect(), key=lambda r: r["file"]):
         first.append((r["file"], total))
         total += r["n"]
-    starts = docs.sparkSession.createDataFrame(first, "file string, first long")
+    starts = rows.sparkSession.createDataFrame(first, "file string, first long")
     # A row for each file: the size is known, and Spark chooses the join beyond it.
-    return placed.join(F.broadcast(starts) if len(first) <= 100_000 else starts, "file").select("doc_id", "text", (F.col("first") + F.col("row")).alias("number")), total
-
+    placed = placed.join(F.broadcast(starts) if len(first) <= 100_000 else starts, "file")
+    return placed.withColumn("number", F.col("first") + F.col("row")).drop("file", "first", "row"), total
 
-def _places(docs: DataFrame) -> tuple[DataFrame | None, list]:
-    """docs with file and row, and by file the rows and the last row's number; None if docs is no scan of files."""
-    try:
-        placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-        return placed, placed.groupBy("file").agg((F.max("row") + 1).alias("n"), F.count("*").alias("rows")).collect()
-    except AnalysisException as e:
-        if e.getCondition() != "UNRESOLVED_COLUMN.WITH_SUGGESTION":
-            raise
-        return None, []
 
+def write_training_order(docs: DataFrame, tokenizer: str, key: int = 20_240_229, per_shard: int = 2048, row_ids: int = 2048, end_id: int = 0, path: str | None = None) -> DataFrame:
+    """Write the shards; (doc_id, start, length, slot, offset, shard, sequence_crc32) for each stretch of a document of docs (doc_id, text).
 
-def slots(docs: DataFrame, key: int) -> tuple[DataFrame, int]:
-    """docs (doc_id, text) with slot, and the count of rows."""
-    found, n = numbered(docs)
+    A stretch is of ``length`` ids from the document's id ``start`` on, in the sequence of the
+    slot from its id ``offset`` on. sequence_crc32 is that of the sequence's bytes. Files are named
+    ``shard-<number>.bin`` in ``path``, a new folder under spark.checkpoint.dir if none is given.
+    """
+    spark, dtype = docs.sparkSession, id_type(tokenizer)
+    folder = path or f"{scratch_dir(spark)}/training-order-{uuid.uuid4().hex}"
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    kind, stride = docs.schema["doc_id"].dataType.simpleString(), row_ids * int(dtype[-1])
+    rows, n = numbered(materialise(sequences(docs, tokenizer, row_ids, end_id), "sequences"))
+    manifest = [(n, key, stride, row_ids, per_shard, dtype, end_id)]
+    spark.createDataFrame(manifest, "sequences long, key long, stride long, row_ids long, per_shard long, dtype string, end_id long").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
 
     @F.pandas_udf("long")
     def slot(number: pd.Series) -> pd.Series:
         return pd.Series(feistel(number.to_numpy(), n, key))
 
-    return found.select("doc_id", "text", slot("number").alias("slot")), n
-
-
-def write_training_order(docs: DataFrame, tokenizer: str, key: int = 20_240_229, per_shard: int = 2048, row_ids: int = 2048, end_id: int = 0, path: str | None = None) -> DataFrame:
-    """Write the shards; (doc_id, slot, shard, first_id, n_ids, ids_crc32) for each row of docs (doc_id, text).
-
-    first_id is the sequence's place in its shard, in ids. Ids are little-endian
-    unsigned 16-bit numbers if the tokenizer has at most 65,536, else 32-bit ones. Files
-    are named ``shard-<number>.bin`` in ``path``, a new folder under spark.checkpoint.dir if
-    none is given. A shard's documents are read as a stream, in slot order.
-    """
-    folder = path or f"{scratch_dir(docs.sparkSession)}/training-order-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    placed, n = slots(docs, key)
     shards = max(1, math.ceil(n / per_shard))
-    placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
-    # Ranges of slots, dealt evenly: shard numbers are dense, so no sample of the rows is needed.
-    ordered = placed.repartition(min(shards, 20_000), "shard").sortWithinPartitions("slot")
+    parts = min(shards, MOST_PARTITIONS)
+    placed = rows.withColumn("slot", slot("number"))
+    # Ranges of slots of whole shards; slots are dense, so bounds need no sample of the rows.
+    ranges = F.floor(F.floor(F.col("slot") / per_shard) * parts / shards).cast("int")
+    ordered = placed.repartitionById(parts, ranges).sortWithinPartitions("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encode = encoder(tokenizer)
-        dtype = "<u2" if encode.whole.get_vocab_size() <= 65_536 else "<u4"
         store, base = fs.FileSystem.from_uri(folder.replace("file:///", "file:/").replace("file:/", "file:///"))
         store.create_dir(base, recursive=True)
-        open_shard, out, held, place = None, None, "", 0
+        open_shard, out, held = None, None, ""
 
         def close() -> None:
-            pad = -place % row_ids
-            out.write(np.full(pad, end_id, dtype=dtype).tobytes())
             out.close()
             done = f"{base}/shard-{open_shard:08d}.bin"
-            if store.get_file_info(done).type != fs.FileType.NotFound:  # of an earlier try, with the same bytes
-                store.delete_file(done)
-            store.move(held, done)
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                firsts, counts, sums = [], [], []
-                for shard, ids in zip(batch.column("shard").to_pylist(), encode.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                    if shard != open_shard:
+            if store.get_file_info(done).type == fs.FileType.NotFound:
+                store.move(held, done)
+            else:  # of another try, with the same bytes
+                store.delete_file(held)
+
+        try:
+            for batch in batches:
+                slots = batch.column("slot").to_numpy(zero_copy_only=False)
+                shard, ids = slots // per_shard, batch.column("ids")
+                for number in np.unique(shard).tolist():
+                    if number != open_shard:
                         if out:
                             close()
-                        held = f"{base}/writing-{shard:08d}-{uuid.uuid4().hex}"
-                        open_shard, out, place = shard, store.open_output_stream(held), 0
-                    found = np.append(np.frombuffer(ids, dtype="<u4"), np.uint32(end_id)).astype("<u4")
-                    out.write(found.astype(dtype).tobytes())
-                    firsts.append(place)
-                    counts.append(len(found))
-                    sums.append(zlib.crc32(found.tobytes()))
-                    place += len(found)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("slot"), batch.column("shard"), *(pa.array(x, pa.int64()) for x in (firsts, counts, sums))], ["doc_id", "slot", "shard", "first_id", "n_ids", "ids_crc32"])
-        if out:
-            close()
-
-    return ordered.mapInArrow(run, f"doc_id {kind}, slot long, shard long, first_id long, n_ids long, ids_crc32 long")
+                        held = f"{base}/writing-{number:08d}-{uuid.uuid4().hex}"
+                        open_shard, out = number, store.open_output_stream(held)
+                    for part in ids.filter(pa.array(shard == number)).to_pylist():
+                        out.write(part)
+                sums = np.array([zlib.crc32(x) for x in ids.to_pylist()], dtype=np.int64)
+                lists = batch.column("doc_ids")
+                own = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                length = batch.column("lengths").flatten().to_numpy()
+                last = np.cumsum(length)
+                offset = (last - length) - np.repeat(*_first_of(own, last - length))
+                columns = [lists.flatten(), batch.column("starts").flatten(), pa.array(length), pa.array(slots[own]), pa.array(offset), pa.array(shard[own]), pa.array(sums[own])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "slot", "offset", "shard", "sequence_crc32"])
+            if out:
+                close()
+                out = None
+        finally:
+            if out:  # a failed try leaves no file
+                out.close()
+                if store.get_file_info(held).type != fs.FileType.NotFound:
+                    store.delete_file(held)
+
+    ordered = ordered.select("slot", "ids", "doc_ids", "starts", "lengths")
+    return ordered.mapInArrow(run, f"doc_id {kind}, start long, length long, slot long, offset long, shard long, sequence_crc32 long")
+
+
+def _first_of(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first value of each run of group, and the lengths of the runs."""
+    edge = np.flatnonzero(np.diff(group, prepend=-1))
+    return value[edge], np.diff(np.append(edge, len(group)))

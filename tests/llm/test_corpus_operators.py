@@ -60,24 +60,41 @@ def test_feistel_is_a_permutation(n):
     assert n < 1000 or (slots != feistel(np.arange(n), n, 43)).any()
 
 
-def test_slots_of_a_part_of_files_are_dense(spark, tmp_path):
-    spark.range(100).selectExpr("id as doc_id", "'x' as text").repartition(3).write.parquet(str(tmp_path / "t"))
-    docs = spark.read.parquet(str(tmp_path / "t"))
-    for some in (docs, docs.where("doc_id % 3 = 0"), docs.union(docs), docs.groupBy("doc_id").agg({"text": "max"}).toDF("doc_id", "text")):
-        rows = write_training_order(some, TOKENIZER).collect()
-        assert sorted(r.slot for r in rows) == list(range(some.count()))
-
-
-def test_shards_round_trip(spark, tmp_path):
-    docs = spark.createDataFrame([(k, prose(k, 40 + k)) for k in range(50)], "doc_id long, text string").repartition(3)
+def test_shards_are_read_by_arithmetic(spark, tmp_path):
+    texts = {k: prose(k, 3 * k + 1) if k % 9 else "" for k in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     rows = write_training_order(docs, TOKENIZER, per_shard=16, row_ids=64, path=str(tmp_path)).collect()
     plain = Tokenizer.from_file(TOKENIZER)
-    assert len(list(tmp_path.glob("shard-*.bin"))) == 4 and not list(tmp_path.glob("writing-*"))
-    for r in rows:
-        shard = np.fromfile(tmp_path / f"shard-{r.shard:08d}.bin", dtype="<u2")
-        ids = shard[r.first_id : r.first_id + r.n_ids]
-        assert len(shard) % 64 == 0 and ids.tolist() == [*plain.encode(prose(r.doc_id, 40 + r.doc_id), add_special_tokens=False).ids, 0]
-        assert zlib.crc32(ids.astype("<u4").tobytes()) == r.ids_crc32
+    ids = {k: [*plain.encode(t, add_special_tokens=False).ids, 0] for k, t in texts.items()}
+    m = spark.read.json(str(tmp_path / "manifest")).first()
+    n = m.sequences
+    assert sorted({r.slot for r in rows}) == list(range(n)) and m.stride == 128 and m.per_shard == 16
+    assert len(list(tmp_path.glob("shard-*.bin"))) == math.ceil(n / 16) and not list(tmp_path.glob("writing-*"))
+
+    def read(slot):
+        with open(tmp_path / f"shard-{slot // m.per_shard:08d}.bin", "rb") as f:
+            f.seek(slot % m.per_shard * m.stride)
+            return f.read(m.stride)
+
+    seen = {k: 0 for k in ids}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        raw = read(r.slot)
+        assert len(raw) == m.stride and zlib.crc32(raw) == r.sequence_crc32 and r.start == seen[r.doc_id]
+        assert np.frombuffer(raw, dtype=m.dtype)[r.offset : r.offset + r.length].tolist() == ids[r.doc_id][r.start : r.start + r.length]
+        seen[r.doc_id] += r.length
+    assert seen == {k: len(x) for k, x in ids.items()}
+    # Of one partition at least, the sequences are neither in the order of the documents nor all in one shard.
+    order = [r.slot for r in sorted(rows, key=lambda r: (r.doc_id, r.start))]
+    assert order != sorted(order)
+
+
+def test_shards_written_again_stay(spark, tmp_path):
+    docs = spark.createDataFrame([(k, prose(k, 40)) for k in range(50)], "doc_id long, text string").coalesce(1)
+    for _ in range(2):
+        found = write_training_order(docs, TOKENIZER, per_shard=8, row_ids=32, path=str(tmp_path))
+        assert found.count() > 0
+        times = {p.name: p.stat().st_mtime_ns for p in tmp_path.glob("shard-*.bin")}
+        assert found.count() > 0 and times == {p.name: p.stat().st_mtime_ns for p in tmp_path.glob("*.bin")}
 
 
 @settings(max_examples=60, deadline=None)

@@ -32,9 +32,9 @@ def test_pii(odd_docs, no_docs):
 
 
 def test_training_order(odd_docs, no_docs):
-    rows = write_training_order(odd_docs, TOKENIZER, per_shard=5).collect()
-    assert sorted(r.slot for r in rows) == list(range(12))
-    assert next(r for r in rows if r.doc_id == 1).n_ids == 1
+    rows = write_training_order(odd_docs.coalesce(1), TOKENIZER, per_shard=5, row_ids=512).collect()
+    assert {r.slot for r in rows} == set(range(max(r.slot for r in rows) + 1)) and {r.doc_id for r in rows} == {None, *range(1, 11)}
+    assert next(r for r in rows if r.doc_id == 1).length == 1 and sum(r.length for r in rows if r.doc_id == 7) == 2 * sum(r.length for r in rows if r.doc_id == 6)
     assert write_training_order(no_docs, TOKENIZER).count() == 0
 
 
