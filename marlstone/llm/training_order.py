@@ -65,13 +65,13 @@ def id_type(tokenizer: str) -> str:
 def sequences(docs: DataFrame, tokenizer: str, row_ids: int = 2048, end_id: int = 0) -> DataFrame:
     """(ids, doc_ids, starts, lengths) for each sequence of docs (doc_id, text).
 
-    ids is binary, row_ids numbers of ``id_type``; the arrays tell the stretches of documents in
+    ids is binary, row_ids numbers of ``id_type`` compressed by Zstandard; the arrays tell the stretches of documents in
     it, one after the other: the ids of the document before the stretch, and its length.
     """
     kind, dtype = docs.schema["doc_id"].dataType.simpleString(), id_type(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, codec = encoder(tokenizer), pa.Codec("zstd", compression_level=1)
         held_ids, held = np.empty(0, dtype=dtype), None  # the open sequence's ids and stretches
 
         def made(ids: np.ndarray, doc: pa.Array, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
@@ -79,7 +79,7 @@ def sequences(docs: DataFrame, tokenizer: str, row_ids: int = 2048, end_id: int
             rows = len(ids) // row_ids
             first = np.searchsorted(np.cumsum(length) - length, np.arange(rows) * row_ids)
             offsets = pa.array(np.append(first, len(length)).astype(np.int32))
-            raw = pa.Array.from_buffers(pa.binary(row_ids * ids.itemsize), rows, [None, pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+            raw = pa.array([codec.compress(x.tobytes(), asbytes=True) for x in ids.reshape(rows, row_ids)], pa.binary())
             lists = [pa.ListArray.from_arrays(offsets, x) for x in (doc, pa.array(start), pa.array(length))]
             return pa.RecordBatch.from_arrays([raw, *lists], ["ids", "doc_ids", "starts", "lengths"])
 
@@ -151,6 +151,7 @@ def write_training_order(docs: DataFrame, tokenizer: str, key: int = 20_240_229,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        codec = pa.Codec("zstd")
         store, base = fs.FileSystem.from_uri(folder.replace("file:///", "file:/").replace("file:/", "file:///"))
         store.create_dir(base, recursive=True)
         open_shard, out, held = None, None, ""
@@ -166,16 +167,17 @@ def write_training_order(docs: DataFrame, tokenizer: str, key: int = 20_240_229,
         try:
             for batch in batches:
                 slots = batch.column("slot").to_numpy(zero_copy_only=False)
-                shard, ids = slots // per_shard, batch.column("ids")
+                shard = slots // per_shard
+                ids = [codec.decompress(x, stride, asbytes=True) for x in batch.column("ids").to_pylist()]
                 for number in np.unique(shard).tolist():
                     if number != open_shard:
                         if out:
                             close()
                         held = f"{base}/writing-{number:08d}-{uuid.uuid4().hex}"
                         open_shard, out = number, store.open_output_stream(held)
-                    for part in ids.filter(pa.array(shard == number)).to_pylist():
-                        out.write(part)
-                sums = np.array([zlib.crc32(x) for x in ids.to_pylist()], dtype=np.int64)
+                    own = np.flatnonzero(shard == number)
+                    out.write(b"".join(ids[own[0] : own[-1] + 1]))
+                sums = np.array(list(map(zlib.crc32, ids)), dtype=np.int64)
                 lists = batch.column("doc_ids")
                 own = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
                 length = batch.column("lengths").flatten().to_numpy()
