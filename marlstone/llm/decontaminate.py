@@ -6,16 +6,22 @@ word's hash is set, so that sequences at a small edit distance have embeddings a
 small Hamming distance. All windows of a document walk at once, one array operation
 for each step. Each of WALKS embeddings is sampled at STEPS positions SAMPLES times;
 a window whose sampled words equal an item's is a candidate, and the edit distance
-between the item and the words around the window decides (Myers' bit-vectors).
+between the whole item and the words around the window decides (Myers' bit-vectors).
 
-Windows have the items' own sizes, a little rounded down. Only windows in which enough words occur in some
-item at all are walked, which loses nothing: an edit distance of at most a share of
-the item leaves the other words equal.
+An item of up to WINDOW words is one window, of its own size; a longer one is taken
+as windows of WINDOW words every STRIDE words, its last words among them, so that
+edits anywhere, also a missing or another beginning, leave some window with no more than its share of
+them. A walk has twice as many steps as its window has words, so it reaches the end. Only
+windows of a document in which enough words occur in some item at all are walked, which
+loses nothing: of windows side by side, one at least holds no more than its share of the edits.
+tests/llm measures recall by length and kind of edit.
 
 Cases: a null or empty text, or item, matches nothing; items of equal words are all
 reported; an empty benchmark or corpus gives an empty result; a document that holds
-an item repeatedly has one row for it, of its best place. A benchmark of any size is
-taken in blocks of ITEM_BLOCK items, each a pass over the corpus.
+an item repeatedly has one row for it, of its best place, the first of equal ones; repeated rows are
+searched each; a very long text is searched whole; further columns aren't read, and kept
+by ``drop_contaminated``. A benchmark of any size is taken in blocks of ITEM_BLOCK items,
+each a pass over the corpus; all items pass the driver, and each task holds one block.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WALKS, SAMPLES, STEPS = 4, 8, 4
+WINDOW, STRIDE = 24, 4
 ITEM_BLOCK = 10_000
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -73,31 +80,31 @@ def distance_within(item: list[int], text: list[int], most: int) -> tuple[int, i
     return best if best[0] <= most else None
 
 
-def window_size(n: int) -> int:
-    """Words of the windows for items of n words."""
-    step = 1 if n < 16 else 4 if n < 48 else 8
-    return n // step * step
+def windows_of(n: int) -> tuple[int, list[int]]:
+    """Words of the windows for an item of n words, and where they start."""
+    size = min(n, WINDOW)
+    return size, sorted({*range(0, n - size, STRIDE), n - size})
 
 
 def sampled_steps(size: int, walk: int) -> tuple[list[int], list[list[int]]]:
     """The steps at which a walk is sampled, and for each sample its places among them."""
-    steps = max(1, min(3 * size // 2, 96))
+    steps = 2 * size
     rng = np.random.default_rng([size, walk])
     chosen = [np.sort(rng.choice(steps, size=min(STEPS, steps), replace=False)).tolist() for _ in range(SAMPLES)]
     wanted = sorted({j for c in chosen for j in c})
     return wanted, [[wanted.index(j) for j in c] for c in chosen]
 
 
-def embed(sequence: np.ndarray, starts: np.ndarray, bits: np.ndarray, wanted: list[int]) -> np.ndarray:
-    """The CGK embedding of the sequence from each start on, at the wanted steps: (steps, starts) of words.
+def embed(sequence: np.ndarray, starts: np.ndarray, bits: np.ndarray, wanted: list[int], size: int) -> np.ndarray:
+    """The CGK embedding of the windows of ``size`` words from each start on, at the wanted steps: (steps, starts) of words.
 
     bits: (2, words + 1), the step bits of each word; the last word stands for all others and for the end.
     """
     other = bits.shape[1] - 1
-    at, last, out, place = starts.copy(), len(sequence), [], 0
+    at, ends, out, place = starts.copy(), starts + size, [], 0
     padded = np.append(sequence, other)
     for j in range(wanted[-1] + 1):
-        here = padded[np.minimum(at, last)]
+        here = np.where(at < ends, padded[np.minimum(at, ends)], other)
         if j == wanted[place]:
             out.append(here)
             place += 1
@@ -114,12 +121,12 @@ def sample_keys(embedded: np.ndarray, places: list[int]) -> np.ndarray:
 
 @dataclass
 class SizeClass:
-    """The items of one window size."""
+    """The windows of one size."""
 
     size: int
     most_other: int
     known: np.ndarray
-    #: By walk: sampled steps, and by sample: places, sorted keys, items.
+    #: By walk: sampled steps, and by sample: places, sorted keys, windows.
     walks: list[tuple[list[int], list[tuple[list[int], np.ndarray, np.ndarray]]]]
 
 
@@ -135,26 +142,33 @@ class ItemIndex:
         n = len(self.vocabulary)
         self.bits = [np.stack([_mixed(np.arange(n + 1, dtype=np.uint64) * _MIX + np.uint64(7919 * (2 * walk + half) + 1)) for half in (0, 1)]) for walk in range(WALKS)]
         by_size = defaultdict(list)
+        #: By window: its item and where it starts there.
+        self.windows: list[tuple[int, int]] = []
         for k, s in enumerate(self.sequences):
-            by_size[window_size(len(s))].append(k)
+            size, starts = windows_of(len(s))
+            for at in starts:
+                by_size[size].append(len(self.windows))
+                self.windows.append((k, at))
         self.classes = []
         for size, members in sorted(by_size.items()):
+            own = np.array([self.sequences[k][at : at + size] for k, at in (self.windows[w] for w in members)], dtype=np.int64)
             known = np.zeros(n + 1, dtype=np.int32)
-            known[[w for k in members for w in self.sequences[k]]] = 1
+            known[own.ravel()] = 1
+            whole = np.append(own, np.full((len(own), 1), n), axis=1)  # walks end within their window
             walks = []
             for walk in range(WALKS):
                 wanted, samples = sampled_steps(size, walk)
-                own = np.stack([embed(np.array(self.sequences[k], dtype=np.int64), np.zeros(1, dtype=np.int64), self.bits[walk], wanted)[:, 0] for k in members], axis=1)
+                embedded = embed(whole.ravel(), np.arange(len(own)) * (size + 1), self.bits[walk], wanted, size)
                 tables = []
                 for places in samples:
-                    key = sample_keys(own, places)
+                    key = sample_keys(embedded, places)
                     order = np.argsort(key, kind="stable")
                     tables.append((places, key[order], np.array(members)[order]))
                 walks.append((wanted, tables))
-            self.classes.append(SizeClass(size, max(math.floor(share * len(self.sequences[k])) for k in members), known, walks))
+            self.classes.append(SizeClass(size, math.floor(share * size), known, walks))
 
     def candidates(self, sequence: np.ndarray) -> np.ndarray:
-        """Distinct (start, item) whose sampled embeddings agree; sequence: word ids of texts one after the other."""
+        """Distinct (start, window) whose sampled embeddings agree; sequence: word ids of texts one after the other."""
         found = []
         for c in self.classes:
             if len(sequence) < c.size:
@@ -164,7 +178,7 @@ class ItemIndex:
                 starts = np.flatnonzero(sums[c.size :] - sums[: -c.size] >= c.size - c.most_other)
             for walk, (wanted, tables) in enumerate(c.walks):
                 for at in range(0, len(starts), 100_000):
-                    own = embed(sequence, starts[at : at + 100_000], self.bits[walk], wanted)
+                    own = embed(sequence, starts[at : at + 100_000], self.bits[walk], wanted, c.size)
                     for places, keys, members in tables:
                         key = sample_keys(own, places)
                         low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
@@ -182,25 +196,37 @@ class ItemIndex:
         out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
         if not self.sequences or not len(ends) or not ends[-1]:
             return out
-        for start, k in self.candidates(np.array([w for x in ids for w in x], dtype=np.int64)).tolist():
-            doc = int(np.searchsorted(ends, start, side="right"))
-            item, text = self.sequences[k], ids[doc]
-            most = math.floor(self.share * len(item))
-            at = start - (int(ends[doc]) - len(text))
-            if k in out[doc] and out[doc][k][0] == 0:
+        found = self.candidates(np.array([w for x in ids for w in x], dtype=np.int64))
+        if not len(found):
+            return out
+        item, offset = np.array(self.windows)[found[:, 1]].T
+        doc = np.searchsorted(ends, found[:, 0], side="right")
+        begin = found[:, 0] - offset - (ends[doc] - np.array([len(x) for x in ids])[doc])
+        order = np.lexsort((begin, item, doc))
+        at = 0
+        rows = np.stack([doc, item, begin], axis=1)[order].tolist()
+        while at < len(rows):
+            d, k, first = rows[at]
+            own, text = self.sequences[k], ids[d]
+            most = math.floor(self.share * len(own))
+            last, at = first, at + 1
+            # Places near one another are searched as one stretch.
+            while at < len(rows) and rows[at][:2] == [d, k] and rows[at][2] <= last + 2 * most + 1:
+                last, at = rows[at][2], at + 1
+            if k in out[d] and out[d][k][0] == 0:
                 continue
-            low = max(0, at - most)
-            if got := distance_within(item, [-1 if w == other else w for w in text[low : at + len(item) + most]], most):
+            low = max(0, first - most)
+            if got := distance_within(own, [-1 if w == other else w for w in text[low : max(0, last) + len(own) + 2 * most]], most):
                 distance, end = got[0], low + got[1]
-                back = distance_within(item[::-1], text[max(0, end - len(item) - most) : end][::-1], most)
-                first = end - (back[1] if back and back[0] == distance else len(item))
-                if k not in out[doc] or distance < out[doc][k][0]:
-                    out[doc][k] = (distance, max(0, first), end)
+                back = distance_within(own[::-1], text[max(0, end - len(own) - most) : end][::-1], most)
+                start = end - (back[1] if back and back[0] == distance else len(own))
+                if k not in out[d] or distance < out[d][k][0]:
+                    out[d][k] = (distance, max(0, start), end)
         return out
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
-    """The items, in blocks of about ITEM_BLOCK; only one block is in memory at a time."""
+    """The items, in blocks of about ITEM_BLOCK."""
     items = benchmark.select("item_id", "text")
     count = max(1, math.ceil(items.count() / ITEM_BLOCK))
     for block in range(count):

@@ -169,24 +169,49 @@ def test_bit_vector_distance(item, text, most):
     assert (got[0] if got else None) == (want if want <= most else None)
 
 
-def test_decontamination_recall_and_precision():
-    items = [(k, prose(1000 + k, 15 + k % 40)) for k in range(60)]
+def edited(words, kind, share, rng):
+    """words with a share of them edited."""
+    n, w = max(1, int(share * len(words))), list(words)
+    if kind == "first cut":
+        return w[n:]
+    if kind == "first replaced":
+        return [f"zz{k}" for k in range(n)] + w[n:]
+    for at in sorted(rng.sample(range(len(w)), n), reverse=True):
+        w[at : at + 1] = {"replaced": [f"zz{at}"], "deleted": [], "inserted": [w[at], f"zz{at}"]}[kind]
+    return w
+
+
+@pytest.mark.parametrize("n", [15, 30, 60, 120, 200, 400])
+def test_decontamination_recall(n):
+    rng = random.Random(n)
+    items = [(k, prose(1000 * n + k, n)) for k in range(40)]
     index = decontaminate.ItemIndex(items, 0.2)
-    rng = random.Random(1)
-    found = 0
-    for k, text in items:
-        w = text.split()
-        for _ in range(max(1, len(w) // 10)):
-            w[rng.randrange(len(w))] = "zzz"
-        doc = prose(k, 50).split()
-        got = index.matches([" ".join(doc[:20] + w + doc[20:])])[0]
-        found += k in got
-        if k in got:
-            assert got[k][0] <= len(text.split()) * 0.2
-    assert found >= 57
+    for kind in ("replaced", "deleted", "inserted", "first cut", "first replaced"):
+        for share in (0.1, 0.18):
+            docs = [" ".join([*prose(k, 50).split()[:20], *edited(text.split(), kind, share, rng), *prose(k + 77, 30).split()]) for k, text in items]
+            got = index.matches(docs)
+            assert sum(k in got[k] for k, _ in items) >= 36, (kind, share)
+    assert all(got[k][k][0] == 0 for (k, _), got in zip(items, [index.matches([t for _, t in items])] * 40, strict=True))
     assert not any(index.matches([prose(5000 + k, 200) for k in range(50)]))
 
 
+def test_contamination_is_that_of_brute_force(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 40)))) for k in range(12)]
+    texts = {}
+    for k in range(60):
+        w = [f"x{rng.randrange(50)}" for _ in range(30)]
+        if k % 2:
+            w[10:10] = edited(rng.choice(items)[1].split(), rng.choice(["replaced", "deleted", "inserted"]), 0.05, rng)
+        texts[k] = " ".join(w)
+    want = {(d, i): e for d, t in texts.items() for i, item in items if (e := edit_distance_within(item.split(), t.split())) <= math.floor(0.2 * len(item.split()))}
+    rows = decontaminate.find_contamination(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.distance for r in rows}
+    assert set(got) <= set(want) and all(got[x] == want[x] for x in got) and len(got) >= 0.9 * len(want) > 0
+    for r in rows:
+        assert edit_distance_within(dict(items)[r.item_id].split(), texts[r.doc_id][r.start : r.end].split()) == r.distance
+
+
 def test_binomial_tail(spark):
     from pyspark.sql import functions as F
 
