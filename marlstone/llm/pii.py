@@ -1,16 +1,25 @@
-"""Personal data by patterns and a skip-chain conditional random field.
+"""Personal data and secrets by patterns and a skip-chain conditional random field.
 
-Base spans come from patterns (email, ip, card, phone). The field's nodes are the
-tokens that hold a digit or an at sign; neighbours share chain potentials, and
+Base spans come from patterns (email, ip, card, phone); values that stand after a word
+like ``token =`` are seeds of a fifth kind, secret. The field's nodes are all tokens of all
+documents that hold a digit or an at sign; neighbours share chain potentials, and
 tokens of a document that are equal, have the same digits, or name the same mailbox
-share skip potentials, from each occurrence to the next. Tokens within base spans are
-clamped. Potentials are fitted to the token counts of the whole corpus. Loopy message
-passing over each document then labels the remaining tokens alike with their
-counterparts: a number written without its prefix, a mailbox without its host. Tokens
-surely of a kind are joined into added spans; base spans always stay.
-
-Cases: a null or empty text has no spans; repeated rows each get theirs; an empty
-table gives an empty result; long texts are scanned in linear time.
+share skip potentials, from each occurrence to the next. Tokens within base spans and
+seeds are clamped. Loopy message passing over each document labels the remaining tokens:
+by their own shape, and alike with their counterparts, as a number written without its
+prefix, a mailbox without its host, a secret without its name. Tokens surely of a kind
+are joined into added spans; base spans always stay.
+
+Node, chain and skip weights are fitted together, by the pseudo-likelihood of the
+tokens' labels given their neighbours' and counterparts'. A labelled token counts once as
+it is and once without the marks that gave it away (prefix, check digit, name): with
+its label where a counterpart has one, else as none, so that the counterpart decides. A
+token without a label whose counterpart has one is no evidence and isn't counted.
+
+Cases: a null or empty text has no spans; repeated rows each get theirs; an empty table
+gives an empty result; long texts are scanned in linear time. Spans of one start
+are ordered by kind; a token that could be of several kinds gets the likeliest. Columns
+``base``, ``spans`` and ``redacted`` of the input are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -25,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import logistic_fit
-
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = KINDS[:4]
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
 #: Tokens are joined to a span over gaps of so many characters; a label counts from this probability on.
-MAX_GAP, SURE, ROUNDS = 2, 0.9, 8
+MAX_GAP, SURE, ROUNDS = 2, 0.9, 60
+#: Log potential of one label in two counterparts to which the fitted weights are drawn: without examples, counterparts agree.
+AGREE = 8.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -38,6 +48,9 @@ _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# Words before a secret.
+_NAMED = re.compile(r"(?:token|secret|password|passwd|pwd|auth|bearer|key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?\Z", re.I)
+_VALUE = re.compile(r"[A-Za-z0-9+/_=-]{16,}\Z")
 _MARK = re.compile(r"[0-9@]")
 _WORD_END = re.compile(r"\s")
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "+(@)")
@@ -107,7 +120,12 @@ def keys(token: str) -> list[str]:
     return found
 
 
-def shape(token: str, before: str) -> int:
+def secret_like(token: str) -> bool:
+    """Long, of letters and digits, and of many different ones."""
+    return bool(_VALUE.match(token)) and len(set(token)) >= 8 and any(c.isalpha() for c in token) and any(c.isdigit() for c in token)
+
+
+def shape(token: str, before: str, named: bool) -> int:
     """Features of a token, one bit each."""
     digits = "".join(c for c in token if "0" <= c <= "9")
     n, rest = len(digits), len(token)
@@ -126,11 +144,15 @@ def shape(token: str, before: str) -> int:
         any(c.isalpha() for c in token),
         before[:1] == "+",
         before[:1] == "(",
+        secret_like(token),
+        named,
     )
     return sum(1 << k for k, b in enumerate(bits) if b)
 
 
-N_BITS = 14
+#: Bits that a labelled token also counts without: check digit, prefixes, the name of a secret.
+GIVEN_AWAY = sum(1 << k for k in (7, 8, 9, 12, 13, 15))
+N_BITS = 16
 
 
 @dataclass
@@ -155,10 +177,13 @@ def graph_of(texts: list[str], base: list[list[tuple[int, int, int]]]) -> Graph:
             while at < len(spans) and spans[at][2] <= a:
                 at += 1
             inside = [x[1] + 1 for x in spans[at : at + 3] if x[0] < b and a < x[2]]
+            named = bool(_NAMED.search(text, max(0, a - 24), a))
+            if not inside and named and secret_like(token):
+                inside = [len(KINDS)]
             g.owner.append(k)
             g.spans.append((a, b))
             near = node > 0 and g.owner[node - 1] == k and a - g.spans[node - 1][1] <= MAX_GAP
-            g.masks.append(shape(token, before if near else ""))
+            g.masks.append(shape(token, before if near else "", named))
             g.clamped.append(inside[0] if inside else 0)
             if near:
                 g.chain.append((node - 1, node))
@@ -173,63 +198,80 @@ def graph_of(texts: list[str], base: list[list[tuple[int, int, int]]]) -> Graph:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of token shapes by label, and of labels of neighbours and counterparts."""
-    nodes: Counter = Counter()
+    """Counts of tokens by shape, label, labels before and after (-1: none), and number of counterparts of each label."""
+    labels, found = len(KINDS) + 1, Counter()
     for batch in batches:
         texts = [t for t in batch.column("text").to_pylist() if t and _MARK.search(t)]
-        base = [base_spans(t) for t in texts]
-        g = graph_of(texts, base)
-        nodes.update((0, m, c) for m, c in zip(g.masks, g.clamped, strict=True))
-        for what, pairs in ((1, g.chain), (2, g.skip)):
-            nodes.update((what, g.clamped[a], g.clamped[b]) for a, b in pairs)
-    rows = list(nodes.items())
-    yield pa.RecordBatch.from_arrays([pa.array([r[0][k] for r in rows], pa.int32()) for k in range(3)] + [pa.array([r[1] for r in rows], pa.int64())], ["what", "a", "b", "n"])
+        g = graph_of(texts, [base_spans(t) for t in texts])
+        before, after = [-1] * len(g.owner), [-1] * len(g.owner)
+        for a, b in g.chain:
+            after[a], before[b] = g.clamped[b], g.clamped[a]
+        like = [[0] * labels for _ in g.owner]
+        for a, b in g.skip:
+            like[a][g.clamped[b]] += 1
+            like[b][g.clamped[a]] += 1
+        for mask, label, x, y, z in zip(g.masks, g.clamped, before, after, like, strict=True):
+            if label or not any(z[1:]):
+                found[mask, label, x, y, *z] += 1
+                bare = mask & ~GIVEN_AWAY
+                if label and any(z[1:]):
+                    found[bare, label, x, y, *z] += 1
+                elif label and bare != mask:
+                    found[bare, 0, min(x, 0), min(y, 0), *z] += 1
+    rows = [[*k, n] for k, n in found.items()]
+    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], ["row"])
 
 
 @dataclass
 class FieldModel:
-    """node: (N_BITS + 1, 5) weights by feature and label; chain, skip: (5, 5) log potentials."""
+    """node: (N_BITS + 1, labels) weights by feature and label; chain, skip: log potentials by the labels of both tokens."""
 
     node: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
 
 
-def fit_field(docs: DataFrame) -> FieldModel:
-    """Potentials from the token counts of all documents; labels are those of the base spans.
+def fit_field(docs: DataFrame, max_patterns: int = 20_000, steps: int = 600) -> FieldModel:
+    """Weights from the tokens of all documents.
 
-    At most 2**N_BITS * 5 + 50 counts reach the driver.
+    Tokens of one shape, label and neighbourhood are one row with a count; the max_patterns most
+    frequent ones are fitted.
     """
-    rows = docs.select("text").mapInArrow(_count, "what int, a int, b int, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(_count, "row array<long>")
+    rows = rows.groupBy(F.slice("row", 1, F.size("row") - 1).alias("pattern")).agg(F.sum(F.element_at("row", -1)).alias("n"))
+    rows = rows.orderBy(F.desc("n"), "pattern").limit(max_patterns).collect()
     labels = len(KINDS) + 1
-    node = np.zeros((N_BITS + 1, labels))
-    seen = [(r["a"], r["b"], r["n"]) for r in rows if r["what"] == 0]
-    if seen:
-        x = np.array([[m >> k & 1 for k in range(N_BITS)] for m, _, _ in seen], dtype=float)
-        y, weight = np.array([c for _, c, _ in seen]), np.array([n for _, _, n in seen], dtype=float)
-        weight = weight * min(1.0, 20_000 / weight.sum())
-        for c in range(labels):
-            node[:, c] = logistic_fit(x, (y == c).astype(float), l2=1.0, weight=weight)
-    else:
-        node[-1, 0] = 5.0
-    tables = []
-    for what, trust in ((1, 0.5), (2, 20.0)):
-        counts = np.zeros((labels, labels))
-        for r in rows:
-            if r["what"] == what:
-                counts[r["a"], r["b"]] += r["n"]
-        counts = (counts + counts.T) / 2
-        counts *= min(1.0, 5_000 / max(counts.sum(), 1.0))
-        # Pseudo-counts: labels agree, more or less surely, before any count.
-        counts += trust * np.eye(labels) + 0.5
-        share = counts / counts.sum()
-        tables.append(np.log(share / np.outer(share.sum(1), share.sum(0))))
-    return FieldModel(node, *tables)
+    model = FieldModel(np.zeros((N_BITS + 1, labels)), np.zeros((labels, labels)), np.zeros((labels, labels)))
+    model.node[-1, 0] = 5.0
+    if not any(r["pattern"][1] for r in rows):
+        return model
+    made = np.array([r["pattern"] for r in rows], dtype=np.int64)
+    weight = np.array([r["n"] for r in rows], dtype=float)
+    weight *= min(1.0, 20_000 / weight.sum())
+    x = np.hstack([(made[:, :1] >> np.arange(N_BITS)) & 1, np.ones((len(made), 1), dtype=np.int64)]).astype(float)
+    one = lambda y: (y[:, None] == np.arange(labels)).astype(float)
+    y, before, after, like = one(made[:, 1]), one(made[:, 2]), one(made[:, 3]), made[:, 4:].astype(float)
+    agree = AGREE * np.eye(labels)
+    # Steepest ascent with momentum and a step for each weight (Adam), on the penalised pseudo-likelihood.
+    weights = [np.zeros_like(model.node), np.zeros_like(model.chain), agree]
+    mean, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+    for step in range(1, steps + 1):
+        node, chain, skip = weights
+        z = x @ node + before @ chain + after @ chain.T + like @ skip
+        z -= z.max(axis=1, keepdims=True)
+        p = np.exp(z)
+        error = weight[:, None] * (y - p / p.sum(axis=1, keepdims=True))
+        both = like.T @ error
+        for k, gradient in enumerate((x.T @ error - node, before.T @ error + (after.T @ error).T - chain, (both + both.T) / 2 - (skip - agree))):
+            mean[k] = 0.9 * mean[k] + 0.1 * gradient
+            square[k] = 0.999 * square[k] + 0.001 * gradient**2
+            weights[k] = weights[k] + 0.05 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
+    return FieldModel(*weights)
 
 
 def propagate(g: Graph, model: FieldModel) -> np.ndarray:
-    """Label probabilities of each node by damped sum-product message passing."""
-    n, labels = len(g.owner), model.chain.shape[0]
+    """Label probabilities of each node by damped sum-product message passing, until messages stand still."""
+    labels = model.chain.shape[0]
     bits = (np.array(g.masks)[:, None] >> np.arange(N_BITS)) & 1
     local = bits @ model.node[:-1] + model.node[-1]
     local -= np.logaddexp.reduce(local, axis=1, keepdims=True)
@@ -250,7 +292,10 @@ def propagate(g: Graph, model: FieldModel) -> np.ndarray:
         np.add.at(belief, target, message)
         new = np.logaddexp.reduce((belief[source] - message[back])[:, :, None] + potential, axis=1)
         new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
+        moved = np.abs(new - message).max()
+        message = 0.3 * message + 0.7 * new
+        if moved < 1e-4:
+            break
     belief = local.copy()
     np.add.at(belief, target, message)
     return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
@@ -261,6 +306,8 @@ def _holds(kind: int, text: str, known: set[str]) -> bool:
     digits = sum("0" <= c <= "9" for c in text)
     if kind == 0:
         return "@" in text or text.lower() in known
+    if kind == 4:
+        return secret_like(text)
     if kind == 1:
         return text.count(".") >= 3 and digits >= 4
     return digits >= (12 if kind == 2 else 7)
@@ -268,20 +315,22 @@ def _holds(kind: int, text: str, known: set[str]) -> bool:
 
 def find_spans(texts: list[str], model: FieldModel) -> list[tuple[list, list]]:
     """Base spans and all spans of each text, as (start, place in KINDS, end)."""
-    base = [base_spans(t) if _MARK.search(t) else [] for t in texts]
+    which = [k for k, t in enumerate(texts) if _MARK.search(t)]
+    base: list[list] = [[] for _ in texts]
+    for k in which:
+        base[k] = base_spans(texts[k])
     every = [list(b) for b in base]
-    # Without a base span there is nothing to be consistent with, as clamped tokens are the only evidence.
-    which = [k for k, b in enumerate(base) if b]
     g = graph_of([texts[k] for k in which], [base[k] for k in which])
     if g.owner:
         p = propagate(g, model)
         label = np.where(p[:, 1:].max(axis=1) >= SURE, p[:, 1:].argmax(axis=1), -1)
-        label[np.array(g.clamped) > 0] = -1
+        clamped = np.array(g.clamped)
+        label[(clamped > 0) & (clamped <= len(BASE_KINDS))] = -1
         open_span: list[int] | None = None
         found = []
         for node in np.flatnonzero(label >= 0).tolist():
             k, (a, b), kind = g.owner[node], g.spans[node], int(label[node])
-            if open_span and open_span[0] == k and open_span[1] == kind and a - open_span[3] <= MAX_GAP:
+            if open_span and open_span[0] == k and open_span[1] == kind and kind != 4 and a - open_span[3] <= MAX_GAP:
                 open_span[3] = b
             else:
                 open_span = [k, kind, a, b]
@@ -305,7 +354,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, model: FieldModel | None = None) -> DataFrame:
-    """docs with base, spans (arrays of kind, start, end in code points) and redacted; every column of docs is kept."""
+    """docs with base, spans (arrays of kind, start, end in code points) and redacted in place of columns of these names."""
     model = model or fit_field(docs)
     taken = [f for f in docs.schema.fields if f.name not in ("base", "spans", "redacted")]
     names = [f.name for f in taken]
@@ -330,19 +379,21 @@ def find_pii(docs: DataFrame, model: FieldModel | None = None) -> DataFrame:
 
 
 def redact_pii(docs: DataFrame, model: FieldModel | None = None) -> DataFrame:
-    """docs (text, n_chars and others) with personal data replaced by its kind; n_chars follows a text that changes."""
+    """docs (text and others) with personal data replaced by its kind; n_chars, if there, follows a text that changes."""
     model = model or fit_field(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                texts, lengths = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
+                texts, changed = batch.column("text").to_pylist(), {}
                 for k, (_, spans) in enumerate(find_spans([t or "" for t in texts], model)):
                     if spans:
                         texts[k] = redact(texts[k], spans)
-                        lengths[k] = len(texts[k])
-                columns = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(lengths, batch.schema.field("n_chars").type)}
+                        changed[k] = len(texts[k])
+                columns = {"text": pa.array(texts, pa.string())}
+                if "n_chars" in batch.schema.names:
+                    columns["n_chars"] = pa.array([changed.get(k, n) for k, n in enumerate(batch.column("n_chars").to_pylist())], batch.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(k)) for k, c in enumerate(batch.schema.names)], batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

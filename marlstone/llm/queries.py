@@ -13,7 +13,7 @@ from marlstone.llm.html_extract import extract_text
 from marlstone.llm.licenses import scan_licenses
 from marlstone.llm.oracles import NEAR_DUPLICATES, QUALITY_RULES
 from marlstone.llm.packing import pack_documents
-from marlstone.llm.pii import KINDS, find_pii
+from marlstone.llm.pii import BASE_KINDS, find_pii
 from marlstone.llm.quality_rules import quality_rules
 from marlstone.llm.setsketch import near_duplicates
 from marlstone.llm.toxicity import fit_toxicity, score_toxicity
@@ -28,9 +28,9 @@ def held_out() -> F.Column:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    counts = [count(k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    count = lambda spans, kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    counts = [count("base", k).alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), count("spans", "secret").alias("n_secret"))
 
 
 def word_tokenizer() -> str:

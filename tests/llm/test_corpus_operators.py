@@ -53,6 +53,51 @@ def test_field_labels_counterparts(spark):
     assert all(len(got[k].spans) == 2 for k in range(300))
 
 
+def exact_marginals(g, model):
+    """Label probabilities by adding up all labellings."""
+    n, labels = len(g.owner), model.chain.shape[0]
+    out = np.zeros((n, labels))
+    local = ((np.array(g.masks)[:, None] >> np.arange(pii.N_BITS)) & 1) @ model.node[:-1] + model.node[-1]
+    for y in itertools.product(*[[c] if c else range(labels) for c in g.clamped]):
+        score = sum(local[i, c] for i, c in enumerate(y) if not g.clamped[i]) + sum(model.chain[y[a], y[b]] for a, b in g.chain) + sum(model.skip[y[a], y[b]] for a, b in g.skip)
+        out[np.arange(n), list(y)] += math.exp(score)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_messages_give_the_marginals():
+    rng = np.random.default_rng(4)
+    labels = len(pii.KINDS) + 1
+    for loop in (False, True):
+        for _ in range(12):
+            skip = rng.normal(scale=0.5, size=(labels, labels))
+            model = pii.FieldModel(rng.normal(size=(pii.N_BITS + 1, labels)) / 2, rng.normal(scale=0.5, size=(labels, labels)), skip + skip.T)
+            g = pii.Graph([0] * 5, [(k, k + 1) for k in range(5)], rng.integers(0, 1 << pii.N_BITS, 5).tolist(), [0, 0, 2, 0, 0], [(0, 1), (1, 2), (3, 4)], [(0, 3)] + [(1, 4)] * loop)
+            assert np.abs(pii.propagate(g, model) - exact_marginals(g, model)).max() < (0.12 if loop else 2e-3)
+
+
+def test_skip_edges_carry_labels(spark):
+    rng, rows = random.Random(6), []
+    for k in range(300):
+        phone, secret = f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        again = phone if k % 3 == 0 else prose(k, 2)
+        rows.append((k, f"{prose(k, 20)} call {phone} or {prose(k + 1, 5)} {again} {prose(k, 9)} token = \"{secret}\" {prose(k, 5)} {rng.randint(1, 99999)} {prose(k, 2)} {rng.randint(10**15, 10**16)}"))
+    model = pii.fit_field(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = f"{prose(1, 9)} +1 (333) 555-1234 {prose(2, 9)} (333) 555-1234 then (444) 555-9876 and 77777 on"
+    spans = lambda: [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find_spans([text], model)[0][1]]
+    assert spans() == [("phone", "+1 (333) 555-1234"), ("phone", "(333) 555-1234")]
+    model.skip = np.zeros_like(model.skip)
+    assert spans() == [("phone", "+1 (333) 555-1234")]
+
+
+def test_secrets_and_decoys(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = pii.fit_field(docs)
+    hex40 = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    text = f'See token = "{hex40}" here, and {hex40} there; not 12345 or 2024-01-05 or b2b.'
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find_spans([text], model)[0][1]] == [("secret", hex40)] * 2
+    assert pii.redact(text, pii.find_spans([text], model)[0][1]).count("<SECRET>") == 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     slots = feistel(np.arange(n), n, 42)
