@@ -1,20 +1,25 @@
 """Main text of web pages by minimum cut.
 
 A page becomes its text blocks in page order. A logistic classifier gives each block
-the cost of either label from its place in the tree (elements and the names in class,
-id and role), links, length and punctuation; these costs are the terminal capacities.
-Neighbouring blocks and neighbours under one parent share smoothness edges, weaker the
-farther apart they are in the tree. The minimum cut labels all blocks of the page at
-once: content or boilerplate. The classifier is fitted to blocks whose elements tell
-their label, also without these clues, so that plain text features carry pages that
-have none.
+the cost of either label from its text (length, stops, links), its tag, its place
+relative to the first heading, the share of the page's prose under its container, and from
+clues of its elements (article or nav and the like, naming words in class, id and role).
+These costs are the terminal capacities. An element that holds most of the page's
+prose gives no boilerplate clue, whatever it is called; where an article or main element
+holds a good part of it, blocks outside are told so. Neighbouring blocks and neighbours under
+one parent share smoothness edges, weaker the farther apart they are in the tree, and
+of the scale of the costs. The minimum cut labels all blocks of the page at once: content or boilerplate.
+
+The classifier is fitted to blocks whose elements tell their label: as they are, without
+naming words, and without any clue, so that text and shape carry pages that have none.
 
 Content blocks keep their whole text: character references decoded, white space made
 single spaces, blocks joined by an empty line.
 
 Cases: a null or empty page, or one without content, has an empty text; markup that is
-never closed reaches to the end; repeated rows are pages each; an empty table gives an
-empty result, and too few pages leave the classifier at its prior weights.
+never closed reaches to the end; repeated rows are pages each; a very long page is read whole;
+a block whose costs are equal is boilerplate unless its neighbours pull it; further columns aren't read; an empty table
+gives an empty result, and too few pages leave the classifier at its prior weights.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,8 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("canvas datalist iframe noembed noframes script style svg template textarea title".split())
+#: A block of these is its own container, any other one lies in its parent.
+HOLDERS = frozenset("address article aside body center dd details dialog div footer form header main nav section td th".split())
 #: An opening tag ends an open element of these, looked for up to one of the last three sets' containers.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 BOILERPLATE_TAGS = frozenset("nav footer aside form button select menu dialog label fieldset".split())
@@ -56,26 +64,37 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
 _STOPS = re.compile(r"[.!?…。]")
 
-FEATURES = ("content element", "boilerplate element", "boilerplate name", "content name", "links", "log length", "stops", "heading", "item", "paragraph", "no parent clue")
+FEATURES = ("content element", "boilerplate element", "boilerplate name", "content name", "outside the content element", "links", "log length", "stops", "heading", "item", "paragraph", "after the heading", "share of prose")
 #: Prior weights of FEATURES and the intercept.
-PRIOR = np.array([4.0, -7.0, -6.0, 2.0, -3.0, 0.5, 1.0, 0.8, -0.8, 0.6, 1.5, -2.2])
-STRUCTURAL = (0, 1, 2, 3)
-SMOOTH, SIBLING = 0.6, 0.3
+PRIOR = np.array([2.0, -6.0, -6.0, 1.0, -4.0, -3.0, 0.6, 1.0, 0.8, -0.8, 0.6, 0.6, 2.0, -2.4])
+CLUES, NAMES = (0, 1, 2, 3, 4), (2, 3)
+#: Capacities of neighbours in the page and under one parent, the weakening by each step in the tree beyond two, and the largest terminal capacity.
+SMOOTH, SIBLING, STEP, LARGEST = 1.5, 0.4, 0.35, 9.0
+#: Shares of the page's prose: an element of more is no boilerplate; a content element of more makes the rest outside.
+MOST, GOOD_PART = 0.6, 0.3
 
 
 class Block:
-    __slots__ = ("parts", "chars", "linked", "parent", "depth", "tag", "flags")
+    __slots__ = ("parts", "chars", "linked", "parent", "element", "tag")
 
-    def __init__(self, parent: int, depth: int, tag: str, flags: int):
+    def __init__(self, parent: int, element: int, tag: str):
         self.parts, self.chars, self.linked = [], 0, 0
-        self.parent, self.depth, self.tag, self.flags = parent, depth, tag, flags
+        self.parent, self.element, self.tag = parent, element, tag
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, Block]], list[int]]:
-    """(text, block) in page order, and the parent of each element."""
-    parents, found = [-1], []
-    # Open elements: tag, number, flags (1 content, 2 boilerplate element, 4 boilerplate name, 8 content name, 16 hidden).
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+@dataclass
+class Page:
+    """Blocks with their texts, in page order; by element its parent and clues (1 content, 2 boilerplate element, 4 boilerplate name, 8 content name)."""
+
+    blocks: list[tuple[str, Block]]
+    parents: list[int]
+    clues: list[int]
+
+
+def blocks_of(page: str) -> Page:
+    parents, clues, found = [-1], [0], []
+    # Open elements: tag, number, whether in a content element.
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
     links, block = 0, None
 
     def text(piece: str) -> None:
@@ -85,8 +104,8 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Block]], list[int]]:
                 block.parts.append(" ")
             return
         if block is None:
-            tag, number, flags = next(x for x in reversed(stack) if x[0] in BLOCK_TAGS or not x[0])
-            block = Block(number, len(stack), tag, stack[-1][2] | flags)
+            tag, number, _ = next(x for x in reversed(stack) if x[0] in BLOCK_TAGS or not x[0])
+            block = Block(number, stack[-1][1], tag)
             found.append(block)
         block.parts.append(piece)
         block.chars += len(piece)
@@ -146,58 +165,75 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Block]], list[int]]:
                     break
                 if tag in until or (tag in BLOCK_TAGS and not inside):
                     break
-        flags = stack[-1][2]
+        own, inside = 0, stack[-1][2]
         if name in CONTENT_TAGS:
-            flags |= 1
-        elif name in BOILERPLATE_TAGS or (name == "header" and not flags & 1):
-            flags |= 2
+            own, inside = 1, True
+        elif name in BOILERPLATE_TAGS or (name == "header" and not inside):
+            own = 2
         if attributes and name not in ("html", "body"):
             names = " ".join(_HUMP.sub(" ", a or b or c) for a, b, c in _NAMES.findall(attributes)).lower()
             if names:
-                if BOILERPLATE_NAMES.search(names):
-                    flags |= 4
-                elif CONTENT_NAMES.search(names):
-                    flags |= 8
+                own |= 4 if BOILERPLATE_NAMES.search(names) else 8 if CONTENT_NAMES.search(names) else 0
             if _HIDDEN.search(attributes):
-                flags |= 16
-        if name in BLOCK_TAGS:
-            parents.append(stack[-1][1])
-            stack.append((name, len(parents) - 1, flags))
-        else:
-            stack.append((name, stack[-1][1], flags))
-            links += name == "a"
+                own |= 4
+        number = stack[-1][1]
+        if own or name in BLOCK_TAGS:
+            parents.append(number)
+            clues.append(own)
+            number = len(parents) - 1
+        stack.append((name, number, inside))
+        links += name == "a"
     text(page[pos:])
     out = []
     for b in found:
         words = " ".join(html_library.unescape("".join(b.parts)).split())
         if words:
             out.append((words, b))
-    return out, parents
-
-
-def features(blocks: list[tuple[str, Block]]) -> np.ndarray:
+    return Page(out, parents, clues)
+
+
+def features(page: Page) -> np.ndarray:
+    blocks, parents = page.blocks, page.parents
+    # Numbers grow in page order: children add up to their parents from the last on, clues go down from the first on.
+    prose = [0] * len(parents)
+    for _, b in blocks:
+        prose[b.element] += b.chars - b.linked
+    for k in range(len(parents) - 1, 0, -1):
+        prose[parents[k]] += prose[k]
+    total = max(prose[0], 1)
+    seen = [0] * len(parents)
+    content = max((k for k, c in enumerate(page.clues) if c & 1), key=lambda k: prose[k], default=-1)
+    good = content >= 0 and prose[content] >= GOOD_PART * total
+    for k in range(1, len(parents)):
+        own = page.clues[k]
+        if prose[k] >= MOST * total:
+            own &= ~6
+        seen[k] = seen[parents[k]] | own | (16 if good and k == content else 0)
+    heading = next((k for k, (_, b) in enumerate(blocks) if b.tag == "h1"), -1)
     x = np.empty((len(blocks), len(FEATURES)))
     for k, (t, b) in enumerate(blocks):
-        f = b.flags
-        stops = len(_STOPS.findall(t))
-        x[k] = (f & 1 > 0, f & 2 > 0, f & 4 > 0 or f & 16 > 0, f & 8 > 0, b.linked / max(b.chars, 1), math.log1p(len(t)) / 2, min(stops, 5) / 5 + (t[-1] in ".!?…。:"), b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag in ("li", "td", "th", "dt", "option"), b.tag in ("p", "blockquote", "pre"), f == 0)
+        f, stops = seen[b.element], len(_STOPS.findall(t))
+        holder = parents[b.parent] if b.tag not in HOLDERS and parents[b.parent] >= 0 else b.parent
+        x[k] = (
+            f & 1 > 0, f & 2 > 0, f & 4 > 0, f & 8 > 0, good and not f & 16, b.linked / max(b.chars, 1), math.log1p(len(t)) / 2, min(stops, 5) / 5 + (t[-1] in ".!?…。:"),
+            b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag in ("li", "td", "th", "dt", "option"), b.tag in ("p", "blockquote", "pre"), 0 <= heading <= k, (prose[holder] / total) if holder else 0.0,
+        )
     return x
 
 
-def _edges(blocks: list[tuple[str, Block]], parents: list[int]) -> list[tuple[int, int, float]]:
+def _edges(page: Page) -> list[tuple[int, int, float]]:
     """Smoothness edges (i, j, capacity) of neighbours in the page and of neighbours under one parent."""
-    found, last = [], {}
-    for j, (_, b) in enumerate(blocks):
+    found, last, parents = [], {}, page.parents
+    for j, (_, b) in enumerate(page.blocks):
         if j:
-            a = blocks[j - 1][1]
-            up, x, y = 0, a.parent, b.parent
-            while x != y and up < 8:  # numbers grow in page order, so the larger one can't be above the other
+            up, x, y = 0, page.blocks[j - 1][1].parent, b.parent
+            while x != y and up < 12:  # numbers grow in page order, so the larger one can't be above the other
                 if x > y:
                     x = parents[x]
                 else:
                     y = parents[y]
                 up += 1
-            found.append((j - 1, j, SMOOTH * 0.7**up))
+            found.append((j - 1, j, SMOOTH * STEP ** max(0, up - 2)))
         holder = parents[b.parent]
         if holder in last and last[holder] != j - 1:
             found.append((last[holder], j, SIBLING))
@@ -280,57 +316,74 @@ def _source_side(rest: list[int], gain: np.ndarray, around: list[dict[int, float
                     nexts[path[-1]].pop()
 
 
-def extract(page: str, weights: np.ndarray) -> tuple[str, int, int]:
-    """The page's text, its content blocks and its blocks."""
-    blocks, parents = blocks_of(page)
-    if not blocks:
-        return "", 0, 0
+def labelled(page: Page, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The label of each block by the cut, and by its own costs alone."""
     # The cost of boilerplate less that of content is the log odds of content.
-    gain = np.clip(features(blocks) @ weights[:-1] + weights[-1], -12, 12)
-    label = minimum_cut(gain, _edges(blocks, parents))
-    kept = [t for (t, _), y in zip(blocks, label, strict=True) if y]
-    return "\n\n".join(kept), len(kept), len(blocks)
+    gain = np.clip(features(page) @ weights[:-1] + weights[-1], -LARGEST, LARGEST)
+    return minimum_cut(gain, _edges(page)), (gain > 0).astype(int)
 
 
-def fit_blocks(pages: DataFrame, max_pages: int = 400, max_blocks: int = 20_000) -> np.ndarray:
-    """Weights of FEATURES and the intercept, from blocks of at most max_pages pages (and max_blocks blocks).
+def extract(html: str, weights: np.ndarray) -> tuple[str, int, int, int]:
+    """The page's text, its content blocks, its blocks, and the labels that the cut changes."""
+    page = blocks_of(html)
+    if not page.blocks:
+        return "", 0, 0, 0
+    label, alone = labelled(page, weights)
+    kept = [t for (t, _), y in zip(page.blocks, label, strict=True) if y]
+    return "\n\n".join(kept), len(kept), len(page.blocks), int((label != alone).sum())
 
-    Pages are taken by a hash of page_id and url. Labels are those that elements tell;
-    each block counts once as it is and once without the clues.
+
+def told(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of features whose elements tell their label, and these labels."""
+    no = (x[:, 1] > 0) | (x[:, 2] > 0) | (x[:, 4] > 0)
+    yes = (x[:, 0] > 0) & ~no
+    return np.flatnonzero(yes | no), yes[yes | no].astype(float)
+
+
+def fit_blocks(pages: DataFrame, max_pages: int = 400, max_blocks: int = 200) -> np.ndarray:
+    """Weights of FEATURES and the intercept, from the blocks of at most max_pages pages and max_blocks of each.
+
+    Pages are taken by a hash of page_id and url, and the blocks of a longer page evenly spread over
+    it. Labels are those that elements tell; each block counts once as it is, once without naming words
+    and once without clues.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for page in batch.column("html").to_pylist():
-                x = features(blocks_of(page or "")[0])
-                rows += x[(x[:, 0] > 0) != (x[:, 1] + x[:, 2] > 0)].tolist()
+                x = features(blocks_of(page or ""))
+                at = told(x)[0]
+                rows += x[at[np.unique(np.linspace(0, len(at) - 1, min(len(at), max_blocks)).astype(int))]].tolist() if len(at) else []
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
 
-    # The pages are found by their keys alone; at most max_pages keys are broadcast.
+    # The pages are found by their keys alone; at most max_pages keys are broadcast, and one page stands for rows of one key.
     key = F.xxhash64(F.col("page_id").cast("string"), "url").alias("key")
-    chosen = pages.where("html is not null").select(key).orderBy("key").limit(max_pages)
-    sample = pages.select("html", key).join(F.broadcast(chosen.distinct()), "key").select("html")
-    rows = [r["x"] for r in sample.mapInArrow(run, "x array<double>").limit(max_blocks).collect()]
+    chosen = pages.where("html is not null").select(key).distinct().orderBy("key").limit(max_pages)
+    sample = pages.where("html is not null").select("html", key).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("html").alias("html")).select("html")
+    rows = sorted(r["x"] for r in sample.mapInArrow(run, "x array<double>").collect())
     if len(rows) < 100:
         return PRIOR.copy()
     x = np.array(rows)
-    y = (x[:, 0] > 0).astype(float)
-    bare = x.copy()
-    bare[:, STRUCTURAL] = 0.0
-    weight = np.concatenate([np.full(len(x), 200 / len(x)), np.full(len(x), 100 / len(x))])
-    return logistic_fit(np.concatenate([x, bare]), np.concatenate([y, y]), l2=4.0, weight=weight, prior=PRIOR)
+    y = told(x)[1]
+    unnamed, bare = x.copy(), x.copy()
+    unnamed[:, NAMES] = 0.0
+    bare[:, CLUES] = 0.0
+    weight = np.full(3 * len(x), 100 / len(x))
+    return logistic_fit(np.concatenate([x, unnamed, bare]), np.concatenate([y, y, y]), l2=4.0, weight=weight, prior=PRIOR)
 
 
 def extract_text(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """(page_id, url, text, n_content_blocks, n_blocks) for each row of pages (page_id, url, html)."""
+    """(page_id, url, text, n_content_blocks, n_blocks, n_changed) for each row of pages (page_id, url, html); n_changed: labels that the cut changes."""
     weights = fit_blocks(pages) if weights is None else weights
     kind = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [extract(p or "", weights) for p in batch.column("html").to_pylist()]
-            columns = list(zip(*got, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["page_id", "url", "text", "n_content_blocks", "n_blocks"])
-
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_content_blocks int, n_blocks int")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                got = [extract(p or "", weights) for p in batch.column("html").to_pylist()]
+                columns = list(zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["page_id", "url", "text", "n_content_blocks", "n_blocks", "n_changed"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_content_blocks int, n_blocks int, n_changed int")

@@ -45,7 +45,7 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_text(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_changed")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -377,6 +377,63 @@ def test_page_text():
     assert html_extract.extract(page, html_extract.PRIOR)[0] == "A & B\n\nFirst text.\n\nSecond text. More."
 
 
+def page_cost(page, weights, label):
+    """The cost of a labelling of the whole page, from its features and edges."""
+    gain = np.clip(html_extract.features(page) @ weights[:-1] + weights[-1], -html_extract.LARGEST, html_extract.LARGEST)
+    return sum(max(0, -g) if v else max(0, g) for g, v in zip(gain, label, strict=True)) + sum(c for i, j, c in html_extract._edges(page) if label[i] != label[j])
+
+
+def test_page_labels_are_those_of_brute_force(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    weights, tried = html_extract.fit_blocks(pages), 0
+    for r in pages.collect():
+        for html in (r.html, re.sub(r"</?article[^>]*>|</?nav[^>]*>|</?footer[^>]*>| class=\"[^\"]*\"", " ", r.html)):
+            page = html_extract.blocks_of(html)
+            if len(page.blocks) <= 12 and tried < 30:
+                label, tried = html_extract.labelled(page, weights)[0], tried + 1
+                assert math.isclose(page_cost(page, weights, label), min(page_cost(page, weights, y) for y in itertools.product((0, 1), repeat=len(label))), abs_tol=1e-6)
+    assert tried >= 10
+
+
+def test_text_needs_no_names(spark, sf_dir, monkeypatch):
+    """Fitted on every second page, held against the article's paragraphs of the others; clues are taken away step by step."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    weights = html_extract.fit_blocks(pages.where("page_id % 2 = 0"))
+    flows, old = [], html_extract._source_side
+    monkeypatch.setattr(html_extract, "_source_side", lambda rest, *x: flows.append(len(rest)) or old(rest, *x))
+    same, soup, blocks, changed = [0, 0], [0, 0], 0, 0
+    for r in pages.where("page_id % 2 = 1").collect():
+        article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        want = "\n\n".join(t for t, _ in html_extract.blocks_of(article).blocks)
+        for k, html in enumerate((r.html, re.sub(r" (class|id|role)=\"[^\"]*\"", "", r.html))):
+            same[k] += html_extract.extract(html, weights)[0] == want
+        # No element or name tells anything.
+        bare = re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", re.sub(r" class=\"[^\"]*\"", "", r.html))
+        page = html_extract.blocks_of(bare)
+        label, alone = html_extract.labelled(page, weights)
+        truth = np.array([t in want.split("\n\n") for t, _ in page.blocks], dtype=int)
+        soup[0] += (label == truth).sum()
+        soup[1] += (alone == truth).sum()
+        blocks, changed = blocks + len(truth), changed + (label != alone).sum()
+    n = pages.where("page_id % 2 = 1").count()
+    assert same == [n, n]
+    assert min(soup) >= 0.97 * blocks and changed > 0 and sum(flows) > 0, (soup, blocks, changed, sum(flows))
+    # A paragraph that its own costs call boilerplate is held by its neighbours.
+    html = "<div><a>x</a></div><div><h1>Title of it</h1>" + "".join(f"<p>{prose(k, 30)}.</p>" for k in range(3)) + "<p><a>ab</a> c</p>" + "".join(f"<p>{prose(k, 30)}.</p>" for k in range(3, 6)) + "</div>"
+    label, alone = html_extract.labelled(html_extract.blocks_of(html), weights)
+    assert label.tolist() == [0, *[1] * 8] and not alone[5]
+
+
+def test_names_of_the_article_drop_nothing():
+    text = [f"{prose(k, 40)}." for k in range(6)]
+    for name in ("legal", "search", "related-work", "comments-on-policy", "post"):
+        page = f"<nav><a>x</a></nav><main><article class='{name}'><h1>{prose(9, 5)}</h1>{''.join(f'<p>{t}</p>' for t in text)}</article></main><footer>f</footer>"
+        assert html_extract.extract(page, html_extract.PRIOR)[0].split("\n\n")[1:] == text, name
+    for holder in ("<div class='sidebar'>", "<div id='cookie-notice'>", "<section class='comments'>", "<aside>", "<form>"):
+        page = f"<article><h1>{prose(9, 5)}</h1>{''.join(f'<p>{t}</p>' for t in text)}{holder}<p>Another text that is here, and goes on for some words.</p></article>"
+        assert html_extract.extract(page, html_extract.PRIOR)[0].split("\n\n")[1:] == text, holder
+
+
 def test_foreign_elements_drop_no_text():
     for page, want in (
         ("<svg class=icon /><article><p>One two.</p></article><svg><text>x</text></svg><p>Three.</p>", ["One two.", "Three."]),
@@ -384,7 +441,7 @@ def test_foreign_elements_drop_no_text():
         ("<article><noscript>Shown.</noscript><object data=x>Instead.</object></article>", ["Shown.Instead."]),
         ("<p>a</p><svg><p>b</p>", ["a", "b"]), ("<p>a</p><math><mi>x</mi><p>b</p>", ["a", "x", "b"]), ("<p>a</p><object><p>b</p>", ["a", "b"]),
     ):
-        assert [t for t, _ in html_extract.blocks_of(page)[0]] == want, page
+        assert [t for t, _ in html_extract.blocks_of(page).blocks] == want, page
 
 
 def test_license_windows():
