@@ -419,7 +419,7 @@ def test_text_needs_no_names(spark, sf_dir, monkeypatch):
     assert same == [n, n]
     assert min(soup) >= 0.97 * blocks and changed > 0 and sum(flows) > 0, (soup, blocks, changed, sum(flows))
     # A paragraph that its own costs call boilerplate is held by its neighbours.
-    html = "<div><a>x</a></div><div><h1>Title of it</h1>" + "".join(f"<p>{prose(k, 30)}.</p>" for k in range(3)) + "<p><a>ab</a> c</p>" + "".join(f"<p>{prose(k, 30)}.</p>" for k in range(3, 6)) + "</div>"
+    html = "<div><a>x</a></div><div><h1>Title of it</h1>" + "".join(f"<p>{prose(k, 30)}.</p>" for k in range(3)) + "<p><a>ab</a></p>" + "".join(f"<p>{prose(k, 30)}.</p>" for k in range(3, 6)) + "</div>"
     label, alone = html_extract.labelled(html_extract.blocks_of(html), weights)
     assert label.tolist() == [0, *[1] * 8] and not alone[5]
 
