@@ -1,15 +1,17 @@
 """Quality scores by co-training of a content view and a metadata view.
 
-One classifier sees only the text, the other only the page's metadata (source,
-language, stated length). Both start from the labelled rows; in each round each takes
-the rows of an unlabelled pool that the other is surest of, in the classes'
-proportions, with the other's label. At the end each view is calibrated on labelled
+One classifier sees only the text (rates, and hashed words whose weights are learned), the
+other only the page's metadata (source, language, stated length). Both start from the labelled
+rows; in each round each takes the rows of an unlabelled pool that the other is surest
+of, in the classes' proportions, with the other's label. No labelled row, and so none that is kept
+aside, is in the pool. At the end each view is calibrated on labelled
 rows kept aside, and a logistic fit of the two calibrated views scores every document.
 Documents below a cutoff are rejected; it is 0.5, or lower where more than
 ``max_false`` of the good rows kept aside would go.
 
 Cases: a null or empty text has the content features of an empty text; null metadata
-is a value of its own; repeated rows score alike; without labels of both classes all
+is a value of its own; repeated rows score alike; a very long text is read whole; rows of one hash
+are taken in the order of doc_id; further columns aren't read, and kept by ``keep_quality``; without labels of both classes all
 documents are kept; an empty table gives an empty result.
 """
 
@@ -29,18 +31,21 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import logistic_fit, materialise, sigmoid
 
 BUCKETS = 32
-N_CONTENT = 13
+WORD_BUCKETS = 64
+N_CONTENT = 13 + WORD_BUCKETS
 
 
 def content_view(text: str) -> list[float]:
-    """Rates of the text: symbols, case, repetition, words and lines."""
+    """Rates of the text (symbols, case, repetition, words and lines), and the share of distinct words in each hashed bucket."""
     words = text.split()
     n, chars = max(len(words), 1), max(len(text), 1)
     counts = Counter(words)
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     letters = chars - text.count(" ")
     distinct = len(counts) / n
-    return [
+    buckets = Counter(map(WORD_BUCKETS.__rmod__, map(zlib.crc32, map(str.encode, counts))))
+    share = [buckets[k] * WORD_BUCKETS / max(len(counts), 1) / 4 for k in range(WORD_BUCKETS)]
+    return share + [
         min(10.0, 10 * sum(map(text.count, "#*$%&<>")) / n),
         min(10.0, 10 * text.count("|") / n),
         min(10.0, 10 * (text.count("!") + text.count("?")) / n),
@@ -112,7 +117,9 @@ def _collect_views(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.n
             content, meta = _views(batch)
             yield pa.RecordBatch.from_arrays([pa.array(content.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.float64())), batch.column("label"), batch.column("fold")], ["content", "meta", "label", "fold"])
 
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "content array<double>, meta array<double>, label int, fold int").collect()
+    # One row stands for those that repeat a doc_id, so what reaches the driver is as bounded as chosen.
+    found = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "fold").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("row")).select("label", "fold", "row.*")
+    rows = found.mapInArrow(run, "content array<double>, meta array<double>, label int, fold int").collect()
     rows.sort(key=lambda r: (r["label"], r["fold"], r["content"], r["meta"]))
     part = lambda c, w: np.array([r[c] for r in rows], dtype=float).reshape(-1, *w)
     return part("content", (N_CONTENT,)), part("meta", (3,)), part("label", ()), part("fold", ())
@@ -127,8 +134,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     by_hash = F.xxhash64("doc_id", F.lit("quality"))
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     labelled = known.withColumn("fold", F.pmod(by_hash, F.lit(5)).cast("int")).orderBy(by_hash, "doc_id").limit(max_labelled)
-    # Pool rows that are labelled get the label -1 too: they are drawn from all documents.
-    drawn = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(pool)
+    drawn = docs.where("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(pool)
     chosen = materialise(labelled.unionByName(drawn.select("doc_id", F.lit(-1).alias("label"), F.lit(-1).alias("fold"))), "quality-chosen")
     content, meta, label, fold = _collect_views(docs, chosen)
     train, held, free = (label >= 0) & (fold > 0), (label >= 0) & (fold == 0), label < 0

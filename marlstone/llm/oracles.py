@@ -18,29 +18,27 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, CAST(len(s) AS bigint) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)"""
 
 _RATES = ("symbol_rate", 4.0), ("dup_line_rate", 1.0), ("repeat_rate", 1.0), ("upper_rate", 1.0), ("shout_rate", 4.0), ("mean_word", 64.0)
-_PLACE = "CASE WHEN v <= 0 THEN 48 ELSE least(greatest(CAST(floor(ln(v / top) / ln(0.88)) AS int) + 1, 0), 48) END"
+_PLACE = ", ".join(f"CASE WHEN {r} <= 0 THEN 48 ELSE least(greatest(CAST(floor(ln({r} / {top}) / ln(0.88)) AS int) + 1, 0), 48) END" for r, top in _RATES)
 
-#: The base counts, and cutoffs on a grid as far as the exact binomial tail of the labelled good documents allows.
+#: The base counts, and cutoffs on a common grid as far as the exact binomial tail of the distinct labelled good texts allows.
 QUALITY_RULES = rf"""
 WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 g AS (SELECT *, CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [] END AS g FROM w),
 x AS (SELECT doc_id, unnest(g) AS t, unnest(range(1, len(g) + 1)) AS i FROM g),
 tw AS (SELECT doc_id, t FROM x GROUP BY ALL HAVING count(*) > 1),
 rw AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT x.doc_id, unnest([i, i + 1, i + 2]) AS k FROM x JOIN tw ON x.doc_id = tw.doc_id AND x.t = tw.t) GROUP BY 1),
-b AS (SELECT g.doc_id, lang, CAST(len(w) AS bigint) AS n_words, CAST(length(array_to_string(w, '')) AS bigint) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS bigint) AS n_symbols,
+b AS (SELECT g.doc_id, lang, text, CAST(len(w) AS bigint) AS n_words, CAST(length(array_to_string(w, '')) AS bigint) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS bigint) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS bigint) AS n_dup_lines, CAST(coalesce(rw.n, 0) AS bigint) AS n_repeat_words, len(lines) AS n_lines, length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper, length(text) - length(translate(text, '!?', '')) AS n_shouts FROM g LEFT JOIN rw ON g.doc_id = rw.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_rate, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_rate, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_rate,
   coalesce(n_upper / nullif(word_chars, 0), 0) AS upper_rate, coalesce(n_shouts / nullif(n_words, 0), 0) AS shout_rate, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word FROM b),
-k AS (SELECT lang FROM f WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 64),
-st AS (SELECT f.*, CASE WHEN lang IS NULL THEN '(none)' WHEN lang IN (SELECT lang FROM k) THEN lang ELSE '(other)' END AS stratum FROM f),
-rates AS ({" UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, {r} AS v, {top} AS top FROM st" for r, top in _RATES)}),
-places AS (SELECT doc_id, stratum, base_failed, rule, {_PLACE} AS place FROM rates),
+places AS (SELECT doc_id, coalesce(lang, '(none)') AS lang_group, text, base_failed, least({_PLACE}) AS place FROM f),
 good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-n AS (SELECT stratum, rule, count(*) AS n, list(place) AS held FROM places WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
-grid AS (SELECT stratum, rule, n, unnest(range(0, 48)) AS j, held FROM n),
-cnt AS (SELECT stratum, rule, n, j, len(list_filter(held, lambda p: p <= j)) AS k FROM grid),
-tail AS (SELECT stratum, rule, j, CASE WHEN k >= n * 0.01 THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) END AS p FROM cnt),
-ok AS (SELECT stratum, rule, j, p <= 0.05 / ((SELECT count(DISTINCT stratum) FROM st) * 6) AS ok FROM tail),
-cut AS (SELECT stratum, rule, coalesce(min(j) FILTER (NOT ok), 48) - 1 AS cut FROM ok GROUP BY ALL),
-rej AS (SELECT doc_id, bool_or(place <= cut) AS rejected FROM places JOIN cut USING (stratum, rule) GROUP BY 1)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept FROM f LEFT JOIN rej USING (doc_id)"""
+held AS (SELECT DISTINCT lang_group, text, place FROM places WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+n AS (SELECT lang_group, count(*) AS n, list(place) AS held FROM held GROUP BY ALL),
+grid AS (SELECT lang_group, n, unnest(range(0, 48)) AS j, held FROM n),
+cnt AS (SELECT lang_group, n, j, len(list_filter(held, lambda p: p <= j)) AS k FROM grid),
+tail AS (SELECT lang_group, j, CASE WHEN k >= n * 0.01 THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) END AS p FROM cnt),
+ok AS (SELECT lang_group, j, p <= 0.05 / (SELECT count(DISTINCT lang_group) FROM places) AS ok FROM tail),
+cut AS (SELECT lang_group, coalesce(min(j) FILTER (NOT ok), 48) - 1 AS cut FROM ok GROUP BY ALL)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f.base_failed, NOT f.base_failed AND NOT coalesce(place <= cut, false) AS kept
+FROM f JOIN places USING (doc_id) LEFT JOIN cut USING (lang_group)"""

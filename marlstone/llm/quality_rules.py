@@ -1,18 +1,19 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame operations only.
 
-Each rule rejects a document whose rate exceeds a cutoff. Cutoffs come from a
-fixed grid, most lenient first. A labelled holdout of good documents decides how
-far down the grid each rule may go in each stratum (language): a cutoff is
-accepted while the exact binomial tail P(Bin(n, alpha) <= rejected) stays within
-the rule's error share, and the first cutoff that isn't accepted ends the search
-(fixed-sequence testing, so the grid itself costs nothing). The error ``delta`` is
-divided by the number of rules and strata (Bonferroni). With probability
-1 - delta no rule rejects more than ``alpha`` of any stratum's good documents.
+Each rule rejects a document whose rate exceeds a cutoff. All rules' cutoffs go down a
+fixed grid together, most lenient first; a document's place is the first step of the
+grid at which some rule rejects it. A labelled holdout of good documents decides how far
+down each language group may go: a step is accepted while the exact binomial tail
+P(Bin(n, alpha) <= documents that any rule rejects) stays within the group's error share, and the
+first step that isn't accepted ends the search (fixed-sequence testing, so the grid
+itself costs nothing). The error ``delta`` is divided by the number of groups (Bonferroni).
+With probability 1 - delta, the rules together reject at most ``alpha`` of the good
+documents of each group. Equal texts of a group are one draw of the holdout.
 
 Cases: a null or empty text has no words and fails the base rules; a null language
-is a stratum of its own; repeated rows count once each; without labels, or too few
-for a bound, a stratum has no cutoffs and keeps whatever passes the base rules; an
-empty table gives an empty result.
+is a group of its own; repeated rows count once each in the result; without labels, or too few
+for a bound, a group has no cutoffs and keeps whatever passes the base rules; a rate that
+equals a cutoff passes it; a very long text is read whole; further columns aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ SYMBOLS = "#*$%&|<>"
 RULES = {"symbol_rate": 4.0, "dup_line_rate": 1.0, "repeat_rate": 1.0, "upper_rate": 1.0, "shout_rate": 4.0, "mean_word": 64.0}
 GRID_STEP = 0.88
 GRID_SIZE = 48
-MAX_STRATA = 64
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -36,13 +36,14 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def rule_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, counts, rates, base_failed) for each row of docs (doc_id, text, lang)."""
+    """(doc_id, lang_group, print, counts, rates, base_failed) for each row of docs (doc_id, text, lang)."""
     text = F.col("text")
     d = docs.select("doc_id", F.col("lang").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     stripped = F.btrim(text, F.lit(SPACE))
     d = d.select(
         "doc_id",
-        "lang",
+        F.coalesce("lang", F.lit("(none)")).alias("lang_group"),
+        F.xxhash64("text").alias("print"),
         F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, "[\\x20\\x09-\\x0D]+")).alias("words"),
         F.filter(F.split(text, "\n"), lambda line: _without(line, SPACE) > 0).alias("lines"),
         F.length(text).alias("chars"),
@@ -81,7 +82,7 @@ def rule_features(docs: DataFrame) -> DataFrame:
         "mean_word": rate("word_chars", "n_words"),
     }
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words").cast("long") > 50 * F.col("n_words").cast("long"))
-    return d.select("doc_id", "lang", *[c.alias(k) for k, c in long.items()], failed.alias("base_failed"), *[c.alias(k) for k, c in rates.items()])
+    return d.select("doc_id", "lang_group", "print", *[c.alias(k) for k, c in long.items()], failed.alias("base_failed"), *[c.alias(k) for k, c in rates.items()])
 
 
 def _place(value: Column, largest: float) -> Column:
@@ -92,6 +93,11 @@ def _place(value: Column, largest: float) -> Column:
     return F.when(value <= 0, F.lit(GRID_SIZE)).otherwise(F.least(F.greatest(at, F.lit(0)), F.lit(GRID_SIZE)))
 
 
+def place() -> Column:
+    """The first step of the grid at which some rule rejects."""
+    return F.least(*[_place(F.col(r), top) for r, top in RULES.items()])
+
+
 def binomial_tail_within(n: Column, k: Column, alpha: float, delta: Column) -> Column:
     """Whether P(Bin(n, alpha) <= k) <= delta, exactly but for double precision."""
     kd, nd = k.cast("double"), n.cast("double")
@@ -106,48 +112,33 @@ def binomial_tail_within(n: Column, k: Column, alpha: float, delta: Column) -> C
 
 
 def fit_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """(stratum, one place of the grid for each rule, null for none): MAX_STRATA + 2 rows at most.
+    """(lang_group, cut): the last accepted step of the grid, null for none; a row for each group with a labelled good document.
 
-    features: from ``with_stratum``. labels: (doc_id, quality); quality 1 marks the good documents.
+    labels: (doc_id, quality); quality 1 marks the good documents.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    held = features.where("not base_failed").join(good, "doc_id", "left_semi")
-    places = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _place(F.col(r), top).alias("place")) for r, top in RULES.items()])).alias("p")
-    counts = held.select("stratum", places).groupBy("stratum", "p.rule", "p.place").agg(F.count("*").alias("docs"))
-    per_rule = counts.groupBy("stratum", "rule").agg(F.sum("docs").alias("n"), F.collect_list(F.struct("place", "docs")).alias("at"))
-    strata = features.select("stratum").distinct().agg(F.count("*").alias("strata"))
+    held = features.where("not base_failed").join(good, "doc_id", "left_semi").select("lang_group", "print", place().alias("place")).distinct()
+    counts = held.groupBy("lang_group", "place").agg(F.count("*").alias("docs"))
+    by_group = counts.groupBy("lang_group").agg(F.sum("docs").alias("n"), F.collect_list(F.struct("place", "docs")).alias("at"))  # GRID_SIZE + 1 places at most
+    groups = features.select("lang_group").distinct().agg(F.count("*").alias("groups"))
     # One row, so this adds a column.
-    per_rule = per_rule.join(F.broadcast(strata), F.lit(True))
-    share = F.lit(delta) / (F.col("strata") * len(RULES))
+    by_group = by_group.join(F.broadcast(groups), F.lit(True))
+    share = F.lit(delta) / F.col("groups")
     grid = F.sequence(F.lit(0), F.lit(GRID_SIZE - 1))
     rejected = lambda j: F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + F.when(x["place"] <= j, x["docs"]).otherwise(0))
     passed = F.transform(grid, lambda j: binomial_tail_within(F.col("n"), rejected(j), alpha, share))
     first_failed = F.coalesce(F.nullif(F.array_position(passed, False), F.lit(0).cast("long")), F.lit(GRID_SIZE + 1).cast("long"))
-    cut = F.nullif((first_failed - 2).cast("int"), F.lit(-1))
-    return per_rule.select("stratum", "rule", cut.alias("cut")).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cut"))
-
-
-def with_stratum(features: DataFrame, max_strata: int = MAX_STRATA) -> DataFrame:
-    """Adds stratum: the language if it is among the most frequent ones, ``(other)`` or ``(none)``."""
-    known = features.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_strata)
-    # max_strata short strings at most are broadcast.
-    found = features.join(F.broadcast(known.select(F.col("lang").alias("known"))), F.col("lang") == F.col("known"), "left")
-    return found.withColumn("stratum", F.when(F.col("lang").isNull(), "(none)").otherwise(F.coalesce("known", F.lit("(other)")))).drop("known")
+    return by_group.select("lang_group", F.nullif((first_failed - 2).cast("int"), F.lit(-1)).alias("cut"))
 
 
 def apply_cutoffs(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """features with kept: false if a base rule or an accepted cutoff rejects."""
-    cuts = cutoffs.select("stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
-    # MAX_STRATA + 2 rows at most are broadcast.
-    found = features.join(F.broadcast(cuts), "stratum", "left")
-    hit = [F.coalesce(_place(F.col(r), top) <= F.col(f"cut_{r}"), F.lit(False)) for r, top in RULES.items()]
-    rejected = hit[0]
-    for h in hit[1:]:
-        rejected = rejected | h
-    return found.withColumn("kept", ~F.col("base_failed") & ~rejected).drop(*[f"cut_{r}" for r in RULES])
+    # A row for each language group; Spark chooses the join by its size.
+    found = features.join(cutoffs.select("lang_group", "cut"), "lang_group", "left")
+    return found.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(place() <= F.col("cut"), F.lit(False))).drop("cut")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """Counts, rates, base_failed and kept for each row of docs (doc_id, text, lang)."""
-    features = with_stratum(materialise(rule_features(docs), "rule-features"))
+    features = materialise(rule_features(docs), "rule-features")
     return apply_cutoffs(features, fit_cutoffs(features, labels, alpha, delta))

@@ -1,22 +1,26 @@
 """Toxicity scores: a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding maps compatibility forms and homoglyphs of other scripts to Latin
-letters, digits that stand for letters to these letters, and whatever is no
-letter to a space. Lexicon entries are word prefixes (or short whole words),
+letters, digits within a word that stand for letters to these letters, and whatever is no
+letter to a space; numbers stay numbers. Lexicon entries are word prefixes (or short whole words),
 learned from labelled rows: those that toxic documents hold in significantly many
 different contexts, so copies of a toxic document don't bring in its harmless words.
-Weights are smoothed log-odds. Hits that lie within an exception phrase don't count,
-and further hits of one entry count ever less. A logistic fit turns the length-
-normalised sums into a probability.
+Weights are smoothed log-odds. Hits that lie within an exception phrase don't count:
+phrases given by the caller, and word pairs with an entry that several harmless labelled
+texts hold and no toxic one. Further hits of one entry count ever less. A logistic fit
+turns the length-normalised sums into a probability.
 
 Cases: a null or empty text scores as one without hits; repeated rows score
-alike; an empty table gives an empty result; without labelled rows of both
-classes the lexicon is empty and every score is the base rate (0 without rows).
+alike; a very long text is scanned whole; further columns aren't read; terms of equal significance are taken
+longest first, then in the order of letters; an empty table gives an empty result; without
+labelled rows of both classes the lexicon is empty and every score is the base rate (0 without rows).
+Of a doc_id that is labelled and repeated with different texts, one text is learned from.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -39,6 +43,7 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "clown fish", "rodeo clown", "pond scum", "soap scum")
 PREFIXES = range(4, 9)
+_NUMBER = re.compile(r"(?<![^\W_])[0-9]+(?![^\W_])")
 
 
 class _Fold(dict):
@@ -60,7 +65,7 @@ _FOLD = _Fold()
 
 def fold(text: str) -> str:
     """Folded text with one space before and after; words are separated by spaces."""
-    return f" {text.translate(_FOLD)} "
+    return f" {_NUMBER.sub(' ', text).translate(_FOLD)} "
 
 
 @dataclass
@@ -166,18 +171,30 @@ def _contexts(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["term", "before"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, lexicon_size: int = 2_000, exceptions: tuple[str, ...] = EXCEPTIONS, least_weight: float = 3.0) -> ToxicityModel:
+def _phrases(batches: Iterator[pa.RecordBatch], entries: set[str]) -> Iterator[pa.RecordBatch]:
+    """(phrase, toxic): word pairs of each text with a word that an entry matches."""
+    for batch in batches:
+        found = []
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            words = fold(text).split()
+            hit = [f" {w} " in entries or any(f" {w[:n]}" in entries for n in PREFIXES if len(w) >= n) for w in words]
+            found += sorted({(f"{words[k]} {words[k + 1]}", toxic) for k in range(len(words) - 1) if hit[k] or hit[k + 1]})
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32())], ["phrase", "toxic"])
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, lexicon_size: int = 2_000, exceptions: tuple[str, ...] = EXCEPTIONS, least_weight: float = 3.0, least_harmless: int = 5) -> ToxicityModel:
     """Learn entries and weights from labelled rows.
 
     ``labels`` (doc_id, toxic) are the rows to learn from; at most ``max_labelled``
     of them, by a hash of doc_id, are used, each text once. At most ``lexicon_size`` entries
     are kept, each of log-odds ``least_weight`` at least and significant after correction for
-    the number of terms tried.
+    the number of terms tried. A word pair of ``least_harmless`` harmless texts and no toxic one
+    is an exception; at most ``lexicon_size`` of them are kept, the most frequent ones.
     """
     chosen = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = chosen.where("toxic in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # At most max_labelled rows of two numbers are broadcast.
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).groupBy("text").agg(F.max("toxic").alias("toxic"))
     sample = materialise(sample, "toxicity-sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
@@ -198,6 +215,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     contexts = sample.mapInArrow(lambda batches: _contexts(batches, names), "term string, before string").distinct().groupBy("term").agg(F.count("*").alias("n"))
     of = {r["term"]: r["n"] for r in contexts.collect()} if names else {}
     model = ToxicityModel(_pick([(r["term"], r["toxic_docs"], r["other_docs"], of[r["term"]]) for r in rows], toxic, other, lexicon_size, least), exceptions)
+    entries = set(model.weights)
+    pairs = sample.mapInArrow(lambda batches: _phrases(batches, entries), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
+    harmless = pairs.where(f"toxic = 0 and n >= {least_harmless}").orderBy(F.desc("n"), "phrase").limit(lexicon_size).collect()
+    model.exceptions = (*exceptions, *(r["phrase"] for r in harmless))
     got = np.array([tuple(r) for r in _with_features(sample, model).select("x0", "x1", "x2", "toxic").collect()])
     model.beta = logistic_fit(got[:, :3], got[:, 3], l2=0.5).tolist()
     return model

@@ -469,6 +469,80 @@ def test_toxicity_folds_and_excepts(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
 
 
+def test_hits_are_those_of_a_plain_scan():
+    rng = random.Random(9)
+    model = toxicity.ToxicityModel({" abc": 2.0, " ab ": 1.0, " dada": 3.0, " bad": 0.5}, ("abc cab", "bad dada"))
+    phrases = [f" {p} " for p in model.exceptions]
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("abcd4") for _ in range(rng.randint(1, 5))) for _ in range(12))
+        folded = toxicity.fold(text)
+        covered = [(k, k + len(p)) for p in phrases for k in range(len(folded)) if folded.startswith(p, k)]
+        counts = Counter(e for e in model.weights for k in range(len(folded)) if folded.startswith(e, k) and not any(a <= k and k + len(e) <= b for a, b in covered))
+        total = sum(model.weights[e] * (1 + math.log(n)) for e, n in counts.items())
+        got = toxicity.features(text, model.automaton())
+        assert math.isclose(got[0], math.log1p(total)) and math.isclose(got[2], math.log1p(len(counts)))
+
+
+def test_numbers_are_no_words():
+    assert toxicity.fold("In 1990 l0ts of b4d 5 (2024) x9").split() == ["in", "lots", "of", "bad", "xg"]
+
+
+def test_harmless_phrases_are_learned(spark):
+    rng, rows, labels = random.Random(4), [], []
+    for k in range(900):
+        words = prose(k, 40).split()
+        if k % 3 == 0:
+            words[rng.randrange(40)] = "wretchling"
+        elif k % 30 == 1:
+            words[5:7] = ["wretchling", "pie"]
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 3 == 0)))
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), exceptions=())
+    assert "wretchling pie" in model.exceptions
+
+
+def test_good_documents_are_kept_jointly(spark):
+    """Of fresh good documents, at most alpha goes by all rules together, in nearly all draws."""
+    from marlstone.llm.quality_rules import quality_rules
+
+    rng, rows, labels = random.Random(3), [], []
+    for k in range(4000):
+        words = prose(k, 60).split()
+        for _ in range(int(rng.expovariate(1) * 3)):
+            at = rng.randrange(60)
+            words[at] = rng.choice([words[at].upper(), words[at] + "!", words[at] + "#"])
+        rows.append((k, " ".join(words), "en"))
+        labels += [(k, 1)] * (k < 2000)
+    rows += [(5000 + k, rows[7][1], "en") for k in range(500)]  # copies are one draw
+    labels += [(5000 + k, 1) for k in range(500)]
+    found = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).where("not base_failed")
+    kept = [r.kept for r in found.where("doc_id >= 2000 and doc_id < 5000").collect()]
+    assert 0 < kept.count(False) <= 0.015 * len(kept)
+
+
+def test_licenses_are_those_of_brute_force():
+    index = licenses.Templates(licenses.LICENSES, 75)
+    rng, hits = random.Random(2), 0
+    for k in range(120):
+        name, text = rng.choice(licenses.LICENSES)
+        w = text.split()
+        for _ in range(rng.randrange(1 + len(w) // 12)):
+            w[rng.randrange(len(w))] = "zz"
+        doc = f"{prose(k, rng.randint(0, 60))} {' '.join(w)} {prose(k + 500, 20)}"
+        words = re.findall(r"\w+", doc.lower())
+        want = set()
+        for n, t in licenses.LICENSES:
+            own = re.findall(r"\w+", t.lower())
+            shingles = {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+            size = len(own) + max(1, len(own) // 2)
+            starts = range(0, max(1, len(words)), max(1, len(own) // 2))
+            if shingles and any(100 * len(shingles & {tuple(words[i : i + 5]) for i in range(a, min(a + size, len(words)) - 4)}) >= 75 * len(shingles) for a in starts):
+                want.add(n)
+        assert set(index.scan(doc)) == want, (name, doc)
+        hits += bool(want)
+    assert hits > 60
+
+
 def test_quality_classifier_held_out(spark):
     from marlstone.llm.cotrain import fit_quality, score_quality
 
