@@ -7,9 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that tell seniority or a company's legal form, and units of pay.
-SENIORITY = ("senior", "sr", "junior", "jr", "staff", "principal", "lead", "associate", "intern", "entry", "mid", "i", "ii", "iii", "iv", "v")
-LEGAL_FORMS = ("inc", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "plc", "sa", "ag", "bv")
+# Seniority words that an alias key lacks (not "lead", which names a role), level words that a
+# canonical title lacks, legal forms and the like in company names, wage levels, pay bands, and units of pay.
+SENIORITY = (
+    "intern", "graduate", "grad", "entry", "junior", "jr", "associate", "mid", "senior", "sr", "staff", "principal", "prin", "distinguished", "fellow", "vice president",
+    "i", "ii", "iii", "iv", "v", "1", "2", "3", "4",
+)
+LEVEL_WORDS = ("senior", "sr", "junior", "jr", "staff", "principal", "lead", "associate", "intern", "entry", "mid", "i", "ii", "iii", "iv", "v")
+LEGAL_FORMS = ("inc", "llc", "ltd", "limited", "gmbh", "corp", "co", "company", "plc", "pvt", "private", "technologies", "labs", "group")
+WAGE_LEVELS = {"i": "0-2", "ii": "3-5", "iii": "6-9", "iv": "10+"}
+PAY_TOKENS = ((40_000, "sal-0"), (75_000, "sal-1"), (120_000, "sal-2"), (180_000, "sal-3"), (260_000, "sal-4"))
 UNITS_PER_YEAR = {"year": 1.0, "hour": 2080.0, "month": 12.0, "week": 52.0, "bi-weekly": 26.0}
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
@@ -22,16 +29,20 @@ def one_space(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, " +", " "))
 
 
+def any_word(words: Sequence[str]) -> str:
+    """A pattern of these whole words."""
+    return r"\b(" + "|".join(w.replace(" ", r"\s+") for w in words) + r")\b"
+
+
 def normalize_surface(c: Column, drop: Sequence[str] = SENIORITY) -> Column:
     """Lower case; letters, digits and ``+#./`` only; without seniority words, unless nothing else is left."""
-    kept = one_space(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9+#./ ]", " "))
-    words = F.filter(F.split(kept, " "), lambda w: w.rlike("[a-z0-9]"))
-    bare = F.transform(words, lambda w: F.btrim(w, F.lit(".")))
-    left = F.array_join(F.filter(bare, lambda w: ~w.isin(*drop)), " ")
-    return F.coalesce(F.nullif(left, F.lit("")), F.array_join(bare, " "))
+    kept = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9+#./ ]+", " ")
+    # Words left as bare punctuation go.
+    clean = lambda x: F.array_join(F.filter(F.split(x, " +"), lambda w: w.rlike("[a-z0-9]")), " ")
+    return F.coalesce(F.nullif(clean(F.regexp_replace(kept, any_word(drop), " ")), F.lit("")), clean(kept))
 
 
-def canon_title(c: Column, drop: Sequence[str] = SENIORITY) -> Column:
+def canon_title(c: Column, drop: Sequence[str] = LEVEL_WORDS) -> Column:
     """Lower case, letters and digits only, without level words."""
     words = F.split(one_space(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", " ")), " ")
     return F.array_join(F.filter(words, lambda w: ~w.isin(*drop)), " ")
@@ -39,7 +50,38 @@ def canon_title(c: Column, drop: Sequence[str] = SENIORITY) -> Column:
 
 def norm_employer(c: Column) -> Column:
     """Lower case, letters and digits only, without legal forms."""
-    return canon_title(c, LEGAL_FORMS)
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), any_word(LEGAL_FORMS), " "), "[^a-z0-9]+", " "))
+
+
+def wage_band(level: Column) -> Column:
+    """The experience band of a wage level: I to IV, 1 to 4, with or without the word, or ``entry``; null for others."""
+    low = F.regexp_replace(F.lower(F.btrim(level)), "^level ", "")
+    bands = dict(WAGE_LEVELS)
+    found = F.when((low == "entry") & (F.lower(F.btrim(level)) == "entry"), "0-2")
+    for k, (roman, band) in enumerate(bands.items(), 1):
+        found = found.when((low == roman) | (F.lower(F.btrim(level)) == str(k)), band)
+    return found
+
+
+def pay_token(value: Column) -> Column:
+    """A coarse token of yearly pay."""
+    found = F.when(value.isNull() | (value <= 0), "sal-unknown")
+    for most, token in PAY_TOKENS:
+        found = found.when(value < most, token)
+    return found.otherwise("sal-5")
+
+
+def composite_document(title: Column, skills: Column, department: Column, pay: Column) -> Column:
+    """Title, the first twelve skills in the order of letters, department and pay token, set apart by bars."""
+    low = F.array_sort(F.array_distinct(F.filter(F.transform(skills, lambda x: F.lower(F.btrim(x))), lambda x: x != "")))
+    parts = F.concat_ws(" || ", normalize_surface(title), F.array_join(F.slice(low, 1, 12), " "), normalize_surface(department), pay_token(pay))
+    return F.btrim(F.regexp_replace(parts, "\\s+", " "))
+
+
+def token_overlap(name: Column, text: Column) -> Column:
+    """The share of the name's words that the text has; words may hold ``+#./-``."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9+#./-]+"), F.lit(0)))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(words(name), words(text))), F.size(words(name))), F.lit(0.0))
 
 
 def words_of(c: Column) -> Column:
@@ -140,7 +182,7 @@ def pay_band(c: Column) -> tuple[Column, Column]:
 def remote_flag(c: Column) -> Column:
     """Whether remote work is offered, and not denied."""
     low = F.lower(c)
-    return low.rlike("remote") & ~low.rlike("(no|not) remote|onsite only")
+    return low.rlike(r"\bremote\b") & ~low.rlike(r"\b(no\s+remote|not\s+remote|on-?site\s+only)\b")
 
 
 def host_of(url: Column) -> Column:

@@ -5,9 +5,13 @@ All become equality joins on exploded parts, so none compares every row with eve
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import text
 from marlstone.functions.text import trigrams
 
 
@@ -50,3 +54,38 @@ def overlap_ranking(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     shared = left.select(left_id, item).distinct().join(right.select(right_id, item).distinct(), item).groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
     w = Window.partitionBy(left_id).orderBy(F.desc("shared"), right_id)
     return shared.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def name_similarity(q: Column, a: Column) -> Column:
+    """The greatest of sequence ratio, trigram and word Jaccard of two normalised names; 0.8 at least where one of four letters and more holds the other."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, i, j).ratio() for i, j in zip(x, y, strict=True)], dtype=float)
+
+    score = F.greatest(ratio(q, a), text.jaccard(text.trigrams(q), text.trigrams(a)), text.jaccard(F.array_distinct(F.split(q, " ")), F.array_distinct(F.split(a, " "))))
+    held = (F.length(q) >= 4) & (q.contains(a) | a.contains(q))
+    return F.when((q == "") | (a == ""), 0.0).otherwise(F.greatest(score, F.when(held, 0.8).otherwise(0.0)))
+
+
+def resolve(queries: DataFrame, aliases: DataFrame, high: float = 0.82, medium: float = 0.55) -> DataFrame:
+    """(query, id, score, tier, confidence): the best entity for each row of queries (query) by the aliases (alias, id).
+
+    Names are normalised; an equal one is exact, else the alias of the greatest ``name_similarity``
+    wins, of equal ones the smallest id. Only aliases that share a letter pair with the query are compared: at
+    no shared pair, none of the four signals reaches ``medium`` but by chance of single letters. A query
+    without any such alias has a null id and the confidence low.
+    """
+    names = aliases.select(text.normalize_surface(F.col("alias")).alias("a"), "id").where("a <> ''").distinct()
+    asked = queries.select("query", text.normalize_surface(F.col("query")).alias("q")).distinct()
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    # Distinct names on both sides: a frequent letter pair meets names, not rows.
+    left = asked.select("q").distinct().withColumn("pair", F.explode(pairs(F.col("q"))))
+    right = names.select("a").distinct().withColumn("pair", F.explode(pairs(F.col("a"))))
+    both = left.join(right, "pair").select("q", "a").distinct().withColumn("score", name_similarity(F.col("q"), F.col("a")))
+    best = both.join(names, "a").groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("less"), "id")).alias("best"))
+    found = asked.join(best.select("q", F.col("best.id").alias("id"), (-F.col("best.less")).alias("score")), "q", "left")
+    exact = names.groupBy(F.col("a").alias("q")).agg(F.min("id").alias("exact"))
+    found = found.join(exact, "q", "left").withColumn("score", F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
+    confidence = F.when(F.col("score") >= high, "high").when(F.col("score") >= medium, "med").otherwise("low")
+    return found.select("query", F.coalesce("exact", "id").alias("id"), "score", F.when(F.col("exact").isNotNull(), "exact").otherwise("fuzzy").alias("tier"), confidence.alias("confidence"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as t
 from marlstone.operators.knn import nearest, similarity_groups
-from marlstone.operators.lookup import best_trigram_match, longest_contained
+from marlstone.operators.lookup import best_trigram_match, longest_contained, resolve
 from marlstone.plans.registry import query
 from marlstone.sources.tables import table
 
@@ -23,18 +23,20 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), t.slug(F.concat_ws(" / ", "p_name", "p_type")).alias("slug"))
 
 
-@query("""WITH w AS (SELECT p_partkey AS part, list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(lower('Sr. ' || p_name || ' (' || p_type || ') II'), '[^a-z0-9+#./ ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: trim(x, '.')), lambda x: regexp_matches(x, '[a-z0-9]')) AS w FROM part)
-SELECT part, coalesce(nullif(array_to_string(list_filter(w, lambda x: x NOT IN ('senior','sr','junior','jr','staff','principal','lead','associate','intern','entry','mid','i','ii','iii','iv','v')), ' '), ''), array_to_string(w, ' ')) AS surface FROM w""")
+@query("""WITH r AS (SELECT p_partkey AS part, regexp_replace(lower(CASE p_partkey % 4 WHEN 0 THEN 'Sr. ' || p_name || ' (' || p_type || ') II' WHEN 1 THEN 'Tech Lead, ' || p_name WHEN 2 THEN 'Staff' ELSE 'Vice  President of C++/' || p_name END), '[^a-z0-9+#./ ]+', ' ', 'g') AS r FROM part),
+w AS (SELECT part, list_filter(string_split_regex(regexp_replace(r, '\\b(intern|graduate|grad|entry|junior|jr|associate|mid|senior|sr|staff|principal|prin|distinguished|fellow|vice\\s+president|i|ii|iii|iv|v|1|2|3|4)\\b', ' ', 'g'), ' +'), lambda x: regexp_matches(x, '[a-z0-9]')) AS w, list_filter(string_split_regex(r, ' +'), lambda x: regexp_matches(x, '[a-z0-9]')) AS every FROM r)
+SELECT part, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE array_to_string(every, ' ') END AS surface FROM w""")
 def normalized_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles without seniority words."""
-    title = F.concat(F.lit("Sr. "), "p_name", F.lit(" ("), "p_type", F.lit(") II"))
+    kind = F.col("p_partkey") % 4
+    title = F.when(kind == 0, F.concat(F.lit("Sr. "), "p_name", F.lit(" ("), "p_type", F.lit(") II"))).when(kind == 1, F.concat(F.lit("Tech Lead, "), "p_name")).when(kind == 2, "Staff").otherwise(F.concat(F.lit("Vice  President of C++/"), "p_name"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), t.normalize_surface(title).alias("surface"))
 
 
-@query("""SELECT s_suppkey AS supplier, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(s_name || ', Inc.'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: x NOT IN ('inc','llc','ltd','limited','corp','corporation','co','company','gmbh','plc','sa','ag','bv')), ' ') AS employer FROM supplier""")
+@query("""SELECT s_suppkey AS supplier, trim(regexp_replace(regexp_replace(lower(s_name || ' Technologies Pvt. Ltd, Inc.'), '\\b(inc|llc|ltd|limited|gmbh|corp|co|company|plc|pvt|private|technologies|labs|group)\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS employer FROM supplier""")
 def normalized_employers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company names without legal forms."""
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), t.norm_employer(F.concat("s_name", F.lit(", Inc."))).alias("employer"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), t.norm_employer(F.concat("s_name", F.lit(" Technologies Pvt. Ltd, Inc."))).alias("employer"))
 
 
 @query("SELECT c_custkey AS customer, TRY_CAST(replace(replace(replace('$' || printf('%,d', CAST(floor(abs(c_acctbal)) AS bigint)), '$', ''), ',', ''), '%', '') AS double) AS amount, TRY_CAST(NULL AS double) AS missing FROM customer")
@@ -150,7 +152,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT conv_id, turn, coalesce(list_max(list_transform(regexp_extract_all(lower(text || ' ' || turn || '+ years'), '([0-9]{1,2})[+]? *(?:years|yrs)', 1), lambda x: CAST(x AS int))), 4) AS years, regexp_matches(lower(text), 'remote') AND NOT regexp_matches(lower(text), '(no|not) remote|onsite only') AS remote FROM conversations""")
+@query("""SELECT conv_id, turn, coalesce(list_max(list_transform(regexp_extract_all(lower(text || ' ' || turn || '+ years'), '([0-9]{1,2})[+]? *(?:years|yrs)', 1), lambda x: CAST(x AS int))), 4) AS years, regexp_matches(lower(text), '\\bremote\\b') AND NOT regexp_matches(lower(text), '\\b(no\\s+remote|not\\s+remote|on-?site\\s+only)\\b') AS remote FROM conversations""")
 def years_and_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years mentioned in a turn, and whether remote work is offered."""
     text = F.concat_ws(" ", "text", F.concat(F.col("turn").cast("string"), F.lit("+ years")))
@@ -254,3 +256,41 @@ def resolution_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
     score = F.when(name > "t", 0.9).when(name > "m", 0.6).otherwise(0.3)
     return names.select("name", F.when(score >= 0.82, "high").when(score >= 0.55, "medium").otherwise("low").alias("band"))
+
+
+@query("""SELECT l_orderkey AS id, l_linenumber AS line, CASE l_linenumber % 6 WHEN 1 THEN '0-2' WHEN 2 THEN '3-5' WHEN 3 THEN '6-9' WHEN 4 THEN '10+' WHEN 5 THEN '0-2' END AS band, CASE WHEN l_extendedprice <= 0 THEN 'sal-unknown' WHEN l_extendedprice * 3 < 40000 THEN 'sal-0' WHEN l_extendedprice * 3 < 75000 THEN 'sal-1' WHEN l_extendedprice * 3 < 120000 THEN 'sal-2' WHEN l_extendedprice * 3 < 180000 THEN 'sal-3' WHEN l_extendedprice * 3 < 260000 THEN 'sal-4' ELSE 'sal-5' END AS pay FROM lineitem""")
+def wage_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experience bands of wage levels, and coarse pay tokens."""
+    level = F.element_at(F.array(*[F.lit(x) for x in ("none", "I", "Level II", "3", " iv ", "Entry")]), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), t.wage_band(level).alias("band"), t.pay_token(F.col("l_extendedprice") * 3).alias("pay"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT lower(p_brand)))[1:12] AS skills, max(l_extendedprice) AS pay FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT o_orderkey AS id, 'order ' || lower(o_orderstatus) || ' || ' || array_to_string(list_transform(skills, lambda x: trim(x)), ' ') || ' || ' || lower(regexp_replace(o_orderpriority, '^[0-9]-', '')) || ' || ' || CASE WHEN pay < 40000 THEN 'sal-0' WHEN pay < 75000 THEN 'sal-1' ELSE 'sal-2' END AS document FROM orders JOIN s ON o_orderkey = k""")
+def composite_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's status, brands, priority and pay token as one text."""
+    brands = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    brands = brands.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("p_brand").alias("skills"), F.max("l_extendedprice").alias("pay"))
+    status = F.concat(F.lit("Senior Order ("), "o_orderstatus", F.lit(")"))
+    return table(spark, sf_dir, "orders").join(brands, "o_orderkey").select(F.col("o_orderkey").alias("id"), t.composite_document(status, F.col("skills"), F.regexp_replace("o_orderpriority", "^[0-9]-", ""), F.col("pay")).alias("document"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), d AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9+#./-]+')) AS w FROM benchmark), q AS (SELECT name, list_distinct(regexp_extract_all(lower(name || ' the and'), '[a-z0-9+#./-]+')) AS w FROM n)
+SELECT name, item_id, len(list_intersect(q.w, d.w)) / len(q.w) AS score FROM q JOIN d ON len(list_intersect(q.w, d.w)) > 0""")
+def token_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each name's words in each benchmark item, where they share one."""
+    name = F.concat("name", F.lit(" the and"))
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9+#./-]+"), F.lit(0))))
+    names, items = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct(), table(spark, sf_dir, "benchmark")
+    both = names.select("name", words(name).alias("w")).join(items.select("item_id", words(F.col("text")).alias("w")), "w").select("name", "item_id").distinct()
+    return both.join(items, "item_id").select("name", "item_id", t.token_overlap(name, F.col("text")).alias("score"))
+
+
+@query()
+def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' market segments, clipped and misspelt, resolved to part names and segments: exact, then by similarity."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("alias"), F.col("p_name").alias("id")).distinct()
+    segments = table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    aliases = parts.unionByName(segments.select(F.col("c_mktsegment").alias("alias"), F.col("c_mktsegment").alias("id")))
+    asked = segments.select(F.explode(F.array("c_mktsegment", F.concat(F.lit("Senior "), F.substring("c_mktsegment", 1, 5)), F.concat(F.lit("x"), F.reverse("c_mktsegment")))).alias("query"))
+    return resolve(asked.unionByName(parts.select(F.concat(F.substring("alias", 2, 20), F.lit("s")).alias("query"))), aliases)

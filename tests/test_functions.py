@@ -11,7 +11,11 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize(("given", "want"), [("Sr. Software Engineer II", "software engineer"), ("C++ Engineer", "c++ engineer"), ("Staff", "staff"), (None, "")])
+@pytest.mark.parametrize(("given", "want"), [
+        ("Sr. Software Engineer II", "software engineer"), ("Senior Data Engineer", "data engineer"), ("Staff Data Engineer", "data engineer"), ("Junior Frontend Engineer", "frontend engineer"), ("Tech Lead", "tech lead"),
+        ("Head of Engineering", "head of engineering"), ("Engineering Lead", "engineering lead"), ("technical lead manager", "technical lead manager"), ("Director of Engineering", "director of engineering"), ("Staff", "staff"), ("Senior", "senior"),
+        ("C++ Engineer", "c++ engineer"), ("CI/CD Engineer", "ci/cd engineer"), ("", ""), (None, ""), ("Distinguished Vice  President of Sales 3", "of sales"),
+    ])
 def test_normalize_surface(spark, given, want):
     assert one(spark, text.normalize_surface(F.col("c")), c=given) == want
 
@@ -19,7 +23,8 @@ def test_normalize_surface(spark, given, want):
 @pytest.mark.parametrize(
     ("f", "given", "want"),
     [
-        (text.slug, "  A&B, C ", "a-b-c"), (text.canon_title, "Lead Data-Scientist III", "data scientist"), (text.norm_employer, "Acme, Inc.", "acme"), (text.parse_number, "$1,234.5", 1234.5), (text.parse_number, "n/a", None),
+        (text.slug, "  A&B, C ", "a-b-c"), (text.canon_title, "Lead Data-Scientist III", "data scientist"), (text.norm_employer, "Acme, Inc.", "acme"), (text.norm_employer, "Foo Technologies Pvt. Ltd", "foo"), (text.norm_employer, "Banco AG", "banco ag"), (text.remote_flag, "on-site only, remote later", False), (text.remote_flag, "remotely", False),
+        (text.wage_band, "Level II", "3-5"), (text.wage_band, "4", "10+"), (text.wage_band, "level 1", None), (text.wage_band, "entry", "0-2"), (text.parse_number, "$1,234.5", 1234.5), (text.parse_number, "n/a", None),
         (text.horizon_years, "2023-2033", 10), (text.horizon_years, "3yr", 3), (text.horizon_years, "current", None), (text.horizon_years, "long", 10), (text.years_mentioned, "2 yrs and 7+ years", 7), (text.years_mentioned, "none", 4),
         (text.month_of, "Who is hiring? (March 2021)", "2021-03"), (text.month_of, "nothing", None), (text.remote_flag, "Remote ok", True), (text.remote_flag, "no remote", False), (text.strip_html, "<p>a &amp; b</p><script>x</script> c", "a & b c"),
         (text.surt, "https://a.b.example.com/x/y", "com,example,b,a"), (text.tail_of, "http://x/y/z", "z"), (text.indian_digits, "12345678", "1,23,45,678"), (text.indian_digits, "999", "999"),

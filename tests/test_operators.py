@@ -127,3 +127,39 @@ def test_similarity_groups_hold_all_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(3000, None), (3001, [0.0] * 64)], "id long, v array<double>")
     got = dict(map(tuple, knn.similarity_groups(df, "id", "v").collect()))
     assert got == {**dict(enumerate(want.tolist())), 3000: 3000, 3001: 3001}
+
+
+def test_resolve_is_that_of_a_plain_scan(spark):
+    from difflib import SequenceMatcher
+
+    from marlstone.operators.lookup import resolve
+
+    aliases = [("software engineer", 1), ("software developer", 1), ("data scientist", 2), ("data engineer", 3), ("react developer", 4), ("ml ops", 5)]
+    asked = ["Senior Software Enginer", "Data Scientist II", "react", "scientist data", "ml", "engineer", "q", "Sftware devloper", "dta enginr"]
+    names = {"Senior Software Enginer": "software enginer", "Data Scientist II": "data scientist", "Sftware devloper": "sftware devloper"}
+
+    def trigrams(s):
+        s = f"  {s} "
+        return {s[i : i + 3] for i in range(len(s) - 2)}
+
+    def similarity(q, a):
+        part = lambda x, y: len(x & y) / len(x | y)
+        best = max(SequenceMatcher(None, q, a).ratio(), part(trigrams(q), trigrams(a)), part(set(q.split()), set(a.split())))
+        return max(best, 0.8) if len(q) >= 4 and (q in a or a in q) else best
+
+    got = {r["query"]: r for r in resolve(spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame(aliases, "alias string, id long")).collect()}
+    for q in asked:
+        n = names.get(q, q)
+        score, best = min((-similarity(n, a), i) for a, i in aliases)
+        if -score >= 0.3:
+            assert got[q].id == best and abs(got[q].score + score) < 1e-9, q
+            assert got[q].tier == ("exact" if n in dict(aliases) else "fuzzy") and got[q].confidence == ("high" if -score >= 0.82 else "med" if -score >= 0.55 else "low")
+    assert got["q"].id is None and got["q"].confidence == "low"
+
+
+def test_components_of_paths_and_stars(spark):
+    from marlstone.operators.components import components
+
+    edges = [(k, k + 1) for k in range(100, 260)] + [(5000, k) for k in range(1000, 2500)] + [(7, 7), (None, 3)]
+    got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == {**{k: 100 for k in range(100, 261)}, **{k: 1000 for k in range(1000, 2500)}, 5000: 1000}
