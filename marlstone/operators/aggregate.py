@@ -68,8 +68,10 @@ def mode_first_seen(df: DataFrame, keys: Sequence[str], value: str, place: str)
 def pair_counts(df: DataFrame, group: str, item: str, floor: int, most_items: int = 5) -> DataFrame:
     """(a, b, n): groups of 2 to most_items distinct items by pairs of them, a < b; pairs in at least floor groups.
 
-    The items of a group are gathered up to one more than most_items, so large groups stay small.
+    Groups are counted first, and only the items of groups of a fitting size are gathered, so large groups stay small.
     """
-    sets = df.select(group, item).distinct().groupBy(group).agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(item)).alias("_items")).where(f"_n between 2 and {most_items}")
+    distinct = df.select(group, item).distinct()
+    small = distinct.groupBy(group).agg(F.count("*").alias("_n")).where(f"_n between 2 and {most_items}").select(group)
+    sets = distinct.join(small, group, "left_semi").groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("_items"))
     pairs = F.flatten(F.transform("_items", lambda a, i: F.transform(F.slice("_items", i + 2, F.size("_items")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= floor)

@@ -21,11 +21,13 @@ def word_grams(text: Column, most: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))))
 
 
-def longest_contained(names: DataFrame, name: str, aliases: DataFrame, least: int = 4, most_words: int = 4) -> DataFrame:
+def longest_contained(names: DataFrame, name: str, aliases: DataFrame, least: int = 4) -> DataFrame:
     """(name, entity, exact): the entity of the alias that equals the name, or else of the longest one that it holds as whole words.
 
-    aliases: (alias, entity). Aliases shorter than ``least`` only count if equal.
+    aliases: (alias, entity). Aliases shorter than ``least`` only count if equal. Names are taken
+    apart into runs of as many words as the longest alias has: one number that the driver reads.
     """
+    most_words = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     grams = names.select(name).distinct().select(name, F.explode(word_grams(F.col(name), most_words)).alias("alias"))
     hits = grams.join(aliases, "alias").withColumn("exact", F.col("alias") == F.col(name)).where(F.col("exact") | (F.length("alias") >= least))
     w = Window.partitionBy(name).orderBy(F.desc("exact"), F.desc(F.length("alias")), "alias", "entity")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +13,37 @@ from marlstone.sources.readers import or_empty
 
 
 def publish(tables: Mapping[str, DataFrame], root: str) -> str:
-    """Write all tables under a new version and then point to it; readers see all of it or none."""
+    """Write all tables under a new version and then append a pointer to it; readers see all of it or none.
+
+    Pointers are numbered and never overwritten, so there is one at any time. Two writers at once need a lock of their own.
+    """
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/versions/{version}/{name}.parquet")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    pointers = _pointers(spark, root)
+    number = pointers.agg(F.max("number")).first()[0] if pointers is not None else None
+    spark.createDataFrame([((number or 0) + 1, version)], "number long, version string").coalesce(1).write.mode("append").json(f"{root}/current")
     return version
 
 
+def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("number long, version string").json(f"{root}/current")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def published(spark: SparkSession, root: str) -> str:
-    """The folder of the tables that the pointer names."""
-    return f"{root}/versions/{spark.read.text(f'{root}/current').first()[0]}"
+    """The folder of the tables that the last pointer names."""
+    return f"{root}/versions/{_pointers(spark, root).orderBy(F.desc('number')).first()['version']}"
+
+
+def delete_by_source(table: DataFrame, new: DataFrame, source: str) -> DataFrame:
+    """table without the rows of the sources that new has, and new: a source's rows are replaced as a whole."""
+    return table.join(new.select(source).distinct(), source, "left_anti").select(table.columns).unionByName(new)
 
 
 def export(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:

@@ -163,3 +163,17 @@ def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 260)] + [(5000, k) for k in range(1000, 2500)] + [(7, 7), (None, 3)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {**{k: 100 for k in range(100, 261)}, **{k: 1000 for k in range(1000, 2500)}, 5000: 1000}
+
+
+def test_long_aliases_are_found(spark):
+    names = spark.createDataFrame([("the very senior chief data platform architect role",)], "name string")
+    aliases = spark.createDataFrame([("chief data platform architect role", "A"), ("data", "D")], "alias string, entity string")
+    assert lookup.longest_contained(names, "name", aliases).first().entity == "A"
+
+
+def test_sources_are_replaced(spark):
+    from marlstone.sources.sinks import delete_by_source
+
+    old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "source string, v long")
+    new = spark.createDataFrame([("a", 9), ("c", 4)], "source string, v long")
+    assert sorted(map(tuple, delete_by_source(old, new, "source").collect())) == [("a", 9), ("b", 3), ("c", 4)]
