@@ -17,7 +17,10 @@ LEVEL_WORDS = ("senior", "sr", "junior", "jr", "staff", "principal", "lead", "as
 LEGAL_FORMS = ("inc", "llc", "ltd", "limited", "gmbh", "corp", "co", "company", "plc", "pvt", "private", "technologies", "labs", "group")
 WAGE_LEVELS = {"i": "0-2", "ii": "3-5", "iii": "6-9", "iv": "10+"}
 PAY_TOKENS = ((40_000, "sal-0"), (75_000, "sal-1"), (120_000, "sal-2"), (180_000, "sal-3"), (260_000, "sal-4"))
-UNITS_PER_YEAR = {"year": 1.0, "hour": 2080.0, "month": 12.0, "week": 52.0, "bi-weekly": 26.0}
+UNITS_PER_YEAR = {
+    "year": 1.0, "yr": 1.0, "annual": 1.0, "hour": 2080.0, "hr": 2080.0, "hourly": 2080.0, "month": 12.0, "mth": 12.0, "monthly": 12.0,
+    "week": 52.0, "wk": 52.0, "weekly": 52.0, "bi-weekly": 26.0, "biweekly": 26.0, "bi weekly": 26.0,
+}
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.sources.scratch import materialise
+
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
     """(keys, n, a column for each quantile): the value at place round-half-even(q * (n - 1)), nulls left out."""
@@ -29,6 +31,26 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return upto.groupBy(*keys).agg(F.max("_n").cast("long").alias("n"), F.min(F.when(F.col("_to") > F.floor(F.col("_n") / 2), F.col(value))).alias("upper_median"))
 
 
+def counted_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", ranges: int = 1024) -> DataFrame:
+    """(keys, name, n): the median, for few groups of very many rows; nulls left out, also as keys; groups without a value have no row.
+
+    Values are counted once. A group's span is cut into ranges, whose counts tell which of them hold the middle
+    places, and only the values of these are ordered: no group is in one task or one buffer.
+    """
+    counts = materialise(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "counts")
+    span = counts.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_c").alias("n"))
+    place = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * ranges)).otherwise(0)
+    cut = counts.join(span, list(keys)).withColumn("_range", place)
+    upto = cut.groupBy(*keys, "_range").agg(F.sum("_c").alias("_c"), F.max("n").alias("n"))
+    upto = upto.withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range"))).withColumn("_before", F.col("_to") - F.col("_c"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    middle = upto.where((F.col("_to") > low) & (F.col("_before") <= high)).select(*keys, "_range", "_before")
+    w = Window.partitionBy(*keys, "_range").orderBy("_v")
+    values = cut.join(middle, [*keys, "_range"]).withColumn("_to", F.col("_before") + F.sum("_c").over(w))
+    picked = [F.min(F.when(F.col("_to") > at, F.col("_v"))) for at in (low, high)]
+    return values.groupBy(*keys).agg(((picked[0] + picked[1]) / 2).alias(name), F.max("n").alias("n"))
+
+
 def with_pooled(df: DataFrame, keys: Sequence[str], band: str, aggregates: Sequence[Column], pooled: str = "pooled") -> DataFrame:
     """Aggregates by keys and band, and by keys alone under the band 'pooled'; rows of no band count in 'pooled' once."""
     sets = [[F.col(k) for k in keys] + [F.col(band)], [F.col(k) for k in keys]]

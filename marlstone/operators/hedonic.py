@@ -60,11 +60,17 @@ def premiums(df: DataFrame, y: str, items: str, cells: Sequence[str], key: str,
 
     rows = df.where(F.col(y) > 0).select(F.col(y).cast("double").alias(y), items, *cells, F.xxhash64(key).alias("_h"))
     parts = rows.mapInPandas(run, "replica int, sums array<double>")
-    # A row for each replica and place, added up by Spark: replicas * width**2 numbers reach the driver.
-    added = parts.select("replica", F.posexplode("sums").alias("place", "v")).groupBy("replica", "place").agg(F.sum("v").alias("v"))
+
+    def add_up(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"replica": group["replica"].iloc[:1], "sums": [sum(np.asarray(s) for s in group["sums"])]})
+
+    # Arrays are added up in two steps, 32 sums for each replica and then one: replicas arrays reach the driver.
+    schema = "replica int, sums array<double>"
+    salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(32)))
+    added = salted.groupBy("replica", "_salt").applyInPandas(add_up, schema).groupBy("replica").applyInPandas(add_up, schema)
     sums = np.zeros((replicas + 1, width * width + 2 * width + 3))
-    for r in added.collect():
-        sums[r["replica"], r["place"]] = r["v"]
+    for r in added.toPandas().itertuples():
+        sums[r.replica] = r.sums
     ridge = np.diag([alpha] * (width - 1) + [0.0])
     effects = []
     for s in sums:

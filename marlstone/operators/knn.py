@@ -3,56 +3,68 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.components import components
 from marlstone.sources.scratch import materialise
 
-BLOCK = 2048
+BLOCK, QUERIES, ROWS = 2048, 16_384, 16_384
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), dtype=np.float64)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if len(x) else x
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.3) -> DataFrame:
     """(query_id, key, similarity, rank): for each query the k most similar other rows, of at least ``least``.
 
-    Only a block of queries is in memory; each task sends k rows for each query.
+    Queries and rows are dealt into blocks of about QUERIES queries and ROWS rows, and a Spark group compares two
+    of them and sends k rows for each query; a vector is copied once for each block of queries. Null vectors count as none.
     """
-    count = queries.count()
-    blocks, found = max(1, math.ceil(count / BLOCK)), None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(key, vector).collect()
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        own = np.array([r[1] for r in rows], dtype=np.float64)
-        own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12) if len(rows) else own
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, own=own) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                there = batch.column(key).to_numpy(zero_copy_only=False)
-                got = np.round(own @ _unit(batch.column(vector)).T, 9)
-                got[ids[:, None] == there[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(there, got.shape), -got), axis=1)[:, :k]
-                value = np.take_along_axis(got, order, axis=1)
-                keep = value >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(axis=1))), pa.array(there[order][keep]), pa.array(value[keep])], ["query_id", key, "similarity"])
-
-        part = vectors.select(key, vector).mapInArrow(run, f"query_id long, {key} long, similarity double")
-        found = part if found is None else found.unionByName(part)
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).alias("y"))
+    there = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("x"))
+    sides = [max(1, math.ceil(n / size)) for n, size in ((asked.count(), QUERIES), (there.count(), ROWS))]
+    dealt = lambda df, c, own, other: df.withColumn(own, F.pmod(F.xxhash64(c), F.lit(sides[own == "rows"])).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(sides[own != "rows"] - 1))))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, own = left["query_id"].to_numpy(), right[key].to_numpy()
+        if not len(ids) or not len(own):
+            return pd.DataFrame({"query_id": ids[:0], key: own[:0], "similarity": np.zeros(0)})
+        y, x = _unit(left["y"]), _unit(right["x"])
+        found = []
+        for at in range(0, len(ids), 256):
+            got = np.round(y[at : at + 256] @ x.T, 9)
+            got[ids[at : at + 256, None] == own[None, :]] = -2
+            order = np.lexsort((np.broadcast_to(own, got.shape), -got), axis=1)[:, :k]
+            value = np.take_along_axis(got, order, axis=1)
+            keep = value >= least
+            found.append(pd.DataFrame({"query_id": np.repeat(ids[at : at + 256], keep.sum(axis=1)), key: own[order][keep], "similarity": value[keep]}))
+        return pd.concat(found)
+
+    left, right = dealt(asked, "query_id", "asked", "rows").groupBy("asked", "rows"), dealt(there, key, "rows", "asked").groupBy("asked", "rows")
+    found = left.cogroup(right).applyInPandas(compare, f"query_id {queries.schema[key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def first_links(near: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n rows in a component of the links a[i] - b[j] that near marks, its first row: at most one link for each row."""
+    label = np.arange(n)
+    a, b, near = a[near.any(axis=1)], b[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
+    before = None
+    while len(a) and not np.array_equal(before, label):
+        before = label.copy()
+        label[b] = np.minimum(label[b], np.where(near, label[a][:, None], n).min(axis=0))
+        label[a] = np.minimum(label[a], np.where(near, label[b][None, :], n).min(axis=1))
+    linked = np.flatnonzero(label != np.arange(n))
+    return linked, label[linked]
+
+
 def similarity_groups(vectors: DataFrame, key: str, vector: str, least: float = 0.68) -> DataFrame:
     """(key, group): components of rows whose cosine reaches ``least``, from all pairs.
 
@@ -67,19 +79,11 @@ def similarity_groups(vectors: DataFrame, key: str, vector: str, least: float =
     dealt = dealt.select("rep", F.col(vector).alias("x"), "own", F.least("own", "mate").alias("low"), F.greatest("own", "mate").alias("high"))
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(group["x"].tolist(), dtype=np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        own, rep, label = group["own"].to_numpy(), group["rep"].to_numpy(), np.arange(len(group))
+        x = _unit(group["x"])
+        own, rep = group["own"].to_numpy(), group["rep"].to_numpy()
         a, b = np.flatnonzero(own == group["low"].iloc[0]), np.flatnonzero(own == group["high"].iloc[0])
-        near = x[a] @ x[b].T >= least - 1e-12
-        a, b, near = a[near.any(axis=1)], b[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
-        before = None
-        while len(a) and not np.array_equal(before, label):
-            before = label.copy()
-            label[b] = np.minimum(label[b], np.where(near, label[a][:, None], len(label)).min(axis=0))
-            label[a] = np.minimum(label[a], np.where(near, label[b][None, :], len(label)).min(axis=1))
-        linked = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"u": rep[linked], "v": rep[label[linked]]})
+        u, v = first_links(x[a] @ x[b].T >= least - 1e-12, a, b, len(group))
+        return pd.DataFrame({"u": rep[u], "v": rep[v]})
 
     kind = vectors.schema[key].dataType.simpleString()
     edges = dealt.groupBy("low", "high").applyInPandas(links, f"u {kind}, v {kind}")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.sources.scratch import materialise
+
 
 def carry(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
     """value filled forward over the order, and what comes before the first one with the first."""
@@ -42,3 +44,16 @@ def steps(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFra
     w = Window.partitionBy(*keys).orderBy(order)
     prior, first = F.lag(value).over(w), F.first(value).over(w)
     return df.withColumn("step", F.col(value) - prior).withColumn("step_pct", F.round((F.col(value) - prior) / prior * 100, 1)).withColumn("climb", F.col(value) - first)
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
+    """df with dense numbers from 1 in the order of columns; rows equal in them get some order.
+
+    Rows are sorted in ranges, not in one task: a range's rows come after the counts of the ranges before it, of
+    which there is one row each.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = materialise(ranged, "numbered").withColumn("_range", F.shiftright("_id", 33)).withColumn("_at", F.col("_id") - F.shiftleft("_range", 33))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_id", "_range", "_at", "_before")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.score import growth, min_max, nice, per_cent_change, sqrt_index
 from marlstone.functions.text import confidence, experience_band
-from marlstone.operators.aggregate import known_share, mode_first_seen, nearest_rank, pair_counts, top_items, upper_median, with_pooled, with_total
+from marlstone.operators.aggregate import counted_median, known_share, mode_first_seen, nearest_rank, pair_counts, top_items, upper_median, with_pooled, with_total
 from marlstone.operators.lookup import overlap_ranking, two_level
 from marlstone.operators.upsert import append_new, by_priority, fill_gaps, first_wins, last_wins, pick, update_values
 from marlstone.operators.windows import carry, latest, momentum, steps, top_by
 from marlstone.plans.observations import OBS_SQL, observations
-from marlstone.plans.registry import query
+from marlstone.plans.registry import ORACLES, query
 from marlstone.sources.tables import table
 
 LAST = 2000
@@ -202,7 +202,7 @@ SELECT entity, market, yr, month, round(v, 4) AS value FROM c LEFT JOIN anchor U
 def sanity_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells within a band about their entity's anchor; without an anchor all stay."""
     obs = observations(spark, sf_dir)
-    anchor = obs.groupBy("entity").agg(F.median("unit_price").alias("a"))
+    anchor = counted_median(obs, ["entity"], "unit_price", "a").drop("n")
     cells = obs.groupBy("entity", "market", "yr", "month").agg(F.median("unit_price").alias("v"))
     kept = cells.join(anchor, "entity", "left").where("a is null or v between 0.9 * a and 1.1 * a")
     return kept.select("entity", "market", "yr", "month", F.round("v", 4).alias("value"))
@@ -211,16 +211,18 @@ def sanity_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 PULSE_SQL = f"""{OBS_SQL}, c AS (SELECT market, entity, count(*) FILTER (yr = {LAST}) AS demand, round(median(unit_price) FILTER (yr = {LAST}), 4) AS pay, count(*) FILTER (yr = {LAST}) - count(*) FILTER (yr = {LAST} - 5) AS rise FROM obs GROUP BY ALL)"""
 
 
-@query(f"""WITH {PULSE_SQL}, u AS (SELECT market, 'hottest' AS metric, entity, demand * 1.0E0 AS value FROM c UNION ALL SELECT market, 'topPay', entity, coalesce(pay, 0) FROM c UNION ALL SELECT market, 'rising', entity, rise * 1.0E0 FROM c)
+@query(f"""WITH {PULSE_SQL}, u AS (SELECT market, 'hottest' AS metric, entity, demand * 1.0E0 AS value FROM c UNION ALL SELECT market, 'topPay', entity, coalesce(pay, 0) FROM c UNION ALL SELECT market, 'rising', entity, rise * 1.0E0 FROM c
+UNION ALL SELECT market, 'topScore', entity, total FROM ({ORACLES['job_score_board']}))
 SELECT market, metric, row_number() OVER (PARTITION BY market, metric ORDER BY value DESC, entity) AS rank, entity, value FROM u QUALIFY rank <= 5""")
 def market_pulse_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five leaders of each market by three metrics."""
+    """The five leaders of each market by four metrics."""
     year = F.col("yr")
     cells = observations(spark, sf_dir).groupBy("market", "entity").agg(
         F.count(F.when(year == LAST, 1)).alias("demand"), F.round(F.median(F.when(year == LAST, F.col("unit_price"))), 4).alias("pay"), (F.count(F.when(year == LAST, 1)) - F.count(F.when(year == LAST - 5, 1))).alias("rise")
     )
     top = [top_by(cells, ["market"], c, "entity", 5, name) for c, name in (("demand", "hottest"), ("pay", "topPay"), ("rise", "rising"))]
-    return top[0].unionByName(top[1]).unionByName(top[2])
+    scores = top_by(job_score_board(spark, sf_dir), ["market"], "total", "entity", 5, "topScore")
+    return top[0].unionByName(top[1]).unionByName(top[2]).unionByName(scores)
 
 
 @query("""WITH m AS (SELECT o_orderpriority AS feed, strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n FROM orders GROUP BY ALL)
@@ -253,7 +255,7 @@ SELECT family, level, n, round(m, 4) AS median, round(m - lag(m) OVER w, 4) AS s
 def promotion_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians by level, the steps between them and the climb from the first."""
     level = (F.floor((F.col("p_size") - 1) / 10) + 1).cast("long")
-    rungs = observations(spark, sf_dir).groupBy("family", level.alias("level")).agg(F.median("unit_price").alias("median"), F.count("*").alias("n")).where("n >= 30")
+    rungs = counted_median(observations(spark, sf_dir).withColumn("level", level), ["family", "level"], "unit_price").where("n >= 30")
     rungs = rungs.withColumn("_k", F.count("*").over(Window.partitionBy("family"))).where("_k >= 2").drop("_k")
     found = steps(rungs, ["family"], "level", "median")
     return found.select("family", "level", "n", *[F.round(c, 4).alias(c) for c in ("median", "step", "climb")], "step_pct")

@@ -50,9 +50,12 @@ def breaker(stream: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def run_available(result: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what has landed and stop; the next call goes on from there. Complete results replace the table."""
+    """Process what has landed and stop; the next call goes on from there. Complete results replace the table.
+
+    Other results have a folder for each batch, and a column ``batch``: a batch that is tried again replaces its own folder.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
