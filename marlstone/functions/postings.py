@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import annualise, midpoint, parse_number
+from marlstone.functions.text import annualise, parse_number
 
 # Patterns of titles that are never technical, always, never without such a one, and else.
 VETO_TITLES = (
@@ -124,9 +124,7 @@ def is_certified(status: Column) -> Column:
     return F.lower(F.btrim(F.coalesce(status, F.lit("")))).startswith("certified")
 
 
-def filing_wage(low: Column, high: Column, unit: Column, least: float = 20_000.0, most: float = 1_000_000.0) -> Column:
-    """The yearly wage of a band's text: its middle, or the lower bound of one turned round, or the bound that is there; null out of range."""
-    unit = F.lower(F.btrim(F.coalesce(unit, F.lit(""))))
-    yearly = lambda c: F.when(parse_number(c) > 0, annualise(parse_number(c), unit))
-    wage = midpoint(yearly(low), yearly(high))
-    return F.when(wage.between(least, most), wage)
+def yearly_wage(c: Column, unit: Column) -> Column:
+    """The yearly wage of a text by its unit, whatever the unit's case and outer blanks; null for none and for 0 and less."""
+    yearly = annualise(parse_number(c), F.lower(F.btrim(F.coalesce(unit, F.lit("")))))
+    return F.nullif(F.greatest(yearly, F.lit(0.0)), F.lit(0.0))

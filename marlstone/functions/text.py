@@ -122,10 +122,8 @@ def parse_number(c: Column) -> Column:
 
 def annualise(value: Column, unit: Column, trusted: float = 20_000.0) -> Column:
     """Pay by its unit; of an unknown unit only what is a year's pay by its size."""
-    chain = F.when(unit == "year", value)
-    for name, times in UNITS_PER_YEAR.items():
-        chain = chain.when(unit == name, value * times)
-    return chain.when(value >= trusted, value)
+    times = F.create_map(*[F.lit(x) for pair in UNITS_PER_YEAR.items() for x in pair])[unit]
+    return F.coalesce(value * times, F.when(times.isNull() & (value >= trusted), value))
 
 
 def midpoint(low: Column, high: Column) -> Column:

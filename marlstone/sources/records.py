@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.postings import country_of, filing_wage, is_certified, is_technical
-from marlstone.functions.text import wage_band
+from marlstone.functions.postings import country_of, is_certified, is_technical, yearly_wage
+from marlstone.functions.text import midpoint, wage_band
 from marlstone.operators.aggregate import with_pooled
 from marlstone.operators.lookup import two_level
 
@@ -86,11 +86,12 @@ def technical_only(postings: DataFrame) -> DataFrame:
     return postings.where(is_technical(F.col("title"), F.col("description")))
 
 
-def filings(landed: DataFrame, year: int | Column) -> DataFrame:
+def filings(landed: DataFrame, year: int | Column, least: float = 20_000.0, most: float = 1_000_000.0) -> DataFrame:
     """(code, year, band, wage): certified filings with a code and a yearly wage in range, by whichever headings the landed table has.
 
     Headings count without regard to case and outer blanks. A table without code, lower bound or unit gives no rows; without
-    a status all rows count; band is null without a level.
+    a status all rows count; band is null without a level. The wage is the middle of a band, the lower bound of one that is
+    turned round, or the bound that is there.
     """
     there = {c.strip().upper(): c for c in landed.columns}
     first = lambda names: next((there[n] for n in names if n in there), None)
@@ -99,7 +100,10 @@ def filings(landed: DataFrame, year: int | Column) -> DataFrame:
     code = F.btrim(col("code"))
     rows = landed.where(is_certified(col("status")) if at["status"] else F.lit(True)).where(F.lit(all(at[f] for f in ("code", "low", "unit"))))
     year = year if isinstance(year, Column) else F.lit(year)
-    rows = rows.select(F.regexp_replace(code, "^([0-9]{2})([0-9]{4})$", "$1-$2").alias("code"), year.cast("long").alias("year"), wage_band(col("level")).alias("band"), filing_wage(col("low"), col("high"), col("unit")).alias("wage"))
+    # Bounds are named once: a filter on an expression that repeats them would repeat their parsing below the joins.
+    band = F.array(F.struct(yearly_wage(col("low"), col("unit")).alias("low"), yearly_wage(col("high"), col("unit")).alias("high")))
+    wage = F.get(F.filter(F.transform(band, lambda b: midpoint(b["low"], b["high"])), lambda w: w.between(least, most)), 0)
+    rows = rows.select(F.regexp_replace(code, "^([0-9]{2})([0-9]{4})$", "$1-$2").alias("code"), year.cast("long").alias("year"), wage_band(col("level")).alias("band"), wage.alias("wage"))
     return rows.where("code <> '' and wage is not null")
 
 

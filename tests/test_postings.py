@@ -52,8 +52,8 @@ def test_skill_key(spark, given, want):
     ],
 )
 def test_filing_wage(spark, low, high, unit, want):
-    df = spark.createDataFrame([(low, high, unit)], "a string, b string, u string")
-    assert df.select(p.filing_wage(F.col("a"), F.col("b"), F.col("u")).alias("x")).first().x == want
+    df = spark.createDataFrame([("certified", "c", low, high, unit)], "CASE_STATUS string, SOC_CODE string, WAGE_RATE_OF_PAY string, WAGE_RATE_OF_PAY_TO string, PW_UNIT_OF_PAY string")
+    assert [r.wage for r in records.filings(df, 2024).collect()] == ([] if want is None else [want])
 
 
 def test_filings(spark):
