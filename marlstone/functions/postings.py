@@ -79,6 +79,16 @@ SKILL_NAMES = {
     "nodejs": "node", "node.js": "node", "postgresql": "postgres", "postgre": "postgres", "k8s": "kubernetes", "amazon web services": "aws", "google cloud platform": "gcp",
     "golang": "go", "js": "javascript", "ts": "typescript", "py": "python", "ms sql": "sql server", "rest api": "rest", "restful": "rest", "ci cd": "ci/cd", "cicd": "ci/cd",
 }
+# The axes of a profile and their skills, and the skills of a text that names none.
+AXES = {
+    "Backend depth": ("System Design", "Go", "Python", "SQL", "Kubernetes", "Observability", "Java", "Rust"),
+    "Cloud / Infra": ("AWS", "Terraform", "Kubernetes", "Docker", "Linux", "CI/CD", "Cost Optimization", "Networking", "Observability"),
+    "Data & ML": ("Python", "Machine Learning", "PyTorch", "TensorFlow", "Statistics", "SQL", "Data Modeling", "Spark", "dbt", "LLM / GenAI", "Vector DBs", "Airflow"),
+    "System design": ("System Design", "Kubernetes", "Observability", "GraphQL"),
+    "Leadership": ("Stakeholder Mgmt", "Roadmapping"),
+    "Frontend": ("React", "TypeScript", "JavaScript", "Design Systems", "Figma", "GraphQL"),
+}
+FLOOR_SKILLS = ("SQL", "Python")
 
 
 def any_of(patterns: Sequence[str]) -> str:
@@ -128,3 +138,16 @@ def yearly_wage(c: Column, unit: Column) -> Column:
     """The yearly wage of a text by its unit, whatever the unit's case and outer blanks; null for none and for 0 and less."""
     yearly = annualise(parse_number(c), F.lower(F.btrim(F.coalesce(unit, F.lit("")))))
     return F.nullif(F.greatest(yearly, F.lit(0.0)), F.lit(0.0))
+
+
+def skills_named(text: Column, known: Sequence[str]) -> Column:
+    """The known skills that a text names as whole words, by name; two common ones if it names none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = F.array_compact(F.array(*[F.when(low.rlike(r"\b" + re.escape(s.lower()) + r"\b"), s) for s in sorted(set(known))]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, FLOOR_SKILLS)))
+
+
+def axis_scores(skills: Column) -> Column:
+    """A map from each axis to 30 and 16 for each of its skills, within 20 and 98."""
+    score = lambda own: F.least(30 + 16 * F.size(F.array_intersect(skills, F.array(*map(F.lit, own)))), F.lit(98))
+    return F.create_map(*[x for axis, own in AXES.items() for x in (F.lit(axis), score(own).cast("long"))])

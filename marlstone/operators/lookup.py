@@ -91,3 +91,22 @@ def resolve(queries: DataFrame, aliases: DataFrame, high: float = 0.82, medium:
     found = found.join(exact, "q", "left").withColumn("score", F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
     confidence = F.when(F.col("score") >= high, "high").when(F.col("score") >= medium, "med").otherwise("low")
     return found.select("query", F.coalesce("exact", "id").alias("id"), "score", F.when(F.col("exact").isNotNull(), "exact").otherwise("fuzzy").alias("tier"), confidence.alias("confidence"))
+
+
+def suggest(queries: DataFrame, aliases: DataFrame, limit: int = 8) -> DataFrame:
+    """(query, id, score, tier, rank): the ``limit`` best entities for each row of queries (query) by the aliases (alias, id).
+
+    Names are normalised. An alias that begins with the query scores 1, one with a word that does 0.9; equal ones go by id. A
+    query without any gets what ``resolve`` finds, as the tier ``fuzzy``. Blank queries have no row. The limit is the
+    feature; it is taken for each prefix before queries are joined, so that a frequent one meets ``limit`` rows.
+    """
+    asked = queries.select("query", text.normalize_surface(F.col("query")).alias("p")).where("p <> ''").distinct()
+    names = aliases.select(text.normalize_surface(F.col("alias")).alias("a"), "id").where("a <> ''").distinct()
+    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, F.lit(1), i))
+    whole = names.select("id", F.explode(prefixes(F.col("a"))).alias("p"), F.lit(1.0).alias("score"))
+    words = names.select("id", F.explode(F.flatten(F.transform(F.split("a", " "), prefixes))).alias("p"), F.lit(0.9).alias("score"))
+    hits = whole.unionByName(words).join(asked.select("p").distinct(), "p", "left_semi").groupBy("p", "id").agg(F.max("score").alias("score"))
+    best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= limit)
+    found = asked.join(best, "p").select("query", "id", "score", F.lit("prefix").alias("tier"), "rank")
+    rest = resolve(asked.join(best.select("p").distinct(), "p", "left_anti").select("query"), aliases).where("id is not null")
+    return found.unionByName(rest.select("query", "id", "score", F.lit("fuzzy").alias("tier"), F.lit(1).cast("long").alias("rank")))

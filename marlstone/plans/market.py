@@ -441,11 +441,11 @@ def peak_indexed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {OBS_SQL}, f AS (SELECT market, yr, avg(unit_price) AS a, avg(CASE WHEN l_returnflag <> 'N' THEN 1.0E0 ELSE 0 END) AS d FROM obs GROUP BY ALL), g AS (SELECT yr, avg(unit_price) AS a FROM obs GROUP BY 1) SELECT market, yr, round(f.a / g.a, 6) AS ppp, round(f.d, 4) AS disclosure FROM f JOIN g USING (yr)""")
-def market_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market_averages(spark: SparkSession, sf_dir: str, digits: int = 6) -> DataFrame:
     """Purchasing power and disclosure by market and year; the year's mean comes from the markets' sums."""
     m = observations(spark, sf_dir).groupBy("market", "yr").agg(F.sum("unit_price").alias("s"), F.count("*").alias("c"), F.avg((F.col("l_returnflag") != "N").cast("double")).alias("d"))
     w = Window.partitionBy("yr")
-    return m.select("market", "yr", F.round((F.col("s") / F.col("c")) / (F.sum("s").over(w) / F.sum("c").over(w)), 6).alias("ppp"), F.round("d", 4).alias("disclosure"))
+    return m.select("market", "yr", F.round((F.col("s") / F.col("c")) / (F.sum("s").over(w) / F.sum("c").over(w)), digits).alias("ppp"), F.round("d", 4).alias("disclosure"))
 
 
 @query(f"""WITH {YEARLY_SQL}, m AS (SELECT market, sum(demand) AS demand, avg(pay) AS pay FROM y WHERE yr = {LAST} GROUP BY 1), u AS (SELECT 'demand' AS metric, market, demand * 1.0E0 AS value FROM m UNION ALL SELECT 'pay', market, pay FROM m)
@@ -458,6 +458,18 @@ def country_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("metric", "market", F.round("value", 4).alias("value"), F.row_number().over(w).cast("long").alias("rank"))
 
 
+@query(f"""WITH {YEARLY_SQL}, m AS (SELECT market, avg(pay) AS pay FROM y WHERE yr = {LAST} GROUP BY 1), f AS (SELECT market, avg(unit_price) AS a FROM obs WHERE yr = {LAST} GROUP BY 1), g AS (SELECT avg(unit_price) AS a FROM obs WHERE yr = {LAST}),
+u AS (SELECT market, false AS parity, pay FROM m UNION ALL SELECT market, true, pay / (f.a / g.a) FROM m JOIN f USING (market) CROSS JOIN g)
+SELECT market, parity, round(pay, 4) AS pay, row_number() OVER (PARTITION BY parity ORDER BY round(pay, 6) DESC, market) AS rank FROM u""")
+def pay_ranking_with_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets by pay, as it is and at equal purchasing power."""
+    pay = _yearly(spark, sf_dir).where(F.col("yr") == LAST).groupBy("market").agg(F.avg("pay").alias("pay"))
+    parity = market_averages(spark, sf_dir, digits=12).where(F.col("yr") == LAST).select("market", "ppp")
+    both = pay.join(parity, "market").select("market", F.explode(F.create_map(F.lit(False), F.col("pay"), F.lit(True), F.col("pay") / F.col("ppp"))).alias("parity", "pay"))
+    w = Window.partitionBy("parity").orderBy(F.desc(F.round("pay", 6)), "market")
+    return both.select("market", "parity", F.round("pay", 4).alias("pay"), F.row_number().over(w).cast("long").alias("rank"))
+
+
 @query(f"WITH {YEARLY_SQL}, t AS (SELECT entity, sum(demand) AS n FROM y GROUP BY 1 ORDER BY n DESC, entity LIMIT 8) SELECT entity, CAST(n AS bigint) AS n FROM t")
 def board_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The board's eight largest; the limit is the feature."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import postings as p
+from marlstone.operators.lookup import suggest
 from marlstone.operators.postings import derived_roles, repeated_postings
 from marlstone.operators.windows import numbered
 from marlstone.plans.registry import query
@@ -119,3 +120,35 @@ def roles_of_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense numbers of events in the order of time."""
     return numbered(table(spark, sf_dir, "events").select("ts", "event_id"), ["ts", "event_id"]).select("event_id", "row_id")
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS id FROM part), q AS (SELECT substr(id, 1, 2) AS query FROM n UNION SELECT substr(string_split(id, ' ')[2], 1, 3) FROM n),
+h AS (SELECT query, id, CASE WHEN starts_with(id, query) THEN 1.0E0 ELSE 0.9E0 END AS score FROM q JOIN n ON starts_with(id, query) OR contains(id, ' ' || query))
+SELECT query, id, score, 'prefix' AS tier, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM h QUALIFY rank <= 8""")
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by the beginning of the whole or of a word; the eight best are the feature."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("alias"), F.col("p_name").alias("id")).distinct()
+    asked = names.select(F.substring("id", 1, 2).alias("query")).union(names.select(F.substring(F.split("id", " ")[1], 1, 3)))
+    return suggest(asked.distinct(), names)
+
+
+RESUME = ("10 years of Python, SQL and Kubernetes", "React / TypeScript, GraphQL", "stakeholder mgmt, roadmapping", "nothing", "CI/CD on AWS with Docker, Linux, Terraform and networking", "javascript pythonic Go-to")
+
+
+def _axis_sql(own: tuple[str, ...]) -> str:
+    return f"CAST(least(30 + 16 * len(list_filter(s, lambda x: x IN ({', '.join(f'{chr(39)}{x}{chr(39)}' for x in own)}))), 98) AS bigint)"
+
+
+KNOWN = sorted({s for own in p.AXES.values() for s in own})
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, lower(text || ' ' || {_of_sql(RESUME, "(conv_id + turn)")}) AS l FROM conversations),
+f AS (SELECT conv_id, turn, list_filter([{", ".join(f"CASE WHEN regexp_matches(l, '{chr(92)}b{re.escape(s.lower())}{chr(92)}b') THEN '{s}' END" for s in KNOWN)}], lambda x: x IS NOT NULL) AS f FROM r),
+s AS (SELECT conv_id, turn, CASE WHEN len(f) > 0 THEN f ELSE ['SQL', 'Python'] END AS s FROM f)
+SELECT conv_id, turn, array_to_string(s, ',') AS skills, {", ".join(f"{_axis_sql(own)} AS axis_{i}" for i, own in enumerate(p.AXES.values()))} FROM s""")
+def resume_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills that a profile's text names, and its six axes."""
+    place = F.element_at(F.array(*map(F.lit, RESUME)), ((F.col("conv_id") + F.col("turn")) % len(RESUME) + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", p.skills_named(F.concat_ws(" ", "text", place), KNOWN).alias("s"))
+    axes = rows.withColumn("axes", p.axis_scores(F.col("s")))
+    return axes.select("conv_id", "turn", F.array_join("s", ",").alias("skills"), *[F.col("axes")[axis].alias(f"axis_{i}") for i, axis in enumerate(p.AXES)])

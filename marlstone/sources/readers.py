@@ -56,10 +56,37 @@ def xml_rows(spark: SparkSession, path: str, schema: StructType | str, tag: str
     return spark.read.format("xml").schema(schema).option("rowTag", tag).load(path)
 
 
+def oai_records(spark: SparkSession, path: str, sets: str = "cs") -> DataFrame:
+    """(identifier, datestamp, title, sets) of landed answers of a repository, by the records in them; which order they came in doesn't matter.
+
+    Deleted records are left out, and those of no set or category that is ``sets`` or begins with it and a dot or colon. A
+    record that several answers have counts once, by its last datestamp.
+    """
+    schema = "header struct<_status:string,identifier:string,datestamp:string,setSpec:array<string>>, metadata struct<arXiv:struct<title:string,categories:string>>"
+    rows = xml_rows(spark, path, schema, "record").where("coalesce(header._status, '') <> 'deleted'")
+    paper = F.col("metadata.arXiv")
+    named = F.concat(F.coalesce("header.setSpec", F.array().cast("array<string>")), F.filter(F.split(F.coalesce(paper["categories"], F.lit("")), " +"), lambda c: c != ""))
+    rows = rows.select("header.identifier", "header.datestamp", F.btrim(F.regexp_replace(paper["title"], "\\s+", " ")).alias("title"), named.alias("sets"))
+    rows = rows.where(F.exists("sets", lambda x: x.rlike(f"^{re.escape(sets)}([.:]|$)")))
+    last = rows.groupBy("identifier").agg(F.max(F.struct("datestamp", "title", "sets")).alias("m"))
+    return last.select("identifier", "m.*")
+
+
+def resumption_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(file, token) of landed answers that go on: what a collector asks for next."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.btrim(F.regexp_extract("value", "(?s)<resumptionToken[^>]*>(.*?)</resumptionToken>", 1)).alias("token"))
+    return text.where("token <> ''")
+
+
 def sniffed_csv(spark: SparkSession, path: str, separators: str = ",;\t") -> DataFrame:
-    """A delimited file with a header, by the separator that its first line has most of."""
+    """A delimited file with a header, by the separator that its first line has most of.
+
+    A file that begins with a bracket is JSON: a list of records, or an object whose fields are the columns.
+    """
     first = spark.read.text(path).limit(1).collect()
     line = first[0][0] if first else ""
+    if line.lstrip("\ufeff \t")[:1] in ("[", "{"):
+        return spark.read.json(path, multiLine=True)
     return spark.read.option("header", True).option("multiLine", True).option("sep", max(separators, key=line.count)).csv(path)
 
 

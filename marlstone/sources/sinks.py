@@ -46,6 +46,18 @@ def delete_by_source(table: DataFrame, new: DataFrame, source: str) -> DataFrame
     return table.join(new.select(source).distinct(), source, "left_anti").select(table.columns).unionByName(new)
 
 
+def consolidate(parts: DataFrame, keys: Sequence[str], order: Sequence[str], path: str) -> DataFrame:
+    """The last row of each key over the parts that a job appended, sorted within ranges of the keys; written to path and read again.
+
+    order names the columns that tell the last one; of rows equal in them too, the greatest by all columns is kept.
+    """
+    rest = [c for c in parts.columns if c not in {*keys, *order}]
+    last = parts.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_m"))
+    kept = last.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in (*order, *rest)]).select(parts.columns)
+    kept.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    return parts.sparkSession.read.schema(parts.schema).parquet(path)
+
+
 def export(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """A Parquet table, in folders by columns if any; rows of a folder are gathered before they are written."""
     (df.repartition(*by).write.partitionBy(*by) if by else df.write).mode("overwrite").parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import postings as p
 from marlstone.operators.aggregate import counted_median
+from marlstone.operators.lookup import suggest
 from marlstone.operators.postings import derived_roles, repeated_postings, signatures
 from marlstone.operators.windows import numbered
 from marlstone.sources import records
@@ -128,3 +129,19 @@ def test_counted_median_and_numbers(spark):
     got = numbered(df.where("v is not null"), ["k", "v"]).collect()
     assert sorted(r.row_id for r in got) == list(range(1, 208))
     assert [(r.k, r.v) for r in sorted(got, key=lambda r: r.row_id)] == sorted((k, v) for k, v in data if v is not None)
+
+
+def test_suggest(spark):
+    aliases = spark.createDataFrame([("Data Engineer", 1), ("Engineer of Data", 2), ("Senior Data Analyst", 3), ("Baker", 4)], "alias string, id long")
+    asked = spark.createDataFrame([("data",), ("eng",), ("Bakr",), (" ",), (None,), ("data",)], "query string")
+    got = {(r.query, r["rank"]): (r.id, r.score, r.tier) for r in suggest(asked, aliases).collect()}
+    assert got.pop(("Bakr", 1))[::2] == (4, "fuzzy")
+    assert got == {("data", 1): (1, 1.0, "prefix"), ("data", 2): (3, 1.0, "prefix"), ("data", 3): (2, 0.9, "prefix"), ("eng", 1): (2, 1.0, "prefix"), ("eng", 2): (1, 0.9, "prefix")}
+    assert suggest(asked, aliases, limit=1).count() == 3
+
+
+def test_profile(spark):
+    df = spark.createDataFrame([("Go and React, CI/CD",), ("pythonic",), (None,)], "t string").select(p.skills_named(F.col("t"), ["React", "CI/CD", "Python", "Go"]).alias("s"))
+    rows = df.select("s", p.axis_scores(F.col("s")).alias("a")).collect()
+    assert [r.s for r in rows] == [["CI/CD", "Go", "React"], ["SQL", "Python"], ["SQL", "Python"]]
+    assert rows[0].a["Cloud / Infra"] == 46 and rows[1].a["Backend depth"] == 62 and rows[1].a["Leadership"] == 30 and len(rows[0].a) == 6

@@ -91,3 +91,21 @@ def test_streams(spark, tmp_path):
     assert [(r.events, r.open) for r in run(events.breaker(stream()), "b", "update")][-1] in [(4, False), (3, True)]
     assert sorted(r.n for r in run(events.sessions(stream()), "s", "complete")) == [1, 3]
     assert sum(r.n for r in run(events.sliding(stream()), "l", "complete")) == 16
+
+
+def test_repository_answers(spark, tmp_path):
+    record = lambda i, stamp, cats, status="": f"<record><header{status}><identifier>{i}</identifier><datestamp>{stamp}</datestamp><setSpec>physics</setSpec></header><metadata><arXiv><title> A  {i}\n b </title><categories>{cats}</categories></arXiv></metadata></record>"
+    page = lambda records, token: f"<OAI-PMH><ListRecords>{records}{token}</ListRecords></OAI-PMH>"
+    (tmp_path / "1.xml").write_text(page(record("x", "2024-01-01", "math.CO cs.LG") + record("y", "2024-01-01", "csx.A") + record("z", "2024-01-01", "cs.AI", ' status="deleted"'), '<resumptionToken cursor="0"> t|1001 </resumptionToken>'))
+    (tmp_path / "2.xml").write_text(page(record("x", "2024-02-01", "cs.LG") + record("w", "2024-01-05", "cs.CV"), "<resumptionToken/>"))
+    got = {r.identifier: (r.datestamp, r.title, r.sets) for r in readers.oai_records(spark, str(tmp_path)).collect()}
+    assert got == {"x": ("2024-02-01", "A x b", ["physics", "cs.LG"]), "w": ("2024-01-05", "A w b", ["physics", "cs.CV"])}
+    assert [r.token for r in readers.resumption_tokens(spark, str(tmp_path)).collect()] == ["t|1001"]
+
+
+def test_sniffed_json_and_consolidate(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('[{"a": 1, "b": "x"},\n {"a": 2, "b": "y"}]')
+    assert sorted((r.a, r.b) for r in readers.sniffed_csv(spark, str(tmp_path / "a.csv")).collect()) == [(1, "x"), (2, "y")]
+    parts = spark.createDataFrame([("p", "old", 1, None), ("p", "new", 2, None), ("q", "only", 1, 5), ("p", "late", 2, 3)], "id string, v string, seq int, n int")
+    got = sinks.consolidate(parts, ["id"], ["seq"], str(tmp_path / "all"))
+    assert got.columns == parts.columns and [tuple(r) for r in got.orderBy("id").collect()] == [("p", "new", 2, None), ("q", "only", 1, 5)]
