@@ -42,3 +42,18 @@ ok AS (SELECT lang_group, j, p <= 0.05 / (SELECT count(DISTINCT lang_group) FROM
 cut AS (SELECT lang_group, coalesce(min(j) FILTER (NOT ok), 48) - 1 AS cut FROM ok GROUP BY ALL)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f.base_failed, NOT f.base_failed AND NOT coalesce(place <= cut, false) AS kept
 FROM f JOIN places USING (doc_id) LEFT JOIN cut USING (lang_group)"""
+
+#: Each beginning of each rebuilt conversation by the string of its turns' digests; crc32 bit by bit.
+CONVERSATION_TRIE = """
+WITH t AS (SELECT conv_id, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS id, strlen(coalesce(text, '')) AS n_bytes FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS ids, list(n_bytes ORDER BY turn NULLS FIRST, id) AS sizes FROM t GROUP BY 1),
+steps AS (SELECT *, flatten(list_transform(string_split(CAST(conv_id AS varchar), ''), lambda c: [CAST(ascii(c) AS bigint), 0, 0, 0, 0, 0, 0, 0])) AS steps FROM o),
+h AS (SELECT conv_id, ids, sizes, xor(list_reduce(list_concat([CAST(4294967295 AS bigint)], steps), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % 9 AS h FROM steps),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.ids[1:h.h], []), h.ids[h.h + 1:]) AS ids, list_concat(coalesce(b.sizes[1:h.h], []), h.sizes[h.h + 1:]) AS sizes FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, len(ids) AS n, d, array_to_string(ids[1:d], '') AS prefix, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS n_bytes FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM c)),
+n AS (SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_bytes) AS n_bytes, sha256(coalesce(string_agg(CAST(conv_id AS varchar), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY ALL),
+k AS (SELECT substr(prefix, 1, 32 * (d - 1)) AS prefix, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+u AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (prefix)),
+s AS (SELECT substr(prefix, 1, 32 * j) AS prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * n_bytes) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM u) GROUP BY 1)
+SELECT u.conv_id, u.d AS depth, a.conv_id AS parent_conv_id, u.n_convs, u.n_children, CAST(s.n_leaves AS bigint) AS n_leaves, CAST(s.saved AS bigint) AS saved_tokens, u.ends_sha256
+FROM u JOIN s USING (prefix) LEFT JOIN n a ON u.d > 0 AND a.d = u.d - 1 AND a.prefix = substr(u.prefix, 1, 32 * (u.d - 1))"""

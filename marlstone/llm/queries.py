@@ -11,9 +11,10 @@ from marlstone.llm.cotrain import fit_quality, score_quality
 from marlstone.llm.decontaminate import find_contamination
 from marlstone.llm.html_extract import extract_text
 from marlstone.llm.licenses import scan_licenses
-from marlstone.llm.oracles import NEAR_DUPLICATES, QUALITY_RULES
+from marlstone.llm.oracles import CONVERSATION_TRIE, NEAR_DUPLICATES, QUALITY_RULES
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.pii import BASE_KINDS, find_pii
+from marlstone.llm.prefix_trie import conversation_trie
 from marlstone.llm.quality_rules import quality_rules
 from marlstone.llm.setsketch import near_duplicates
 from marlstone.llm.toxicity import fit_toxicity, score_toxicity
@@ -81,6 +82,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_training_order": op2_training_order,
@@ -92,7 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_setsketch_dedup": op9_setsketch_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {"op6_quality_rules": QUALITY_RULES, "op9_setsketch_dedup": NEAR_DUPLICATES}
+ORACLES: dict[str, str] = {"op6_quality_rules": QUALITY_RULES, "op9_setsketch_dedup": NEAR_DUPLICATES, "op11_prefix_trie": CONVERSATION_TRIE}
