@@ -17,6 +17,7 @@ from marlstone.llm.pii import BASE_KINDS, find_pii
 from marlstone.llm.prefix_trie import conversation_trie
 from marlstone.llm.quality_rules import quality_rules
 from marlstone.llm.setsketch import near_duplicates
+from marlstone.llm.token_counts import count_tokens
 from marlstone.llm.toxicity import fit_toxicity, score_toxicity
 from marlstone.llm.training_order import write_training_order
 from marlstone.sources.tables import table
@@ -86,6 +87,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_training_order": op2_training_order,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_setsketch_dedup": op9_setsketch_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_counts": op12_token_counts,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
