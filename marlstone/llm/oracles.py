@@ -57,3 +57,19 @@ u AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING
 s AS (SELECT substr(prefix, 1, 32 * j) AS prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * n_bytes) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM u) GROUP BY 1)
 SELECT u.conv_id, u.d AS depth, a.conv_id AS parent_conv_id, u.n_convs, u.n_children, CAST(s.n_leaves AS bigint) AS n_leaves, CAST(s.saved AS bigint) AS saved_tokens, u.ends_sha256
 FROM u JOIN s USING (prefix) LEFT JOIN n a ON u.d > 0 AND a.d = u.d - 1 AND a.prefix = substr(u.prefix, 1, 32 * (u.d - 1))"""
+
+#: All phrases of each piece, counted whole.
+COLLOCATIONS = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+ks AS (SELECT unnest(range(1, 5)) AS k),
+o AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, ks WHERE len(w) >= k),
+n AS (SELECT lang, count(*) AS n FROM o WHERE k = 1 GROUP BY 1),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, k, f AS a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT cuts.lang, cuts.phrase, a, cut, fx.f AS l, fy.f AS r, CAST((CAST(2000000 AS hugeint) * a) // (fx.f + fy.f) AS bigint) AS score FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y),
+worst AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY ALL),
+ranked AS (SELECT worst.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR CAST(longer AS hugeint) * 100 < CAST(a AS hugeint) * 80)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""

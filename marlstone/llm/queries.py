@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.collocations import collocations
 from marlstone.llm.cotrain import fit_quality, score_quality
 from marlstone.llm.decontaminate import find_contamination
 from marlstone.llm.html_extract import extract_text
 from marlstone.llm.licenses import scan_licenses
-from marlstone.llm.oracles import CONVERSATION_TRIE, NEAR_DUPLICATES, QUALITY_RULES
+from marlstone.llm.oracles import COLLOCATIONS, CONVERSATION_TRIE, NEAR_DUPLICATES, QUALITY_RULES
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.pii import BASE_KINDS, find_pii
 from marlstone.llm.prefix_trie import conversation_trie
@@ -91,6 +92,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_training_order": op2_training_order,
@@ -104,7 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_token_counts": op12_token_counts,
+    "op13_collocations": op13_collocations,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {"op6_quality_rules": QUALITY_RULES, "op9_setsketch_dedup": NEAR_DUPLICATES, "op11_prefix_trie": CONVERSATION_TRIE}
+ORACLES: dict[str, str] = {"op6_quality_rules": QUALITY_RULES, "op9_setsketch_dedup": NEAR_DUPLICATES, "op11_prefix_trie": CONVERSATION_TRIE, "op13_collocations": COLLOCATIONS}
