@@ -6,6 +6,7 @@ All become equality joins on exploded parts, so none compares every row with eve
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text
 from marlstone.functions.text import trigrams
+from marlstone.operators.similarity import best_by_thresholds, held_pairs, letters, similar_pairs
+from marlstone.sources.scratch import materialise
 
 
 def word_grams(text: Column, most: int) -> Column:
@@ -44,11 +47,11 @@ def two_level(df: DataFrame, code: str, table: DataFrame, base: int, value: str)
 
 def best_trigram_match(names: DataFrame, name: str, candidates: DataFrame, candidate: str) -> DataFrame:
     """(name, candidate, similarity): the candidate of the highest trigram Jaccard similarity, by name if equal; only ones that share a trigram."""
-    side = lambda df, c: df.select(c).distinct().select(c, F.size(trigrams(F.col(c))).alias(f"_n_{c}"), F.explode(trigrams(F.col(c))).alias("_t"))
-    shared = side(names, name).join(side(candidates, candidate), "_t").groupBy(name, candidate, f"_n_{name}", f"_n_{candidate}").agg(F.count("*").alias("_s"))
-    similarity = F.col("_s") / (F.col(f"_n_{name}") + F.col(f"_n_{candidate}") - F.col("_s"))
-    w = Window.partitionBy(name).orderBy(F.desc("similarity"), candidate)
-    return shared.withColumn("similarity", F.round(similarity, 6)).withColumn("_r", F.row_number().over(w)).where("_r = 1").select(name, candidate, "similarity")
+    side = lambda df, c, key: materialise(df.select(F.col(c).alias(key)).distinct().select(key, trigrams(F.col(key)).alias("items")), f"trigrams-{key}")
+    left, right = side(names, name, "l"), side(candidates, candidate, "r")
+    found = best_by_thresholds(left, lambda df, t: similar_pairs(df, right, t).withColumnRenamed("similarity", "score"), (0.8, 0.6, 0.4, 0.2, 0.01))
+    w = Window.partitionBy("l").orderBy(F.desc("similarity"), "r")
+    return found.select("l", "r", F.round("score", 6).alias("similarity")).withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col("l").alias(name), F.col("r").alias(candidate), "similarity")
 
 
 def overlap_ranking(left: DataFrame, right: DataFrame, left_id: str, right_id: str, item: str, k: int) -> DataFrame:
@@ -70,24 +73,34 @@ def name_similarity(q: Column, a: Column) -> Column:
     return F.when((q == "") | (a == ""), 0.0).otherwise(F.greatest(score, F.when(held, 0.8).otherwise(0.0)))
 
 
-def resolve(queries: DataFrame, aliases: DataFrame, high: float = 0.82, medium: float = 0.55) -> DataFrame:
+def resolve(queries: DataFrame, aliases: DataFrame, high: float = 0.82, medium: float = 0.55, least: float = 0.3) -> DataFrame:
     """(query, id, score, tier, confidence): the best entity for each row of queries (query) by the aliases (alias, id).
 
     Names are normalised; an equal one is exact, else the alias of the greatest ``name_similarity``
-    wins, of equal ones the smallest id. Only aliases that share a letter pair with the query are compared: at
-    no shared pair, none of the four signals reaches ``medium`` but by chance of single letters. A query
-    without any such alias has a null id and the confidence low.
+    wins, of equal ones the smallest id, exactly as if all were compared. Thresholds fall from 0.9 to
+    ``least``, and at each one only queries without a match so far meet the aliases
+    that may reach it by one of the signals: a sequence ratio of t takes letters in common (a Jaccard similarity of t / (2 - t)
+    of the multisets), the others are joins of sets or of held texts. A query whose best alias stays below ``least``
+    has a null id, score 0 and the confidence low.
     """
-    names = aliases.select(text.normalize_surface(F.col("alias")).alias("a"), "id").where("a <> ''").distinct()
-    asked = queries.select("query", text.normalize_surface(F.col("query")).alias("q")).distinct()
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    # Distinct names on both sides: a frequent letter pair meets names, not rows.
-    left = asked.select("q").distinct().withColumn("pair", F.explode(pairs(F.col("q"))))
-    right = names.select("a").distinct().withColumn("pair", F.explode(pairs(F.col("a"))))
-    both = left.join(right, "pair").select("q", "a").distinct().withColumn("score", name_similarity(F.col("q"), F.col("a")))
-    best = both.join(names, "a").groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("less"), "id")).alias("best"))
-    found = asked.join(best.select("q", F.col("best.id").alias("id"), (-F.col("best.less")).alias("score")), "q", "left")
+    names = materialise(aliases.select(text.normalize_surface(F.col("alias")).alias("a"), "id").where("a <> ''").distinct(), "aliases")
+    asked = materialise(queries.select("query", text.normalize_surface(F.col("query")).alias("q")).distinct(), "asked")
+    words = lambda c: F.array_distinct(F.split(c, " "))
     exact = names.groupBy(F.col("a").alias("q")).agg(F.min("id").alias("exact"))
+    left = materialise(asked.where("q <> ''").select("q").distinct().join(exact, "q", "left_anti").select(F.col("q").alias("l")), "unmatched")
+    right = materialise(names.select(F.col("a").alias("r")).distinct(), "names")
+    sets = {f.__name__: right.select("r", f(F.col("r")).alias("items")) for f in (letters, trigrams)} | {"words": right.select("r", words(F.col("r")).alias("items"))}
+
+    def pairs_at(df: DataFrame, t: float) -> DataFrame:
+        near = [similar_pairs(df.select("l", letters(F.col("l")).alias("items")), sets["letters"], t / (2 - t)), similar_pairs(df.select("l", trigrams(F.col("l")).alias("items")), sets["trigrams"], t), similar_pairs(df.select("l", words(F.col("l")).alias("items")), sets["words"], t)]
+        pairs = reduce(DataFrame.unionByName, [p.select("l", "r") for p in near])
+        if t <= 0.8:
+            pairs = pairs.unionByName(held_pairs(df, right))
+        return pairs.distinct().withColumn("score", name_similarity(F.col("l"), F.col("r")))
+
+    both = best_by_thresholds(left, pairs_at, [t for t in (0.9, 0.8, 0.7, medium) if t > least] + [least])
+    best = both.join(names, F.col("r") == F.col("a")).groupBy(F.col("l").alias("q")).agg(F.min(F.struct((-F.col("score")).alias("less"), "id")).alias("best"))
+    found = asked.join(best.select("q", F.col("best.id").alias("id"), (-F.col("best.less")).alias("score")), "q", "left")
     found = found.join(exact, "q", "left").withColumn("score", F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
     confidence = F.when(F.col("score") >= high, "high").when(F.col("score") >= medium, "med").otherwise("low")
     return found.select("query", F.coalesce("exact", "id").alias("id"), "score", F.when(F.col("exact").isNotNull(), "exact").otherwise("fuzzy").alias("tier"), confidence.alias("confidence"))

@@ -338,11 +338,11 @@ def skill_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(bridge, "skill").groupBy("entity").agg(F.sum("n").cast("long").alias("n"))
 
 
-@query("""WITH i AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE year(o_orderdate) = 2000), q AS (SELECT * FROM i WHERE c % 100 = 0)
+@query("""WITH i AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey), q AS (SELECT * FROM i WHERE c % 100 = 0)
 SELECT q.c AS customer, i.c AS other, count(*) AS shared, row_number() OVER (PARTITION BY q.c ORDER BY count(*) DESC, i.c) AS rank FROM q JOIN i ON q.p = i.p AND q.c <> i.c GROUP BY q.c, i.c QUALIFY rank <= 5""")
 def profile_overlap_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every customer whose id is divisible by 100 the five with the most parts in common."""
-    bought = table(spark, sf_dir, "orders").where("year(o_orderdate) = 2000").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     left = bought.where("o_custkey % 100 = 0").select(F.col("o_custkey").alias("customer"), F.col("l_partkey").alias("p"))
     right = bought.select(F.col("o_custkey").alias("other"), F.col("l_partkey").alias("p"))
     shared = left.distinct().join(right.distinct(), "p").where("customer <> other").groupBy("customer", "other").agg(F.count("*").alias("shared"))
@@ -350,11 +350,11 @@ def profile_overlap_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
 
 
-@query("""WITH s AS (SELECT DISTINCT p_brand AS entity, unnest(string_split(p_name, ' ')) AS skill FROM part WHERE p_size > 40), x AS (SELECT a.entity AS entity, b.entity AS other, count(*) AS shared FROM s a JOIN s b ON a.skill = b.skill GROUP BY 1, 2)
+@query("""WITH s AS (SELECT DISTINCT p_brand AS entity, unnest(string_split(p_name, ' ')) AS skill FROM part), x AS (SELECT a.entity AS entity, b.entity AS other, count(*) AS shared FROM s a JOIN s b ON a.skill = b.skill GROUP BY 1, 2)
 SELECT entity, other, shared, row_number() OVER (PARTITION BY entity ORDER BY shared DESC, other) AS rank FROM x QUALIFY rank <= 5""")
 def skill_overlap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five entities that share the most skills with each."""
-    skills = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_brand").alias("entity"), F.explode(F.split("p_name", " ")).alias("skill"))
+    skills = table(spark, sf_dir, "part").select(F.col("p_brand").alias("entity"), F.explode(F.split("p_name", " ")).alias("skill"))
     return overlap_ranking(skills, skills.withColumnRenamed("entity", "other"), "entity", "other", "skill", 5)
 
 
