@@ -62,7 +62,7 @@ def overlap_ranking(left: DataFrame, right: DataFrame, left_id: str, right_id: s
 
 
 def name_similarity(q: Column, a: Column) -> Column:
-    """The greatest of sequence ratio, trigram and word Jaccard of two normalised names; 0.8 at least where one of four letters and more holds the other."""
+    """The greatest of sequence ratio, trigram and word Jaccard of two normalised names; 0.8 at least where q has four letters and more and one holds the other."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:

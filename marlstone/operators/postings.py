@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import canon_title, normalize_surface, shingles, slug
 from marlstone.operators.components import components
 from marlstone.operators.knn import first_links
+from marlstone.operators.neighbours import indexed_groups
 from marlstone.sources.scratch import materialise
 
 REGISTERS, BANDS, BLOCK = 32, 8, 1024
@@ -81,3 +82,25 @@ def derived_roles(posts: DataFrame, market: str, title: str, floor: int = 200, s
     listed = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("_r", "title"))), lambda x: x["title"]))
     rows = ranked.groupBy("market", "canon").agg(F.max("_all").alias("posting_count"), listed.alias("member_titles"))
     return rows.select(F.concat_ws(":", F.lit("derived"), F.lower("market"), slug(F.col("canon"))).alias("role_id"), "market", F.initcap("canon").alias("label_title"), "posting_count", "member_titles")
+
+
+def clustered_roles(posts: DataFrame, key: str, market: str, title: str, vector: str, floor: int = 200, least: float = 0.68, shown: int = 50) -> DataFrame:
+    """(role_id, market, label_title, posting_count, member_titles): clusters of near postings of a market, of ``floor`` members and more.
+
+    Only markets of ``floor`` postings take part; a posting is a row with a market. A cluster is a component of the near
+    vectors of its market (``indexed_groups``); it is named by the title without level words that most of its members have, of
+    equal ones the first by name, ``role`` if that is empty. member_titles lists the first ``shown`` distinct titles by name as JSON. ``key`` names each row.
+    """
+    rows = posts.where(F.col(market).isNotNull()).select(key, F.col(market).alias("market"), F.coalesce(title, F.lit("")).alias("title"), F.col(vector).alias("_v"))
+    large = rows.groupBy("market").agg(F.count("*").alias("_n")).where(F.col("_n") >= floor).select("market")
+    rows = materialise(rows.join(large, "market", "left_semi"), "postings")
+    groups = indexed_groups(rows, key, "_v", least, ["market"])
+    titles = rows.drop("_v").join(groups.select(key, "group"), key).groupBy("market", "group", "title").agg(F.count("*").alias("n"))
+    sizes = titles.groupBy("market", "group").agg(F.sum("n").alias("posting_count")).where(F.col("posting_count") >= floor)
+    named = titles.join(sizes, ["market", "group"]).withColumn("canon", canon_title(F.col("title")))
+    modes = named.groupBy("market", "group", "canon").agg(F.sum("n").alias("n")).groupBy("market", "group").agg(F.min(F.struct((-F.col("n")).alias("less"), "canon")).alias("mode"))
+    first = named.withColumn("_r", F.row_number().over(Window.partitionBy("market", "group").orderBy("title"))).where(F.col("_r") <= shown)
+    listed = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("_r", "title"))), lambda x: x["title"]))
+    found = first.groupBy("market", "group").agg(F.max("posting_count").alias("posting_count"), listed.alias("member_titles")).join(modes, ["market", "group"])
+    label = F.coalesce(F.nullif("mode.canon", F.lit("")), F.lit("role"))
+    return found.select(F.concat_ws(":", F.lit("derived"), F.lower("market"), slug(label)).alias("role_id"), "market", F.initcap(label).alias("label_title"), "posting_count", "member_titles")

@@ -61,20 +61,23 @@ def letters(c: Column) -> Column:
 
 
 def held_pairs(left: DataFrame, right: DataFrame, least: int = 4) -> DataFrame:
-    """(l, r): texts of which one holds the other, the shorter of ``least`` letters and more (3 at least).
+    """(l, r): texts of left of ``least`` letters and more (3 at least), and those of right that they hold or that hold them.
 
-    The rarest run of three letters of the shorter text is one of the longer text's runs.
+    The rarest run of three letters of the shorter text is one of the longer text's runs; texts of one or two letters are met as
+    they are. Empty texts have no pair.
     """
-    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))
+    long_left = left.select("l").where(F.length("l") >= max(least, 3))
 
     def inside(inner: DataFrame, x: str, outer: DataFrame, y: str) -> DataFrame:
-        index = outer.where(F.length(y) >= 3).select(y, F.explode(runs(F.col(y))).alias("run"))
+        index = outer.where(F.length(y) >= 3).select(y, F.explode(runs(F.col(y), 3)).alias("run"))
         rare = index.groupBy("run").agg(F.count("*").alias("n"))
-        probe = inner.where(F.length(x) >= max(least, 3)).select(x, F.explode(runs(F.col(x))).alias("run")).join(rare, "run", "left")
+        probe = inner.where(F.length(x) >= 3).select(x, F.explode(runs(F.col(x), 3)).alias("run")).join(rare, "run", "left")
         probe = probe.groupBy(x).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("best")).select(x, F.col("best.run").alias("run"))
         return probe.join(index, "run").where(F.col(y).contains(F.col(x))).select("l", "r")
 
-    return inside(left.select("l"), "l", right.select("r"), "r").unionByName(inside(right.select("r"), "r", left.select("l"), "l")).distinct()
+    short = long_left.select("l", F.explode(F.array_union(runs(F.col("l"), 1), runs(F.col("l"), 2))).alias("r")).join(right.select("r"), "r").select("l", "r")
+    return inside(long_left, "l", right.select("r"), "r").unionByName(inside(right.select("r"), "r", long_left, "l")).unionByName(short).distinct()
 
 
 def best_by_thresholds(left: DataFrame, pairs_at: Callable[[DataFrame, float], DataFrame], thresholds: Sequence[float]) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as t
 from marlstone.operators.graph import descend, occupation_graph
+from marlstone.operators.neighbours import indexed_groups, neighbour_graph
+from marlstone.operators.postings import clustered_roles
 from marlstone.operators.similarity import similar_pairs
 from marlstone.plans.registry import query
 from marlstone.sources.scratch import materialise
@@ -67,3 +69,37 @@ def similar_names_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _names(spark, sf_dir, lambda c: F.array_distinct(F.split(c, " ")))
     pairs = similar_pairs(names, names.withColumnRenamed("l", "r"), 0.6).where("l < r")
     return pairs.select(F.col("l").alias("name"), F.col("r").alias("other"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("""WITH p AS (SELECT a.vec_id AS vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(CAST(a.embedding AS double[]), CAST(b.embedding AS double[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT vec_id, neighbour, round(similarity, 4) AS similarity, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) AS rank FROM p WHERE similarity >= 0.3 QUALIFY rank <= 8""")
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight nearest neighbours of every vector, from the index of cells."""
+    found = neighbour_graph(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=8, least=0.3)
+    return found.withColumn("similarity", F.round("similarity", 4))
+
+
+_LINKS_SQL = """l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label AND list_cosine_similarity(CAST(a.embedding AS double[]), CAST(b.embedding AS double[])) >= 0.3),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), g AS (SELECT a AS vec_id, min(b) AS component FROM r GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_LINKS_SQL} SELECT vec_id, label, component, count(*) OVER (PARTITION BY component) AS size FROM g JOIN embeddings USING (vec_id)")
+def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near vectors of one label, from the index of cells."""
+    found = indexed_groups(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", least=0.3, block=["label"]).withColumnRenamed("group", "component")
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    return found.join(sizes, "component").select("vec_id", "label", "component", "size")
+
+
+@query(rf"""WITH RECURSIVE {_LINKS_SQL},
+t AS (SELECT e.vec_id, 'M' || label AS market, component, CASE WHEN vec_id % 3 = 0 THEN 'Senior ' WHEN vec_id % 3 = 1 THEN 'Lead ' ELSE '' END || coalesce(p_name, '') || CASE WHEN vec_id % 2 = 0 THEN ' II' ELSE '' END AS title, coalesce(p_name, '') AS canon FROM embeddings e JOIN g USING (vec_id) LEFT JOIN part ON p_partkey = e.vec_id + 1 WHERE label IS NOT NULL),
+s AS (SELECT market, component, count(*) AS n FROM t WHERE market IN (SELECT market FROM t GROUP BY 1 HAVING count(*) >= 5) GROUP BY ALL HAVING count(*) >= 5),
+m AS (SELECT market, component, canon, count(*) AS c FROM t SEMI JOIN s USING (market, component) GROUP BY market, component, canon QUALIFY row_number() OVER (PARTITION BY market, component ORDER BY count(*) DESC, canon) = 1),
+j AS (SELECT market, component, '["' || array_to_string(list_sort(list(DISTINCT title))[1:50], '","') || '"]' AS member_titles FROM t SEMI JOIN s USING (market, component) GROUP BY ALL)
+SELECT 'derived:' || lower(market) || ':' || replace(canon, ' ', '-') AS role_id, market, array_to_string(list_transform(string_split(canon, ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS label_title, s.n AS posting_count, member_titles FROM s JOIN m USING (market, component) JOIN j USING (market, component)""")
+def roles_of_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles from clusters of near vectors of a label, named by their most frequent title."""
+    n, part = F.col("vec_id"), table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("vec_id"), "p_name")
+    title = F.concat(F.when(n % 3 == 0, "Senior ").when(n % 3 == 1, "Lead ").otherwise(""), F.coalesce("p_name", F.lit("")), F.when(n % 2 == 0, " II").otherwise(""))
+    posts = table(spark, sf_dir, "embeddings").join(part, "vec_id", "left").select("vec_id", F.concat(F.lit("M"), F.col("label").cast("string")).alias("market"), title.alias("title"), "embedding")
+    return clustered_roles(posts, "vec_id", "market", "title", "embedding", floor=5, least=0.3)
