@@ -2,16 +2,16 @@
 
 R(k) holds the occurrences of all phrases of k words, sorted by place: words of one
 piece have consecutive places, pieces leave a gap. It is a written table of chunks,
-each of the texts of one language up to ``CHUNK`` bytes, with its places and its phrases
-as packed arrays; beside them are the chunk's distinct phrases and their numbers. A level
-is three steps. Group-count: the chunks' numbers are added up by phrase. Semi-join:
-the frequent phrases go back to the chunks that have them, and each chunk drops all other
-occurrences. Merge-join: occurrences at adjacent places make one of the next length,
-so both of its parts are frequent.
-
-A phrase costs one row for each chunk, however often it occurs, and texts are read
+one row for each, of the texts of one language up to ``CHUNK`` bytes: its places and their
+phrases as packed arrays, and its distinct phrases with their numbers. A level
+is three steps. Group-count: the chunks' numbers are dealt by phrase and added up.
+Semi-join: the frequent phrases go back to the chunks that have them, and each
+chunk drops all other occurrences. Merge-join: occurrences at adjacent places make one of the
+next length, so both of its parts are frequent.
+
+A phrase costs an entry for each chunk, however often it occurs, and texts are read
 once, where they lie: a common word or line, or a group of copies, is in no single
-task.
+task. Phrases are dealt into as many parts as their number asks for.
 
 Cases: a null or empty text has no words, a null language is ``und``; repeated rows
 count each; a very long text is a chunk of its own; ties go by smaller cut, then by
@@ -25,6 +25,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -36,10 +37,17 @@ from marlstone.llm.common import materialise
 
 #: Bytes of text of a chunk, a single text aside.
 CHUNK = 8 << 20
+#: Chunks' phrases that are added up in one group, about.
+PART = 1 << 20
 LONGEST = 4
 
-_LEVEL = "chunk long, lang string, id int, phrase string, c long, at binary, item binary"
-_ARROW = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("id", pa.int32()), ("phrase", pa.string()), ("c", pa.int64()), ("at", pa.binary()), ("item", pa.binary())])
+_LEVEL = "chunk long, lang string, n long, words long, phrases binary, counts binary, at binary, item binary"
+_PARTS = "part int, chunk long, lang string, phrases binary, counts binary, ids binary"
+#: Rows of a chunk's frequent phrases, and rows of a frequent phrase with its number.
+_KEPT = "chunk long, phrases binary, ids binary, lang string, phrase string, f long"
+_KEPT_ARROW = pa.schema([("chunk", pa.int64()), ("phrases", pa.binary()), ("ids", pa.binary()), ("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+_LEVEL_ARROW = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary()), ("at", pa.binary()), ("item", pa.binary())])
+_PARTS_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 _PIECE_END, _WORD_END = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _PIECE_END[list(b".,;:!?\n\x0b\x0c\r")] = True
 _WORD_END[list(b".,;:!?\n\x0b\x0c\r \t")] = True
@@ -57,29 +65,40 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _rows(chunk: int, lang: str, phrases: pa.Array, counts: np.ndarray, at: np.ndarray, item: np.ndarray, keep: bool) -> Iterator[pa.RecordBatch]:
-    """The chunk's distinct phrases with their numbers, and one row of its relation."""
-    n = len(counts)
-    for a in range(0, n, 50_000):
-        m = min(n - a, 50_000)
-        none = pa.nulls(m, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array([lang] * m, pa.string()), pa.array(np.arange(a, a + m, dtype=np.int32)), phrases.slice(a, m), pa.array(counts[a : a + m].astype(np.int64)), none, none], schema=_ARROW)
-    if keep and n:
-        yield pa.RecordBatch.from_pylist([{"chunk": chunk, "lang": lang, "at": _packed(np.diff(at, prepend=0)), "item": _packed(item)}], schema=_ARROW)
+def _packed_texts(texts: pa.Array) -> bytes:
+    """Phrases, each with a line end, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress("".join(pc.binary_join_element_wise(texts, "", "\n").to_pylist()).encode())
+
+
+def _unpacked_texts(raw: bytes) -> pa.Array:
+    b = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    ends = np.flatnonzero(b == 10)
+    offsets = np.zeros(len(ends) + 1, dtype=np.int32)
+    offsets[1:] = ends - np.arange(len(ends))
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(b[b != 10])))
+
+
+def _level_row(chunk: int, lang: str, phrases: pa.Array, counts: np.ndarray, at: np.ndarray, item: np.ndarray) -> pa.RecordBatch:
+    """The row of a chunk."""
+    row = {"chunk": chunk, "lang": lang, "n": len(counts), "words": int(counts.sum()), "phrases": _packed_texts(phrases), "counts": _packed(counts), "at": _packed(np.diff(at, prepend=0)), "item": _packed(item)}
+    return pa.RecordBatch.from_pylist([row], schema=_LEVEL_ARROW)
 
 
 def _words(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words, and of each occurrence its place and its word."""
+    """Distinct words in order, and of each occurrence its place and its word."""
     b = _LOWER[np.frombuffer(raw, dtype=np.uint8)]
     ends = _WORD_END[b]
     edge = np.flatnonzero(np.diff(ends.astype(np.int8), prepend=1, append=1))
     starts, stops = edge[::2], edge[1::2]
-    piece = np.cumsum(_PIECE_END[b])[starts] if len(starts) else np.empty(0, dtype=np.int64)
+    piece = np.cumsum(_PIECE_END[b])[starts]
     offsets = np.zeros(len(starts) + 1, dtype=np.int64)
     np.cumsum(stops - starts, out=offsets[1:])
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(b[~ends]))).dictionary_encode()
-    _, rank = np.unique(piece, return_inverse=True)
-    return words.dictionary.cast(pa.string()), np.arange(len(starts)) + rank, words.indices.to_numpy().astype(np.int64)
+    order = pc.sort_indices(words.dictionary).to_numpy()
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    gaps = np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
+    return words.dictionary.take(pa.array(order)).cast(pa.string()), np.arange(len(starts)) + gaps, rank[words.indices.to_numpy()]
 
 
 def _first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +109,8 @@ def _first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk += 1
         words, at, item = _words(b"\n".join(held.pop(lang)))
         size.pop(lang)
-        yield from _rows((task << 32) + chunk, lang, words, np.bincount(item, minlength=len(words)), at, item, True)
+        if len(words):
+            yield _level_row((task << 32) + chunk, lang, words, np.bincount(item, minlength=len(words)), at, item)
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -103,45 +123,92 @@ def _first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(lang)
 
 
-def _extend(last: bool):
+def _dealt(parts: int):
+    """A chunk's phrases with their numbers, by part of a hash."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                phrases, counts = _unpacked_texts(r["phrases"]), _unpacked(r["counts"])
+                hashes = pd.util.hash_array(phrases.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(parts)
+                order = np.argsort(hashes, kind="stable")
+                edges = np.searchsorted(hashes[order], np.arange(parts + 1, dtype=np.uint64)) if parts <= len(order) else np.append(np.flatnonzero(np.diff(hashes[order], prepend=hashes[order][:1] + np.uint64(1))), len(order))
+                rows = []
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    if b > a:
+                        ids = order[a:b]
+                        rows.append({"part": int(hashes[ids[0]]), "chunk": r["chunk"], "lang": r["lang"], "phrases": _packed_texts(phrases.take(pa.array(ids))), "counts": _packed(counts[ids]), "ids": _packed(np.diff(ids, prepend=0))})
+                yield pa.RecordBatch.from_pylist(rows, schema=_PARTS_ARROW)
+
+    return deal
+
+
+def _frequent(least: int):
+    """Phrases of one part whose numbers add up to ``least`` and more: once each, and by chunk."""
+
+    def frequent(rows: pa.Table) -> pa.Table:
+        by_lang, out = defaultdict(list), []
+        for r in rows.to_pylist():
+            by_lang[r["lang"]].append(r)
+        for lang, own in by_lang.items():
+            each = [_unpacked_texts(r["phrases"]) for r in own]
+            coded = pa.concat_arrays(each).dictionary_encode()
+            item, totals = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), dtype=np.int64)
+            np.add.at(totals, item, np.concatenate([_unpacked(r["counts"]) for r in own]))
+            found = np.flatnonzero(totals >= least)
+            none = pa.nulls(len(found))
+            out.append(pa.Table.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array([lang] * len(found), pa.string()), coded.dictionary.take(pa.array(found)), pa.array(totals[found])], schema=_KEPT_ARROW))
+            start, kept = 0, []
+            for r, phrases in zip(own, each, strict=True):
+                keep = totals[item[start : start + len(phrases)]] >= least
+                start += len(phrases)
+                if keep.any():
+                    ids = np.cumsum(_unpacked(r["ids"]))[keep]
+                    kept.append({"chunk": r["chunk"], "phrases": _packed_texts(phrases.filter(pa.array(keep))), "ids": _packed(np.diff(ids, prepend=0))})
+            out.append(pa.Table.from_pylist(kept, schema=_KEPT_ARROW))
+        return pa.concat_tables(out)
+
+    return frequent
+
+
+def _extend(kept: pa.Table, relation: pa.Table) -> pa.Table:
     """Occurrences of one word more, of a chunk's relation and its frequent phrases."""
-
-    def extend(frequent: pa.Table, relation: pa.Table) -> pa.Table:
-        if not len(frequent) or not len(relation):
-            return _ARROW.empty_table()
-        row = relation.to_pylist()[0]
-        at, item = np.cumsum(_unpacked(row["at"])), _unpacked(row["item"])
-        ids, phrases = frequent.column("id").to_numpy(), frequent.column("phrase").combine_chunks()
-        place = np.full(max(int(ids.max()), int(item.max())) + 1, -1)
-        place[ids] = np.arange(len(ids))
-        # Semi-join: frequent occurrences only. Merge-join: places are sorted, so an adjacent one is the next row.
-        item = place[item]
-        at, item = at[item >= 0], item[item >= 0]
-        first = np.flatnonzero(at[1:] == at[:-1] + 1)
-        codes, made, counts = np.unique(item[first] * len(ids) + item[first + 1], return_inverse=True, return_counts=True)
-        ends = pc.replace_substring_regex(phrases, "^.* ", "")
-        joined = pc.binary_join_element_wise(phrases.take(pa.array(codes // len(ids))), ends.take(pa.array(codes % len(ids))), " ")
-        return pa.Table.from_batches(list(_rows(row["chunk"], row["lang"], joined, counts, at[first], made, not last)), schema=_ARROW)
-
-    return extend
+    if not len(kept) or not len(relation):
+        return _LEVEL_ARROW.empty_table()
+    row, parts = relation.to_pylist()[0], kept.to_pylist()
+    at, item = np.cumsum(_unpacked(row["at"])), _unpacked(row["item"])
+    ids = np.concatenate([np.cumsum(_unpacked(r["ids"])) for r in parts])
+    order = np.argsort(ids)
+    ids, phrases = ids[order], pa.concat_arrays([_unpacked_texts(r["phrases"]) for r in parts]).take(pa.array(order))
+    place = np.full(max(int(ids[-1]), int(item.max())) + 1, -1)
+    place[ids] = np.arange(len(ids))
+    # Semi-join: frequent occurrences only. Merge-join: places are sorted, so an adjacent one is the next row.
+    item = place[item]
+    at, item = at[item >= 0], item[item >= 0]
+    first = np.flatnonzero(at[1:] == at[:-1] + 1)
+    if not len(first):
+        return _LEVEL_ARROW.empty_table()
+    codes, made, counts = np.unique(item[first] * len(ids) + item[first + 1], return_inverse=True, return_counts=True)
+    ends = pc.replace_substring_regex(phrases, "^.* ", "")
+    joined = pc.binary_join_element_wise(phrases.take(pa.array(codes // len(ids))), ends.take(pa.array(codes % len(ids))), " ")
+    return pa.Table.from_batches([_level_row(row["chunk"], row["lang"], joined, counts, at[first], made)])
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of one to four words that occur ``least`` times in a language, and (lang, n)."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     level = materialise(texts.mapInArrow(_first_level, _LEVEL), "occurrences-1")
-    words = level.where("c IS NOT NULL").groupBy("lang").agg(F.sum("c").alias("n"))
-    found, same = None, Window.partitionBy("phrase", "lang")
+    words = level.groupBy("lang").agg(F.sum("words").alias("n"))
+    found = None
     for k in range(1, LONGEST + 1):
-        counted = level.where("c IS NOT NULL").select("phrase", "lang", "chunk", "id", "c")
-        totals = counted.withColumns({"f": F.sum("c").over(same), "first": F.min("chunk").over(same) == F.col("chunk")})
-        kept = materialise(totals.where(F.col("f") >= least).drop("c"), f"frequent-{k}")
-        frequent = kept.where("first").select("lang", "phrase", F.lit(k).alias("k"), "f")
+        parts = 1 + (level.agg(F.sum("n")).first()[0] or 0) // PART
+        dealt = level.select("chunk", "lang", "phrases", "counts").mapInArrow(_dealt(parts), _PARTS)
+        kept = materialise(dealt.groupBy("part").applyInArrow(_frequent(least), _KEPT), f"frequent-{k}")
+        frequent = kept.where("f IS NOT NULL").select("lang", "phrase", F.lit(k).alias("k"), "f")
         found = frequent if found is None else found.unionAll(frequent)
         if k < LONGEST:
-            relation = level.where("at IS NOT NULL").select("chunk", "lang", "at", "item")
-            pairs = kept.select("chunk", "id", "phrase").groupBy("chunk").cogroup(relation.groupBy("chunk"))
-            level = materialise(pairs.applyInArrow(_extend(k + 1 == LONGEST), _LEVEL), f"occurrences-{k + 1}")
+            both = kept.where("chunk IS NOT NULL").select("chunk", "phrases", "ids").groupBy("chunk").cogroup(level.select("chunk", "lang", "at", "item").groupBy("chunk"))
+            level = materialise(both.applyInArrow(_extend, _LEVEL), f"occurrences-{k + 1}")
     return found, words
 
 

@@ -53,6 +53,7 @@ def made_rows(seed=1, n=400):
 @pytest.mark.parametrize(("chunk", "most"), [(8 << 20, 2000), (2_000, 2000), (2_000, 3)])
 def test_equals_plain(spark, monkeypatch, chunk, most):
     monkeypatch.setattr(module, "CHUNK", chunk)  # tasks of a local session see the driver's value only where they are forked from it
+    monkeypatch.setattr(module, "PART", 50 if chunk == 2_000 else 1 << 20)
     rows = made_rows()
     df = spark.createDataFrame([(k, t, lang, "x", 1, 1) for k, (t, lang) in enumerate(rows)], SCHEMA).repartition(3)
     got = collocations(df, most=most)
@@ -70,9 +71,15 @@ def test_chunks_of_a_task(monkeypatch):
     monkeypatch.setattr(module, "CHUNK", 50)
     batch = pa.RecordBatch.from_pylist([{"lang": lang, "text": "some words here and Some words"} for lang in "abab"])
     rows = [r for b in module._first_level(iter([batch])) for r in b.to_pylist()]
-    relations = [r for r in rows if r["at"]]
-    assert len({r["chunk"] for r in relations}) == len(relations) == 4
-    assert {r["phrase"]: r["c"] for r in rows if r["chunk"] == relations[0]["chunk"] and r["phrase"]} == {"some": 2, "words": 2, "here": 1, "and": 1}
+    assert len({r["chunk"] for r in rows}) == len(rows) == 4 and [r["words"] for r in rows] == [6] * 4
+    assert dict(zip(module._unpacked_texts(rows[0]["phrases"]).to_pylist(), module._unpacked(rows[0]["counts"]).tolist(), strict=True)) == {"some": 2, "words": 2, "here": 1, "and": 1}
+    for parts in (1, 3, 1000):
+        dealt = [r for b in module._dealt(parts)(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+        assert sum(len(module._unpacked(r["ids"])) for r in dealt) == sum(r["n"] for r in rows) and all(r["part"] < parts for r in dealt)
+        where = {}
+        for r in dealt:
+            for p in module._unpacked_texts(r["phrases"]).to_pylist():
+                assert where.setdefault(p, r["part"]) == r["part"]
 
 
 def test_odd_texts(spark, odd_docs):
