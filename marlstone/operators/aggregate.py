@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from marlstone.sources.scratch import materialise
 
+#: Ranks that a sketch is asked for.
+GRID = 256
+
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
     """(keys, n, a column for each quantile): the value at place round-half-even(q * (n - 1)), nulls left out."""
@@ -31,24 +34,86 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return upto.groupBy(*keys).agg(F.max("_n").cast("long").alias("n"), F.min(F.when(F.col("_to") > F.floor(F.col("_n") / 2), F.col(value))).alias("upper_median"))
 
 
-def counted_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", ranges: int = 1024) -> DataFrame:
-    """(keys, name, n): the median, for few groups of very many rows; nulls left out, also as keys; groups without a value have no row.
-
-    Values are counted once. A group's span is cut into ranges, whose counts tell which of them hold the middle
-    places, and only the values of these are ordered: no group is in one task or one buffer.
+def _closer(rows: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """State of groups whose brackets a sketch of the values within has narrowed, as far as the counts confirm it."""
+    within = (F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high"))
+    inner = rows.join(state, "_k").where(within)
+    low, high = (F.floor((F.col("_n") + d) / 2) - F.col("_below") for d in (-1, 0))
+    carried = [F.first(c).alias(c) for c in ("_n", "_low", "_high", "_below", "_inside", "_slack")]
+    sketches = materialise(inner.groupBy("_k").agg(F.kll_sketch_agg_double("_v", k).alias("_s"), *carried), "sketches")
+    # The function takes fixed ranks only: a grid of them, of which the next ones on both sides are picked.
+    cut = sketches.withColumn("_q", F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))).drop("_s")
+    share = lambda place, slack: ((place + 0.5) / F.col("_inside") + slack) * GRID
+    at = lambda place: F.element_at("_q", F.greatest(F.lit(0), F.least(F.lit(GRID), place)).cast("int") + 1)
+    cut = cut.withColumn("_a", at(F.floor(share(low, -F.col("_slack"))))).withColumn("_b", at(F.ceil(share(high, F.col("_slack"))))).drop("_q")
+    counted = rows.join(cut, "_k").where(within).groupBy("_k").agg(*carried, F.first("_a").alias("_a"), F.first("_b").alias("_b"), F.count(F.when(F.col("_v") < F.col("_a"), 1)).alias("_less"), F.count(F.when(F.col("_v").between(F.col("_a"), F.col("_b")), 1)).alias("_in"))
+    held = (F.col("_less") <= low) & (high < F.col("_less") + F.col("_in"))
+    new = lambda c, value: F.when(held, value).otherwise(F.col(c)).alias(c)
+    return counted.select("_k", "_n", new("_low", F.col("_a")), new("_high", F.col("_b")), new("_below", F.col("_below") + F.col("_less")), new("_inside", F.col("_in")), F.when(held, F.col("_slack")).otherwise(F.col("_slack") * 2).alias("_slack"))
+
+
+def _large_medians(rows: DataFrame, sizes: DataFrame, most: int, k: int) -> DataFrame:
+    """(_k, _m): exact medians of groups of any size.
+
+    A mergeable sketch brackets a group's middle places, counts of its rows below and within confirm the
+    bracket, and the next sketch is of the values within, until ``most`` are left or all of them are equal; only these are
+    counted and ordered.
+    """
+    ends = rows.join(sizes, "_k").groupBy("_k").agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    state = materialise(ends.select("*", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_inside"), F.lit(4.0 / k).alias("_slack")), "brackets")
+    done = []
+    for _ in range(12):  # each round leaves about 2 / GRID + 8 / k of the values; a missed bracket doubles its width
+        wide = (F.col("_inside") > most) & (F.col("_low") < F.col("_high"))
+        done.append(state.where(~wide))
+        state = state.where(wide)
+        if state.isEmpty():
+            break
+        state = materialise(_closer(rows, state, k), "brackets")
+    else:
+        done.append(state)
+    brackets = done[0]
+    for d in done[1:]:
+        brackets = brackets.unionByName(d)
+    inside = rows.join(brackets, "_k").where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+    counts = inside.groupBy("_k", "_v", "_n", "_below").agg(F.count("*").alias("_c"))
+    upto = counts.withColumn("_to", F.col("_below") + F.sum("_c").over(Window.partitionBy("_k").orderBy("_v")))
+    picked = [F.min(F.when(F.col("_to") > F.floor((F.col("_n") + d) / 2), F.col("_v"))) for d in (-1, 0)]
+    return upto.groupBy("_k").agg(((picked[0] + picked[1]) / 2).alias("_m"))
+
+
+def medians(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], aggregates: Sequence[Column] = (), bound: int | None = None, most: int = 1_000_000, k: int = 2048) -> DataFrame:
+    """(keys, a median for each of values, aggregates): exact medians; nulls of a value are left out, a null key is a group.
+
+    Groups of up to ``most`` rows have Spark's exact median, whose buffer they bound. Larger ones are found by
+    sketches (``_large_medians``), so that no group's values meet in one buffer. ``bound`` is a number of rows
+    that the table surely doesn't exceed: up to ``most``, one pass is enough; else the rows of each group are counted first.
+    A NaN counts as the largest value, as in Spark's order.
     """
-    counts = materialise(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "counts")
-    span = counts.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_c").alias("n"))
-    place = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * ranges)).otherwise(0)
-    cut = counts.join(span, list(keys)).withColumn("_range", place)
-    upto = cut.groupBy(*keys, "_range").agg(F.sum("_c").alias("_c"), F.max("n").alias("n"))
-    upto = upto.withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range"))).withColumn("_before", F.col("_to") - F.col("_c"))
-    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    middle = upto.where((F.col("_to") > low) & (F.col("_before") <= high)).select(*keys, "_range", "_before")
-    w = Window.partitionBy(*keys, "_range").orderBy("_v")
-    values = cut.join(middle, [*keys, "_range"]).withColumn("_to", F.col("_before") + F.sum("_c").over(w))
-    picked = [F.min(F.when(F.col("_to") > at, F.col("_v"))) for at in (low, high)]
-    return values.groupBy(*keys).agg(((picked[0] + picked[1]) / 2).alias(name), F.max("n").alias("n"))
+    plain = [F.median(c).alias(name) for name, c in values.items()]
+    if bound is not None and bound <= most:
+        return df.groupBy(*keys).agg(*plain, *aggregates)
+    named = df.select(F.struct(*keys).alias("_k"), *[c.cast("double").alias(name) for name, c in values.items()])
+    whole = materialise(df.groupBy(*keys).agg(F.count("*").alias("_rows"), *aggregates).withColumn("_k", F.struct(*keys)), "groups")
+    large = whole.where(F.col("_rows") > most).select("_k")
+    few = named
+    if has_large := not large.isEmpty():
+        few = named.join(large, "_k", "left_anti")
+    found = few.groupBy("_k").agg(*[F.median(name).alias(name) for name in values])
+    if has_large:
+        rows = materialise(named.join(large, "_k", "left_semi"), "large-groups")
+        wide = large
+        for name in values:
+            own = rows.select("_k", F.col(name).alias("_v")).where("_v IS NOT NULL")
+            wide = wide.join(_large_medians(own, large, most, k).withColumnRenamed("_m", name), "_k", "left")
+        found = found.unionByName(wide)
+    rest = [c for c in whole.columns if c not in ("_rows", "_k", *keys)]
+    return whole.join(found, "_k").select(*keys, *values, *rest)
+
+
+def counted_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", most: int = 1_000_000, bound: int | None = None) -> DataFrame:
+    """(keys, name, n): the exact median and number of a group's values; nulls left out, also as keys; groups without a value have no row."""
+    kept = df.where(F.col(value).isNotNull()).dropna(subset=list(keys))
+    return medians(kept, keys, {name: F.col(value)}, [F.count("*").alias("n")], bound=bound, most=most)
 
 
 def with_pooled(df: DataFrame, keys: Sequence[str], band: str, aggregates: Sequence[Column], pooled: str = "pooled") -> DataFrame:

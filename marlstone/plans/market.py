@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.score import growth, min_max, nice, per_cent_change, sqrt_index
 from marlstone.functions.text import confidence, experience_band
-from marlstone.operators.aggregate import counted_median, known_share, mode_first_seen, nearest_rank, pair_counts, top_items, upper_median, with_pooled, with_total
+from marlstone.operators.aggregate import counted_median, known_share, medians, mode_first_seen, nearest_rank, pair_counts, top_items, upper_median, with_pooled, with_total
 from marlstone.operators.lookup import overlap_ranking, two_level
 from marlstone.operators.upsert import append_new, by_priority, fill_gaps, first_wins, last_wins, pick, update_values
 from marlstone.operators.windows import carry, latest, momentum, steps, top_by
-from marlstone.plans.observations import OBS_SQL, observations
+from marlstone.plans.observations import OBS_SQL, line_bound, observations
 from marlstone.plans.registry import ORACLES, query
 from marlstone.sources.tables import table
 
@@ -37,7 +37,7 @@ def job_score_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = obs.where(F.col("yr") == LAST).join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    cell = lines.groupBy("entity", "market").agg(F.median("unit_price").alias("med"), F.count("*").alias("demand"), F.count_distinct("o_custkey").alias("interest")).where("demand >= 5")
+    cell = medians(lines, ["entity", "market"], {"med": F.col("unit_price")}, [F.count("*").alias("demand"), F.count_distinct("o_custkey").alias("interest")], line_bound(spark, sf_dir)).where("demand >= 5")
     by_market = obs.groupBy("market").agg(F.avg("unit_price").alias("m"), F.sum("unit_price").alias("s"), F.count("*").alias("c"))
     overall = by_market.agg((F.sum("s") / F.sum("c")).alias("a"))
     # One row, so this adds a column to the markets.
@@ -56,8 +56,8 @@ SELECT entity, market, yr, median, n, CASE WHEN n >= 200 THEN 'high' WHEN n >= 4
 def salary_cell_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median of each cell of five rows and more, with its confidence tier."""
     rows = observations(spark, sf_dir).where(F.col("unit_price").between(100, 100_000))
-    cells = rows.groupBy("entity", "market", "yr").agg(F.round(F.median("unit_price"), 4).alias("median"), F.count("*").alias("n")).where("n >= 5")
-    return cells.withColumn("confidence", confidence(F.col("n"), 200, 40))
+    cells = medians(rows, ["entity", "market", "yr"], {"median": F.col("unit_price")}, [F.count("*").alias("n")], line_bound(spark, sf_dir)).where("n >= 5")
+    return cells.withColumn("median", F.round("median", 4)).withColumn("confidence", confidence(F.col("n"), 200, 40))
 
 
 @query(f"""WITH {OBS_SQL}, b AS (SELECT *, CASE WHEN l_quantity <= 2 THEN '0-2' WHEN l_quantity <= 5 THEN '3-5' WHEN l_quantity <= 9 THEN '6-9' ELSE '10+' END AS band FROM obs)
@@ -181,8 +181,11 @@ spine AS (SELECT k.entity, k.market, k.yr, adv.m AS advertised, CASE WHEN real.n
 def _lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three price lenses side by side, realized ones of fewer than 30 rows suppressed. One aggregate makes all."""
     flag = F.col("l_returnflag")
-    lens = lambda f, c, name: [F.round(F.median(F.when(flag == f, F.col(c))), 4).alias(name), F.nullif(F.count(F.when(flag == f, 1)), F.lit(0)).alias(f"{name[:4].replace('adve', 'adv').replace('offi', 'off')}_n")]
-    cells = observations(spark, sf_dir).where(flag.isin("N", "R", "A")).groupBy("entity", "market", "yr").agg(*lens("N", "unit_price", "advertised"), *lens("R", "realized_price", "realized"), *lens("A", "p_retailprice", "official"))
+    of = lambda f, c: F.when(flag == f, F.col(c))
+    values = {"advertised": of("N", "unit_price"), "realized": of("R", "realized_price"), "official": of("A", "p_retailprice")}
+    counts = [F.nullif(F.count(F.when(flag == f, 1)), F.lit(0)).alias(name) for f, name in (("N", "adv_n"), ("R", "real_n"), ("A", "off_n"))]
+    cells = medians(observations(spark, sf_dir).where(flag.isin("N", "R", "A")), ["entity", "market", "yr"], values, counts, line_bound(spark, sf_dir))
+    cells = cells.withColumns({c: F.round(c, 4) for c in values})
     return cells.withColumn("realized", F.when(F.col("real_n") >= 30, F.col("realized")))
 
 
@@ -202,8 +205,9 @@ SELECT entity, market, yr, month, round(v, 4) AS value FROM c LEFT JOIN anchor U
 def sanity_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells within a band about their entity's anchor; without an anchor all stay."""
     obs = observations(spark, sf_dir)
-    anchor = counted_median(obs, ["entity"], "unit_price", "a").drop("n")
-    cells = obs.groupBy("entity", "market", "yr", "month").agg(F.median("unit_price").alias("v"))
+    bound = line_bound(spark, sf_dir)
+    anchor = counted_median(obs, ["entity"], "unit_price", "a", bound=bound).drop("n")
+    cells = medians(obs, ["entity", "market", "yr", "month"], {"v": F.col("unit_price")}, bound=bound)
     kept = cells.join(anchor, "entity", "left").where("a is null or v between 0.9 * a and 1.1 * a")
     return kept.select("entity", "market", "yr", "month", F.round("v", 4).alias("value"))
 
@@ -255,7 +259,7 @@ SELECT family, level, n, round(m, 4) AS median, round(m - lag(m) OVER w, 4) AS s
 def promotion_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians by level, the steps between them and the climb from the first."""
     level = (F.floor((F.col("p_size") - 1) / 10) + 1).cast("long")
-    rungs = counted_median(observations(spark, sf_dir).withColumn("level", level), ["family", "level"], "unit_price").where("n >= 30")
+    rungs = counted_median(observations(spark, sf_dir).withColumn("level", level), ["family", "level"], "unit_price", bound=line_bound(spark, sf_dir)).where("n >= 30")
     rungs = rungs.withColumn("_k", F.count("*").over(Window.partitionBy("family"))).where("_k >= 2").drop("_k")
     found = steps(rungs, ["family"], "level", "median")
     return found.select("family", "level", "n", *[F.round(c, 4).alias(c) for c in ("median", "step", "climb")], "step_pct")
@@ -376,7 +380,7 @@ YEARLY_SQL = f"{OBS_SQL}, y AS (SELECT entity, market, yr, count(*) AS demand, m
 
 
 def _yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations(spark, sf_dir).groupBy("entity", "market", "yr").agg(F.count("*").alias("demand"), F.median("unit_price").alias("pay"))
+    return medians(observations(spark, sf_dir), ["entity", "market", "yr"], {"pay": F.col("unit_price")}, [F.count("*").alias("demand")], line_bound(spark, sf_dir))
 
 
 @query(f"WITH {YEARLY_SQL} SELECT a.entity, a.market, round((b.pay - a.pay) / nullif(a.pay, 0) * 100, 1) AS pay_delta, round((b.demand - a.demand) / nullif(a.demand * 1.0E0, 0) * 100, 1) AS demand_delta FROM y a JOIN y b ON a.entity = b.entity AND a.market = b.market WHERE a.yr = 1996 AND b.yr = {LAST}")
@@ -407,9 +411,8 @@ def compare_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT family, round(pay / max(pay) OVER () * 100, 2) AS pay, round(demand / max(demand) OVER () * 100, 2) AS demand, round(reach / max(reach) OVER () * 100, 2) AS reach, round(level / max(level) OVER () * 100, 2) AS level, round(churn / max(churn) OVER () * 100, 2) AS churn, round(spread / max(spread) OVER () * 100, 2) AS spread FROM a""")
 def role_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six axes of each family, each as a share of the largest."""
-    axes = observations(spark, sf_dir).groupBy("family").agg(
-        F.median("unit_price").alias("pay"), F.count("*").cast("double").alias("demand"), F.count_distinct("market").cast("double").alias("reach"), F.avg("p_size").alias("level"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("churn"), F.stddev_pop("unit_price").alias("spread")
-    )
+    others = [F.count("*").cast("double").alias("demand"), F.count_distinct("market").cast("double").alias("reach"), F.avg("p_size").alias("level"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("churn"), F.stddev_pop("unit_price").alias("spread")]
+    axes = medians(observations(spark, sf_dir), ["family"], {"pay": F.col("unit_price")}, others, line_bound(spark, sf_dir))
     names = ("pay", "demand", "reach", "level", "churn", "spread")
     tops = axes.agg(*[F.max(c).alias(f"m_{c}") for c in names])
     return axes.join(F.broadcast(tops), F.lit(True)).select("family", *[F.round(F.col(c) / F.col(f"m_{c}") * 100, 2).alias(c) for c in names])
@@ -512,7 +515,7 @@ def console_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {OBS_SQL}, c AS (SELECT market, entity, median(unit_price) AS v FROM obs GROUP BY ALL) SELECT market, entity, floor(v / CASE WHEN v > 2000 THEN 50.0E0 ELSE 10.0E0 END + 0.5) * CASE WHEN v > 2000 THEN 50.0E0 ELSE 10.0E0 END AS nice FROM c")
 def nice_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values to a readable step, by their size."""
-    cells = observations(spark, sf_dir).groupBy("market", "entity").agg(F.median("unit_price").alias("v"))
+    cells = medians(observations(spark, sf_dir), ["market", "entity"], {"v": F.col("unit_price")}, bound=line_bound(spark, sf_dir))
     return cells.select("market", "entity", nice(F.col("v"), F.when(F.col("v") > 2000, 50.0).otherwise(10.0)).alias("nice"))
 
 
@@ -620,5 +623,6 @@ def scaled_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {OBS_SQL}, c AS (SELECT entity, market, floor(median(unit_price) * 100) / 100 AS pay, CAST(floor(avg(p_size) / 10) AS int) AS level, count(*) AS n FROM obs GROUP BY ALL) SELECT level, count(*) AS n, round(avg(CASE WHEN pay BETWEEN 1500 AND 3500 THEN 1.0E0 ELSE 0 END), 4) AS consistent FROM c GROUP BY 1""")
 def consistency_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of cells within the band that their level allows."""
-    cells = observations(spark, sf_dir).groupBy("entity", "market").agg((F.floor(F.median("unit_price") * 100) / 100).alias("pay"), F.floor(F.avg("p_size") / 10).cast("int").alias("level"))
+    cells = medians(observations(spark, sf_dir), ["entity", "market"], {"pay": F.col("unit_price")}, [F.floor(F.avg("p_size") / 10).cast("int").alias("level")], line_bound(spark, sf_dir))
+    cells = cells.withColumn("pay", F.floor(F.col("pay") * 100) / 100)
     return cells.groupBy("level").agg(F.count("*").alias("n"), F.round(F.avg(F.col("pay").between(1500, 3500).cast("double")), 4).alias("consistent"))

@@ -41,3 +41,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 / F.col("l_quantity")) / 100).alias("realized_price"),
         "p_retailprice",
     )
+
+
+def line_bound(spark: SparkSession, sf_dir: str) -> int:
+    """The number of order lines, which bounds that of observations: from the files' footers."""
+    return table(spark, sf_dir, "lineitem").count()

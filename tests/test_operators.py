@@ -177,3 +177,19 @@ def test_sources_are_replaced(spark):
     old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "source string, v long")
     new = spark.createDataFrame([("a", 9), ("c", 4)], "source string, v long")
     assert sorted(map(tuple, delete_by_source(old, new, "source").collect())) == [("a", 9), ("b", 3), ("c", 4)]
+
+
+def test_medians_of_large_groups(spark):
+    """A hot group, a huge outlier, one value in most rows, few rows, nulls and null keys."""
+    rng = np.random.default_rng(8)
+    groups = {"hot": [*rng.lognormal(10, 2, 4001), 1e300], "even": list(rng.normal(size=1500)), "same": [7.0] * 1200 + list(rng.normal(size=700)), "two": [1.0] * 900 + [2.0] * 900, "few": [3.0, 1.0], None: list(rng.normal(size=1000)), "none": [None] * 1300}
+    data = [(k, v, "x") for k, vs in groups.items() for v in map(lambda v: v if v is None else float(v), vs)]
+    df = spark.createDataFrame(data, "k string, v double, w string").repartition(5)
+    half = F.when(F.col("v") > 0, F.col("v"))
+    extra = [F.count("v").alias("n")]
+    want = sorted(map(repr, df.groupBy("k").agg(F.median("v").alias("m"), F.median(half).alias("h"), *extra).collect()))
+    for most in (50, 1_000_000):
+        assert sorted(map(repr, aggregate.medians(df, ["k"], {"m": F.col("v"), "h": half}, extra, most=most, k=256).collect())) == want
+    assert sorted(map(repr, aggregate.medians(df, ["k"], {"m": F.col("v"), "h": half}, extra, bound=len(data)).collect())) == want
+    assert aggregate.medians(df.limit(0), ["k"], {"m": F.col("v")}).count() == 0
+    assert aggregate.medians(df.where("k = 'hot'"), ["w", "k"], {"m": F.col("v")}, most=10, k=64).first()["m"] == np.median(groups["hot"])

@@ -125,7 +125,7 @@ def test_counted_median_and_numbers(spark):
     data = [(k, v) for k, vs in {"a": [random.choice([1.0, 2.0, 2.0, 9.5, 1e6]) for _ in range(200)], "b": [3.0], "c": [1.0, 4.0], "d": [5.0] * 4, "e": [None]}.items() for v in vs]
     df = spark.createDataFrame(data, "k string, v double").repartition(5)
     want = {r.k: (r.m, r.n) for r in df.groupBy("k").agg(F.median("v").alias("m"), F.count("v").alias("n")).where("n > 0").collect()}
-    assert {r.k: (r["median"], r.n) for r in counted_median(df, ["k"], "v", ranges=8).collect()} == want
+    assert {r.k: (r["median"], r.n) for r in counted_median(df, ["k"], "v", most=8).collect()} == want
     got = numbered(df.where("v is not null"), ["k", "v"]).collect()
     assert sorted(r.row_id for r in got) == list(range(1, 208))
     assert [(r.k, r.v) for r in sorted(got, key=lambda r: r.row_id)] == sorted((k, v) for k, v in data if v is not None)
