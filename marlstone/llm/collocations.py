@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import materialise
 
 #: Bytes of text of a chunk, a single text aside.
-CHUNK = 8 << 20
+CHUNK = 16 << 20
 #: Chunks' phrases that are added up in one group, about.
-PART = 1 << 20
+PART = 2 << 20
 LONGEST = 4
 
 _LEVEL = "chunk long, lang string, n long, words long, phrases binary, counts binary, at binary, item binary"
@@ -67,7 +67,10 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def _packed_texts(texts: pa.Array) -> bytes:
     """Phrases, each with a line end, compressed."""
-    return zstandard.ZstdCompressor(level=3).compress("".join(pc.binary_join_element_wise(texts, "", "\n").to_pylist()).encode())
+    ended = pc.binary_join_element_wise(texts, "", "\n")
+    _, offsets, data = ended.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)
+    return zstandard.ZstdCompressor(level=6).compress(memoryview(data)[ends[ended.offset] : ends[ended.offset + len(ended)]] if len(ended) else b"")
 
 
 def _unpacked_texts(raw: bytes) -> pa.Array:

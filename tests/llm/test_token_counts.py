@@ -6,7 +6,7 @@ import unicodedata
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tests.llm.conftest import document
+from conftest import document
 
 from marlstone.llm import token_counts
 from marlstone.llm.token_counts import count_tokens, tokenizer_version
