@@ -240,6 +240,39 @@ def test_decontamination_recall(n):
     assert not any(index.matches([prose(5000 + k, 200) for k in range(50)]))
 
 
+def with_edits(words, kind, n, rng):
+    """words with exactly n edits."""
+    w, filler = list(words), [f"zz{k}" for k in range(n)]
+    middle = (len(w) - n) // 2
+    if kind == "first cut":
+        return w[n:]
+    if kind == "last cut":
+        return w[: len(w) - n]
+    if kind == "middle replaced":
+        return [*w[:middle], *filler, *w[middle + n :]]
+    if kind == "middle cut":
+        return [*w[:middle], *w[middle + n :]]
+    kinds = {k: rng.choice(["replaced", "deleted", "inserted"]) if kind == "mixed" else kind for k in rng.sample(range(len(w)), n)}
+    for at, one in sorted(kinds.items(), reverse=True):
+        w[at : at + 1] = {"replaced": [f"zz{at}"], "deleted": [], "inserted": [w[at], f"zz{at}"]}[one]
+    return w
+
+
+@pytest.mark.parametrize("lengths", [range(a, a + 10) for a in range(10, 60, 10)])
+def test_decontamination_recall_at_the_bound(lengths):
+    """Every length and kind of edit, with all edits that the bound allows."""
+    rng, low = random.Random(lengths[0]), {}
+    for n in lengths:
+        items = [(k, prose(10_000 * n + k, n)) for k in range(100)]
+        index = decontaminate.ItemIndex(items, 0.2)
+        for kind in ("replaced", "deleted", "inserted", "mixed", "first cut", "last cut", "middle replaced", "middle cut"):
+            docs = [" ".join([*prose(k, 20).split(), *with_edits(text.split(), kind, n // 5, rng), *prose(k + 77, 30).split()]) for k, text in items]
+            found = sum(k in got for (k, _), got in zip(items, index.matches(docs), strict=True))
+            if found < 90:
+                low[n, kind] = found
+    assert not low
+
+
 def test_contamination_is_that_of_brute_force(spark):
     rng = random.Random(8)
     items = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 40)))) for k in range(12)]
