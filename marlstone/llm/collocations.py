@@ -70,7 +70,7 @@ def _packed_texts(texts: pa.Array) -> bytes:
     ended = pc.binary_join_element_wise(texts, "", "\n")
     _, offsets, data = ended.buffers()
     ends = np.frombuffer(offsets, dtype=np.int32)
-    return zstandard.ZstdCompressor(level=6).compress(memoryview(data)[ends[ended.offset] : ends[ended.offset + len(ended)]] if len(ended) else b"")
+    return zstandard.ZstdCompressor(level=9).compress(memoryview(data)[ends[ended.offset] : ends[ended.offset + len(ended)]] if len(ended) else b"")
 
 
 def _unpacked_texts(raw: bytes) -> pa.Array:
@@ -225,16 +225,17 @@ def collocations(docs: DataFrame, least: int = 30, most: int = 2000) -> DataFram
     part = lambda start, n: F.array_join(F.slice("words", start, n), " ")
     candidates = found.where("k > 1").withColumnRenamed("f", "a").withColumn("words", F.split("phrase", " "))
 
-    cuts = candidates.select("lang", "phrase", "a", "words", "k", F.explode(F.expr("sequence(1, k - 1)")).alias("cut"))
+    spans = F.expr("flatten(transform(sequence(2, k - 1), m -> transform(sequence(1, k - m + 1), s -> array_join(slice(words, s, m), ' '))))")
+    inside = candidates.where("k > 2").select("lang", F.explode(spans).alias("phrase"), F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
+    whole = candidates.drop("words").join(inside, ["lang", "phrase"], "left").where("longer IS NULL OR CAST(longer AS DECIMAL(20, 0)) * 100BD < CAST(a AS DECIMAL(20, 0)) * 80BD").drop("longer")
+
+    parts = found.where(F.col("k") < LONGEST).select("lang", F.col("phrase").alias("part"), "f")
+    cuts = whole.withColumn("words", F.split("phrase", " ")).select("lang", "phrase", "a", "words", "k", F.explode(F.expr("sequence(1, k - 1)")).alias("cut"))
     cuts = cuts.select("lang", "phrase", "a", "cut", part(F.lit(1), F.col("cut")).alias("left"), part(F.col("cut") + 1, F.col("k") - F.col("cut")).alias("right"))
-    cuts = cuts.join(found.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"]).join(found.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
+    cuts = cuts.join(parts.withColumnsRenamed({"part": "left", "f": "l"}), ["lang", "left"]).drop("left").join(parts.withColumnsRenamed({"part": "right", "f": "r"}), ["lang", "right"]).drop("right")
     score = F.expr("(CAST(a AS DECIMAL(20, 0)) * 2000000BD) div (CAST(l AS DECIMAL(20, 0)) + CAST(r AS DECIMAL(20, 0)))")
     scored = cuts.groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("worst"))
 
-    spans = F.expr("flatten(transform(sequence(2, k - 1), m -> transform(sequence(1, k - m + 1), s -> array_join(slice(words, s, m), ' '))))")
-    inside = candidates.where("k > 2").select("lang", F.explode(spans).alias("phrase"), F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    whole = scored.join(inside, ["lang", "phrase"], "left").where("longer IS NULL OR CAST(longer AS DECIMAL(20, 0)) * 100BD < CAST(a AS DECIMAL(20, 0)) * 80BD")
-
     order = Window.partitionBy("lang").orderBy(F.desc("worst.score"), F.desc("a"), F.asc("phrase"))
-    ranked = whole.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "worst.l", "worst.r", "n", "worst.score")
