@@ -1,25 +1,21 @@
 """Readers of landed files: staging JSON, tables, archives, sheets, XML, pages.
 
-Files come from any store that Spark reads. Plain formats use Spark's own sources.
-Archives and sheets, which can't be split, are read by one task each, row by row.
+Plain formats use Spark's own sources, so files come from any store that Spark reads. Archives and
+sheets are read by a source of their own (``archives``), from local folders and the stores that Arrow opens.
 """
 
 from __future__ import annotations
 
-import csv
-import io
+import json
 import re
-import zipfile
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from xml.etree import ElementTree
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-CHUNK = 5_000
+from marlstone.sources.archives import RANGE, ArchiveRows
 
 
 def _schema(spark: SparkSession, schema: StructType | str) -> StructType:
@@ -90,80 +86,19 @@ def sniffed_csv(spark: SparkSession, path: str, separators: str = ",;\t") -> Dat
     return spark.read.option("header", True).option("multiLine", True).option("sep", max(separators, key=line.count)).csv(path)
 
 
-def _chunks(rows: Iterator[list], columns: Sequence[str]) -> Iterator[pd.DataFrame]:
-    held: list[list] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == CHUNK:
-            yield pd.DataFrame(held, columns=list(columns), dtype="object")
-            held = []
-    yield pd.DataFrame(held, columns=list(columns), dtype="object")
+def _archive_rows(spark: SparkSession, path: str, columns: Mapping[str, Sequence[str]], **options: str) -> DataFrame:
+    spark.dataSource.register(ArchiveRows)
+    return spark.read.format("archive_rows").options(columns=json.dumps({c: list(names) for c, names in columns.items()}), **options).load(path)
 
 
-def _picked(rows: Iterator[list[str]], columns: Mapping[str, Sequence[str]]) -> Iterator[list]:
-    """Columns by any of their headings; rows with too few cells dropped."""
-    header = next(rows, [])
-    at = [next((header.index(h) for h in names if h in header), None) for names in columns.values()]
-    need = max((k for k in at if k is not None), default=0)
-    return ([None if k is None else row[k] for k in at] for row in rows if len(row) > need)
+def zipped_csv(spark: SparkSession, path: str, member: str, columns: Mapping[str, Sequence[str]], sep: str = ",", range_bytes: int = RANGE) -> DataFrame:
+    """Strings of delimited members (a pattern) of each zip file, by ranges of their bytes; columns: name to the headings that it has had."""
+    return _archive_rows(spark, path, columns, member=member, kind="csv", sep=sep, range=str(range_bytes))
 
 
-def zipped_csv(spark: SparkSession, path: str, member: str, columns: Mapping[str, Sequence[str]], sep: str = ",") -> DataFrame:
-    """Strings of a delimited member (a pattern) of each zip file; columns: name to the headings that it has had."""
-
-    def run(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in files:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if re.fullmatch(member, name):
-                            with z.open(name) as raw:
-                                yield from _chunks(_picked(csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""), delimiter=sep), columns), list(columns))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
-
-
-_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def _sheet_rows(z: zipfile.ZipFile, sheet: str) -> Iterator[list[str]]:
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        with z.open("xl/sharedStrings.xml") as raw:
-            for _, e in ElementTree.iterparse(raw):
-                if e.tag == f"{_NS}si":
-                    shared.append("".join(t.text or "" for t in e.iter(f"{_NS}t")))
-                    e.clear()
-    with z.open(sheet) as raw:
-        for _, e in ElementTree.iterparse(raw):
-            if e.tag != f"{_NS}row":
-                continue
-            row: list[str] = []
-            for c in e.iter(f"{_NS}c"):
-                letters = re.match("[A-Z]+", c.get("r", "")) if c.get("r") else None
-                at = len(row)
-                if letters:
-                    at = 0
-                    for x in letters[0]:
-                        at = at * 26 + ord(x) - 64
-                    at -= 1
-                value = c.find(f"{_NS}v")
-                text = "".join(t.text or "" for t in c.iter(f"{_NS}t")) if value is None else (value.text or "")
-                row += [""] * (at - len(row)) + [shared[int(text)] if c.get("t") == "s" else text]
-            e.clear()
-            yield row
-
-
-def xlsx(spark: SparkSession, path: str, columns: Mapping[str, Sequence[str]], sheet: str = "xl/worksheets/sheet1.xml") -> DataFrame:
-    """Strings of a sheet of each workbook, read row by row; columns: name to the headings that it has had."""
-
-    def run(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in files:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    yield from _chunks(_picked(_sheet_rows(z, sheet), columns), list(columns))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
+def xlsx(spark: SparkSession, path: str, columns: Mapping[str, Sequence[str]], sheet: str = "xl/worksheets/sheet1.xml", range_bytes: int = RANGE) -> DataFrame:
+    """Strings of a sheet of each workbook, by ranges of its XML; columns: name to the headings that it has had."""
+    return _archive_rows(spark, path, columns, member=re.escape(sheet), kind="xlsx", range=str(range_bytes))
 
 
 def json_ld(html: Column, kind: str = "JobPosting") -> Column:
