@@ -14,6 +14,7 @@ from marlstone.plans.observations import OBS_SQL, observations
 from marlstone.plans.registry import query
 from marlstone.sources.scratch import scratch_dir
 from marlstone.sources.tables import table
+from marlstone.streaming import harness
 from marlstone.streaming.events import event_stream, run_available, tumbling
 
 INDEX_SQL = f"""{OBS_SQL}, c AS (SELECT entity, yr, count(*) AS n FROM obs WHERE yr BETWEEN 1995 AND 2000 GROUP BY ALL), s AS (SELECT entity, yr, round(100.0E0 * n / max(n) OVER (PARTITION BY entity), 4) AS v FROM c),
@@ -101,3 +102,33 @@ def events_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     run_available(tumbling(event_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/checkpoint", "complete")
     return spark.read.parquet(f"{folder}/out").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+GATE = {"gap_ms": 21_600_000, "burst": 2, "threshold": 2, "reset_ms": 432_000_000, "idle_ms": 172_800_000}
+
+
+# One row for each request of a host, from the state that the one before left: idle hosts start anew, then credit, breaker, wait, answer.
+@query("""WITH RECURSIVE e AS (SELECT coalesce(CAST(user_id AS varchar), '') AS host, event_id, epoch_us(ts) // 1000 AS ms, coalesce(event_type = 'error', false) AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+g AS (SELECT DISTINCT host, CAST(0 AS bigint) AS rn, CAST(NULL AS bigint) AS request_id, CAST(-1 AS bigint) AS credit, CAST(0 AS bigint) AS last_ms, CAST(0 AS bigint) AS fails, CAST(0 AS bigint) AS opened, 'closed' AS state, '' AS outcome, CAST(NULL AS bigint) AS sent_at, CAST(0 AS bigint) AS wait_ms FROM e
+UNION ALL SELECT host, rn, event_id, CASE WHEN blocked THEN credit ELSE greatest(0, credit - 21600000) END, CASE WHEN blocked THEN now ELSE now + wait END, CASE WHEN blocked THEN fails WHEN failed THEN fails + 1 ELSE 0 END,
+  CASE WHEN opens THEN now + wait ELSE opened END, CASE WHEN blocked OR opens THEN 'open' WHEN failed THEN state ELSE 'closed' END, CASE WHEN blocked THEN 'blocked' WHEN failed THEN 'failed' ELSE 'ok' END, CASE WHEN NOT blocked THEN now + wait END, CASE WHEN blocked THEN 0 ELSE wait END
+ FROM (SELECT *, greatest(0, 21600000 - credit) AS wait, NOT blocked AND failed AND (state = 'open' OR fails + 1 >= 2) AS opens
+  FROM (SELECT *, state = 'open' AND now - opened < 432000000 AS blocked
+   FROM (SELECT host, rn, event_id, failed, greatest(ms, last_ms) AS now, least(43200000, credit + greatest(ms, last_ms) - last_ms) AS credit, fails, opened, state
+    FROM (SELECT e.host, e.rn, e.event_id, e.ms, e.failed, CASE WHEN anew THEN 43200000 ELSE g.credit END AS credit, CASE WHEN anew THEN e.ms ELSE g.last_ms END AS last_ms, CASE WHEN anew THEN 0 ELSE g.fails END AS fails, CASE WHEN anew THEN 0 ELSE g.opened END AS opened, CASE WHEN anew THEN 'closed' ELSE g.state END AS state
+     FROM (SELECT g.*, e.ms, (g.credit < 0 OR e.ms - g.last_ms >= 172800000) AS anew FROM g JOIN e ON e.host = g.host AND e.rn = g.rn + 1) g JOIN e ON e.host = g.host AND e.rn = g.rn + 1)))))
+SELECT host, request_id, outcome, sent_at, wait_ms, state FROM g WHERE rn > 0""")
+def polite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of users: what a bucket and a breaker for each user make of them, as a stream with state."""
+    folder = f"{scratch_dir(spark)}/gate-{uuid.uuid4().hex}"
+    events = event_stream(spark, sf_dir)
+    requests = events.select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("request_id"), "ts", (F.col("event_type") == "error").alias("failed"))
+    before = harness.rocks_state(spark)
+    try:
+        run_available(harness.host_gate(requests, **GATE), f"{folder}/out", f"{folder}/checkpoint")
+    finally:
+        if before is None:
+            spark.conf.unset(harness.PROVIDER)
+        else:
+            spark.conf.set(harness.PROVIDER, before)
+    return spark.read.parquet(f"{folder}/out").select("host", "request_id", "outcome", "sent_at", "wait_ms", "state")
