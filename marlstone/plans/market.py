@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.score import growth, min_max, nice, per_cent_change, sqrt_index
 from marlstone.functions.text import confidence, experience_band
 from marlstone.operators.aggregate import counted_median, known_share, medians, mode_first_seen, nearest_rank, pair_counts, top_items, upper_median, with_pooled, with_total
+from marlstone.operators import gate
 from marlstone.operators.lookup import overlap_ranking, two_level
 from marlstone.operators.upsert import append_new, by_priority, fill_gaps, first_wins, last_wins, pick, update_values
 from marlstone.operators.windows import carry, latest, momentum, steps, top_by
@@ -505,6 +506,26 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.inline(checks))
 
 
+@query("""WITH cells AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, CASE WHEN count(*) >= 6 THEN avg(c_acctbal) END AS pay FROM customer GROUP BY ALL), m AS (SELECT o_orderstatus AS s, median(o_totalprice) AS m FROM orders WHERE o_totalprice > 0 GROUP BY 1), a AS (SELECT o_orderstatus AS s, max(o_totalprice) AS a FROM orders GROUP BY 1)
+SELECT 'floor.orders' AS name, 'floor' AS category, CASE WHEN count(*) >= 1000 THEN 'pass' ELSE 'fail' END AS status, count(*) || ' rows, floor 1000' AS detail FROM orders
+UNION ALL SELECT 'floor.absent', 'floor', 'fail', 'absent, floor 5' UNION ALL SELECT 'floor.optional', 'floor', 'skip', 'absent, optional' UNION ALL SELECT 'contract.part', 'contract', 'fail', 'missing p_wage'
+UNION ALL SELECT 'contract.orders', 'contract', CASE WHEN count(*) FILTER (o_custkey IS NULL) = 0 AND count(*) FILTER (o_orderdate IS NULL) = 0 THEN 'pass' ELSE 'fail' END, 'held' FROM orders
+UNION ALL SELECT 'suppression.cells', 'suppression', CASE WHEN count(*) FILTER (pay IS NOT NULL AND n < 8) = 0 THEN 'pass' ELSE 'fail' END, count(*) FILTER (pay IS NOT NULL AND n < 8) || ' thin rows with a value, floor 8' FROM cells
+UNION ALL SELECT 'disclosure.customer', 'disclosure', CASE WHEN count(*) FILTER (c_acctbal > 0) >= 0.05E0 * count(*) THEN 'pass' ELSE 'fail' END, count(*) FILTER (c_acctbal > 0) || ' of ' || count(*) || ', least 0.05' FROM customer
+UNION ALL SELECT 'volume.orders', 'volume', CASE WHEN count(*) FILTER (n < 3000) = 0 THEN 'pass' ELSE 'warn' END, count(*) FILTER (n < 3000) || ' below 3000' FROM (SELECT count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority)
+UNION ALL SELECT 'sanity.orders', 'sanity', CASE WHEN count(*) FILTER (m NOT BETWEEN 0.2E0 * a AND 5.0E0 * a) = 0 THEN 'pass' ELSE 'fail' END, count(*) FILTER (m NOT BETWEEN 0.2E0 * a AND 5.0E0 * a) || ' of ' || count(*) || ' out of the band' FROM m JOIN a USING (s)""")
+def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floors, contracts, suppression, disclosure, volume and bands as rows, by checks that are data."""
+    orders, customer, part = (table(spark, sf_dir, t) for t in ("orders", "customer", "part"))
+    cells = customer.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("pay")).withColumn("pay", F.when(F.col("n") >= 6, F.col("pay")))
+    anchors = orders.groupBy("o_orderstatus").agg(F.max("o_totalprice").alias("anchor"))
+    checks = [
+        gate.RowFloor("orders", 1000), gate.RowFloor("absent", 5), gate.RowFloor("optional", 0), gate.Contract("part", ["p_partkey", "p_wage"]), gate.Contract("orders", ["o_orderkey", "o_custkey"], ["o_custkey", "o_orderdate"]),
+        gate.Suppressed("cells", "pay", "n", 8), gate.Share("customer", "positive", "c_acctbal > 0", 0.05), gate.Volume("orders", "o_orderpriority", 3000), gate.Band("orders", "o_totalprice", "o_orderstatus", anchors),
+    ]
+    return gate.run_gate(spark, {"orders": orders, "customer": customer, "part": part, "cells": cells}, checks)
+
+
 @query(f"""WITH {OBS_SQL} SELECT market, count(*) AS n, CAST(round(avg(unit_price)) AS bigint) AS avg_price FROM obs GROUP BY 1 ORDER BY 2 DESC, 1""")
 def console_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free SQL over a named view, with ordinals."""

@@ -17,14 +17,22 @@ def publish(tables: Mapping[str, DataFrame], root: str) -> str:
 
     Pointers are numbered and never overwritten, so there is one at any time. Two writers at once need a lock of their own.
     """
-    version = uuid.uuid4().hex
+    version = new_version()
     for name, df in tables.items():
         df.write.parquet(f"{root}/versions/{version}/{name}.parquet")
-    spark = next(iter(tables.values())).sparkSession
+    append_pointer(next(iter(tables.values())).sparkSession, root, version)
+    return version
+
+
+def new_version() -> str:
+    return uuid.uuid4().hex
+
+
+def append_pointer(spark: SparkSession, root: str, version: str) -> None:
+    """Let readers see a version whose tables are all written."""
     pointers = _pointers(spark, root)
     number = pointers.agg(F.max("number")).first()[0] if pointers is not None else None
     spark.createDataFrame([((number or 0) + 1, version)], "number long, version string").coalesce(1).write.mode("append").json(f"{root}/current")
-    return version
 
 
 def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
