@@ -122,5 +122,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
         else:  # copies go first, so that no text is one task's
             texts = texts.dropDuplicates(["digest"]).join(missing, "digest", "left_semi")
         texts.mapInArrow(_encoded(tokenizer), schema).write.mode("append").parquet(folder)
-    counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # A written table of the counts wanted: copies of one text are then rows of a plain join, which Spark splits.
+    wanted = digests.select("digest").distinct().join(stored(), "digest").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = materialise(wanted, "token-counts-wanted")
     return digests.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
