@@ -2,11 +2,12 @@
 
 One classifier sees only the text (rates, and hashed words whose weights are learned), the
 other only the page's metadata (source, language, stated length). Both start from the labelled
-rows; in each round each takes the rows of an unlabelled pool that the other is surest
-of, in the classes' proportions, with the other's label. No labelled row, and so none that is kept
-aside, is in the pool. At the end each view is calibrated on labelled
-rows kept aside, and a logistic fit of the two calibrated views scores every document.
-Documents below a cutoff are rejected; it is 0.5, or lower where more than
+rows; in each round both score all unlabelled documents, in Spark, from a written table of their views, and each
+takes those that the other is surest of, in the classes' proportions, with the other's label. Tasks send
+their surest rows only, a fixed number for each view and class. No labelled row, and so none that is kept
+aside, takes part. At the end each view is calibrated on labelled
+rows kept aside, and a logistic fit of the two calibrated views, with no negative weight, scores every document:
+a view that says nothing has the weight 0. Documents below a cutoff are rejected; it is 0.5, or lower where more than
 ``max_false`` of the good rows kept aside would go.
 
 Cases: a null or empty text has the content features of an empty text; null metadata
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import logistic_fit, materialise, sigmoid
@@ -125,8 +126,74 @@ def _collect_views(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.n
     return part("content", (N_CONTENT,)), part("meta", (3,)), part("label", ()), part("fold", ())
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, pool: int = 5_000, rounds: int = 5, per_round: int = 200, max_false: float = 0.002) -> QualityModel:
-    """Fit on at most max_labelled labelled rows and a pool of at most ``pool`` others, both taken by a hash of doc_id.
+def _surest(features: DataFrame, fitted: list[np.ndarray], most: tuple[int, int], taken: set, kind: str) -> list:
+    """(teacher, label, doc_id, content, meta): for each view the rows that it is surest of, ``most`` of class 0 and 1, of all documents but those taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list[tuple]] = {(t, c): [] for t in (0, 1) for c in (0, 1)}
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            raw = batch.column("content"), batch.column("meta")
+            content, meta = (np.asarray(r.flatten()).reshape(len(ids), -1) for r in raw)
+            free = np.array([i not in taken for i in ids])
+            for teacher, x in enumerate((content, _wide(meta))):
+                p = sigmoid(x @ fitted[teacher][:-1] + fitted[teacher][-1])
+                for label, unsure in ((0, p), (1, 1 - p)):
+                    # Many rows of one source are equally sure, so ties go by doc_id; a repeated one counts once.
+                    new = {}
+                    for u, i, k in sorted((float(unsure[k]), ids[k], int(k)) for k in np.flatnonzero(free & (unsure < 0.1))):
+                        if len(new) == most[label]:
+                            break
+                        new.setdefault(i, (u, i, content[k].tolist(), meta[k].tolist()))
+                    first = {}
+                    for r in sorted([*best[teacher, label], *new.values()], key=lambda r: r[:2]):
+                        first.setdefault(r[1], r)
+                    best[teacher, label] = list(first.values())[: most[label]]
+        rows = [(t, c, *r) for (t, c), found in best.items() for r in found]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        types = [pa.int32(), pa.int32(), pa.float64(), id_type, pa.list_(pa.float64()), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["teacher", "label", "unsure", "doc_id", "content", "meta"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(features.schema["doc_id"].dataType)
+    found = features.mapInArrow(run, f"teacher int, label int, unsure double, doc_id {kind}, content array<double>, meta array<double>")
+    found = found.groupBy("teacher", "label", "doc_id").agg(F.min(F.struct("unsure", "content", "meta")).alias("r"))
+    placed = found.withColumn("place", F.row_number().over(Window.partitionBy("teacher", "label").orderBy("r.unsure", "doc_id")))
+    rows = placed.where(F.col("place") <= F.when(F.col("label") == 0, most[0]).otherwise(most[1])).select("teacher", "label", "place", "doc_id", "r.content", "r.meta").collect()
+    return sorted(rows, key=lambda r: (r["teacher"], r["label"], r["place"]))
+
+
+def _not_negative(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A logistic fit whose weights, but the intercept, aren't below 0: columns that would be are left out, the worst first."""
+    kept = list(range(x.shape[1]))
+    while kept:
+        beta = logistic_fit(x[:, kept], y, l2=0.1)
+        if beta[:-1].min() >= 0:
+            break
+        kept.pop(int(np.argmin(beta[:-1])))
+    else:
+        beta = logistic_fit(x[:, :0], y, l2=0.1)
+    out = np.zeros(x.shape[1] + 1)
+    out[kept], out[-1] = beta[:-1], beta[-1]
+    return out
+
+
+def unlabelled_views(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, content, meta): a written table of the views of all documents without a label; texts aren't moved."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content, meta = _views(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content.tolist(), pa.list_(pa.float32())), pa.array(meta.tolist(), pa.list_(pa.float32()))], ["doc_id", "content", "meta"])
+
+    views = docs.where("doc_id is not null").select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(run, f"doc_id {kind}, content array<float>, meta array<float>")
+    return materialise(views.join(labels.select("doc_id").distinct(), "doc_id", "left_anti"), "quality-views")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, rounds: int = 5, per_round: int = 200, max_false: float = 0.002) -> QualityModel:
+    """Fit on at most max_labelled labelled rows, taken by a hash of doc_id, and on what the views teach each other about all other documents.
 
     docs: (doc_id, text, source, lang, n_chars); labels: (doc_id, quality 0 or 1). A fifth
     of the labelled rows is kept aside to calibrate.
@@ -134,36 +201,30 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     by_hash = F.xxhash64("doc_id", F.lit("quality"))
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     labelled = known.withColumn("fold", F.pmod(by_hash, F.lit(5)).cast("int")).orderBy(by_hash, "doc_id").limit(max_labelled)
-    drawn = docs.where("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(pool)
-    chosen = materialise(labelled.unionByName(drawn.select("doc_id", F.lit(-1).alias("label"), F.lit(-1).alias("fold"))), "quality-chosen")
-    content, meta, label, fold = _collect_views(docs, chosen)
-    train, held, free = (label >= 0) & (fold > 0), (label >= 0) & (fold == 0), label < 0
+    content, meta, label, fold = _collect_views(docs, materialise(labelled, "quality-chosen"))
+    train, held = fold > 0, fold == 0
     if any(len(set(label[m])) < 2 for m in (train, held)):
         return QualityModel()
     views = [content, _wide(meta)]
     own = [(v[train], label[train], np.ones(int(train.sum()))) for v in views]
-    waiting = np.flatnonzero(free)
     good = float(label[train].mean())
+    most = (max(1, int(per_round * (1 - good))), max(1, int(per_round * good)))
+    features, taken = unlabelled_views(docs, known) if rounds else None, set()
     for _ in range(rounds):
         fitted = [logistic_fit(x, y, l2=1.0, weight=w) for x, y, w in own]
-        taken = set()
+        rows = _surest(features, fitted, most, taken, docs.schema["doc_id"].dataType.simpleString())
         for teacher, pupil in ((0, 1), (1, 0)):
-            p = sigmoid(views[teacher][waiting] @ fitted[teacher][:-1] + fitted[teacher][-1])
-            order = np.argsort(p, kind="stable")
-            low = [i for i in order[: max(1, int(per_round * (1 - good)))] if p[i] < 0.1]
-            high = [i for i in order[::-1][: max(1, int(per_round * good))] if p[i] > 0.9]
-            at = np.array(low + high, dtype=int)
-            if len(at):
+            if mine := [r for r in rows if r["teacher"] == teacher]:
                 x, y, w = own[pupil]
-                own[pupil] = (np.vstack([x, views[pupil][waiting[at]]]), np.append(y, [0.0] * len(low) + [1.0] * len(high)), np.append(w, np.full(len(at), 0.5)))
-                taken.update(at.tolist())
-        waiting = np.delete(waiting, sorted(taken))
-        if not taken or not len(waiting):
+                new = np.array([r["content" if pupil == 0 else "meta"] for r in mine], dtype=float)
+                own[pupil] = (np.vstack([x, new if pupil == 0 else _wide(new)]), np.append(y, [float(r["label"]) for r in mine]), np.append(w, np.full(len(mine), 0.5)))
+        taken |= {r["doc_id"] for r in rows}
+        if not rows:
             break
     model = QualityModel(*[logistic_fit(x, y, l2=1.0, weight=w) for x, y, w in own])
     raw = [np.clip(v[held] @ b[:-1] + b[-1], -30, 30) for v, b in zip(views, (model.content, model.metadata), strict=True)]
-    model.calibration = tuple(logistic_fit(z[:, None], label[held], l2=0.1) for z in raw)
-    model.combination = logistic_fit(np.stack(model.logits(content[held], meta[held]), axis=1), label[held], l2=0.1)
+    model.calibration = tuple(_not_negative(z[:, None], label[held]) for z in raw)
+    model.combination = _not_negative(np.stack(model.logits(content[held], meta[held]), axis=1), label[held])
     sure = np.sort(model.scores(content[held], meta[held])[2][label[held] == 1])
     model.cutoff = float(min(0.5, sure[int(max_false * len(sure))]))
     return model
