@@ -15,10 +15,16 @@ Cases: a null or empty text is its end id alone; repeated rows are documents eac
 null doc_id is carried along; a very long text fills many sequences; further columns
 aren't read; an empty table gives no slots and no shards. No two slots are equal, so
 there are no ties. A retried or speculative task finds the shard in place and leaves it.
+
+A folder holds one corpus: before its first shard it gets ``corpus``, a digest of the sequences and of all
+that decides on their bytes, and after its last one ``manifest``. Writing the same again
+leaves the shards; anything else in a folder that has a corpus is refused, so no slot ever names other bytes. Without a
+manifest, a folder isn't whole: write again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 import zlib
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import materialise, scratch_dir
@@ -63,15 +69,15 @@ def id_type(tokenizer: str) -> str:
 
 
 def sequences(docs: DataFrame, tokenizer: str, row_ids: int = 2048, end_id: int = 0) -> DataFrame:
-    """(ids, doc_ids, starts, lengths) for each sequence of docs (doc_id, text).
+    """(ids, digest, doc_ids, starts, lengths) for each sequence of docs (doc_id, text).
 
-    ids is binary, row_ids numbers of ``id_type`` compressed by Zstandard; the arrays tell the stretches of documents in
+    digest is one of the ids. ids is binary, row_ids numbers of ``id_type`` compressed by Zstandard; the arrays tell the stretches of documents in
     it, one after the other: the ids of the document before the stretch, and its length.
     """
     kind, dtype = docs.schema["doc_id"].dataType.simpleString(), id_type(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, codec = encoder(tokenizer), pa.Codec("zstd", compression_level=1)
+        encode, codec = encoder(tokenizer), pa.Codec("zstd", compression_level=3)
         held_ids, held = np.empty(0, dtype=dtype), None  # the open sequence's ids and stretches
 
         def made(ids: np.ndarray, doc: pa.Array, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
@@ -79,9 +85,11 @@ def sequences(docs: DataFrame, tokenizer: str, row_ids: int = 2048, end_id: int
             rows = len(ids) // row_ids
             first = np.searchsorted(np.cumsum(length) - length, np.arange(rows) * row_ids)
             offsets = pa.array(np.append(first, len(length)).astype(np.int32))
-            raw = pa.array([codec.compress(x.tobytes(), asbytes=True) for x in ids.reshape(rows, row_ids)], pa.binary())
+            each = [x.tobytes() for x in ids.reshape(rows, row_ids)]
+            raw = pa.array([codec.compress(x, asbytes=True) for x in each], pa.binary())
+            digest = pa.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in each], pa.int64())
             lists = [pa.ListArray.from_arrays(offsets, x) for x in (doc, pa.array(start), pa.array(length))]
-            return pa.RecordBatch.from_arrays([raw, *lists], ["ids", "doc_ids", "starts", "lengths"])
+            return pa.RecordBatch.from_arrays([raw, digest, *lists], ["ids", "digest", "doc_ids", "starts", "lengths"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -106,7 +114,7 @@ def sequences(docs: DataFrame, tokenizer: str, row_ids: int = 2048, end_id: int
             padded = np.concatenate([held_ids, np.full(row_ids - len(held_ids), end_id, dtype=dtype)])
             yield made(padded, *held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"ids binary, doc_ids array<{kind}>, starts array<long>, lengths array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"ids binary, digest long, doc_ids array<{kind}>, starts array<long>, lengths array<long>")
 
 
 def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -134,8 +142,8 @@ def write_training_order(docs: DataFrame, tokenizer: str, key: int = 20_240_229,
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     kind, stride = docs.schema["doc_id"].dataType.simpleString(), row_ids * int(dtype[-1])
     rows, n = numbered(materialise(sequences(docs, tokenizer, row_ids, end_id), "sequences"))
-    manifest = [(n, key, stride, row_ids, per_shard, dtype, end_id)]
-    spark.createDataFrame(manifest, "sequences long, key long, stride long, row_ids long, per_shard long, dtype string, end_id long").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    manifest = (n, key, stride, row_ids, per_shard, dtype, end_id)
+    _claim(spark, folder, _digest(rows, manifest))
 
     @F.pandas_udf("long")
     def slot(number: pd.Series) -> pd.Series:
@@ -165,26 +173,28 @@ def write_training_order(docs: DataFrame, tokenizer: str, key: int = 20_240_229,
                 store.delete_file(held)
 
         try:
-            for batch in batches:
-                slots = batch.column("slot").to_numpy(zero_copy_only=False)
-                shard = slots // per_shard
-                ids = [codec.decompress(x, stride, asbytes=True) for x in batch.column("ids").to_pylist()]
-                for number in np.unique(shard).tolist():
-                    if number != open_shard:
-                        if out:
-                            close()
-                        held = f"{base}/writing-{number:08d}-{uuid.uuid4().hex}"
-                        open_shard, out = number, store.open_output_stream(held)
-                    own = np.flatnonzero(shard == number)
-                    out.write(b"".join(ids[own[0] : own[-1] + 1]))
-                sums = np.array(list(map(zlib.crc32, ids)), dtype=np.int64)
-                lists = batch.column("doc_ids")
-                own = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-                length = batch.column("lengths").flatten().to_numpy()
-                last = np.cumsum(length)
-                offset = (last - length) - np.repeat(*_first_of(own, last - length))
-                columns = [lists.flatten(), batch.column("starts").flatten(), pa.array(length), pa.array(slots[own]), pa.array(offset), pa.array(shard[own]), pa.array(sums[own])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "slot", "offset", "shard", "sequence_crc32"])
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    slots = batch.column("slot").to_numpy(zero_copy_only=False)
+                    shard = slots // per_shard
+                    ids = [codec.decompress(x, stride, asbytes=True) for x in batch.column("ids").to_pylist()]
+                    for number in np.unique(shard).tolist():
+                        if number != open_shard:
+                            if out:
+                                close()
+                            held = f"{base}/writing-{number:08d}-{uuid.uuid4().hex}"
+                            open_shard, out = number, store.open_output_stream(held)
+                        own = np.flatnonzero(shard == number)
+                        out.write(b"".join(ids[own[0] : own[-1] + 1]))
+                    sums = np.array(list(map(zlib.crc32, ids)), dtype=np.int64)
+                    lists = batch.column("doc_ids")
+                    own = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                    length = batch.column("lengths").flatten().to_numpy()
+                    last = np.cumsum(length)
+                    offset = (last - length) - np.repeat(*_first_of(own, last - length))
+                    columns = [lists.flatten(), batch.column("starts").flatten(), pa.array(length), pa.array(slots[own]), pa.array(offset), pa.array(shard[own]), pa.array(sums[own])]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "slot", "offset", "shard", "sequence_crc32"])
             if out:
                 close()
                 out = None
@@ -195,7 +205,24 @@ def write_training_order(docs: DataFrame, tokenizer: str, key: int = 20_240_229,
                     store.delete_file(held)
 
     ordered = ordered.select("slot", "ids", "doc_ids", "starts", "lengths")
-    return ordered.mapInArrow(run, f"doc_id {kind}, start long, length long, slot long, offset long, shard long, sequence_crc32 long")
+    found = materialise(ordered.mapInArrow(run, f"doc_id {kind}, start long, length long, slot long, offset long, shard long, sequence_crc32 long"), "training-order")
+    spark.createDataFrame([manifest], "sequences long, key long, stride long, row_ids long, per_shard long, dtype string, end_id long").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    return found
+
+
+def _digest(rows: DataFrame, manifest: tuple) -> str:
+    """A digest of all numbered sequences and of the manifest; sums over rows, so their order doesn't matter."""
+    parts = [F.xxhash64("number", "digest", "doc_ids", "starts", "lengths", F.lit(seed)) for seed in (1, 2)]
+    sums = rows.agg(*[F.sum(p.cast("decimal(38, 0)")) for p in parts]).first()
+    return hashlib.sha256(repr((manifest, [str(x) for x in sums])).encode()).hexdigest()
+
+
+def _claim(spark: SparkSession, folder: str, digest: str) -> None:
+    """Write the digest of the folder's corpus, or refuse a folder that has another one."""
+    spark.createDataFrame([(digest,)], "digest string").coalesce(1).write.mode("ignore").json(f"{folder}/corpus")
+    found = [r.digest for r in spark.read.schema("digest string").json(f"{folder}/corpus").collect()]
+    if found != [digest]:
+        raise ValueError(f"{folder} holds the shards of another corpus: take another folder")
 
 
 def _first_of(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -133,6 +133,24 @@ def test_shards_are_read_by_arithmetic(spark, tmp_path):
     assert order != sorted(order)
 
 
+def test_another_corpus_is_refused(spark, tmp_path):
+    docs = lambda seed: spark.createDataFrame([(k, prose(seed + k, 40)) for k in range(60)], "doc_id long, text string").coalesce(1)
+    write = lambda df, folder="a", **more: write_training_order(df, TOKENIZER, per_shard=8, row_ids=32, path=str(tmp_path / folder), **more).collect()
+    rows = write(docs(0))
+    for other in (lambda: write(docs(500)), lambda: write(docs(0), key=3), lambda: write(docs(0).limit(59))):
+        with pytest.raises(ValueError, match="another corpus"):
+            other()
+    assert sorted(map(tuple, write(docs(0)))) == sorted(map(tuple, rows))
+    for folder, found in (("a", rows), ("b", write(docs(500), "b"))):
+        for r in found:
+            with open(tmp_path / folder / f"shard-{r.shard:08d}.bin", "rb") as f:
+                f.seek(r.slot % 8 * 64)
+                assert zlib.crc32(f.read(64)) == r.sequence_crc32
+    # A folder whose writing was broken off has no manifest, and is finished by the same corpus.
+    (tmp_path / "a" / "shard-00000000.bin").unlink()
+    assert sorted(map(tuple, write(docs(0)))) == sorted(map(tuple, rows)) and (tmp_path / "a" / "shard-00000000.bin").exists()
+
+
 def test_shards_written_again_stay(spark, tmp_path):
     docs = spark.createDataFrame([(k, prose(k, 40)) for k in range(50)], "doc_id long, text string").coalesce(1)
     for _ in range(2):
@@ -588,6 +606,97 @@ def test_quality_classifier_held_out(spark):
         labels.append((k, int(not bad)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     marks = spark.createDataFrame(labels, "doc_id long, quality int")
-    got = {r.doc_id: r.kept for r in score_quality(docs, fit_quality(docs, marks.where("doc_id < 600"), pool=300)).collect()}
+    got = {r.doc_id: r.kept for r in score_quality(docs, fit_quality(docs, marks.where("doc_id < 600"))).collect()}
     held = [(got[k], k % 5 != 0) for k in range(600, 800)]
     assert sum(a == b for a, b in held) >= 196
+
+
+def mixed_quality(n, seed):
+    """Documents whose quality shows in words and, mostly, in the source; ids, rows and labels."""
+    rng, rows, labels = random.Random(seed), [], {}
+    for k in range(n):
+        bad = rng.random() < 0.4
+        words = prose(seed * 100_000 + k, rng.randint(20, 60)).split()
+        noisy = rng.random() < (0.9 if bad else 0.08)
+        text = " ".join(f"{w}!" if noisy and rng.random() < 0.5 else w for w in words)
+        source = f"host{rng.randint(0, 5)}" if rng.random() < 0.15 else f"{'junk' if bad else 'good'}{rng.randint(0, 2)}"
+        rows.append((k, text, rng.choice(["en", "de", None]), source, len(text)))
+        labels[k] = int(not bad)
+    return rows, labels
+
+
+def plain_rounds(rows, labels, rounds, per_round):
+    """The rounds of co-training over all rows at once."""
+    from marlstone.llm import cotrain as c
+
+    by_id = {r[0]: r for r in rows}
+    free = sorted(set(by_id) - set(labels))
+    content = {k: np.float32(c.content_view(r[1])).astype(float) for k, r in by_id.items()}
+    meta = {k: c._wide(np.float32([c.metadata_view(r[3], r[2], r[4])]).astype(float))[0] for k, r in by_id.items()}
+    exact = {k: c.content_view(by_id[k][1]) for k in labels}, {k: c._wide(np.array([c.metadata_view(by_id[k][3], by_id[k][2], by_id[k][4])], dtype=float))[0] for k in labels}
+    order = sorted(labels, key=lambda k: (labels[k], exact[0][k], k))
+    own = [([exact[v][k] for k in order], [float(labels[k]) for k in order], [1.0] * len(order)) for v in (0, 1)]
+    good, taken, given = np.mean(list(labels.values())), set(), []
+    for _ in range(rounds):
+        fitted = [c.logistic_fit(np.array(x), np.array(y), l2=1.0, weight=np.array(w)) for x, y, w in own]
+        chosen = []
+        for teacher, view in ((0, content), (1, meta)):
+            p = {k: c.sigmoid(view[k] @ fitted[teacher][:-1] + fitted[teacher][-1]) for k in free if k not in taken}
+            for label, most in ((0, max(1, int(per_round * (1 - good)))), (1, max(1, int(per_round * good)))):
+                sure = sorted((round(float(q if label == 0 else 1 - q), 9), k) for k, q in p.items())
+                chosen += [(teacher, label, k) for u, k in sure[:most] if u < 0.1]
+        for teacher, label, k in chosen:
+            x, y, w = own[1 - teacher]
+            x.append((meta, content)[teacher][k])
+            y.append(float(label))
+            w.append(0.5)
+        taken |= {k for *_, k in chosen}
+        given += chosen
+    return given, [c.logistic_fit(np.array(x), np.array(y), l2=1.0, weight=np.array(w)) for x, y, w in own]
+
+
+def test_cotraining_rounds_are_those_of_a_plain_run(spark, monkeypatch):
+    from marlstone.llm import cotrain
+
+    rows, labels = mixed_quality(400, 3)
+    marks = {k: labels[k] for k in range(0, 400, 4)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    frame = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    given, surest = [], cotrain._surest
+    monkeypatch.setattr(cotrain, "_surest", lambda *a: given.append(surest(*a)) or given[-1])
+    model = cotrain.fit_quality(docs, frame, rounds=3, per_round=24)
+    folds = dict(map(tuple, frame.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'quality'), 5)").collect()))
+    free_or_train = [r for r in rows if r[0] not in marks or folds[r[0]] > 0]
+    want, fitted = plain_rounds(free_or_train, {k: v for k, v in marks.items() if folds[k] > 0}, 3, 24)
+    got = [(r["teacher"], r["label"], r["doc_id"]) for part in given for r in part]
+    assert len(got) > 60 and sorted(got) == sorted(want)
+    for mine, plain in ((model.content, fitted[0]), (model.metadata, fitted[1])):
+        assert np.allclose(mine, plain, atol=1e-3)
+
+
+def test_cotraining_helps_where_labels_are_few(spark):
+    from marlstone.llm.cotrain import fit_quality, score_quality
+
+    rows, labels = mixed_quality(1500, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame([(k, labels[k]) for k in range(60)], "doc_id long, quality int")
+    loss = []
+    for rounds in (0, 6):
+        model = fit_quality(docs, marks, rounds=rounds, per_round=150)
+        found = {r.doc_id: r for r in score_quality(docs, model).collect()}
+        assert (model.combination[:-1] >= 0).all() and all(c[0] >= 0 for c in model.calibration)
+        p = np.clip([[found[k].content_score, found[k].metadata_score, found[k].score] for k in range(60, 1500)], 1e-6, 1 - 1e-6)
+        y = np.array([labels[k] for k in range(60, 1500)])[:, None]
+        loss.append(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean(axis=0))
+    assert loss[1][2] < loss[0][2] and (loss[1][:2] < loss[0][:2]).any()
+
+
+def test_a_view_without_signal_gets_no_weight():
+    from marlstone.llm.cotrain import _not_negative
+
+    rng = np.random.default_rng(1)
+    y = (rng.random(400) < 0.5).astype(float)
+    a, b = 4 * (y - 0.5) + rng.normal(size=400), -0.5 * (y - 0.5) + rng.normal(size=400)
+    found = _not_negative(np.stack([a, b], axis=1), y)
+    assert found[0] > 1 and found[1] == 0
+    assert _not_negative(-a[:, None], y)[0] == 0
