@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import answers
 from marlstone.functions import text as t
 from marlstone.operators.knn import nearest, similarity_groups
 from marlstone.operators.lookup import best_trigram_match, longest_contained, resolve
@@ -294,3 +295,26 @@ def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = parts.unionByName(segments.select(F.col("c_mktsegment").alias("alias"), F.col("c_mktsegment").alias("id")))
     asked = segments.select(F.explode(F.array("c_mktsegment", F.concat(F.lit("Senior "), F.substring("c_mktsegment", 1, 5)), F.concat(F.lit("x"), F.reverse("c_mktsegment")))).alias("query"))
     return resolve(asked.unionByName(parts.select(F.concat(F.substring("alias", 2, 20), F.lit("s")).alias("query"))), aliases)
+
+
+VOCABULARY = ("sql", "python", "7")
+
+
+@query(r"""WITH k AS (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, (conv_id + turn) % 6 AS kind FROM conversations), g AS (SELECT *, kind IN (0, 1, 4) AS good, kind IN (0, 1, 4, 5) AS obj FROM k)
+SELECT conv_id, turn, obj AS is_object, CASE WHEN good AND role IN ('user', 'assistant') THEN role ELSE 'unknown' END AS role, CASE WHEN good THEN 'sql,python,7' ELSE '' END AS skills, CASE WHEN good THEN 'Rust,Zig' ELSE '' END AS emerging, CASE WHEN good THEN 'en,de' ELSE '' END AS languages,
+CASE WHEN good AND turn <= 5 THEN CAST(turn AS int) END AS years, CASE WHEN good THEN nullif(text[1:40], '') WHEN kind = 5 THEN 'x' END AS summary, kind = 5 OR (good AND turn % 2 = 1) AS abstain FROM g""")
+def recovered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made answers on each turn, whole, in chatter, in a list, broken or of wrong types, held to their schema."""
+    role, turn, text = (F.col(c) for c in ("role", "turn", "text"))
+    skills = F.array(F.lit("SQL"), F.lit(" python "), F.lit("cobol"), F.lit("7"), F.lit(""))
+    body = F.to_json(F.struct(F.upper(role).alias("role"), skills.alias("skills"), F.array(F.lit("Rust"), F.lit(" "), F.lit("Zig"), F.lit("C3")).alias("emerging"), F.array(F.lit("EN"), F.lit("deu"), F.lit("e1"), F.lit("en"), F.lit("d")).alias("languages"), (turn + 0.5).alias("years"), text.alias("summary"), (turn % 2 == 1).alias("abstain")))
+    body = F.replace(body, F.lit('"deu"'), F.lit('"de"'))
+    kinds = [body, F.concat(F.lit("Sure! Here it is:\n"), body, F.lit("\nHope that helps")), F.substring(body, 1, 30), F.lit("[1, 2]"), F.concat(F.lit("["), body, F.lit("]")), F.lit('{"role": 5, "skills": "sql", "years": "12", "abstain": 1, "summary": " x "}')]
+    raw = F.element_at(F.array(*kinds), ((F.col("conv_id") + turn) % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.recovered(raw).alias("a"))
+    a = F.col("a")
+    joined = lambda c: F.array_join(c, ",")
+    return rows.select(
+        "conv_id", "turn", a.isNotNull().alias("is_object"), answers.word_of(a, "role", ("user", "assistant"), "unknown").alias("role"), joined(answers.words_of(a, "skills", VOCABULARY)).alias("skills"), joined(answers.words_of(a, "emerging", most=2)).alias("emerging"),
+        joined(answers.codes_of(a, "languages", 8)).alias("languages"), answers.number_of(a, "years", 0, 6).alias("years"), answers.text_of(a, "summary", 40).alias("summary"), answers.flag_of(a, "abstain").alias("abstain"),
+    )
