@@ -3,15 +3,17 @@
 A page becomes its text blocks in page order. A logistic classifier gives each block
 the cost of either label from its text (length, stops, links), its tag, its place
 relative to the first heading, the share of the page's prose under its container, and from
-clues of its elements (article or nav and the like, naming words in class, id and role).
+clues of its elements (article or nav and the like, naming words in class, id and role). A block of a content
+element that no clue calls boilerplate is told so by a feature of its own, so an article's lists of links and table cells stay.
 These costs are the terminal capacities. An element that holds most of the page's
 prose gives no boilerplate clue, whatever it is called; where an article or main element
 holds a good part of it, blocks outside are told so. Neighbouring blocks and neighbours under
-one parent share smoothness edges, weaker the farther apart they are in the tree, and
-of the scale of the costs. The minimum cut labels all blocks of the page at once: content or boilerplate.
+one parent share smoothness edges, weaker the farther apart they are in the tree, whose
+capacities are fitted like the costs. The minimum cut labels all blocks of the page at once: content or boilerplate.
 
 The classifier is fitted to blocks whose elements tell their label: as they are, without
-naming words, and without any clue, so that text and shape carry pages that have none.
+naming words, and without any clue, so that text and shape carry pages that have none. The edges' capacities are those
+with which the cut is wrong least often without clues.
 
 Content blocks keep their whole text: character references decoded, white space made
 single spaces, blocks joined by an empty line.
@@ -64,12 +66,14 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
 _STOPS = re.compile(r"[.!?…。]")
 
-FEATURES = ("content element", "boilerplate element", "boilerplate name", "content name", "outside the content element", "links", "log length", "stops", "heading", "item", "paragraph", "after the heading", "share of prose")
+FEATURES = ("content element", "boilerplate element", "boilerplate name", "content name", "outside the content element", "content element without a boilerplate clue", "links", "log length", "stops", "heading", "item", "paragraph", "after the heading", "share of prose")
 #: Prior weights of FEATURES and the intercept.
-PRIOR = np.array([2.0, -6.0, -6.0, 1.0, -4.0, -3.0, 0.6, 1.0, 0.8, -0.8, 0.6, 0.6, 2.0, -2.4])
-CLUES, NAMES = (0, 1, 2, 3, 4), (2, 3)
-#: Capacities of neighbours in the page and under one parent, the weakening by each step in the tree beyond two, and the largest terminal capacity.
-SMOOTH, SIBLING, STEP, LARGEST = 1.5, 0.4, 0.35, 9.0
+PRIOR = np.array([2.0, -6.0, -6.0, 1.0, -4.0, 4.0, -3.0, 0.6, 1.0, 0.8, -0.8, 0.6, 0.6, 2.0, -2.4])
+CLUES, NAMES = (0, 1, 2, 3, 4, 5), (2, 3)
+#: Prior capacities of neighbours in the page and under one parent, the weakening of the first by each step in the tree beyond two, and the largest terminal capacity.
+SMOOTH, SIBLING, STEP, LARGEST = 0.3, 1.5, 0.35, 9.0
+#: Pairs of capacities that a fit tries.
+CAPACITIES = [(a, b) for a in (0.0, 0.3, 0.7, 1.0, 1.5) for b in (0.0, 0.4, 1.0, 1.5, 2.5)]
 #: Shares of the page's prose: an element of more is no boilerplate; a content element of more makes the rest outside.
 MOST, GOOD_PART = 0.6, 0.3
 
@@ -215,13 +219,13 @@ def features(page: Page) -> np.ndarray:
         f, stops = seen[b.element], len(_STOPS.findall(t))
         holder = parents[b.parent] if b.tag not in HOLDERS and parents[b.parent] >= 0 else b.parent
         x[k] = (
-            f & 1 > 0, f & 2 > 0, f & 4 > 0, f & 8 > 0, good and not f & 16, b.linked / max(b.chars, 1), math.log1p(len(t)) / 2, min(stops, 5) / 5 + (t[-1] in ".!?…。:"),
+            f & 1 > 0, f & 2 > 0, f & 4 > 0, f & 8 > 0, good and not f & 16, f & 7 == 1, b.linked / max(b.chars, 1), math.log1p(len(t)) / 2, min(stops, 5) / 5 + (t[-1] in ".!?…。:"),
             b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag in ("li", "td", "th", "dt", "option"), b.tag in ("p", "blockquote", "pre"), 0 <= heading <= k, (prose[holder] / total) if holder else 0.0,
         )
     return x
 
 
-def _edges(page: Page) -> list[tuple[int, int, float]]:
+def _edges(page: Page, smooth: float = SMOOTH, sibling: float = SIBLING) -> list[tuple[int, int, float]]:
     """Smoothness edges (i, j, capacity) of neighbours in the page and of neighbours under one parent."""
     found, last, parents = [], {}, page.parents
     for j, (_, b) in enumerate(page.blocks):
@@ -233,10 +237,10 @@ def _edges(page: Page) -> list[tuple[int, int, float]]:
                 else:
                     y = parents[y]
                 up += 1
-            found.append((j - 1, j, SMOOTH * STEP ** max(0, up - 2)))
+            found.append((j - 1, j, smooth * STEP ** max(0, up - 2)))
         holder = parents[b.parent]
         if holder in last and last[holder] != j - 1:
-            found.append((last[holder], j, SIBLING))
+            found.append((last[holder], j, sibling))
         last[holder] = j
     return found
 
@@ -316,19 +320,19 @@ def _source_side(rest: list[int], gain: np.ndarray, around: list[dict[int, float
                     nexts[path[-1]].pop()
 
 
-def labelled(page: Page, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def labelled(page: Page, weights: np.ndarray, capacities: tuple[float, float] = (SMOOTH, SIBLING)) -> tuple[np.ndarray, np.ndarray]:
     """The label of each block by the cut, and by its own costs alone."""
     # The cost of boilerplate less that of content is the log odds of content.
     gain = np.clip(features(page) @ weights[:-1] + weights[-1], -LARGEST, LARGEST)
-    return minimum_cut(gain, _edges(page)), (gain > 0).astype(int)
+    return minimum_cut(gain, _edges(page, *capacities)), (gain > 0).astype(int)
 
 
-def extract(html: str, weights: np.ndarray) -> tuple[str, int, int, int]:
+def extract(html: str, weights: np.ndarray, capacities: tuple[float, float] = (SMOOTH, SIBLING)) -> tuple[str, int, int, int]:
     """The page's text, its content blocks, its blocks, and the labels that the cut changes."""
     page = blocks_of(html)
     if not page.blocks:
         return "", 0, 0, 0
-    label, alone = labelled(page, weights)
+    label, alone = labelled(page, weights, capacities)
     kept = [t for (t, _), y in zip(page.blocks, label, strict=True) if y]
     return "\n\n".join(kept), len(kept), len(page.blocks), int((label != alone).sum())
 
@@ -340,10 +344,18 @@ def told(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(yes | no), yes[yes | no].astype(float)
 
 
+def _sample(pages: DataFrame, max_pages: int) -> DataFrame:
+    """The html of at most max_pages pages, taken by a hash of page_id and url."""
+    # The pages are found by their keys alone; at most max_pages keys are broadcast, and one page stands for rows of one key.
+    key = F.xxhash64(F.col("page_id").cast("string"), "url").alias("key")
+    chosen = pages.where("html is not null").select(key).distinct().orderBy("key").limit(max_pages)
+    return pages.where("html is not null").select("html", key).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("html").alias("html")).select("html")
+
+
 def fit_blocks(pages: DataFrame, max_pages: int = 400, max_blocks: int = 200) -> np.ndarray:
     """Weights of FEATURES and the intercept, from the blocks of at most max_pages pages and max_blocks of each.
 
-    Pages are taken by a hash of page_id and url, and the blocks of a longer page evenly spread over
+    The blocks of a longer page are taken evenly spread over
     it. Labels are those that elements tell; each block counts once as it is, once without naming words
     and once without clues.
     """
@@ -357,11 +369,7 @@ def fit_blocks(pages: DataFrame, max_pages: int = 400, max_blocks: int = 200) ->
                 rows += x[at[np.unique(np.linspace(0, len(at) - 1, min(len(at), max_blocks)).astype(int))]].tolist() if len(at) else []
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
 
-    # The pages are found by their keys alone; at most max_pages keys are broadcast, and one page stands for rows of one key.
-    key = F.xxhash64(F.col("page_id").cast("string"), "url").alias("key")
-    chosen = pages.where("html is not null").select(key).distinct().orderBy("key").limit(max_pages)
-    sample = pages.where("html is not null").select("html", key).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("html").alias("html")).select("html")
-    rows = sorted(r["x"] for r in sample.mapInArrow(run, "x array<double>").collect())
+    rows = sorted(r["x"] for r in _sample(pages, max_pages).mapInArrow(run, "x array<double>").collect())
     if len(rows) < 100:
         return PRIOR.copy()
     x = np.array(rows)
@@ -373,16 +381,44 @@ def fit_blocks(pages: DataFrame, max_pages: int = 400, max_blocks: int = 200) ->
     return logistic_fit(np.concatenate([x, unnamed, bare]), np.concatenate([y, y, y]), l2=4.0, weight=weight, prior=PRIOR)
 
 
-def extract_text(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
+def fit_capacities(pages: DataFrame, weights: np.ndarray, max_pages: int = 400, max_blocks: int = 2_000) -> tuple[float, float]:
+    """Of CAPACITIES those with which the cut labels the fewest blocks wrong, of those whose elements tell their label, without any clue.
+
+    From at most max_pages pages of at most max_blocks blocks; of equal ones the least. Few pages leave the prior ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrong, n = np.zeros(len(CAPACITIES), dtype=np.int64), 0
+        for batch in batches:
+            for html in batch.column("html").to_pylist():
+                page = blocks_of(html or "")
+                if not 0 < len(page.blocks) <= max_blocks:
+                    continue
+                x = features(page)
+                at, y = told(x)
+                x[:, CLUES] = 0.0
+                gain = np.clip(x @ weights[:-1] + weights[-1], -LARGEST, LARGEST)
+                n += len(at)
+                wrong += [int((minimum_cut(gain, _edges(page, *c))[at] != y).sum()) for c in CAPACITIES]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(CAPACITIES)), pa.int32()), pa.array(wrong), pa.array([n] * len(CAPACITIES), pa.int64())], ["k", "wrong", "n"])
+
+    rows = _sample(pages, max_pages).mapInArrow(run, "k int, wrong long, n long").groupBy("k").agg(F.sum("wrong").alias("wrong"), F.sum("n").alias("n")).collect()
+    if not rows or rows[0]["n"] < 100:
+        return SMOOTH, SIBLING
+    return CAPACITIES[min(rows, key=lambda r: (r["wrong"], sum(CAPACITIES[r["k"]]), r["k"]))["k"]]
+
+
+def extract_text(pages: DataFrame, weights: np.ndarray | None = None, capacities: tuple[float, float] | None = None) -> DataFrame:
     """(page_id, url, text, n_content_blocks, n_blocks, n_changed) for each row of pages (page_id, url, html); n_changed: labels that the cut changes."""
     weights = fit_blocks(pages) if weights is None else weights
+    capacities = capacities or fit_capacities(pages, weights)
     kind = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                got = [extract(p or "", weights) for p in batch.column("html").to_pylist()]
+                got = [extract(p or "", weights, capacities) for p in batch.column("html").to_pylist()]
                 columns = list(zip(*got, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["page_id", "url", "text", "n_content_blocks", "n_blocks", "n_changed"])
 
