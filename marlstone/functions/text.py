@@ -131,6 +131,25 @@ def midpoint(low: Column, high: Column) -> Column:
     return F.when(high >= low, (low + high) / 2).otherwise(F.coalesce(low, high))
 
 
+def posted_midpoint(low: Column, high: Column) -> Column:
+    """The mean of two bounds, or the one that is there; 0 counts as none."""
+    a, b = F.nullif(low, F.lit(0)), F.nullif(high, F.lit(0))
+    return F.coalesce((a + b) / 2, a, b)
+
+
+def experience_of(c: Column) -> Column:
+    """The band of an answer that is a number of years, 'Less than 1 year' or 'More than 50 years'; pooled for any other."""
+    s = F.lower(F.btrim(c))
+    return experience_band(F.when(s.contains("less than 1"), 0.0).when(s.contains("more than") | s.contains("50"), 50.0).otherwise(s.try_cast("double")))
+
+
+def experience_of_range(c: Column) -> Column:
+    """The band of an answer like '9 to 10 years' by its first number, 'Less than a year' forms and '20 or more years'; pooled for any other."""
+    s = F.lower(F.btrim(c))
+    first = F.regexp_extract(s, "([0-9]+)", 1).try_cast("double")
+    return experience_band(F.when(s.contains("less than 1"), 0.0).when(s.contains("20 or more") | s.contains("more than"), 20.0).otherwise(first))
+
+
 def experience_band(years: Column) -> Column:
     return F.when(years.isNull(), "pooled").when(years <= 2, "0-2").when(years <= 5, "3-5").when(years <= 9, "6-9").otherwise("10+")
 
@@ -169,6 +188,12 @@ def month_of(c: Column) -> Column:
     return F.when(name != "", F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0")))
 
 
+def month_of_epoch(seconds: Column) -> Column:
+    """'YYYY-MM' of seconds since 1970, in UTC; null for 0, null and what is no number."""
+    s = F.nullif(seconds.try_cast("long"), F.lit(0))
+    return F.date_format(F.to_date(F.lit("1970-01-01")) + F.floor(s / 86_400).cast("int"), "yyyy-MM")
+
+
 def pay_band(c: Column) -> tuple[Column, Column]:
     """Low and high of a band like '$120k - 150k'; thousands are implied below 1000; null outside 10k to 2M."""
     pattern = "[$]?([0-9]{2,3}(?:,[0-9]{3})?)(k?) *[-] *[$]?([0-9]{2,3}(?:,[0-9]{3})?)(k?)"

@@ -11,8 +11,9 @@ from marlstone.functions import postings as p
 from marlstone.operators.lookup import suggest
 from marlstone.operators.postings import derived_roles, repeated_postings
 from marlstone.operators.windows import numbered
+from marlstone.plans.observations import OBS_SQL, observations
 from marlstone.plans.registry import query
-from marlstone.sources.records import filing_cells, filings
+from marlstone.sources.records import filing_cells, filings, survey_cells, survey_rows
 from marlstone.sources.tables import table
 
 # Fixed values of the queries below: what titles, descriptions, places and skills of rows begin with.
@@ -152,3 +153,20 @@ def resume_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", p.skills_named(F.concat_ws(" ", "text", place), KNOWN).alias("s"))
     axes = rows.withColumn("axes", p.axis_scores(F.col("s")))
     return axes.select("conv_id", "turn", F.array_join("s", ",").alias("skills"), *[F.col("axes")[axis].alias(f"axis_{i}") for i, axis in enumerate(p.AXES)])
+
+
+KINDS = ("Developer, back-end;Student", "Data scientist or machine learning specialist", "Designer", "Engineering manager;Developer", "Marketer", "")
+PLACES = ("India", "United States of America", "Narnia", "Canada", " Germany ")
+YEARS = ("Less than 1 year", "4", "More than 50 years", "NA", "7.5", " 9 ")
+
+
+@query(f"""WITH {OBS_SQL}, p AS (SELECT CASE CAST(substr(market, 8) AS int) % 5 WHEN 0 THEN 'IN' WHEN 1 THEN 'US' WHEN 3 THEN 'CA' WHEN 4 THEN 'DE' END AS country, CASE l_linenumber % 6 WHEN 0 THEN 'backend' WHEN 1 THEN 'ml-eng' WHEN 2 THEN 'ux' WHEN 3 THEN 'eng-mgr' END AS role,
+CASE l_orderkey % 6 WHEN 0 THEN '0-2' WHEN 1 THEN '3-5' WHEN 2 THEN '10+' WHEN 4 THEN '6-9' WHEN 5 THEN '6-9' ELSE 'pooled' END AS band, yr AS year, unit_price AS pay FROM obs WHERE unit_price BETWEEN 1000 AND 1000000),
+r AS (SELECT * FROM p WHERE country IS NOT NULL AND role IS NOT NULL), c AS (SELECT role, country, year, band, pay FROM r WHERE band <> 'pooled' UNION ALL SELECT role, country, year, 'pooled', pay FROM r)
+SELECT role, country, year, band, round_even(median(pay), 0) AS median, count(*) AS n, CASE WHEN count(*) >= 200 THEN 'high' WHEN count(*) >= 40 THEN 'med' ELSE 'low' END AS confidence FROM c GROUP BY ALL HAVING count(*) >= 5""")
+def surveyed_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median pay by role, country, year and experience, of order lines as answers to a survey."""
+    obs = observations(spark, sf_dir)
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    people = obs.select(pick(PLACES, F.substring("market", 8, 9).cast("int")).alias("country"), F.col("unit_price").cast("string").alias("pay"), pick(KINDS, F.col("l_linenumber")).alias("kinds"), pick(YEARS, F.col("l_orderkey")).alias("years"), "yr")
+    return survey_cells(survey_rows(people, F.col("yr")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.postings import country_of, is_certified, is_technical, yearly_wage
-from marlstone.functions.text import midpoint, wage_band
+from marlstone.functions.text import experience_of, experience_of_range, midpoint, ordered_rules, wage_band
 from marlstone.operators.aggregate import with_pooled
 from marlstone.operators.lookup import two_level
 
@@ -26,6 +26,16 @@ FILING_HEADINGS = {
     "unit": ("WAGE_UNIT_OF_PAY", "WAGE_UNIT_OF_PAY_1", "PW_UNIT_OF_PAY"),
     "level": ("PW_WAGE_LEVEL", "PW_WAGE_LEVEL_1", "WAGE_LEVEL"),
 }
+# The headings of a survey of developers, the newest first; its countries; and roles by words of what people say they are, the first that fits.
+SURVEY_HEADINGS = {"country": ("Country",), "pay": ("ConvertedCompYearly", "ConvertedComp", "ConvertedSalary", "Salary"), "kinds": ("DevType", "DeveloperType"), "years": ("YearsCodePro", "YearsCode", "YearsCodedJob")}
+SURVEY_COUNTRIES = {
+    "India": "IN", "United States of America": "US", "United States": "US", "United Kingdom of Great Britain and Northern Ireland": "GB", "United Kingdom": "GB", "Canada": "CA", "Australia": "AU", "Singapore": "SG", "Germany": "DE",
+}
+SURVEY_ROLES = (
+    ("machine learning", "ml-eng"), ("data scientist", "data-sci"), ("scientist", "data-sci"), ("data engineer", "data-eng"), ("data or business analyst", "data-analyst"), ("analyst", "data-analyst"), ("engineering manager", "eng-mgr"),
+    ("devops", "devops"), ("site reliability", "sre"), ("security", "security"), ("cloud", "cloud-arch"), ("mobile", "mobile"), ("front-end", "frontend"), ("back-end", "backend"), ("full-stack", "swe"), ("embedded", "swe"),
+    ("designer", "ux"), ("product manager", "pm"), ("qa", "qa"), ("test", "qa"), ("developer", "swe"),
+)
 
 
 def _or(*c: Column | str) -> Column:
@@ -112,3 +122,22 @@ def filing_cells(rows: DataFrame, roles: DataFrame, least: int = 5) -> DataFrame
     named = two_level(rows, "code", roles, 7, "role").where("role is not null")
     cells = with_pooled(named, ["role", "year"], "band", [F.bround(F.median("wage")).alias("median"), F.count("*").alias("n")]).where(F.col("n") >= least)
     return cells.withColumn("confidence", F.when(F.col("n") >= 500, "high").when(F.col("n") >= 50, "med").otherwise("low"))
+
+
+def survey_rows(people: DataFrame, year: Column, ranges: bool = False, countries: dict[str, str] = SURVEY_COUNTRIES, roles: tuple[tuple[str, str], ...] = SURVEY_ROLES, least: float = 1_000, most: float = 1_000_000) -> DataFrame:
+    """(role, country, band, year, pay) of people (country, pay, kinds, years, all text): those of known countries and roles whose yearly pay is within bounds.
+
+    ``ranges`` tells that years are ranges ('9 to 10 years'), as in the oldest answers, not numbers.
+    """
+    code = F.create_map(*[F.lit(x) for pair in countries.items() for x in pair])[F.btrim("country")]
+    kinds = F.lower(F.coalesce("kinds", F.lit("")))
+    role = ordered_rules([(kinds.contains(word), name) for word, name in roles])
+    band = experience_of_range(F.col("years")) if ranges else experience_of(F.col("years"))
+    rows = people.select(role.alias("role"), code.alias("country"), band.alias("band"), year.cast("long").alias("year"), F.btrim("pay").try_cast("double").alias("pay"))
+    return rows.where(F.col("role").isNotNull() & F.col("country").isNotNull() & F.col("pay").between(least, most))
+
+
+def survey_cells(rows: DataFrame, least: int = 5) -> DataFrame:
+    """(role, country, year, band, median, n, confidence) of survey rows, by band and pooled."""
+    cells = with_pooled(rows, ["role", "country", "year"], "band", [F.bround(F.median("pay")).alias("median"), F.count("*").alias("n")]).where(F.col("n") >= least)
+    return cells.withColumn("confidence", F.when(F.col("n") >= 200, "high").when(F.col("n") >= 40, "med").otherwise("low"))

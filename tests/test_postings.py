@@ -145,3 +145,21 @@ def test_profile(spark):
     rows = df.select("s", p.axis_scores(F.col("s")).alias("a")).collect()
     assert [r.s for r in rows] == [["CI/CD", "Go", "React"], ["SQL", "Python"], ["SQL", "Python"]]
     assert rows[0].a["Cloud / Infra"] == 46 and rows[1].a["Backend depth"] == 62 and rows[1].a["Leadership"] == 30 and len(rows[0].a) == 6
+
+
+def test_survey_answers(spark):
+    from marlstone.functions.text import experience_of, experience_of_range, month_of_epoch, posted_midpoint
+    from marlstone.sources.records import survey_cells, survey_rows
+
+    c = F.col("c")
+    one = lambda f, values: [r.x for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, c string").orderBy("k").select(f(c).alias("x")).collect()]
+    assert one(experience_of, ["Less than 1 year", " 2", "2.5", "9", "9.1", "More than 50 years", "NA", "", None, "5 years"]) == ["0-2", "0-2", "3-5", "6-9", "10+", "10+", "pooled", "pooled", "pooled", "pooled"]
+    assert one(experience_of_range, ["Less than 1 year", "1 to 2 years", "5 to 6 years", "9 to 10 years", "20 or more years", "NA", "", None, "ten"]) == ["0-2", "0-2", "3-5", "6-9", "10+", "pooled", "pooled", "pooled", "pooled"]
+    assert one(month_of_epoch, ["1700000000", "0", None, "x", "86399"]) == ["2023-11", None, None, None, "1970-01"]
+    bounds = spark.createDataFrame([(1.0, 3.0), (0.0, 3.0), (2.0, None), (0.0, 0.0), (5.0, 3.0)], "a double, b double").select(posted_midpoint(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [r.m for r in bounds] == [2.0, 3.0, 2.0, None, 4.0]
+    people = [(" India ", "12000", "Developer, back-end;Student", "4"), ("India", "NA", "Developer", "4"), ("India", "999", "Developer", "4"), ("Narnia", "12000", "Developer", "4"), ("United States", "1e6", "Astronaut", "4"), ("United States", "1000000", "Scientist", None), (None, "5000", "QA", "1"), ("Canada", "5000", None, "1")]
+    rows = survey_rows(spark.createDataFrame(people, "country string, pay string, kinds string, years string"), F.lit(2019))
+    assert sorted(map(tuple, rows.collect())) == [("backend", "IN", "3-5", 2019, 12000.0), ("data-sci", "US", "pooled", 2019, 1000000.0)]
+    many = spark.createDataFrame([("India", str(1000 + k), "Designer", "1 to 2 years" if k % 2 else "NA") for k in range(12)], "country string, pay string, kinds string, years string")
+    assert sorted(map(tuple, survey_cells(survey_rows(many, F.lit(2017), ranges=True)).collect())) == [("ux", "IN", 2017, "0-2", 1006.0, 6, "low"), ("ux", "IN", 2017, "pooled", 1006.0, 12, "low")]
