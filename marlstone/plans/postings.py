@@ -13,6 +13,7 @@ from marlstone.operators.postings import derived_roles, repeated_postings
 from marlstone.operators.windows import numbered
 from marlstone.plans.observations import OBS_SQL, observations
 from marlstone.plans.registry import query
+from marlstone.sources.adoption import located_downloads, package_downloads
 from marlstone.sources.records import filing_cells, filings, survey_cells, survey_rows
 from marlstone.sources.tables import table
 
@@ -170,3 +171,27 @@ def surveyed_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
     people = obs.select(pick(PLACES, F.substring("market", 8, 9).cast("int")).alias("country"), F.col("unit_price").cast("string").alias("pay"), pick(KINDS, F.col("l_linenumber")).alias("kinds"), pick(YEARS, F.col("l_orderkey")).alias("years"), "yr")
     return survey_cells(survey_rows(people, F.col("yr")))
+
+
+@query("""WITH d AS (SELECT event_type AS package, strftime(ts, '%Y-%m') AS period, count(*) AS n FROM events GROUP BY ALL) SELECT e AS ecosystem, package, 'skill ' || package AS skill, period, n AS downloads, '' AS country FROM d, (SELECT unnest(['npm', 'crates', 'nuget', 'rubygems']) AS e)
+UNION ALL SELECT 'maven', 'org:' || package, 'skill ' || package, period, n, '' FROM d""")
+def registry_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly downloads by package, of events landed as the answers of five registries."""
+    days = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("package"), F.date_format("ts", "yyyy-MM").alias("period"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("downloads"))
+    months = days.groupBy("package", "period").agg(F.collect_list(F.struct("day", F.col("day").alias("date"), "downloads")).alias("days"), F.sum("downloads").alias("n"))
+    answer = {
+        "npm": F.struct(F.col("days").alias("downloads")), "crates": F.struct(F.col("days").alias("version_downloads")), "nuget": F.struct(F.array(F.struct(F.col("n").alias("totalDownloads"))).alias("data")),
+        "rubygems": F.struct(F.col("n").alias("downloads")), "maven": F.struct(F.struct(F.col("n").alias("numFound")).alias("response")),
+    }
+    each = F.array(*[F.struct(F.lit(e).alias("ecosystem"), F.to_json(a).alias("payload")) for e, a in answer.items()])
+    rows = months.select("package", "period", F.explode(each).alias("a")).select("a.ecosystem", F.concat(F.when(F.col("a.ecosystem") == "maven", "org:").otherwise(""), "package").alias("package"), F.concat(F.lit("skill "), "package").alias("skill"), "period", "a.payload")
+    return package_downloads(rows)
+
+
+@query("""SELECT 'pypi' AS ecosystem, event_type AS package, 'skill ' || event_type AS skill, strftime(ts, '%Y-%m') AS period, count(*) AS downloads, c AS country FROM (SELECT *, CASE user_id % 5 WHEN 0 THEN 'IN' WHEN 1 THEN 'US' WHEN 2 THEN 'DE' END AS c FROM events WHERE event_type <> 'view') WHERE c IS NOT NULL GROUP BY ALL""")
+def downloads_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Downloads of known packages by month and country, from a log."""
+    user = F.col("user_id") % 5
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("package"), F.when(user == 0, "in").when(user == 1, "US").when(user == 2, "de").otherwise("FR").alias("country_code"), "ts")
+    packages = table(spark, sf_dir, "events").select(F.col("event_type").alias("package")).distinct().where("package <> 'view'").withColumn("skill", F.concat(F.lit("skill "), "package"))
+    return located_downloads(log, packages, ("IN", "US", "DE"))
