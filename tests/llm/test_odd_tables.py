@@ -95,3 +95,20 @@ def test_toxicity(odd_docs, no_docs, odd_labels):
     rows = score_toxicity(odd_docs, fit_toxicity(odd_docs, odd_labels)).collect()
     assert len(rows) == 12 and all(0 <= r.score <= 1 for r in rows)
     assert score_toxicity(no_docs, fit_toxicity(no_docs, odd_labels)).count() == 0
+
+
+def test_html_of_clashing_columns_and_a_long_page(spark):
+    paragraph = "<p>This is a paragraph that goes on for some words, and it ends with a stop.</p>"
+    long_page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>Long</h1>{paragraph * 4_000}</article><footer>Copyright</footer></body></html>"
+    rows = [(1, "u", long_page, "other text", 5, 6, 7, "k"), (2, "v", paragraph, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_blocks int, n_changed int, n_chars long, key string")
+    got = {r.page_id: r for r in extract_text(pages).collect()}
+    assert got[1].text.startswith("Long\n\nThis is a paragraph") and got[1].n_content_blocks == 4_001 and "Home" not in got[1].text and "Copyright" not in got[1].text
+    assert got[2].text == "This is a paragraph that goes on for some words, and it ends with a stop."
+
+
+def test_benchmark_of_clashing_columns(odd_docs, spark):
+    rows = [(3, "one two", 77, 9, 1, "x"), (None, None, None, None, None, None)]
+    items = spark.createDataFrame(rows, "item_id long, text string, doc_id long, distance int, start int, lang string")
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in find_contamination(odd_docs, items).collect()) == [(4, 3, 0)]
+    assert drop_contaminated(odd_docs, items).count() == 11

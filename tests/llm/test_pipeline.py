@@ -39,7 +39,7 @@ def test_sql_gives_the_same_rows(spark, sf_dir):
     from marlstone.llm.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for name in ("documents", "labels"):
+    for name in ("documents", "labels", "conversations"):
         con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, sf_dir)
