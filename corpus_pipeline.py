@@ -5,7 +5,9 @@ rejected documents, near-duplicates and contaminated documents go, personal data
 replaced, and what is left is packed into sequences. Clean documents pass unchanged.
 
 Stages handle null texts as empty ones, empty tables and further columns, which they
-keep, as their operators do.
+keep, as their operators do. A very long text is read whole by every stage. Repeated rows are near-duplicates of each other, so
+one document of their group stays, that of the smallest doc_id; a document without doc_id is in no group and
+stays.
 """
 
 from __future__ import annotations
