@@ -14,6 +14,7 @@ from marlstone.operators.upsert import append_new, by_priority, fill_gaps, first
 from marlstone.operators.windows import carry, latest, momentum, steps, top_by
 from marlstone.plans.observations import OBS_SQL, line_bound, observations
 from marlstone.plans.registry import ORACLES, query
+from marlstone.sources.scratch import materialise
 from marlstone.sources.tables import table
 
 LAST = 2000
@@ -23,6 +24,20 @@ def long(c: str) -> F.Column:
     return F.col(c).cast("long").alias(c)
 
 
+def _scored(cell: DataFrame, prices: DataFrame) -> DataFrame:
+    """The score board of cells (entity, market, med, demand, interest), with parities from prices (market, s, c): sums and numbers of all prices."""
+    overall = prices.agg((F.sum("s") / F.sum("c")).alias("a"))
+    # One row, so this adds a column to the markets.
+    ppp = prices.join(F.broadcast(overall), F.lit(True)).select("market", (F.col("s") / F.col("c") / F.col("a")).alias("pf"))
+    v = cell.join(ppp, "market", "left").select("entity", "market", F.col("demand").cast("double").alias("d"), F.col("interest").cast("double").alias("i"), (F.col("med") / F.coalesce(F.nullif("pf", F.lit(0.0)), F.lit(1.0))).alias("s"))
+    z = v.select("entity", "market", *[min_max(F.col(c), "market").alias(c) for c in "dis"])
+    z = z.withColumn("s01", F.round(0.42 * F.col("d") + 0.25 * (1 - F.col("i")) + 0.33 * F.col("s"), 9))
+    w = Window.partitionBy("market")
+    z = z.withColumn("rank", F.row_number().over(w.orderBy(F.desc("s01"), "entity")).cast("long")).withColumn("n", F.count("*").over(w))
+    ten = lambda c, name: F.round(c * 10, 1).alias(name)
+    return z.select("entity", "market", ten(F.col("s01"), "total"), ten(F.col("d"), "demand_score"), ten(F.col("s"), "pay_score"), ten(1 - F.col("i"), "opp_score"), "rank", F.greatest(F.lit(1), F.round((F.col("rank") - 1) * 100.0 / F.col("n")).cast("long")).alias("pctile"))
+
+
 @query(f"""WITH {OBS_SQL}, o AS (SELECT obs.*, o_custkey FROM obs LEFT JOIN orders ON l_orderkey = o_orderkey),
 cell AS (SELECT entity, market, median(unit_price) AS med, count(*) AS demand, count(DISTINCT o_custkey) AS interest FROM o WHERE yr = {LAST} GROUP BY entity, market HAVING count(*) >= 5),
 ppp AS (SELECT market, avg(unit_price) / (SELECT avg(unit_price) FROM o) AS pf FROM o GROUP BY market),
@@ -39,17 +54,8 @@ def job_score_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = obs.where(F.col("yr") == LAST).join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     cell = medians(lines, ["entity", "market"], {"med": F.col("unit_price")}, [F.count("*").alias("demand"), F.count_distinct("o_custkey").alias("interest")], line_bound(spark, sf_dir)).where("demand >= 5")
-    by_market = obs.groupBy("market").agg(F.avg("unit_price").alias("m"), F.sum("unit_price").alias("s"), F.count("*").alias("c"))
-    overall = by_market.agg((F.sum("s") / F.sum("c")).alias("a"))
-    # One row, so this adds a column to the markets.
-    ppp = by_market.join(F.broadcast(overall), F.lit(True)).select("market", (F.col("m") / F.col("a")).alias("pf"))
-    v = cell.join(ppp, "market", "left").select("entity", "market", F.col("demand").cast("double").alias("d"), F.col("interest").cast("double").alias("i"), (F.col("med") / F.coalesce(F.nullif("pf", F.lit(0.0)), F.lit(1.0))).alias("s"))
-    z = v.select("entity", "market", *[min_max(F.col(c), "market").alias(c) for c in "dis"])
-    z = z.withColumn("s01", F.round(0.42 * F.col("d") + 0.25 * (1 - F.col("i")) + 0.33 * F.col("s"), 9))
-    w = Window.partitionBy("market")
-    z = z.withColumn("rank", F.row_number().over(w.orderBy(F.desc("s01"), "entity")).cast("long")).withColumn("n", F.count("*").over(w))
-    ten = lambda c, name: F.round(c * 10, 1).alias(name)
-    return z.select("entity", "market", ten(F.col("s01"), "total"), ten(F.col("d"), "demand_score"), ten(F.col("s"), "pay_score"), ten(1 - F.col("i"), "opp_score"), "rank", F.greatest(F.lit(1), F.round((F.col("rank") - 1) * 100.0 / F.col("n")).cast("long")).alias("pctile"))
+    prices = obs.groupBy("market").agg(F.sum("unit_price").alias("s"), F.count("*").alias("c"))
+    return _scored(cell, prices)
 
 
 @query(f"""WITH {OBS_SQL}, c AS (SELECT entity, market, yr, round(median(unit_price), 4) AS median, count(*) AS n FROM obs WHERE unit_price BETWEEN 100 AND 100000 GROUP BY ALL HAVING count(*) >= 5)
@@ -221,12 +227,15 @@ UNION ALL SELECT market, 'topScore', entity, total FROM ({ORACLES['job_score_boa
 SELECT market, metric, row_number() OVER (PARTITION BY market, metric ORDER BY value DESC, entity) AS rank, entity, value FROM u QUALIFY rank <= 5""")
 def market_pulse_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five leaders of each market by four metrics."""
-    year = F.col("yr")
-    cells = observations(spark, sf_dir).groupBy("market", "entity").agg(
-        F.count(F.when(year == LAST, 1)).alias("demand"), F.round(F.median(F.when(year == LAST, F.col("unit_price"))), 4).alias("pay"), (F.count(F.when(year == LAST, 1)) - F.count(F.when(year == LAST - 5, 1))).alias("rise")
-    )
+    last = lambda c: F.when(F.col("yr") == LAST, c)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = observations(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    counts = [F.count(last(F.lit(1))).alias("demand"), F.count_distinct(last(F.col("o_custkey"))).alias("interest"), F.count(F.when(F.col("yr") == LAST - 5, 1)).alias("before"), F.sum("unit_price").alias("s"), F.count("*").alias("c")]
+    cells = materialise(medians(lines, ["market", "entity"], {"med": last(F.col("unit_price"))}, counts, line_bound(spark, sf_dir)), "pulse")
+    cells = cells.withColumns({"pay": F.round("med", 4), "rise": F.col("demand") - F.col("before")})
     top = [top_by(cells, ["market"], c, "entity", 5, name) for c, name in (("demand", "hottest"), ("pay", "topPay"), ("rise", "rising"))]
-    scores = top_by(job_score_board(spark, sf_dir), ["market"], "total", "entity", 5, "topScore")
+    board = _scored(cells.where("demand >= 5").select("entity", "market", "med", "demand", "interest"), cells.groupBy("market").agg(F.sum("s").alias("s"), F.sum("c").alias("c")))
+    scores = top_by(board, ["market"], "total", "entity", 5, "topScore")
     return top[0].unionByName(top[1]).unionByName(top[2]).unionByName(scores)
 
 
