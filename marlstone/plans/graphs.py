@@ -96,7 +96,7 @@ t AS (SELECT e.vec_id, 'M' || label AS market, component, CASE WHEN vec_id % 3 =
 s AS (SELECT market, component, count(*) AS n FROM t WHERE market IN (SELECT market FROM t GROUP BY 1 HAVING count(*) >= 5) GROUP BY ALL HAVING count(*) >= 5),
 m AS (SELECT market, component, canon, count(*) AS c FROM t SEMI JOIN s USING (market, component) GROUP BY market, component, canon QUALIFY row_number() OVER (PARTITION BY market, component ORDER BY count(*) DESC, canon) = 1),
 j AS (SELECT market, component, '["' || array_to_string(list_sort(list(DISTINCT title))[1:50], '","') || '"]' AS member_titles FROM t SEMI JOIN s USING (market, component) GROUP BY ALL)
-SELECT 'derived:' || lower(market) || ':' || replace(canon, ' ', '-') AS role_id, market, array_to_string(list_transform(string_split(canon, ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS label_title, s.n AS posting_count, member_titles FROM s JOIN m USING (market, component) JOIN j USING (market, component)""")
+SELECT 'derived:' || lower(market) || ':' || replace(coalesce(nullif(canon, ''), 'role'), ' ', '-') AS role_id, market, array_to_string(list_transform(string_split(coalesce(nullif(canon, ''), 'role'), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS label_title, s.n AS posting_count, member_titles FROM s JOIN m USING (market, component) JOIN j USING (market, component)""")
 def roles_of_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles from clusters of near vectors of a label, named by their most frequent title."""
     n, part = F.col("vec_id"), table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("vec_id"), "p_name")

@@ -157,7 +157,7 @@ def resume_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KINDS = ("Developer, back-end;Student", "Data scientist or machine learning specialist", "Designer", "Engineering manager;Developer", "Marketer", "")
-PLACES = ("India", "United States of America", "Narnia", "Canada", " Germany ")
+SURVEYED = ("India", "United States of America", "Narnia", "Canada", " Germany ")
 YEARS = ("Less than 1 year", "4", "More than 50 years", "NA", "7.5", " 9 ")
 
 
@@ -169,7 +169,7 @@ def surveyed_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median pay by role, country, year and experience, of order lines as answers to a survey."""
     obs = observations(spark, sf_dir)
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
-    people = obs.select(pick(PLACES, F.substring("market", 8, 9).cast("int")).alias("country"), F.col("unit_price").cast("string").alias("pay"), pick(KINDS, F.col("l_linenumber")).alias("kinds"), pick(YEARS, F.col("l_orderkey")).alias("years"), "yr")
+    people = obs.select(pick(SURVEYED, F.substring("market", 8, 9).cast("int")).alias("country"), F.col("unit_price").cast("string").alias("pay"), pick(KINDS, F.col("l_linenumber")).alias("kinds"), pick(YEARS, F.col("l_orderkey")).alias("years"), "yr")
     return survey_cells(survey_rows(people, F.col("yr")))
 
 

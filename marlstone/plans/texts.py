@@ -297,7 +297,7 @@ def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(asked.unionByName(parts.select(F.concat(F.substring("alias", 2, 20), F.lit("s")).alias("query"))), aliases)
 
 
-VOCABULARY = ("sql", "python", "7")
+ANSWER_SKILLS = ("sql", "python", "7")
 
 
 @query(r"""WITH k AS (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, (conv_id + turn) % 6 AS kind FROM conversations), g AS (SELECT *, kind IN (0, 1, 4) AS good, kind IN (0, 1, 4, 5) AS obj FROM k)
@@ -315,6 +315,6 @@ def recovered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("a")
     joined = lambda c: F.array_join(c, ",")
     return rows.select(
-        "conv_id", "turn", a.isNotNull().alias("is_object"), answers.word_of(a, "role", ("user", "assistant"), "unknown").alias("role"), joined(answers.words_of(a, "skills", VOCABULARY)).alias("skills"), joined(answers.words_of(a, "emerging", most=2)).alias("emerging"),
+        "conv_id", "turn", a.isNotNull().alias("is_object"), answers.word_of(a, "role", ("user", "assistant"), "unknown").alias("role"), joined(answers.words_of(a, "skills", ANSWER_SKILLS)).alias("skills"), joined(answers.words_of(a, "emerging", most=2)).alias("emerging"),
         joined(answers.codes_of(a, "languages", 8)).alias("languages"), answers.number_of(a, "years", 0, 6).alias("years"), answers.text_of(a, "summary", 40).alias("summary"), answers.flag_of(a, "abstain").alias("abstain"),
     )
