@@ -110,6 +110,13 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return content, meta
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a task holds few texts and their views at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _collect_views(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Views, label and fold of the documents in chosen (doc_id, label, fold), which is small."""
 
@@ -184,7 +191,7 @@ def unlabelled_views(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             content, meta = _views(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content.tolist(), pa.list_(pa.float32())), pa.array(meta.tolist(), pa.list_(pa.float32()))], ["doc_id", "content", "meta"])
 
@@ -235,7 +242,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             a, b, both = model.scores(*_views(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= model.cutoff)], ["doc_id", "content_score", "metadata_score", "score", "kept"])
 
@@ -246,7 +253,7 @@ def keep_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             yield batch.filter(pa.array(model.scores(*_views(batch))[2] >= model.cutoff))
 
     return docs.mapInArrow(run, docs.schema)
