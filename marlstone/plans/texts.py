@@ -208,7 +208,7 @@ SELECT query_id, vec_id, round(similarity, 6) AS similarity, row_number() OVER (
 def knn_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every vector whose id is divisible by 100 its five nearest."""
     vectors = table(spark, sf_dir, "embeddings")
-    return nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
+    return nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding").withColumn("similarity", F.round(F.col("similarity") * 1_000_000) / 1_000_000)
 
 
 @query()

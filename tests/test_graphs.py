@@ -8,12 +8,13 @@ import numpy as np
 import pytest
 
 from marlstone.functions.text import trigrams
-from marlstone.operators import neighbours
+from marlstone.operators import knn, neighbours
 from marlstone.operators.graph import descend, occupation_graph
 from marlstone.operators.lookup import best_trigram_match, resolve
 from marlstone.operators.neighbours import indexed_groups, neighbour_graph
 from marlstone.operators.postings import clustered_roles
 from marlstone.operators.similarity import candidate_pairs, held_pairs, letters, similar_pairs
+from marlstone.plans import graphs
 
 
 def plain_descent(edges, seeds):
@@ -164,6 +165,26 @@ def test_recall_of_the_index(spark):
     assert compared < df.count() / 3  # rows that each one meets, of all
 
 
+def test_vector_neighbours_are_those_of_all_pairs(spark, tmp_path, monkeypatch):
+    """Far neighbours, many cells' worth of rows, copies, and a similarity whose sixth digit is a five below the half."""
+    monkeypatch.setattr(knn, "TILE", 256)
+    monkeypatch.setattr(knn, "LARGEST", 1500)
+    x = unit_rows(7, 3000, 16).astype(np.float32)
+    x[100:140] = x[7]
+    x[2999] = 0
+    x = np.vstack([np.hstack([x, np.zeros((3000, 2), dtype=np.float32)]), np.zeros((2, 18), dtype=np.float32)])
+    x[3000, 16], x[3001, 16:] = 1, (0.32785, np.sqrt(1 - 0.32785**2))
+    spark.createDataFrame([*((k, v.tolist()) for k, v in enumerate(x)), (9000, None)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = x.astype(np.float64) / np.maximum(np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), 1e-12)
+    near = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(near, -2)
+    order = np.argsort(-near, axis=1, kind="stable")[:, :8]
+    want = {(a, int(b), r + 1): near[a, b] for a in range(len(x)) for r, b in enumerate(order[a]) if near[a, b] >= 0.3}
+    got = {(r.vec_id, r.neighbour, r["rank"]): r.similarity for r in graphs.vector_neighbours(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) <= 6e-5 for p in want)
+    assert got[3000, 3001, 1] == np.floor(0.32785 * 10_000 + 0.5) / 10_000 == 0.3278
+
+
 def test_groups_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 150)
     centres = unit_rows(3, 40, 16)
