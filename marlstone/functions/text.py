@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from string import ascii_lowercase, digits
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,7 +40,8 @@ def any_word(words: Sequence[str]) -> str:
 
 def normalize_surface(c: Column, drop: Sequence[str] = SENIORITY) -> Column:
     """Lower case; letters, digits and ``+#./`` only; without seniority words, unless nothing else is left."""
-    kept = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9+#./ ]+", " ")
+    # Characters one by one: a class of ranges is many times slower on long texts.
+    kept = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[^{ascii_lowercase}{digits}+#./ ]+", " ")
     # Words left as bare punctuation go.
     clean = lambda x: F.array_join(F.filter(F.split(x, " +"), lambda w: w.rlike("[a-z0-9]")), " ")
     return F.coalesce(F.nullif(clean(F.regexp_replace(kept, any_word(drop), " ")), F.lit("")), clean(kept))
@@ -235,14 +237,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
-def shingles(words: Column, width: int = 5) -> Column:
-    """Distinct word shingles of an array of words; fewer words are one, none none.
+def word_runs(words: Column, width: int = 5) -> Column:
+    """Runs of ``width`` words of an array of words, repeats too; fewer words are one, none none.
 
-    Pass a column of an earlier select: an expression would run anew for each shingle.
+    Pass a column of an earlier select: an expression would run anew for each run. Words are taken by place, as a slice copies
+    the whole array.
     """
-    whole = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, F.lit(width)), " "))
-    return F.when(F.size(words) < width, whole).otherwise(F.array_distinct(many))
+    run = lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(width)])
+    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - width, F.lit(0))), run)).otherwise(F.array().cast("array<string>"))
+
+
+def shingles(words: Column, width: int = 5) -> Column:
+    """Distinct word shingles of an array of words, a column of an earlier select; fewer words are one, none none."""
+    return F.array_distinct(word_runs(words, width))
 
 
 def indian_digits(c: Column) -> Column:

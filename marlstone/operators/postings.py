@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import canon_title, normalize_surface, shingles, slug
+from marlstone.functions.text import canon_title, normalize_surface, slug, word_runs
 from marlstone.operators.components import components
 from marlstone.operators.knn import first_links
 from marlstone.operators.neighbours import indexed_groups
@@ -19,15 +19,42 @@ from marlstone.sources.scratch import materialise
 REGISTERS, BANDS, BLOCK = 32, 8, 1024
 
 
+#: Shingles of a batch whose minima are taken at once, a single text aside, and the factors of xxHash64.
+AT_ONCE = 1 << 20
+P1, P2, P3, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def reseeded(hashes: np.ndarray, i: int) -> np.ndarray:
+    """``xxhash64(s, i)`` from ``xxhash64(s)``: the integer's hash with the string's as its seed."""
+    h = (hashes.view(np.uint64) + (P5 + np.uint64(4))) ^ np.uint64(i * int(P1) % 2**64)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * P2 + P3
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _minima(hashes: pd.Series) -> pd.Series:
+    """For each row its least hash for each register; null without hashes."""
+    out, rows = [None] * len(hashes), [(k, h) for k, h in enumerate(hashes) if len(h)]
+    part = np.cumsum([len(h) for _, h in rows]) // AT_ONCE
+    for p in np.unique(part):
+        own = rows[np.searchsorted(part, p) : np.searchsorted(part, p, side="right")]
+        flat, starts = np.concatenate([h for _, h in own]), np.cumsum([0, *(len(h) for _, h in own[:-1])])
+        least = np.stack([np.minimum.reduceat(reseeded(flat, i), starts) for i in range(REGISTERS)], axis=1)
+        for (k, _), m in zip(own, least, strict=True):
+            out[k] = m
+    return pd.Series(out, dtype=object)
+
+
 def signatures(posts: DataFrame, key: str, block: Sequence[str], text: str) -> DataFrame:
     """(key, block, sig): MinHash minima of the five-word shingles of the whole normalised text; null and empty texts have zeros.
 
-    Shingles are exploded and their minima taken in the same stage, so one row for each posting and task is shuffled.
+    Shingles are hashed where they are cut, one hash for all registers, and a text's minima are taken in its own row, so one row
+    for each posting is shuffled.
     """
     words = F.filter(F.split(normalize_surface(F.col(text)), " "), lambda w: w != "")
-    parts = posts.select(key, *block, words.alias("_w")).select(key, *block, F.explode_outer(shingles(F.col("_w"))).alias("_s"))
-    minima = [F.min(F.when(F.col("_s").isNotNull(), F.xxhash64("_s", F.lit(i)))).alias(f"_m{i}") for i in range(REGISTERS)]
-    found = parts.groupBy(key, *block).agg(*minima)
+    parts = posts.select(key, *block, words.alias("_w")).select(key, *block, F.transform(word_runs(F.col("_w")), lambda s: F.xxhash64(s)).alias("_h"))
+    found = parts.select(key, *block, F.pandas_udf(_minima, "array<long>")("_h").alias("_m")).groupBy(key, *block).agg(*[F.min(F.col("_m")[i]).alias(f"_m{i}") for i in range(REGISTERS)])
     return found.select(key, *block, F.array(*[F.coalesce(f"_m{i}", F.lit(0).cast("long")) for i in range(REGISTERS)]).alias("sig"))
 
 

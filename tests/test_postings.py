@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import postings as p
+from marlstone.functions.text import shingles
 from marlstone.operators.aggregate import counted_median
 from marlstone.operators.lookup import suggest
 from marlstone.operators.postings import derived_roles, repeated_postings, signatures
@@ -86,6 +87,21 @@ def test_boards(spark):
     assert a.columns == b.columns == c.columns
 
 
+def test_signatures_are_minima_of_seeded_hashes(spark, monkeypatch):
+    """One hash for each run of words, that many registers; the work grows with a text's length."""
+    monkeypatch.setattr("marlstone.operators.postings.AT_ONCE", 50)
+    random.seed(8)
+    texts = [" ".join(random.choices("abcdefgh", k=n)) for n in (1, 4, 5, 6, 40, 200)]
+    df = spark.createDataFrame([*enumerate(texts), (3, "later row of three"), (9, None), (10, "Ünder, the-K+ 77.5 /x/ ..")], "id long, text string")
+    got = {r.id: r.sig for r in signatures(df, "id", [], "text").collect()}
+    runs = [(k, " ".join(w[i : i + 5])) for k, t in [*enumerate(texts), (3, "later row of three"), (10, "nder the k+ 77.5 /x/")] for w in [t.split()] for i in range(max(1, len(w) - 4))]
+    minima = [F.min(F.xxhash64("s", F.lit(i))).alias(f"m{i}") for i in range(32)]
+    want = {r.id: list(r)[1:] for r in spark.createDataFrame(runs, "id long, s string").groupBy("id").agg(*minima).collect()}
+    assert got == {**want, 9: [0] * 32}
+    plan = spark.createDataFrame([(["a"],)], "w array<string>").select(shingles(F.col("w")))._jdf.queryExecution().toString()
+    assert "slice(" not in plan  # copies all words for each shingle
+
+
 def test_repeated_postings(spark, monkeypatch):
     monkeypatch.setattr("marlstone.operators.postings.BLOCK", 7)
     random.seed(5)
