@@ -45,11 +45,19 @@ def two_level(df: DataFrame, code: str, table: DataFrame, base: int, value: str)
     return found.withColumn(value, F.coalesce("_exact", "_rough")).drop("_exact", "_rough", "_base")
 
 
-def best_trigram_match(names: DataFrame, name: str, candidates: DataFrame, candidate: str) -> DataFrame:
-    """(name, candidate, similarity): the candidate of the highest trigram Jaccard similarity, by name if equal; only ones that share a trigram."""
+def best_trigram_match(names: DataFrame, name: str, candidates: DataFrame, candidate: str, others: bool = False) -> DataFrame:
+    """(name, candidate, similarity): the candidate of the highest trigram Jaccard similarity, by name if equal; only ones that share a trigram.
+
+    With ``others`` an equal candidate doesn't count.
+    """
     side = lambda df, c, key: materialise(df.select(F.col(c).alias(key)).distinct().select(key, trigrams(F.col(key)).alias("items")), f"trigrams-{key}")
     left, right = side(names, name, "l"), side(candidates, candidate, "r")
-    found = best_by_thresholds(left, lambda df, t: similar_pairs(df, right, t).withColumnRenamed("similarity", "score"), (0.8, 0.6, 0.4, 0.2, 0.01))
+
+    def pairs_at(df: DataFrame, t: float) -> DataFrame:
+        pairs = similar_pairs(df, right, t).withColumnRenamed("similarity", "score")
+        return pairs.where("l <> r") if others else pairs
+
+    found = best_by_thresholds(left, pairs_at, (0.8, 0.6, 0.4, 0.2, 0.01))
     w = Window.partitionBy("l").orderBy(F.desc("similarity"), "r")
     return found.select("l", "r", F.round("score", 6).alias("similarity")).withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col("l").alias(name), F.col("r").alias(candidate), "similarity")
 

@@ -114,14 +114,13 @@ def alias_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest_contained(names, "name", aliases)
 
 
-@query("""WITH n AS (SELECT DISTINCT substr(p_name, 2) AS name FROM part), m AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, unnest(list_distinct(list_transform(range(1, length(name) + 2), lambda i: substr('  ' || lower(name) || ' ', i, 3)))) AS t FROM n),
-h AS (SELECT name, unnest(list_distinct(list_transform(range(1, length(name) + 2), lambda i: substr('  ' || lower(name) || ' ', i, 3)))) AS t FROM m), c AS (SELECT name, count(*) AS k FROM g GROUP BY 1), d AS (SELECT name, count(*) AS k FROM h GROUP BY 1),
-s AS (SELECT a.name AS name, b.name AS candidate, count(*) AS s FROM g a JOIN h b ON a.t = b.t GROUP BY ALL)
-SELECT s.name, candidate, round(s / (x.k + y.k - s), 6) AS similarity FROM s JOIN c x ON s.name = x.name JOIN d y ON candidate = y.name QUALIFY row_number() OVER (PARTITION BY s.name ORDER BY round(s / (x.k + y.k - s), 6) DESC, candidate) = 1""")
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, unnest(list_distinct(list_transform(range(1, length(name) + 2), lambda i: substr('  ' || lower(name) || ' ', i, 3)))) AS t FROM n), c AS (SELECT name, count(*) AS k FROM g GROUP BY 1),
+s AS (SELECT a.name AS name, b.name AS candidate, count(*) AS s FROM g a JOIN g b ON a.t = b.t AND a.name <> b.name GROUP BY ALL)
+SELECT s.name, candidate, round(s / (x.k + y.k - s), 6) AS similarity FROM s JOIN c x ON s.name = x.name JOIN c y ON candidate = y.name QUALIFY row_number() OVER (PARTITION BY s.name ORDER BY round(s / (x.k + y.k - s), 6) DESC, candidate) = 1""")
 def trigram_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of all names for each name whose first letter is lost, by trigrams."""
-    part = table(spark, sf_dir, "part")
-    return best_trigram_match(part.select(F.substring("p_name", 2, 1000).alias("name")), "name", part.select(F.col("p_name").alias("candidate")), "candidate")
+    """The best of all other names for each name, by the trigrams of the whole names."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+    return best_trigram_match(names, "name", names.withColumnRenamed("name", "candidate"), "candidate", others=True)
 
 
 @query("""WITH q AS (SELECT DISTINCT p_name AS name, lower(split_part(p_name, ' ', 1)) AS f, lower(split_part(p_name, ' ', 2)) AS s FROM part) SELECT name, CASE WHEN starts_with(f, 'b') THEN 1.0E0 WHEN starts_with(s, 'b') THEN 0.9E0 END AS score FROM q WHERE starts_with(f, 'b') OR starts_with(s, 'b')""")

@@ -14,7 +14,7 @@ from marlstone.operators.lookup import best_trigram_match, resolve
 from marlstone.operators.neighbours import indexed_groups, neighbour_graph
 from marlstone.operators.postings import clustered_roles
 from marlstone.operators.similarity import candidate_pairs, held_pairs, letters, similar_pairs
-from marlstone.plans import graphs
+from marlstone.plans import graphs, texts
 
 
 def plain_descent(edges, seeds):
@@ -140,6 +140,16 @@ def test_best_trigram_match_equals_all_pairs(spark):
     assert {r.name: (-r.similarity, r.other) for r in rows} == {x: v for x, v in want.items() if v[0] < 0}
 
 
+def test_trigram_resolution_reads_whole_names(spark, tmp_path):
+    """Names that differ in the first letter only are two, and what lies behind 1,000 letters counts."""
+    long = "".join(random.Random(3).choices("abcdefgh", k=1200))
+    names = ["bolt", "colt", "bolts", long, long[:1100], long[:1000] + "x" * 100, "Bolt", None]
+    spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.name: (-r.similarity, r.candidate) for r in texts.trigram_resolution(spark, str(tmp_path)).collect()}
+    jac = lambda x, y: len(plain_trigrams(x) & plain_trigrams(y)) / len(plain_trigrams(x) | plain_trigrams(y))
+    assert got == {x: min((-round(jac(x, y), 6), y) for y in names if y and y != x) for x in names if x}
+
+
 def unit_rows(seed, n, dim=64):
     x = np.random.default_rng(seed).normal(size=(n, dim))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
