@@ -73,18 +73,19 @@ class _HostGate(StatefulProcessor):
         self.handle, self.kept = handle, handle.getValueState("gate", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        gate, out = Gate(**self.settings), []
-        if self.kept.exists():
-            gate.credit, gate.at, gate.fails, gate.opened, gate.state = self.kept.get()
-        batch = pd.concat(list(rows)).sort_values(["ms", "request_id"], kind="stable")
-        for ms, request, failed in zip(batch["ms"].tolist(), batch["request_id"].tolist(), batch["failed"].tolist(), strict=True):
-            outcome, sent, wait = gate.request(ms, failed)
-            out.append((key[0], request, outcome, sent, wait, gate.state))
+        # A host has few rows: state is asked once, and frames are made once for it and not sorted or cast.
+        gate, known = Gate(**self.settings), self.kept.get()
+        if known is not None:
+            gate.credit, gate.at, gate.fails, gate.opened, gate.state = known
+        asked = sorted((ms, request != request, request, k, failed) for k, (ms, request, failed) in enumerate(x for b in rows for x in zip(b["ms"].tolist(), b["request_id"].tolist(), b["failed"].tolist(), strict=True)))
+        answers = [(request, *gate.request(ms, failed), gate.state) for ms, _, request, _, failed in asked]
         self.kept.update((gate.credit, gate.at, gate.fails, gate.opened, gate.state))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        if known is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         self.handle.registerTimer(gate.at + gate.idle_ms)
-        yield pd.DataFrame(out, columns=["host", "request_id", "outcome", "sent_at", "wait_ms", "state"]).astype({"sent_at": "Int64"})
+        requests, outcomes, sent, waits, states = zip(*answers, strict=True)
+        yield pd.DataFrame({"host": [key[0]] * len(answers), "request_id": requests, "outcome": outcomes, "sent_at": pd.array(sent, dtype="Int64"), "wait_ms": waits, "state": states})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.kept.clear()  # a host that comes back after so long starts anew, with its state or without

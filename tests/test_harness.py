@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,24 @@ def test_stream_goes_on_from_its_state(spark, rocks, tmp_path):
         rows = spark.read.parquet(str(tmp_path / "out")).collect()
         assert sorted((r.host, r.request_id, r.outcome, r.sent_at, r.wait_ms, r.state) for r in rows) == sorted(want[:seen])
     assert {"ok", "failed", "blocked"} == {w[2] for w in want}
+
+
+def test_state_is_asked_once_for_a_host():
+    """Each call is a trip to the other process; rows of several batches are one sequence, ids that are missing come last."""
+    calls = []
+
+    class Store:
+        def __init__(self, kept=None):
+            self.kept = kept
+
+        def __getattr__(self, name):
+            return lambda *x: calls.append(name) or {"get": self.kept, "exists": self.kept is not None, "listTimers": [7]}.get(name, self)
+
+    batches = [pd.DataFrame({"ms": [5, 9], "request_id": [2.0, 4.0], "failed": [True, False]}), pd.DataFrame({"ms": [5, 5], "request_id": [float("nan"), 1.0], "failed": [False, True]})]
+    for kept, timers in ((None, []), ((1, 0, 0, 0, "closed"), ["listTimers", "deleteTimer"])):
+        gate = harness._HostGate({"gap_ms": 1, "threshold": 2, "reset_ms": 100})
+        gate.handle = gate.kept = Store(kept)
+        calls.clear()
+        (out,) = gate.handleInputRows(("h",), iter(batches), None)
+        assert calls == ["get", "update", *timers, "registerTimer"]
+        assert out["request_id"].tolist()[:2] == [1, 2] and out["request_id"].tolist()[3] == 4 and out["outcome"].tolist() == ["failed", "failed", "blocked", "blocked"]
