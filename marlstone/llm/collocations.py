@@ -1,17 +1,19 @@
 """Collocations of two to four words, by SETM: occurrence relations, level by level.
 
-R(k) holds the occurrences of all phrases of k words, sorted by place: words of one
+R(k) holds the occurrences of phrases of k words, sorted by place: words of one
 piece have consecutive places, pieces leave a gap. It is a written table of chunks,
 one row for each, of the texts of one language up to ``CHUNK`` bytes: its places and their
 phrases as packed arrays, and its distinct phrases with their numbers. A level
-is three steps. Group-count: the chunks' numbers are dealt by phrase and added up.
-Semi-join: the frequent phrases go back to the chunks that have them, and each
-chunk drops all other occurrences. Merge-join: occurrences at adjacent places make one of the
-next length, so both of its parts are frequent.
+is three steps. Merge-join: occurrences at adjacent places make one of the next length.
+Group-count: each is a slot of a hash, and the chunks' numbers of their slots are added up, so
+that a number is at least that of each of its phrases. Semi-join: each chunk gets back
+a bit for each of its slots, and keeps the occurrences in slots of enough. So what occurs too rarely crosses the
+network as a slot of about 13 bits, not as text, and is never written; a phrase that only
+shares a slot is kept for now. At last the phrases of all levels are dealt as texts, and counted exactly.
 
 A phrase costs an entry for each chunk, however often it occurs, and texts are read
 once, where they lie: a common word or line, or a group of copies, is in no single
-task. Phrases are dealt into as many parts as their number asks for.
+task. Phrases and slots are dealt into as many parts as their number asks for.
 
 Cases: a null or empty text has no words, a null language is ``und``; repeated rows
 count each; a very long text is a chunk of its own; ties go by smaller cut, then by
@@ -39,15 +41,20 @@ from marlstone.llm.common import materialise
 CHUNK = 16 << 20
 #: Chunks' phrases that are added up in one group, about.
 PART = 2 << 20
+#: Occurrences whose slots are added up in one group, about; slots for each occurrence.
+SLOT_PART, SLOTS = 32 << 20, 2
 LONGEST = 4
 
-_LEVEL = "chunk long, lang string, n long, words long, phrases binary, counts binary, at binary, item binary"
+_LEVEL = "chunk long, lang string, n long, words long, next long, phrases binary, counts binary, at binary, item binary"
 _PARTS = "part int, chunk long, lang string, phrases binary, counts binary, ids binary"
-#: Rows of a chunk's frequent phrases, and rows of a frequent phrase with its number.
-_KEPT = "chunk long, phrases binary, ids binary, lang string, phrase string, f long"
-_KEPT_ARROW = pa.schema([("chunk", pa.int64()), ("phrases", pa.binary()), ("ids", pa.binary()), ("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
-_LEVEL_ARROW = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary()), ("at", pa.binary()), ("item", pa.binary())])
+_SLOTS = "part int, chunk long, slots binary, counts binary"
+_PASSED = "part int, chunk long, passed binary"
+_FREQUENT = "lang string, phrase string, k int, f long"
+_LEVEL_ARROW = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.int64()), ("next", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary()), ("at", pa.binary()), ("item", pa.binary())])
 _PARTS_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
+_SLOTS_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("slots", pa.binary()), ("counts", pa.binary())])
+_PASSED_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("passed", pa.binary())])
+_FREQUENT_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())])
 _PIECE_END, _WORD_END = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _PIECE_END[list(b".,;:!?\n\x0b\x0c\r")] = True
 _WORD_END[list(b".,;:!?\n\x0b\x0c\r \t")] = True
@@ -82,8 +89,12 @@ def _unpacked_texts(raw: bytes) -> pa.Array:
 
 
 def _level_row(chunk: int, lang: str, phrases: pa.Array, counts: np.ndarray, at: np.ndarray, item: np.ndarray) -> pa.RecordBatch:
-    """The row of a chunk."""
-    row = {"chunk": chunk, "lang": lang, "n": len(counts), "words": int(counts.sum()), "phrases": _packed_texts(phrases), "counts": _packed(counts), "at": _packed(np.diff(at, prepend=0)), "item": _packed(item)}
+    """The row of a chunk; frequent phrases come first, as small numbers pack better."""
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    row = {"chunk": chunk, "lang": lang, "n": len(counts), "words": int(counts.sum()), "next": int((np.diff(at) == 1).sum())}
+    row |= {"phrases": _packed_texts(phrases.take(pa.array(order))), "counts": _packed(counts[order]), "at": _packed(np.diff(at, prepend=0)), "item": _packed(rank[item])}
     return pa.RecordBatch.from_pylist([row], schema=_LEVEL_ARROW)
 
 
@@ -147,72 +158,106 @@ def _dealt(parts: int):
 
 
 def _frequent(least: int):
-    """Phrases of one part whose numbers add up to ``least`` and more: once each, and by chunk."""
+    """Phrases of one part whose numbers add up to ``least`` and more."""
 
     def frequent(rows: pa.Table) -> pa.Table:
         by_lang, out = defaultdict(list), []
         for r in rows.to_pylist():
             by_lang[r["lang"]].append(r)
         for lang, own in by_lang.items():
-            each = [_unpacked_texts(r["phrases"]) for r in own]
-            coded = pa.concat_arrays(each).dictionary_encode()
-            item, totals = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), dtype=np.int64)
-            np.add.at(totals, item, np.concatenate([_unpacked(r["counts"]) for r in own]))
+            coded = pa.concat_arrays([_unpacked_texts(r["phrases"]) for r in own]).dictionary_encode()
+            totals = np.zeros(len(coded.dictionary), dtype=np.int64)
+            np.add.at(totals, coded.indices.to_numpy(), np.concatenate([_unpacked(r["counts"]) for r in own]))
             found = np.flatnonzero(totals >= least)
-            none = pa.nulls(len(found))
-            out.append(pa.Table.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array([lang] * len(found), pa.string()), coded.dictionary.take(pa.array(found)), pa.array(totals[found])], schema=_KEPT_ARROW))
-            start, kept = 0, []
-            for r, phrases in zip(own, each, strict=True):
-                keep = totals[item[start : start + len(phrases)]] >= least
-                start += len(phrases)
-                if keep.any():
-                    ids = np.cumsum(_unpacked(r["ids"]))[keep]
-                    kept.append({"chunk": r["chunk"], "phrases": _packed_texts(phrases.filter(pa.array(keep))), "ids": _packed(np.diff(ids, prepend=0))})
-            out.append(pa.Table.from_pylist(kept, schema=_KEPT_ARROW))
+            phrases = coded.dictionary.take(pa.array(found))
+            out.append(pa.Table.from_arrays([pa.array([lang] * len(found), pa.string()), phrases, pc.add(pc.count_substring(phrases, " "), 1).cast(pa.int32()), pa.array(totals[found])], schema=_FREQUENT_ARROW))
         return pa.concat_tables(out)
 
     return frequent
 
 
-def _extend(kept: pa.Table, relation: pa.Table) -> pa.Table:
-    """Occurrences of one word more, of a chunk's relation and its frequent phrases."""
-    if not len(kept) or not len(relation):
-        return _LEVEL_ARROW.empty_table()
-    row, parts = relation.to_pylist()[0], kept.to_pylist()
-    at, item = np.cumsum(_unpacked(row["at"])), _unpacked(row["item"])
-    ids = np.concatenate([np.cumsum(_unpacked(r["ids"])) for r in parts])
-    order = np.argsort(ids)
-    ids, phrases = ids[order], pa.concat_arrays([_unpacked_texts(r["phrases"]) for r in parts]).take(pa.array(order))
-    place = np.full(max(int(ids[-1]), int(item.max())) + 1, -1)
-    place[ids] = np.arange(len(ids))
-    # Semi-join: frequent occurrences only. Merge-join: places are sorted, so an adjacent one is the next row.
-    item = place[item]
-    at, item = at[item >= 0], item[item >= 0]
+def _joined(row: dict, slots: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Merge-join: places are sorted, so an adjacent one is the next row. A chunk's phrases; of each occurrence of the next length its place, both parts and its slot."""
+    at, item, phrases = np.cumsum(_unpacked(row["at"])), _unpacked(row["item"]), _unpacked_texts(row["phrases"])
     first = np.flatnonzero(at[1:] == at[:-1] + 1)
-    if not len(first):
-        return _LEVEL_ARROW.empty_table()
-    codes, made, counts = np.unique(item[first] * len(ids) + item[first + 1], return_inverse=True, return_counts=True)
-    ends = pc.replace_substring_regex(phrases, "^.* ", "")
-    joined = pc.binary_join_element_wise(phrases.take(pa.array(codes // len(ids))), ends.take(pa.array(codes % len(ids))), " ")
-    return pa.Table.from_batches([_level_row(row["chunk"], row["lang"], joined, counts, at[first], made)])
+    own = pd.util.hash_array(phrases.to_numpy(zero_copy_only=False), categorize=False)
+    mixed = own[item[first]] * np.uint64(0x9E3779B97F4A7C15) ^ own[item[first + 1]] ^ pd.util.hash_array(np.array([row["lang"]], dtype=object))
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return phrases, at[first], item[first], item[first + 1], ((mixed ^ mixed >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
+
+
+def _slotted(parts: int, width: int, least: int):
+    """A chunk's slots with their numbers, by parts of ``width`` slots."""
+
+    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                slots, counts = np.unique(_joined(r, parts * width)[-1], return_counts=True)
+                edges = np.append(np.flatnonzero(np.diff(slots // width, prepend=-1)), len(slots))
+                rows = []
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    part = int(slots[a] // width)
+                    rows.append({"part": part, "chunk": r["chunk"], "slots": _packed(np.diff(slots[a:b], prepend=part * width)), "counts": _packed(np.minimum(counts[a:b], least))})
+                yield pa.RecordBatch.from_pylist(rows, schema=_SLOTS_ARROW)
+
+    return slotted
+
+
+def _passed(width: int, least: int):
+    """For each chunk a bit for each of its slots of one part: whether all chunks' numbers add up to ``least``."""
+
+    def passed(rows: pa.Table) -> pa.Table:
+        own, totals = rows.to_pylist(), np.zeros(width, dtype=np.min_scalar_type(least))
+        for r in own:
+            slots = np.cumsum(_unpacked(r["slots"]))
+            totals[slots] = np.minimum(totals[slots] + _unpacked(r["counts"]), least)
+        bits = [np.packbits(totals[np.cumsum(_unpacked(r["slots"]))] >= least) for r in own]
+        return pa.Table.from_pylist([{"part": r["part"], "chunk": r["chunk"], "passed": zstandard.ZstdCompressor(level=1).compress(x.tobytes())} for r, x in zip(own, bits, strict=True) if x.any()], schema=_PASSED_ARROW)
+
+    return passed
+
+
+def _extend(parts: int, width: int):
+    """Occurrences of one word more, of a chunk's relation and the bits of its slots."""
+
+    def extend(passed: pa.Table, relation: pa.Table) -> pa.Table:
+        if not len(passed) or not len(relation):
+            return _LEVEL_ARROW.empty_table()
+        row = relation.to_pylist()[0]
+        phrases, at, left, right, slots = _joined(row, parts * width)
+        found, slots = np.unique(slots, return_inverse=True)
+        keep = np.zeros(len(found), dtype=bool)
+        for r in passed.to_pylist():
+            a, b = np.searchsorted(found, [r["part"] * width, (r["part"] + 1) * width])
+            keep[a:b] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(r["passed"]), dtype=np.uint8), count=b - a)
+        # Semi-join: occurrences in slots of enough only.
+        keep = keep[slots]
+        codes, made, counts = np.unique(left[keep] * len(phrases) + right[keep], return_inverse=True, return_counts=True)
+        left, right = phrases.take(pa.array(codes // len(phrases))), phrases.take(pa.array(codes % len(phrases)))
+        joined = pc.binary_join_element_wise(left, pc.replace_substring_regex(right, "^.* ", ""), " ")
+        return pa.Table.from_batches([_level_row(row["chunk"], row["lang"], joined, counts, at[keep], made)])
+
+    return extend
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of one to four words that occur ``least`` times in a language, and (lang, n)."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     level = materialise(texts.mapInArrow(_first_level, _LEVEL), "occurrences-1")
-    words = level.groupBy("lang").agg(F.sum("words").alias("n"))
-    found = None
+    words, dealt, before = level.groupBy("lang").agg(F.sum("words").alias("n")), None, 0
     for k in range(1, LONGEST + 1):
-        parts = 1 + (level.agg(F.sum("n")).first()[0] or 0) // PART
-        dealt = level.select("chunk", "lang", "phrases", "counts").mapInArrow(_dealt(parts), _PARTS)
-        kept = materialise(dealt.groupBy("part").applyInArrow(_frequent(least), _KEPT), f"frequent-{k}")
-        frequent = kept.where("f IS NOT NULL").select("lang", "phrase", F.lit(k).alias("k"), "f")
-        found = frequent if found is None else found.unionAll(frequent)
-        if k < LONGEST:
-            both = kept.where("chunk IS NOT NULL").select("chunk", "phrases", "ids").groupBy("chunk").cogroup(level.select("chunk", "lang", "at", "item").groupBy("chunk"))
-            level = materialise(both.applyInArrow(_extend, _LEVEL), f"occurrences-{k + 1}")
-    return found, words
+        n, occurrences = (x or 0 for x in level.agg(F.sum("n"), F.sum("next")).first())
+        own = level.select("chunk", "lang", "phrases", "counts").mapInArrow(_dealt(1 + n // PART), _PARTS).select((F.col("part") + before).alias("part"), "lang", "phrases", "counts")
+        dealt, before = own if dealt is None else dealt.unionAll(own), before + 1 + n // PART
+        if k == LONGEST or not occurrences:
+            break
+        parts = 1 + occurrences // SLOT_PART
+        width = 1 + SLOTS * occurrences // parts
+        slotted = level.select("chunk", "lang", "phrases", "at", "item").mapInArrow(_slotted(parts, width, least), _SLOTS)
+        passed = slotted.groupBy("part").applyInArrow(_passed(width, least), _PASSED)
+        both = passed.groupBy("chunk").cogroup(level.select("chunk", "lang", "phrases", "at", "item").groupBy("chunk"))
+        level = materialise(both.applyInArrow(_extend(parts, width), _LEVEL), f"occurrences-{k + 1}")
+    return materialise(dealt.groupBy("part").applyInArrow(_frequent(least), _FREQUENT), "frequent"), words
 
 
 def collocations(docs: DataFrame, least: int = 30, most: int = 2000) -> DataFrame:

@@ -90,3 +90,50 @@ def test_odd_texts(spark, odd_docs):
     assert collocations(df.limit(0)).count() == 0
     assert collocations(df.where("doc_id < 5")).count() == 0
     assert collocations(odd_docs).count() == len(plain([(r.text, r.lang) for r in odd_docs.collect()]))
+
+
+def test_rare_pairs_are_not_written(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(" ".join(f"w{rng.randrange(300)}" for _ in range(60)) + ". New York city hall", "en") for _ in range(500)]
+    df = spark.createDataFrame([(k, t, lang, "x", 1, 1) for k, (t, lang) in enumerate(rows)], SCHEMA).repartition(3)
+    written = {}
+    monkeypatch.setattr(module, "materialise", lambda df, name, old=module.materialise: written.setdefault(name, old(df, name)))
+    found, _ = module.frequent_phrases(df)
+    assert {r.phrase: (r.k, r.f) for r in found.where("k > 1").collect()} == {p: (len(p.split()), 500) for p in ("new york", "york city", "city hall", "new york city", "york city hall", "new york city hall")}
+    # Three chunks have three frequent pairs each, and about 9,000 others.
+    assert [9 <= written["occurrences-2"].agg({"n": "sum"}).first()[0] < 100, written["occurrences-4"].agg({"n": "sum"}).first()[0]] == [True, 3]
+
+
+@pytest.mark.parametrize(("slots", "part"), [(0, 2_000), (0, 50), (1, 2_000)])
+def test_phrases_that_share_slots(spark, monkeypatch, slots, part):
+    monkeypatch.setattr(module, "SLOTS", slots)
+    monkeypatch.setattr(module, "SLOT_PART", part)
+    rows = made_rows(2)
+    df = spark.createDataFrame([(k, t, lang, "x", 1, 1) for k, (t, lang) in enumerate(rows)], SCHEMA).repartition(3)
+    assert sorted(tuple(r) for r in collocations(df).collect()) == plain(rows)
+    assert sorted(tuple(r) for r in collocations(df, least=300).collect()) == plain(rows, least=300)
+
+
+def test_slots_of_a_chunk(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    class Task:
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(module.TaskContext, "get", staticmethod(lambda: Task))
+    rng = random.Random(6)
+    text = " ".join(f"w{int(rng.paretovariate(0.5)) % 30_000}" for _ in range(200_000))
+    [row] = [r for b in module._first_level(iter([pa.RecordBatch.from_pylist([{"lang": "en", "text": text}])])) for r in b.to_pylist()]
+    for parts, width in ((1, 400_000), (7, 60_000), (300_000, 1)):
+        rows = [r for b in module._slotted(parts, width, 30)(iter([pa.RecordBatch.from_pylist([row])])) for r in b.to_pylist()]
+        slots = [np.cumsum(module._unpacked(r["slots"])) for r in rows]
+        assert len({r["part"] for r in rows}) == len(rows) and all(r["part"] < parts and 0 <= s.min() and s.max() < width for r, s in zip(rows, slots, strict=True))
+        counts = np.concatenate([module._unpacked(r["counts"]) for r in rows])
+        where = np.concatenate([s + r["part"] * width for r, s in zip(rows, slots, strict=True)])
+        true_slots, true_counts = np.unique(module._joined(row, parts * width)[-1], return_counts=True)
+        assert where.tolist() == true_slots.tolist() and counts.tolist() == np.minimum(true_counts, 30).tolist() and true_counts.sum() == 199_999
+        if parts == 1:  # fewer bytes than the pairs as text
+            words = text.split()
+            texts = module._packed_texts(pa.array(sorted({f"{a} {b}" for a, b in zip(words[:-1], words[1:], strict=True)})))
+            assert sum(len(r["slots"]) + len(r["counts"]) for r in rows) < 0.7 * len(texts)
